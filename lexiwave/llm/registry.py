@@ -1,5 +1,7 @@
 """Queries of the subpackage by name, and the SQL of those that SQL can express."""
 
+from lexiwave.llm.bpe import op10_byte_bpe
+from lexiwave.llm.language_id import op9_language_id
 from lexiwave.llm.line_dedup import OP7_SQL, op7_line_dedup
 from lexiwave.llm.mixing import op8_mix_sources
 from lexiwave.llm.secrets import op6_secret_scan
@@ -8,5 +10,7 @@ QUERIES = {
     "op6_secret_scan": op6_secret_scan,
     "op7_line_dedup": op7_line_dedup,
     "op8_mix_sources": op8_mix_sources,
+    "op9_language_id": op9_language_id,
+    "op10_byte_bpe": op10_byte_bpe,
 }
 SQL = {"op7_line_dedup": OP7_SQL}
