@@ -25,6 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexiwave.functions.shipping import ship
 from lexiwave.llm.bytewords import _BYTE_VALUE, RangeHash, chunks, ranges, text_buffers
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -304,6 +305,7 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                     columns.append(pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(ids.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
+    ship(docs.sparkSession)
     kinds = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(work, kinds)
 

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexiwave.functions.shipping import ship
 from lexiwave.llm.bytewords import chunks, text_buffers
 
 HIDDEN = 8
@@ -279,6 +280,7 @@ def predict(docs: DataFrame, net: Network, keep: list[str], text_col: str = "tex
                     [*columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[f.name for f in schema],
                 )
 
+    ship(docs.sparkSession)
     return kept.mapInArrow(work, schema)
 
 

@@ -4,9 +4,11 @@ from lexiwave.llm.bpe import op10_byte_bpe
 from lexiwave.llm.language_id import op9_language_id
 from lexiwave.llm.line_dedup import OP7_SQL, op7_line_dedup
 from lexiwave.llm.mixing import op8_mix_sources
+from lexiwave.llm.near_dedup import op4_near_dedup
 from lexiwave.llm.secrets import op6_secret_scan
 
 QUERIES = {
+    "op4_near_dedup": op4_near_dedup,
     "op6_secret_scan": op6_secret_scan,
     "op7_line_dedup": op7_line_dedup,
     "op8_mix_sources": op8_mix_sources,
