@@ -6,8 +6,10 @@ from lexiwave.llm.line_dedup import OP7_SQL, op7_line_dedup
 from lexiwave.llm.mixing import op8_mix_sources
 from lexiwave.llm.near_dedup import op4_near_dedup
 from lexiwave.llm.secrets import op6_secret_scan
+from lexiwave.llm.substring_dedup import op3_substring_dedup
 
 QUERIES = {
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_near_dedup": op4_near_dedup,
     "op6_secret_scan": op6_secret_scan,
     "op7_line_dedup": op7_line_dedup,
