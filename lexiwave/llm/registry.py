@@ -5,10 +5,12 @@ from lexiwave.llm.language_id import op9_language_id
 from lexiwave.llm.line_dedup import OP7_SQL, op7_line_dedup
 from lexiwave.llm.mixing import op8_mix_sources
 from lexiwave.llm.near_dedup import op4_near_dedup
+from lexiwave.llm.quality import op1_quality_rules
 from lexiwave.llm.secrets import op6_secret_scan
 from lexiwave.llm.substring_dedup import op3_substring_dedup
 
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_near_dedup": op4_near_dedup,
     "op6_secret_scan": op6_secret_scan,
