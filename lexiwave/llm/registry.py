@@ -1,6 +1,7 @@
 """Queries of the subpackage by name, and the SQL of those that SQL can express."""
 
 from lexiwave.llm.bpe import op10_byte_bpe
+from lexiwave.llm.embedding_dedup import op2_embedding_dedup
 from lexiwave.llm.language_id import op9_language_id
 from lexiwave.llm.line_dedup import OP7_SQL, op7_line_dedup
 from lexiwave.llm.mixing import op8_mix_sources
@@ -11,6 +12,7 @@ from lexiwave.llm.substring_dedup import op3_substring_dedup
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_embedding_dedup": op2_embedding_dedup,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_near_dedup": op4_near_dedup,
     "op6_secret_scan": op6_secret_scan,
