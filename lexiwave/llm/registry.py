@@ -3,6 +3,7 @@
 from lexiwave.llm.bpe import op10_byte_bpe
 from lexiwave.llm.embedding_dedup import op2_embedding_dedup
 from lexiwave.llm.language_id import op9_language_id
+from lexiwave.llm.licences import op5_licence_scan
 from lexiwave.llm.line_dedup import OP7_SQL, op7_line_dedup
 from lexiwave.llm.mixing import op8_mix_sources
 from lexiwave.llm.near_dedup import op4_near_dedup
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_embedding_dedup": op2_embedding_dedup,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_near_dedup": op4_near_dedup,
+    "op5_licence_scan": op5_licence_scan,
     "op6_secret_scan": op6_secret_scan,
     "op7_line_dedup": op7_line_dedup,
     "op8_mix_sources": op8_mix_sources,
