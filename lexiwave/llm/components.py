@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiwave.llm.scratch import Scratch
 
 
+def smallest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest place joined to each of n places by the edges (a, b), by spreading minima and jumping."""
+    label = np.arange(n)
+    while True:
+        new = label.copy()
+        np.minimum.at(new, a, label[b])
+        np.minimum.at(new, b, label[a])
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every node's larger neighbours are tied to the smallest node among it and its neighbours."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiwave.functions.shipping import ship
-from lexiwave.llm.components import components
+from lexiwave.llm.components import components, smallest
 from lexiwave.llm.scratch import Scratch
 
 COSINE = 0.98
@@ -106,19 +106,6 @@ def _matrix(column, d: int, kind=np.float64) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, d)
 
 
-def _local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest place joined to each of n places by the edges, by spreading minima and jumping."""
-    label = np.arange(n)
-    while True:
-        new = label.copy()
-        np.minimum.at(new, a, label[b])
-        np.minimum.at(new, b, label[a])
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", least: float = COSINE, block: int = BLOCK, lists: int = LIST) -> DataFrame:
     """One row per input row: id, n_links, component_id, kept.
 
@@ -217,7 +204,7 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
         order = np.argsort(ids, kind="stable")
         place = np.empty(len(ids), int)
         place[order] = np.arange(len(ids))
-        tie = ids[order[_local_components(len(ids), place[a], place[b])[place]]]
+        tie = ids[order[smallest(len(ids), place[a], place[b])[place]]]
         tied = np.flatnonzero(tie != ids)
         zero = np.zeros(len(tied), np.int64)
         out = pa.table([np.concatenate(x) for x in ((k[q], zero), (links, zero), (ids[q], ids[tied]), (ids[q], tie[tied]))], schema=out_schema)

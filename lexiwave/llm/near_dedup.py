@@ -12,12 +12,11 @@ two documents with a probability that equals their similarity. Documents with a
 look twice as far.
 
 Search. Documents with equal words are one class from the start. Signatures of class representatives are
-cut into bands; documents that share a band meet. A pair that meets with similarity s is missed with
-probability (1 - s^ROWS)^BANDS, 3e-6 at 0.8. In every band's bucket all members are compared exactly
-with its smallest member first; what this has joined needs no more comparison, and pairs of different
-components that share a bucket are then compared as well, unless their signatures agree in under
-``HOPELESS`` coordinates (chance below 1e-7 at 0.8). So components are those of all pairs that met, but
-a large group of copies costs about one comparison a document instead of one a pair.
+cut into bands; documents that share a band meet in its bucket. A pair with similarity s misses all
+buckets with probability (1 - s^ROWS)^BANDS, 7e-6 at 0.8. Buckets with the same members are looked at
+once. Within a bucket all pairs are compared exactly, on bit sets over the elements that two members or
+more have; large buckets are cut into blocks and each pair of blocks is a task of its own. A task returns
+a spanning forest of the links it found, so no pair ever becomes a row.
 """
 
 from __future__ import annotations
@@ -31,20 +30,25 @@ from pyspark.sql import functions as F
 
 from lexiwave.functions.shipping import ship
 from lexiwave.llm.bytewords import RangeHash, Words, chunks, mix, ranges, text_buffers
-from lexiwave.llm.components import components
+from lexiwave.llm.components import components, smallest
 from lexiwave.llm.scratch import Scratch
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 24, 4
+BANDS, ROWS = 30, 5
 COORDINATES = BANDS * ROWS
 DARTS = COORDINATES * (np.log(COORDINATES) + 4)
-HOPELESS = 52
+#: members of a bucket, or of a block of a larger one, compared in one task; rows of small buckets in one task
+BLOCK, GROUP = 1024, 16_384
 
 _SALTS = mix(np.arange(101, 109, dtype=np.uint64))
 _SHINGLE_BASE = 0xD1342543DE82EF95
 
 
+def _times(salt: np.uint64, n: int) -> np.uint64:
+    return np.uint64(int(salt) * n & 0xFFFFFFFFFFFFFFFF)
+
+
 def _unit(h: np.ndarray) -> np.ndarray:
     """Hashes as numbers in (0, 1]."""
     return ((h >> np.uint64(11)).astype(np.float64) + 1) * 2.0**-53
@@ -104,10 +108,10 @@ def _throw(text: np.ndarray, element: np.ndarray, weight: np.ndarray, reach: np.
     low, height, strip, here = 0.0, 1.0, 0, np.arange(len(text))
     while len(here):
         own, rank = here, np.zeros(len(here))
-        seed = mix(element[own] ^ _SALTS[2] * np.uint64(2 * strip + 1))
+        seed = mix(element[own] ^ _times(_SALTS[2], 2 * strip + 1))
         number = 0
         while len(own):
-            dart = mix(seed + _SALTS[3] * np.uint64(number + 1))
+            dart = mix(seed + _times(_SALTS[3], number + 1))
             rank = rank - np.log(_unit(dart)) / height
             near = rank <= reach[text[own]]
             own, seed, rank, dart = own[near], seed[near], rank[near], dart[near]
@@ -132,8 +136,8 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
 
 
 def _sign(docs: DataFrame) -> DataFrame:
-    """(id, a, b, n, bands, sketch) of (id, text): word hashes, total weight, band keys, 32-bit signature."""
-    schema = pa.schema([("id", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
+    """(id, a, b, n, bands) of (id, text): two hashes of the words, total weight, band keys."""
+    schema = pa.schema([("id", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,12 +149,11 @@ def _sign(docs: DataFrame) -> DataFrame:
                 bands = band_keys(signatures)
                 rows = np.where(n > 0, BANDS, 0)
                 bands = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(rows)), pa.int32()), pa.array(bands[n > 0].ravel().view(np.int64)))
-                sketch = [s.astype(np.uint32).tobytes() for s in signatures]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(n), bands, pa.array(sketch, pa.binary())], schema=schema,
+                    [part.column(0), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(n), bands], schema=schema,
                 )
 
-    return docs.mapInArrow(work, "id long, a long, b long, n long, bands array<long>, sketch binary")
+    return docs.mapInArrow(work, "id long, a long, b long, n long, bands array<long>")
 
 
 def _items(docs: DataFrame) -> DataFrame:
@@ -173,44 +176,63 @@ def _items(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(work, "id long, n long, items binary")
 
 
-def _similar(pairs: DataFrame, items: DataFrame, least: float) -> DataFrame:
-    """The (x, y) pairs whose elements are similar enough, by merging their sorted elements."""
-    schema = pa.schema([("x", pa.int64()), ("y", pa.int64())])
+def linked_pairs(sizes: np.ndarray, units: np.ndarray, least: float, split: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Places (x, y) of sets that are similar enough; sets are cut from ``units`` by ``sizes``.
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for p, q in zip(batch.column(2), batch.column(3)):
-                p, q = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)
-                both = np.concatenate([p, q])
-                both.sort(kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                good.append(common >= least * (len(both) - common) - 1e-9)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], schema=schema).filter(pa.array(good, pa.bool_()))
-
-    x = items.select(F.col("id").alias("x"), F.col("n").alias("x_n"), F.col("items").alias("x_items"))
-    y = items.select(F.col("id").alias("y"), F.col("n").alias("y_n"), F.col("items").alias("y_items"))
-    sized = pairs.join(x, "x").join(y, "y").where(F.least("x_n", "y_n") >= least * F.greatest("x_n", "y_n") - 1e-9)
-    return sized.select("x", "y", "x_items", "y_items").mapInArrow(work, "x long, y long")
-
-
-def _agreeing(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """The (x, y) pairs whose signatures agree in at least ``HOPELESS`` coordinates."""
+    With ``split``, only sets before that place are compared with sets from it on.
+    """
+    m = len(sizes)
+    owner = np.repeat(np.arange(m), sizes)
+    _, which, count = np.unique(units, return_inverse=True, return_counts=True)
+    shared = count > 1
+    number = np.cumsum(shared) - 1
+    mine = shared[which]
+    bits = np.zeros((m, max(64, -(-int(shared.sum()) // 64) * 64)), bool)
+    bits[owner[mine], number[which[mine]]] = True
+    words = np.packbits(bits, axis=1).view(np.uint64)
+    found_x, found_y = [], []
+    for x in range(m if split is None else split):
+        first = x + 1 if split is None else split
+        n, other = sizes[x], sizes[first:]
+        near = first + np.flatnonzero(np.minimum(n, other) >= least * np.maximum(n, other) - 1e-9)
+        if len(near):
+            common = np.bitwise_count(words[near] & words[x]).sum(axis=1, dtype=np.int64)
+            y = near[common >= least * (n + sizes[near] - common) - 1e-9]
+            found_x.append(np.full(len(y), x))
+            found_y.append(y)
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *found_x]), np.concatenate([none, *found_y])
+
+
+def _links(members: DataFrame, least: float) -> DataFrame:
+    """(x, y): a spanning forest of each task's links, of (task, p, q, bucket, block, id, items)."""
     schema = pa.schema([("x", pa.int64()), ("y", pa.int64())])
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                p, q = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, COORDINATES) for i in (2, 3))
-                good = pa.array((p == q).sum(axis=1) >= HOPELESS)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], schema=schema).filter(good)
-
-    x = sketches.select(F.col("id").alias("x"), F.col("sketch").alias("p"))
-    y = sketches.select(F.col("id").alias("y"), F.col("sketch").alias("q"))
-    return pairs.join(x, "x").join(y, "y").select("x", "y", "p", "q").mapInArrow(work, "x long, y long")
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
+    def work(key, table):
+        p, q = key[1].as_py(), key[2].as_py()
+        bucket, block, ids = (np.asarray(table.column(c)) for c in ("bucket", "block", "id"))
+        items = table.column("items").to_pylist()
+        order = np.lexsort((ids, block, bucket))
+        edges = np.append(np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0)), len(order))
+        xs, ys = [], []
+        for a, b in zip(edges[:-1], edges[1:]):
+            own = order[a:b]
+            sets = [np.frombuffer(items[i], np.uint64) for i in own]
+            x, y = linked_pairs(np.array([len(s) for s in sets]), np.concatenate(sets), least, None if p == q else int((block[own] == p).sum()))
+            if len(x):
+                root = smallest(len(own), x, y)  # members are sorted by id within a block only
+                low = np.full(len(own), np.iinfo(np.int64).max)
+                np.minimum.at(low, root, ids[own])
+                tied = np.flatnonzero(low[root] != ids[own])
+                xs.append(ids[own][tied])
+                ys.append(low[root][tied])
+        none = np.zeros(0, np.int64)
+        return pa.table([np.concatenate([none, *xs]), np.concatenate([none, *ys])], schema=schema)
+
+    return members.groupBy("task", "p", "q").applyInArrow(work, "x long, y long")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """(id, class_id, kept) of every row: its class's smallest id, and whether it is that one.
 
     Classes are the components of documents linked by a similarity of ``least`` or more. Words are runs
@@ -223,45 +245,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     signed = scratch.save(_sign(plain), "signed")
     real = signed.where("n > 0 and id is not null")
-    classes = scratch.save(
-        real.groupBy("a", "b").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes",
+    classes = real.groupBy("a", "b").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"))
+    met = scratch.save(classes.select(F.col("rep").alias("id"), F.explode("bands").alias("bucket")), "met")
+    part = lambda seed: F.sum(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 31)))
+    buckets = met.groupBy("bucket").agg(F.count("*").alias("m"), part(1).alias("who"), part(2).alias("too"), F.min("id").alias("low")).where("m > 1")
+    once = buckets.groupBy("m", "who", "too", "low").agg(F.min("bucket").alias("bucket")).select("bucket", "m")
+    members = scratch.save(met.join(once, "bucket"), "members")
+    scratch.drop("met")
+    # one text of each representative: rows that share an id but not their words may hold others
+    texts = plain.where("id is not null").join(members.select("id").distinct(), "id")
+    items = _items(texts).groupBy("id").agg(F.max("items").alias("items"))
+    groups = max(1, -(-members.count() // GROUP))
+    blocks = F.ceil(F.col("m") / block).cast("int")
+    large = F.col("blocks") > 1
+    dealt = (
+        members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select(
+            F.when(large, F.col("bucket")).otherwise(F.pmod(F.xxhash64("bucket"), F.lit(groups))).alias("task"),
+            F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "bucket", "block", "id",
+        )
     )
-    met = classes.select(F.col("rep").alias("id"), F.explode("bands").alias("bucket"))
-    centers = met.groupBy("bucket").agg(F.min("id").alias("center"), F.count("*").alias("m")).where("m > 1").drop("m")
-    members = scratch.save(met.join(centers, "bucket"), "members")
-    pairs = members.where("id != center").select("id", "center")
-    ids = members.select("id").distinct()
-    items = scratch.save(_items(plain.where("id is not null").join(ids, "id").groupBy("id").agg(F.min("text").alias("text"))), "items")
-    # rows that share an id but not their words are tied by their classes' representatives
-    same_id = real.select("id", "a", "b").distinct().join(classes.select("a", "b", "rep"), ["a", "b"]).where("id != rep").select(F.col("id").alias("x"), F.col("rep").alias("y"))
-    links = scratch.save(_similar(pairs.groupBy("id").agg(F.min("center").alias("y")).select(F.col("id").alias("x"), "y"), items, least), "links0")
-    tested = pairs.groupBy("id").agg(F.min("center").alias("y")).select(F.col("id").alias("x"), "y")
-    for turn in (1, 2):
-        of = components(links, scratch, f"near{turn}-")
-        where = members.join(of.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        if turn == 1:
-            hubs = of.select(F.col("node").alias("center"), F.col("component").alias("hub"))
-            apart = (
-                where.join(hubs, "center", "left").where(F.coalesce("hub", "center") != F.col("component"))
-                .select(F.col("id").alias("x"), F.col("center").alias("y")).distinct()
-            )
-            fresh = apart.join(tested, ["x", "y"], "left_anti")
-        else:
-            split = where.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("bucket")
-            left = scratch.save(where.join(split, "bucket").select("bucket", "id", "component"), "split")
-            other = left.select("bucket", F.col("id").alias("y"), F.col("component").alias("y_component"))
-            apart = (
-                left.select("bucket", F.col("id").alias("x"), "component").join(other, "bucket")
-                .where((F.col("x") > F.col("y")) & (F.col("component") != F.col("y_component"))).select("x", "y").distinct()
-            )
-            fresh = _agreeing(apart.join(tested, ["x", "y"], "left_anti"), classes.select(F.col("rep").alias("id"), "sketch"))
-        fresh = scratch.save(fresh, f"pairs{turn}")
-        if turn == 1:
-            tested = scratch.save(tested.unionByName(fresh), "tested")
-        links = scratch.save(links.unionByName(_similar(fresh, items, least)), f"links{turn}")
-    of = components(links.unionByName(same_id) if same_id_needed(signed) else links, scratch, "final-")
+    links = scratch.save(_links(dealt.join(items, "id"), least), "links")
+    representatives = signed.where("n > 0 and id is not null").groupBy("a", "b").agg(F.min("id").alias("rep"))
+    tied = real.select("id", "a", "b").join(representatives, ["a", "b"]).where("id != rep").select(F.col("id").alias("x"), F.col("rep").alias("y"))
+    of = components(links.unionByName(tied) if _shared_ids(signed) else links, scratch, "near-")
     named = (
-        signed.select("id", "a", "b", "n").join(classes.select("a", "b", "rep"), ["a", "b"], "left")
+        signed.select("id", "a", "b", "n").join(representatives, ["a", "b"], "left")
         .withColumn("rep", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("rep")).otherwise(F.col("id")))
         .join(of.withColumnRenamed("node", "rep"), "rep", "left")
         .withColumn("class_id", F.coalesce("component", "rep"))
@@ -269,7 +279,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return named.select("id", "class_id", F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)).alias("kept"))
 
 
-def same_id_needed(signed: DataFrame) -> bool:
+def _shared_ids(signed: DataFrame) -> bool:
     """Whether some id stands for different texts."""
     return signed.where("n > 0 and id is not null").groupBy("id").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).where("lo != hi").limit(1).count() > 0
 
