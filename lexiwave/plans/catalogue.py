@@ -1,4 +1,336 @@
-"""The engine's registered queries and their SQL."""
+"""The engine's registered queries and their SQL.
 
-QUERIES = {}
-SQL = {}
+Language models are trained on all documents, one model a language, and scored on all benchmark texts.
+Signals and sequences are every user's events in order.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from lexiwave.operators import cluster, decode, hmm, lm, metrics, signal, text
+from lexiwave.plans import sql
+from lexiwave.sources import arpa
+
+LENGTH, STEP, SIZE, RATE, BANKS, COEFFICIENTS = 8, 4, 16, 16, 4, 3
+BANK, DCT = signal.mel_filterbank(SIZE, RATE, BANKS), signal.dct_matrix(BANKS, COEFFICIENTS)
+
+# a three-state left-to-right model of the five event types, in code point order
+EVENT_TYPES = ["click", "error", "login", "purchase", "view"]
+_P = np.array([[0.6, 0.3, 0.1], [0.0, 0.7, 0.3], [0.2, 0.0, 0.8]])
+_E = np.array([[0.3, 0.1, 0.2, 0.1, 0.3], [0.1, 0.4, 0.2, 0.2, 0.1], [0.2, 0.1, 0.1, 0.4, 0.2]])
+with np.errstate(divide="ignore"):
+    START, MOVES, EMIT = -np.log([0.5, 0.3, 0.2]), -np.log(_P), -np.log(_E)
+
+
+def table(spark, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def r6(c: Column) -> Column:
+    return F.when(c == float("inf"), c).otherwise(F.round(c, 6))
+
+
+def joined(gram: str = "gram") -> Column:
+    return F.array_join(gram, " ")
+
+
+def train_seqs(spark, sf_dir: str) -> DataFrame:
+    return text.sequences(table(spark, sf_dir, "documents"), model=F.coalesce("lang", F.lit("und")))
+
+
+def test_seqs(spark, sf_dir: str) -> DataFrame:
+    """Every benchmark text for every model; models are few, one a language."""
+    models = train_seqs(spark, sf_dir).select("model").distinct()
+    return text.sequences(table(spark, sf_dir, "benchmark")).drop("model").join(F.broadcast(models)).select("model", "toks")
+
+
+def counted(n: int, order: int | None = None):
+    def run(spark, sf_dir: str) -> DataFrame:
+        counts = text.gram_counts(train_seqs(spark, sf_dir), n)
+        return (counts if order is None else counts.where(F.col("ord") == order)).select("model", "ord", joined().alias("gram"), "cnt")
+
+    return run
+
+
+def trained(kind: str, n: int):
+    return lambda spark, sf_dir: lm.train(kind, train_seqs(spark, sf_dir), n)
+
+
+def probs(kind: str, n: int):
+    return lambda spark, sf_dir: trained(kind, n)(spark, sf_dir).probs().select("model", joined().alias("gram"), "cnt", r6(F.col("nlp")).alias("nlp"))
+
+
+def perplexity(kind: str, n: int):
+    return lambda spark, sf_dir: trained(kind, n)(spark, sf_dir).perplexity(test_seqs(spark, sf_dir)).select("model", "windows", r6(F.col("perplexity")).alias("perplexity"))
+
+
+def oov(n: int):
+    return lambda spark, sf_dir: trained("mle", n)(spark, sf_dir).oov_rate(test_seqs(spark, sf_dir)).withColumn("rate", F.round("rate", 6))
+
+
+def tokenize_counts(spark, sf_dir):
+    return train_seqs(spark, sf_dir).select("model", F.explode("toks").alias("token")).groupBy("model", "token").agg(F.count("*").alias("cnt"))
+
+
+def katz_model(spark, sf_dir, n):
+    return lm.katz(text.gram_counts(train_seqs(spark, sf_dir), n), n)
+
+
+def katz_probs(n):
+    return lambda spark, sf_dir: katz_model(spark, sf_dir, n).probs.select("model", "ord", joined().alias("gram"), "cnt", r6(F.col("nlp")).alias("nlp"))
+
+
+def katz_backoffs(n):
+    return lambda spark, sf_dir: katz_model(spark, sf_dir, n).backoffs.select("model", "ord", joined("ctx").alias("ctx"), r6(F.col("nla")).alias("nla"))
+
+
+def good_turing_fit(spark, sf_dir):
+    seqs = train_seqs(spark, sf_dir)
+    return lm.good_turing(text.gram_counts(seqs, 2), text.vocabulary(seqs, 2), 2).fit.select("model", F.round("slope", 6).alias("slope"), F.round("intercept", 6).alias("intercept"), "points", "total")
+
+
+def token_oov(spark, sf_dir):
+    vocab = text.vocabulary(train_seqs(spark, sf_dir), 2)
+    return lm.token_oov_rate(test_seqs(spark, sf_dir), vocab).withColumn("rate", F.round("rate", 6))
+
+
+def unknown_words(spark, sf_dir):
+    """Benchmark texts with words outside each model's vocabulary replaced."""
+    bench = table(spark, sf_dir, "benchmark").select("item_id", text.tokens(F.col("text")).alias("gram"))
+    seqs = train_seqs(spark, sf_dir)
+    grams = bench.join(F.broadcast(seqs.select("model").distinct())).select("model", F.col("item_id").alias("id"), "gram")
+    return text.with_unknown(grams, text.vocabulary(seqs, 1)).select("model", F.col("id").alias("item_id"), joined().alias("words"))
+
+
+def arpa_lines(spark, sf_dir):
+    model = lm.katz(text.gram_counts(text.sequences(table(spark, sf_dir, "benchmark")), 2), 2)
+    return arpa.arpa_lines(model.probs.drop("model"), model.backoffs.drop("model"), 2)
+
+
+def wer_pairs(spark, sf_dir):
+    by = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    pairs = table(spark, sf_dir, "conversations").withColumn("reply", F.lead("text").over(by)).where("reply is not null")
+    return pairs.select("conv_id", "turn", F.round(metrics.wer(spark, F.col("reply"), F.col("text")), 6).alias("wer"))
+
+
+PHRASE = "of the"
+
+
+def phrase_search(spark, sf_dir):
+    found = text.contains_phrase(F.lower("text"), F.lit(f" {PHRASE} "))
+    return table(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.count("*").alias("docs"), F.sum(F.when(found, 1).otherwise(0)).alias("hits"))
+
+
+def emphasised(spark, sf_dir):
+    s = signal.series(table(spark, sf_dir, "events"), "user_id", "value", "ts", "event_id")
+    return s.select("user_id", signal.pre_emphasis(F.col("samples")).alias("samples"))
+
+
+def pre_emphasis(spark, sf_dir):
+    return emphasised(spark, sf_dir).select("user_id", F.posexplode("samples").alias("pos", "v")).withColumn("v", F.round("v", 6) + 0.0)
+
+
+def frame_count(spark, sf_dir):
+    return emphasised(spark, sf_dir).select("user_id", signal.frame_count(F.size("samples"), LENGTH, STEP).cast("long").alias("frames"))
+
+
+def framed(spark, sf_dir):
+    return signal.frames(emphasised(spark, sf_dir), "user_id", F.col("samples"), LENGTH, STEP)
+
+
+def positions(df: DataFrame, column: str) -> DataFrame:
+    return df.select("user_id", "frame_no", F.posexplode(column).alias("pos", "v")).withColumn("v", F.round("v", 6) + 0.0)
+
+
+def spectra(spark, sf_dir):
+    return framed(spark, sf_dir).withColumn("power", signal.power_spectrum(F.col("frame"), SIZE))
+
+
+def mels(spark, sf_dir):
+    return spectra(spark, sf_dir).withColumn("mel", signal.log_mel(F.col("power"), BANK))
+
+
+def mfcc_numpy(spark, sf_dir):
+    s = signal.series(table(spark, sf_dir, "events"), "user_id", "value", "ts", "event_id")
+    rows = s.select(F.col("user_id").cast("string").alias("path"), F.lit(RATE).alias("sample_rate"), "samples")
+    out = signal.mfcc(rows, length_s=LENGTH / RATE, step_s=STEP / RATE, banks=BANKS, coefficients=COEFFICIENTS, size=SIZE)
+    return out.select(F.col("path").cast("long").alias("user_id"), "frame_no", F.posexplode("features").alias("pos", "v")).withColumn("v", F.round("v", 6) + 0.0)
+
+
+def points(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").where("embedding is not null").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda v: v.cast("double")).alias("x"))
+
+
+def first_centres(spark, sf_dir, k=4):
+    """The k vectors with the least ids: the model's initial centres."""
+    top = points(spark, sf_dir).orderBy("id").limit(k)
+    return top.select((F.row_number().over(Window.orderBy("id")) - 1).alias("k"), F.col("x").alias("centre"))
+
+
+def kmeans_assign(spark, sf_dir):
+    return cluster.assign(points(spark, sf_dir), first_centres(spark, sf_dir)).select(F.col("id").alias("vec_id"), "k", F.round("d2", 6).alias("d2"))
+
+
+def kmeans_sse(spark, sf_dir):
+    return cluster.assign(points(spark, sf_dir), first_centres(spark, sf_dir)).groupBy("k").agg(F.count("*").alias("size"), F.round(F.sum("d2"), 6).alias("sse"))
+
+
+def kmeans_lloyd(spark, sf_dir):
+    new = cluster.lloyd_step(points(spark, sf_dir), first_centres(spark, sf_dir))
+    return new.select("k", F.posexplode("centre").alias("pos", "v")).withColumn("v", F.round("v", 6) + 0.0)
+
+
+def kmeans_full(spark, sf_dir):
+    got = cluster.kmeans(points(spark, sf_dir), 4, turns=25, attempts=2)
+    return spark.createDataFrame([(i, float(w), float(np.trace(c))) for i, (w, c) in enumerate(zip(got.weight, got.covariance))], "k int, weight double, spread double")
+
+
+def cluster_covariance(spark, sf_dir):
+    mix = cluster.one_component(points(spark, sf_dir))
+    c = mix.covariance[0] - cluster.RIDGE * np.eye(len(mix.covariance[0]))
+    return spark.createDataFrame([(i, j, round(float(c[i, j]), 6) + 0.0) for i in range(4) for j in range(4)], "i int, j int, cov double")
+
+
+def gmm_em(spark, sf_dir):
+    data = points(spark, sf_dir)
+    one = cluster.one_component(data)
+    start = cluster.Mixture(np.full(2, 0.5), np.stack([one.mean[0] - 0.05, one.mean[0] + 0.05]), np.repeat(one.covariance, 2, 0))
+    got = cluster.gmm(data, start, turns=3)
+    return spark.createDataFrame([(i, float(w), float(m @ m)) for i, (w, m) in enumerate(zip(got.weight, got.mean))], "k int, weight double, norm2 double")
+
+
+def event_sequences(spark, sf_dir) -> DataFrame:
+    events = table(spark, sf_dir, "events").where(F.col("event_type").isin(*EVENT_TYPES))
+    code = F.array_position(F.array(*map(F.lit, EVENT_TYPES)), F.col("event_type"))
+    s = events.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", code.alias("o")))).alias("s"))
+    rows = F.array(*[F.array(*map(F.lit, EMIT[:, o].tolist())) for o in range(len(EVENT_TYPES))])
+    return s.select("user_id", F.transform("s", lambda x: F.element_at(rows, x["o"].cast("int"))).alias("e"))
+
+
+def hmm_forward(spark, sf_dir):
+    return event_sequences(spark, sf_dir).select("user_id", F.round(hmm.forward_sql(F.col("e"), START, MOVES), 4).alias("nlp"))
+
+
+def viterbi_cost(spark, sf_dir):
+    return event_sequences(spark, sf_dir).select("user_id", F.round(hmm.forward_sql(F.col("e"), START, MOVES, best=True), 4).alias("cost"))
+
+
+def hmm_occupancy(spark, sf_dir):
+    out = hmm.likelihoods(event_sequences(spark, sf_dir), "user_id", "e", START, MOVES)
+    return out.select("user_id", F.round("forward_nlp", 4).alias("forward_nlp"), F.round("backward_nlp", 4).alias("backward_nlp"), F.round(F.aggregate("gamma", F.lit(0.0), lambda a, b: a + b), 4).alias("frames"))
+
+
+def baum_welch_step(spark, sf_dir):
+    """Transitions re-estimated once from all users: summed moves by summed stays."""
+    out = hmm.likelihoods(event_sequences(spark, sf_dir), "user_id", "e", START, MOVES)
+    sums = out.select(F.posexplode("xi").alias("pos", "v")).groupBy("pos").agg(F.sum("v").alias("v"))
+    by = Window.partitionBy(F.floor(F.col("pos") / 3))
+    return sums.select(F.floor(F.col("pos") / 3).cast("int").alias("i"), (F.col("pos") % 3).alias("j"), F.round(F.try_divide("v", F.sum("v").over(by)), 6).alias("p"))
+
+
+def _word_models() -> list[hmm.WordModel]:
+    def state(m):
+        return cluster.Mixture(np.ones(1), np.array([[m]]), np.array([[[400.0]]]))
+
+    return [hmm.WordModel("low", ["l", "o"], [state(20.0), state(40.0)]), hmm.WordModel("high", ["h", "i"], [state(90.0), state(60.0)])]
+
+
+def decoded(spark, sf_dir, n):
+    s = signal.series(table(spark, sf_dir, "events"), "user_id", "value", "ts", "event_id")
+    rows = s.select(F.col("user_id").cast("string").alias("utt"), F.posexplode("samples").alias("frame_no", "v")).select("utt", "frame_no", F.array("v").alias("features"))
+    return decode.recognise(rows, decode.Decoder(_word_models(), np.array([[0.5, 1.0], [1.2, 0.4]])), n)
+
+
+def nbest_costs(spark, sf_dir):
+    return decoded(spark, sf_dir, 3).select("utt", "rank", F.round("cost", 4).alias("cost"), F.size("words").alias("words"))
+
+
+def rescore_best(spark, sf_dir):
+    corpus = spark.createDataFrame([("low low high low high high low",)], ["text"])
+    model = lm.train("laplace", text.sequences(corpus), 3)
+    return decode.rescore(decoded(spark, sf_dir, 3), model).select("utt", "rank", F.round("second_cost", 4).alias("second_cost"), "best")
+
+
+QUERIES = {
+    "tokenize_counts": tokenize_counts,
+    "vocabulary": lambda s, d: text.vocabulary(train_seqs(s, d), 2),
+    "ngram_counts_1": counted(1, 1), "ngram_counts_2": counted(2, 2), "ngram_counts_3": counted(3, 3), "ngram_prefix_rollup": counted(3),
+    "count_of_counts": lambda s, d: text.count_of_counts(text.gram_counts(train_seqs(s, d), 3)),
+    "ngram_totals": lambda s, d: text.gram_totals(text.gram_counts(train_seqs(s, d), 3)),
+    "unknown_words": unknown_words,
+    "lm_mle": probs("mle", 2), "lm_laplace": probs("laplace", 2), "lm_additive5": probs("additive", 2),
+    "lm_good_turing_fit": good_turing_fit, "lm_good_turing_probs": probs("good_turing", 2),
+    "katz_discounts": lambda s, d: katz_model(s, d, 3).discounts.withColumn("d", F.round("d", 6)),
+    "katz_probs_2": katz_probs(2), "katz_probs_3": katz_probs(3), "katz_backoff_2": katz_backoffs(2), "katz_backoff_3": katz_backoffs(3),
+    "perplexity_by_lang_mle": perplexity("mle", 2), "perplexity_by_lang_laplace": perplexity("laplace", 2), "perplexity_by_lang_additive": perplexity("additive", 2),
+    "perplexity_by_lang_good_turing": perplexity("good_turing", 2), "perplexity_by_lang_katz": perplexity("katz", 2), "perplexity_by_lang_katz_3": perplexity("katz", 3),
+    "ngram_oov_rate_1": oov(1), "ngram_oov_rate_2": oov(2), "ngram_oov_rate_3": oov(3), "token_oov_rate": token_oov,
+    "arpa_lines": arpa_lines, "wer_pairs": wer_pairs, "phrase_search": phrase_search,
+    "pre_emphasis": pre_emphasis, "frame_count": frame_count,
+    "hamming_frames": lambda s, d: positions(framed(s, d), "frame"), "power_spectrum": lambda s, d: positions(spectra(s, d), "power"),
+    "log_mel": lambda s, d: positions(mels(s, d), "mel"),
+    "mfcc": lambda s, d: positions(mels(s, d).withColumn("c", signal.dct(F.col("mel"), BANKS, COEFFICIENTS)), "c"), "mfcc_numpy": mfcc_numpy,
+    "kmeans_assign": kmeans_assign, "kmeans_sse": kmeans_sse, "kmeans_lloyd": kmeans_lloyd, "kmeans_full": kmeans_full,
+    "cluster_covariance": cluster_covariance, "gmm_em": gmm_em,
+    "hmm_forward": hmm_forward, "viterbi_cost": viterbi_cost, "hmm_occupancy": hmm_occupancy, "baum_welch_step": baum_welch_step,
+    "nbest_costs": nbest_costs, "rescore_best": rescore_best,
+}
+
+_FRAMES = (LENGTH, STEP)
+_NEAR = """pts AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE embedding IS NOT NULL),
+cs AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS k, x AS c FROM (SELECT * FROM pts ORDER BY vec_id LIMIT 4)),
+far AS (SELECT vec_id, x, k, list_sum(list_transform(range(1, len(x) + 1), lambda i: pow(x[i] - c[i], 2))) AS d2 FROM pts CROSS JOIN cs),
+near AS (SELECT vec_id, any_value(x) AS x, arg_min(k, (round(d2, 12), k)) AS k, min(d2) AS d2 FROM far GROUP BY vec_id)"""
+_HMM = f"""obs AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS t,
+  list_position({EVENT_TYPES!r}, event_type) AS o FROM events WHERE event_type IN ({', '.join(map(repr, EVENT_TYPES))})),
+em(j, o, e) AS (VALUES {sql.values([(j, o + 1, float(EMIT[j, o])) for j in range(3) for o in range(5)])}),
+tr(i, j, a) AS (VALUES {sql.values([(i, j, float(MOVES[i, j])) for i in range(3) for j in range(3)])}),
+st(j, a) AS (VALUES {sql.values([(j, float(START[j])) for j in range(3)])})"""
+_FIRST = "SELECT user_id, t, em.j AS j, st.a + e AS c FROM obs JOIN em USING (o) JOIN st ON st.j = em.j WHERE t = 1"
+_STEP = "FROM r JOIN tr ON tr.i = r.j JOIN obs ON obs.user_id = r.user_id AND obs.t = r.t + 1 JOIN em ON em.o = obs.o AND em.j = tr.j"
+_LAST = "JOIN (SELECT user_id, max(t) AS t FROM obs GROUP BY user_id) USING (user_id, t)"
+
+SQL = {
+    "tokenize_counts": f"WITH {sql.seqs()} SELECT model, token, count(*) AS cnt FROM (SELECT model, unnest(toks) AS token FROM seq) GROUP BY ALL",
+    "vocabulary": f"WITH {sql.seqs()}, {sql.vocab(2)} SELECT model, token FROM voc",
+    "count_of_counts": f"WITH {sql.seqs()}, {sql.pads(3)}, {sql.counts(3)} SELECT model, ord, cnt AS r, count(*) AS n_r FROM cnts GROUP BY ALL",
+    "ngram_totals": f"WITH {sql.seqs()}, {sql.pads(3)}, {sql.counts(3)} SELECT model, ord, count(*) AS distinct_grams, CAST(sum(cnt) AS BIGINT) AS total_grams FROM cnts GROUP BY ALL",
+    "ngram_prefix_rollup": f"WITH {sql.seqs()}, {sql.pads(3)}, {sql.counts(3)} SELECT model, ord, array_to_string(gram, ' ') AS gram, cnt FROM cnts",
+    "unknown_words": f"""WITH {sql.seqs()}, {sql.vocab(1)}, b AS (SELECT item_id, {sql.TOKENS} AS toks FROM benchmark),
+w AS (SELECT m.model, item_id, unnest(toks) AS token, generate_subscripts(toks, 1) AS i FROM b CROSS JOIN (SELECT DISTINCT model FROM seq) m)
+SELECT w.model, item_id, string_agg(CASE WHEN v.token IS NULL THEN '<unk>' ELSE w.token END, ' ' ORDER BY i) AS words FROM w LEFT JOIN voc v ON v.model = w.model AND v.token = w.token GROUP BY w.model, item_id""",
+    "lm_mle": sql.additive_probs(2, 0), "lm_laplace": sql.additive_probs(2, 1), "lm_additive5": sql.additive_probs(2, 5),
+    "lm_good_turing_fit": sql.good_turing_fit(2), "lm_good_turing_probs": sql.good_turing_probs(2),
+    "katz_discounts": sql.katz_discounts(3), "katz_probs_2": sql.katz_probs(2), "katz_probs_3": sql.katz_probs(3),
+    "katz_backoff_2": sql.katz_backoffs(2), "katz_backoff_3": sql.katz_backoffs(3),
+    "perplexity_by_lang_mle": sql.perplexity_additive(2, 0), "perplexity_by_lang_laplace": sql.perplexity_additive(2, 1), "perplexity_by_lang_additive": sql.perplexity_additive(2, 5),
+    "perplexity_by_lang_good_turing": sql.perplexity_good_turing(2), "perplexity_by_lang_katz": sql.perplexity_katz(2), "perplexity_by_lang_katz_3": sql.perplexity_katz(3),
+    "ngram_oov_rate_1": sql.oov_rate(1), "ngram_oov_rate_2": sql.oov_rate(2), "ngram_oov_rate_3": sql.oov_rate(3),
+    "token_oov_rate": f"""WITH {sql.seqs()}, {sql.vocab(2)}, tw AS (SELECT m.model, unnest({sql.TOKENS}) AS token FROM benchmark CROSS JOIN (SELECT DISTINCT model FROM seq) m)
+SELECT tw.model, CAST(count(*) FILTER (WHERE v.token IS NULL) AS BIGINT) AS unseen, count(*) AS total_tokens, round(100 * count(*) FILTER (WHERE v.token IS NULL) / count(*)::DOUBLE, 6) AS rate
+FROM tw LEFT JOIN voc v ON v.model = tw.model AND v.token = tw.token GROUP BY tw.model""",
+    "phrase_search": f"SELECT lang, source, count(*) AS docs, CAST(count(*) FILTER (WHERE contains(lower(text), '{PHRASE}')) AS BIGINT) AS hits FROM documents GROUP BY ALL",
+    "pre_emphasis": f"WITH {sql.SAMPLES}, {sql.EMPHASIS} SELECT user_id, CAST(i - 1 AS INT) AS pos, round(v, 6) + 0.0 AS v FROM (SELECT user_id, unnest(s) AS v, generate_subscripts(s, 1) AS i FROM emp)",
+    "frame_count": f"WITH {sql.frames(*_FRAMES)} SELECT user_id, count(*) AS frames FROM fr GROUP BY user_id",
+    "hamming_frames": sql.positions(sql.frames(*_FRAMES), "fr", "frame"),
+    "power_spectrum": sql.positions(sql.spectrum(*_FRAMES, SIZE), "ps", "power"),
+    "log_mel": sql.positions(sql.mel(*_FRAMES, SIZE, BANK), "lm", "mel"),
+    "mfcc": sql.positions(sql.cepstra(*_FRAMES, SIZE, BANK, DCT), "cc", "c"),
+    "mfcc_numpy": sql.positions(sql.cepstra(*_FRAMES, SIZE, BANK, DCT), "cc", "c"),
+    "kmeans_assign": f"WITH {_NEAR} SELECT vec_id, k, round(d2, 6) AS d2 FROM near",
+    "kmeans_sse": f"WITH {_NEAR} SELECT k, count(*) AS size, round(sum(d2), 6) AS sse FROM near GROUP BY k",
+    "kmeans_lloyd": f"WITH {_NEAR} SELECT cs.k, CAST(i - 1 AS INT) AS pos, round(coalesce(avg(x[i]), 0), 6) + 0.0 AS v FROM cs LEFT JOIN near ON near.k = cs.k CROSS JOIN (SELECT unnest(range(1, (SELECT max(len(x)) FROM pts) + 1)) AS i) GROUP BY cs.k, i",
+    "cluster_covariance": f"WITH {_NEAR} SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, round(covar_pop(x[i + 1], x[j + 1]), 6) + 0.0 AS cov FROM pts CROSS JOIN range(0, 4) a(i) CROSS JOIN range(0, 4) b(j) GROUP BY a.i, b.j",
+    "hmm_forward": f"""WITH RECURSIVE {_HMM}, r AS ({_FIRST} UNION ALL
+SELECT user_id, t, j, any_value(mn) - ln(sum(exp(mn - x))) + any_value(e) AS c FROM (
+  SELECT r.user_id, r.t + 1 AS t, tr.j, r.c + tr.a AS x, e, min(r.c + tr.a) OVER (PARTITION BY r.user_id, r.t, tr.j) AS mn {_STEP}) GROUP BY user_id, t, j)
+SELECT user_id, round(any_value(mn) - ln(sum(exp(mn - c))), 4) AS nlp FROM (SELECT user_id, c, min(c) OVER (PARTITION BY user_id) AS mn FROM r {_LAST}) GROUP BY user_id""",
+    "viterbi_cost": f"""WITH RECURSIVE {_HMM}, r AS ({_FIRST} UNION ALL
+SELECT r.user_id, r.t + 1 AS t, tr.j, min(r.c + tr.a) + any_value(e) AS c {_STEP} GROUP BY r.user_id, r.t, tr.j)
+SELECT user_id, round(min(c), 4) AS cost FROM r {_LAST} GROUP BY user_id""",
+}
+for _n in (1, 2, 3):
+    SQL[f"ngram_counts_{_n}"] = f"WITH {sql.seqs()}, {sql.pads(_n)}, {sql.counts(_n)} SELECT model, ord, array_to_string(gram, ' ') AS gram, cnt FROM cnts WHERE ord = {_n}"
