@@ -252,8 +252,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     once = buckets.groupBy("m", "who", "too", "low").agg(F.min("bucket").alias("bucket")).select("bucket", "m")
     members = scratch.save(met.join(once, "bucket"), "members")
     scratch.drop("met")
-    # one text of each representative: rows that share an id but not their words may hold others
-    texts = plain.where("id is not null").join(members.select("id").distinct(), "id")
+    # one text of each representative: rows that share an id but not their words may hold others. The ids
+    # grow with the input, so they are merged at every size and never broadcast.
+    texts = plain.where("id is not null").join(members.select("id").distinct().hint("merge"), "id")
     items = _items(texts).groupBy("id").agg(F.max("items").alias("items"))
     groups = max(1, -(-members.count() // GROUP))
     blocks = F.ceil(F.col("m") / block).cast("int")
@@ -266,7 +267,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "bucket", "block", "id",
         )
     )
-    links = scratch.save(_links(dealt.join(items, "id"), least), "links")
+    links = scratch.save(_links(dealt.join(items.hint("merge"), "id"), least), "links")
     representatives = signed.where("n > 0 and id is not null").groupBy("a", "b").agg(F.min("id").alias("rep"))
     tied = real.select("id", "a", "b").join(representatives, ["a", "b"]).where("id != rep").select(F.col("id").alias("x"), F.col("rep").alias("y"))
     of = components(links.unionByName(tied) if _shared_ids(signed) else links, scratch, "near-")
