@@ -30,7 +30,7 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
 
 
 def r6(c: Column) -> Column:
-    return F.when(c == float("inf"), c).otherwise(F.round(c, 6))
+    return F.when(c == float("inf"), c).otherwise(F.round(c, 6) + 0.0)
 
 
 def joined(gram: str = "gram") -> Column:

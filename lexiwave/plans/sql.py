@@ -46,7 +46,7 @@ def neglog(p: str) -> str:
 
 
 def r6(x: str) -> str:
-    return f"(CASE WHEN isinf({x}) THEN {x} ELSE round({x}, 6) END)"
+    return f"(CASE WHEN isinf({x}) THEN {x} ELSE round({x}, 6) + 0.0 END)"
 
 
 def model_base(n: int) -> str:

@@ -31,6 +31,8 @@ def parse_wav(data: bytes, channel: int = 1, compat: bool = False) -> tuple[int,
         while at + 8 <= len(data) and body is None:
             name, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
             if name == b"fmt ":
+                if len(data) < at + 24:
+                    break
                 channels, rate, bits = struct.unpack_from("<HI6xH", data, at + 10)
             elif name == b"data":
                 body = data[at + 8 : at + 8 + size]
