@@ -184,10 +184,7 @@ def op8_mix_sources(spark, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated by their copies; those with none go. Columns stay as they were."""
-    mixed = mix_sources(docs).where("copies > 0").select("id", F.col("source").alias("mix_source"), F.col("size").alias("mix_size"), "copies").distinct()
-    keyed = docs.withColumn("mix_words", word_count(F.col("text")))
-    return (
-        keyed.join(mixed, keyed["doc_id"].eqNullSafe(mixed["id"]) & keyed["source"].eqNullSafe(mixed["mix_source"]) & (F.col("mix_words") == F.col("mix_size")))
-        .withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-        .select(*docs.columns)
-    )
+    mixed = mix_sources(docs).where("copies > 0").select(*[F.col(c).alias(f"mx_{c}") for c in ("id", "source", "size", "copies")]).distinct()
+    keyed = docs.withColumn("mx_words", word_count(F.col("text")))
+    same = keyed["doc_id"].eqNullSafe(mixed["mx_id"]) & keyed["source"].eqNullSafe(mixed["mx_source"]) & (F.col("mx_words") == F.col("mx_size"))
+    return keyed.join(mixed, same).withColumn("mx_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mx_copies")))).select(*docs.columns)
