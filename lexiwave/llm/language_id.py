@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from lexiwave.functions.shipping import ship
 from lexiwave.llm.bytewords import chunks, text_buffers
+from lexiwave.llm.sampling import smallest_hashes
 
 HIDDEN = 8
 WINDOW = 128
@@ -238,8 +239,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     t, key = F.col(text_col), F.col(id_col)
     start = lambda i: F.pmod(F.xxhash64(key, i), F.greatest(F.char_length(t) - SAMPLE_CHARS, F.lit(1)).cast("long")).cast("int") + 1
     sample = (
-        docs.where(~held_out(key) & F.col(lang_col).isNotNull() & (F.char_length(t) > 0))
-        .orderBy(F.xxhash64(key), key).limit(rows)
+        smallest_hashes(docs.where(~held_out(key) & F.col(lang_col).isNotNull()), id_col, rows).where(F.char_length(t) > 0)
         .select(F.col(lang_col).cast("string").alias("lang"), F.transform(F.sequence(F.lit(1), F.lit(SAMPLE_WINDOWS)), lambda i: F.substring(t, start(i), SAMPLE_CHARS)).alias("windows"))
         .collect()
     )
