@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from lexiwave.functions.shipping import ship
 from lexiwave.llm.components import components, smallest
+from lexiwave.llm.sampling import smallest_hashes
 from lexiwave.llm.scratch import Scratch
 
 COSINE = 0.98
@@ -132,7 +133,7 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     radius = float(np.sqrt(max(0.0, 2 - 2 * least)))
     quantisers = {}
     for d, n in most.items():
-        some = classes.where(F.col("d") == d).orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("v").collect()
+        some = smallest_hashes(classes.where(F.col("d") == d), "k", SAMPLE).select("v").collect()
         sample = np.array([r.v for r in some])
         sample /= np.abs(sample).max(1, keepdims=True)
         sample /= np.linalg.norm(sample, axis=1, keepdims=True)

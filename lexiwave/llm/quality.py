@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiwave.functions.shipping import ship
-from lexiwave.llm.bytewords import RangeHash, Words, _BYTE_VALUE, chunks, text_buffers
+from lexiwave.llm.bytewords import _BYTE_VALUE, RangeHash, Words, chunks, text_buffers
+from lexiwave.llm.sampling import smallest_hashes
 
 LEAST_WORDS, MOST_REPEATED = 50, 50
 LEAST_CONTENT = 0.5
@@ -237,7 +238,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> Line
     marked = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     ids = None
     for q in (0, 1):
-        some = marked.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+        some = smallest_hashes(marked.where(F.col("quality") == q), "doc_id", sample)
         ids = some if ids is None else ids.unionByName(some)
     # at most 2 * sample ids go to every executor
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").where(F.col("text").isNotNull()).groupBy("doc_id", "quality").agg(
