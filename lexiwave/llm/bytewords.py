@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: bytes of text worked on at once; a longer single text is worked on alone
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
