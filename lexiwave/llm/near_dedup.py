@@ -39,7 +39,7 @@ BANDS, ROWS = 30, 5
 COORDINATES = BANDS * ROWS
 DARTS = COORDINATES * (np.log(COORDINATES) + 4)
 #: members of a bucket, or of a block of a larger one, compared in one task; rows of small buckets in one task
-BLOCK, GROUP = 1024, 16_384
+BLOCK, GROUP = 1024, 4_096
 
 _SALTS = mix(np.arange(101, 109, dtype=np.uint64))
 _SHINGLE_BASE = 0xD1342543DE82EF95
