@@ -281,7 +281,7 @@ QUERIES = {
 
 _FRAMES = (LENGTH, STEP)
 _NEAR = """pts AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE embedding IS NOT NULL),
-cs AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS k, x AS c FROM (SELECT * FROM pts ORDER BY vec_id LIMIT 4)),
+cs AS (SELECT CAST(row_number() OVER (ORDER BY vec_id) - 1 AS INT) AS k, x AS c FROM (SELECT * FROM pts ORDER BY vec_id LIMIT 4)),
 far AS (SELECT vec_id, x, k, list_sum(list_transform(range(1, len(x) + 1), lambda i: pow(x[i] - c[i], 2))) AS d2 FROM pts CROSS JOIN cs),
 near AS (SELECT vec_id, any_value(x) AS x, arg_min(k, (round(d2, 12), k)) AS k, min(d2) AS d2 FROM far GROUP BY vec_id)"""
 _HMM = f"""obs AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS t,

@@ -205,7 +205,7 @@ def cepstra(length: int, step: int, size: int, bank, matrix) -> str:
 
 
 def positions(ctes: str, table: str, column: str) -> str:
-    return f"WITH {ctes} SELECT user_id, frame_no, i - 1 AS pos, round(v, 6) + 0.0 AS v FROM (SELECT user_id, frame_no, unnest({column}) AS v, generate_subscripts({column}, 1) AS i FROM {table})"
+    return f"WITH {ctes} SELECT user_id, CAST(frame_no AS INT) AS frame_no, CAST(i - 1 AS INT) AS pos, round(v, 6) + 0.0 AS v FROM (SELECT user_id, frame_no, unnest({column}) AS v, generate_subscripts({column}, 1) AS i FROM {table})"
 
 
 def values(rows) -> str:
