@@ -1,10 +1,12 @@
 """Licence scans: normalised text compared with licence templates by the Dice coefficient of word bigrams.
 
-A text is compared whole, by paragraph (between blank lines) and by line. Normalising puts ASCII letters in
-lower case and everything but letters, digits and non-ASCII bytes aside. Dice is 2 |A n B| / (|A| + |B|) of
-the sets of bigrams A and B, so a template can only reach ``least`` if its size is between |A| f and |A| / f
-with f = least / (2 - least), and a unit only if the share f of its bigrams stands in some template: units
-and templates outside these bounds are never compared.
+A text is searched for the run of words, anywhere in it and across lines and paragraphs, that is most like a
+template. Normalising puts ASCII letters in lower case and everything but letters, digits and non-ASCII bytes
+aside. Dice is 2 |A n B| / (|A| + |B|) of the sets of bigrams A and B, so a run can only reach ``least`` with
+a template of m bigrams if it holds at most m / f different ones and f m of the template's, with
+f = least / (2 - least), and no stretch of too many foreign ones. A best run begins and ends with a bigram of
+the template. Texts, and stretches of a text, outside these bounds are never compared; the rest are searched
+whole, so no run that reaches ``least`` is missed.
 """
 
 from __future__ import annotations
@@ -56,7 +58,7 @@ TEMPLATES = {
 
 _BASE = 0xB5297A4D3F84D5B5
 _NORMAL = np.full(256, 32, np.uint8)
-for _b in [*range(48, 58), *range(97, 123), *range(128, 256), 10]:
+for _b in [*range(48, 58), *range(97, 123), *range(128, 256)]:
     _NORMAL[_b] = _b
 _NORMAL[65:91] = np.arange(97, 123)
 
@@ -84,45 +86,72 @@ class Matcher:
                 if grams:
                     self.templates.append((name, grams))
         self._all = np.unique(np.array([g for _, grams in self.templates for g in grams], np.uint64))
-        self._fewest = min((len(g) for _, g in self.templates), default=1)
+        self._holds = [np.isin(self._all, np.array(list(grams), np.uint64)) for _, grams in self.templates]
 
     def best(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[float, str | None]]:
-        """(largest Dice, its template) by text; ties go to the first name. (0, None) below ``least``."""
+        """(largest Dice of a run of words, its template) by text; ties go to the first name. (0, None) below ``least``."""
         out: list[tuple[float, str | None]] = [(0.0, None)] * (len(offsets) - 1)
-        data = _NORMAL[data]
-        words = Words(data, offsets)
+        words = Words(_NORMAL[data], offsets)
         if len(words.start) < 2 or not len(self._all):
             return out
         grams = _bigrams(words)
         place = np.minimum(np.searchsorted(self._all, grams), len(self._all) - 1)
-        known = self._all[place] == grams
-        breaks = np.concatenate([[0], np.cumsum(data == 10)])
-        # a paragraph break is a line break with no word since the one before
-        line = breaks[words.start] + words.doc
-        gap = np.zeros(len(line), np.int64)
-        gap[1:] = (np.diff(line) > 1) | (np.diff(words.doc) > 0)
-        for unit in (words.doc, np.cumsum(gap), line):
-            joined = np.append(unit[1:] == unit[:-1], False) & np.append(words.doc[1:] == words.doc[:-1], False)
-            begins = np.flatnonzero(np.append(True, (unit[1:] != unit[:-1]) | (words.doc[1:] != words.doc[:-1])))
-            hits = np.add.reduceat((known & joined).astype(np.int64), begins)
-            # at least this many bigrams are shared with the smallest template
-            few = int(np.ceil(self.least * (1 + self.share) * self._fewest / 2 - 1e-9))
-            ends = np.append(begins[1:], len(unit))
-            for u in np.flatnonzero(hits >= max(1, few)).tolist():
-                own = np.unique(grams[begins[u] : ends[u] - 1])
-                at = np.minimum(np.searchsorted(self._all, own), len(self._all) - 1)
-                shared = int((self._all[at] == own).sum())
-                if shared < self.share * len(own) - 1e-9:
-                    continue
-                mine, text = set(own.tolist()), int(words.doc[begins[u]])
-                for name, other in self.templates:
-                    if not self.share * len(mine) - 1e-9 <= len(other) <= len(mine) / self.share + 1e-9:
-                        continue
-                    dice = 2 * len(mine & other) / (len(mine) + len(other))
-                    if dice >= self.least and (-dice, name) < (-out[text][0], out[text][1] or "~"):
-                        out[text] = (dice, name)
+        joined = np.append(words.doc[1:] == words.doc[:-1], False)
+        known = np.flatnonzero((self._all[place] == grams) & joined)
+        for (name, other), holds in zip(self.templates, self._holds):
+            hits = known[holds[place[known]]]
+            need = max(1, int(np.ceil(self.share * len(other) - 1e-9)))
+            counts = np.bincount(words.doc[hits], minlength=len(out))
+            ends = np.cumsum(counts)
+            for text in np.flatnonzero(counts >= need).tolist():
+                mine = hits[ends[text] - counts[text] : ends[text]]
+                dice = self._run(grams, mine, other, need)
+                if dice >= self.least and (-dice, name) < (-out[text][0], out[text][1] or "~"):
+                    out[text] = (dice, name)
         return out
 
+    def _run(self, grams: np.ndarray, hits: np.ndarray, other: set[int], need: int) -> float:
+        """Largest Dice of a run with a template that has its bigrams at ``hits``; 0 if none reaches ``least``."""
+        if len(np.unique(grams[hits])) < need:
+            return 0.0
+        size, best = len(other), 0.0
+        most = int(size / self.share + 1e-9)
+        foreign = int(size * ((1 - self.least / 2) / self.share - self.least / 2) + 1e-9)
+        cuts = [g + 1 for g in np.flatnonzero(np.diff(hits) > foreign + 1).tolist() if len(np.unique(grams[hits[g] + 1 : hits[g + 1]])) > foreign]
+        for a, b in zip([0, *cuts], [*cuts, len(hits)]):
+            if b - a >= need and len(np.unique(grams[hits[a:b]])) >= need:
+                best = max(best, self._slide(grams[hits[a] : hits[b - 1] + 1].tolist(), other, most, need))
+        return best
+
+    def _slide(self, grams: list[int], other: set[int], most: int, need: int) -> float:
+        """Largest Dice of the runs in ``grams``; 0 if none reaches ``least``.
+
+        From the last start to the first, ``recent`` holds the ``most`` different bigrams that a run from
+        there meets first, the first met last: its ends are all the sets of bigrams that matter.
+        """
+        recent: list[int] = []
+        held: set[int] = set()
+        shared, best = 0, 0.0
+        for g in reversed(grams):
+            if g in held:
+                recent.remove(g)
+            else:
+                if len(recent) == most:
+                    gone = recent.pop(0)
+                    held.discard(gone)
+                    shared -= gone in other
+                held.add(g)
+                shared += g in other
+            recent.append(g)
+            if g in other and shared >= need and 2 * shared / (shared + len(other)) > best:
+                common = np.cumsum([x in other for x in reversed(recent)])
+                dice = float((2 * common / (np.arange(1, len(recent) + 1) + len(other))).max())
+                if dice >= self.least:
+                    best = max(best, dice)
+                if best == 1:
+                    break
+        return best
+
 
 def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, tuple[str, ...]] | None = None, least: float = LEAST) -> DataFrame:
     """One row per input row: id, licence (null if none) and dice (0 if none).

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from lexiwave.llm import bpe, licences, line_dedup, quality, secrets
 from lexiwave.llm.bytewords import text_buffers
 
-from .helpers import documents, words
+from .helpers import documents, prose, words
 
 
 def empty(df):
@@ -80,6 +80,33 @@ def test_licences(spark):
     assert licences.scan_licences(docs, templates={}).where("licence is not null").count() == 0
 
 
+def test_licences_across_paragraphs_and_neighbours(spark):
+    apache, gpl, bsd = licences.TEMPLATES["Apache-2.0"][1], licences.TEMPLATES["GPL-3.0"][1], licences.TEMPLATES["BSD-2-Clause"][1]
+    apache = apache.replace("License. You may", "License.\n\n  You may").replace("Unless required", "\n\nUnless required")
+    gpl = gpl.replace("version. This", "version.\n\nThis").replace("details. You", "details.\n\nYou")
+    bsd = bsd.replace("met: 1.", "met:\n\n1.").replace("disclaimer. 2.", "disclaimer.\n\n2.")
+    texts = [prose(9, 900) + "\n\n" + x + "\n\n" + prose(10, 900) for x in (apache, gpl, bsd)]
+    texts += ["This project is released under the MIT License. " + prose(11, 40), "released under the moon, by the MIT of a License"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = licences.scan_licences(docs).orderBy("id").collect()
+    assert [(r.licence, r.dice) for r in got] == [("Apache-2.0", 1.0), ("GPL-3.0", 1.0), ("BSD-2-Clause", 1.0), ("MIT", 1.0), (None, 0.0)]
+
+
+def test_licence_runs_are_the_best_of_all():
+    rng, some = random.Random(6), {"A": ("a b c d e f g",), "B": ("c d c e a", "b b a")}
+    matcher = licences.Matcher(some, 0.6)
+    texts = ["".join(rng.choice("abcdefgxy") + rng.choice([" ", " ", "\n\n", ". "]) for _ in range(rng.randint(0, 30))) for _ in range(600)]
+    pairs = lambda w: set(zip(w, w[1:]))
+    for t, (dice, name) in zip(texts, matcher.best(*text_buffers(pa.array(texts)))):
+        w, expect = t.replace(".", " ").split(), (0.0, None)
+        for n, wordings in some.items():
+            for other in (pairs(x.split()) for x in wordings):
+                for own in (pairs(w[i:j]) for i in range(len(w)) for j in range(i + 2, len(w) + 1)):
+                    d = 2 * len(own & other) / (len(own) + len(other))
+                    expect = max(expect, (d, n), key=lambda e: e[0]) if d >= 0.6 else expect
+        assert (dice, name) == expect
+
+
 # op6
 
 PATTERNS = [(re.compile(secrets.ASSIGN[4:], re.I | re.A), 2, 6), (re.compile(secrets.ACCESS), 0, 20), (re.compile(secrets.HEX), 0, 24)]
