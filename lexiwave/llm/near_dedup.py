@@ -157,23 +157,27 @@ def _sign(docs: DataFrame) -> DataFrame:
 
 
 def _items(docs: DataFrame) -> DataFrame:
-    """(id, n, items) of (id, text): sorted 64-bit hashes of elements, one for each unit of weight."""
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("items", pa.binary())])
+    """(id, items) of (id, a, b, text): sorted 64-bit hashes of elements, one for each unit of weight.
+
+    Rows whose text has other word hashes than a and b are left out.
+    """
+    schema = pa.schema([("id", pa.int64()), ("items", pa.binary())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text"):
-                text, element, weight, _, _ = shingle_sets(*text_buffers(part.column(1)))
+                text, element, weight, a, b = shingle_sets(*text_buffers(part.column(3)))
+                same = (a.view(np.int64) == np.asarray(part.column(1))) & (b.view(np.int64) == np.asarray(part.column(2)))
                 units = mix(np.repeat(element, weight) + ranges(np.zeros(len(weight), np.int64), weight).astype(np.uint64) * _SALTS[7])
                 owner = np.repeat(text, weight)
                 order = np.lexsort((units, owner))
                 units, n = units[order], np.bincount(owner, minlength=part.num_rows)
                 ends = np.cumsum(n)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n, pa.int64()), pa.array([units[e - k : e].tobytes() for e, k in zip(ends, n)], pa.binary())], schema=schema,
+                    [part.column(0).filter(pa.array(same)), pa.array([units[e - k : e].tobytes() for e, k in zip(ends[same], n[same])], pa.binary())], schema=schema,
                 )
 
-    return docs.mapInArrow(work, "id long, n long, items binary")
+    return docs.mapInArrow(work, "id long, items binary")
 
 
 def linked_pairs(sizes: np.ndarray, units: np.ndarray, least: float, split: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -232,29 +236,26 @@ def _links(members: DataFrame, least: float) -> DataFrame:
     return members.groupBy("task", "p", "q").applyInArrow(work, "x long, y long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
-    """(id, class_id, kept) of every row: its class's smallest id, and whether it is that one.
+def _search(docs: DataFrame, id_col: str, text_col: str, least: float, block: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (id, a, b, n, bands), different texts (t, a, b, low) of rows with an id and a word, and links (x, y) of texts.
 
-    Classes are the components of documents linked by a similarity of ``least`` or more. Words are runs
-    of characters other than space and U+0009 to U+000D, unchanged. Null texts and texts without a word
-    link with nothing. Rows that share an id are one document and so in one class. Rows with a null id
-    are kept with a null class. An empty table gives an empty result; other columns are ignored.
+    A text is known by its word hashes a and b or its number t, so rows that share an id do not mix their texts;
+    ``low`` is its smallest id.
     """
-    ship(docs.sparkSession)
-    scratch = Scratch(docs.sparkSession, "near_dedup")
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     signed = scratch.save(_sign(plain), "signed")
-    real = signed.where("n > 0 and id is not null")
-    classes = real.groupBy("a", "b").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"))
-    met = scratch.save(classes.select(F.col("rep").alias("id"), F.explode("bands").alias("bucket")), "met")
+    classes = signed.where("n > 0 and id is not null").groupBy("a", "b").agg(F.min("id").alias("low"), F.first("bands").alias("bands"))
+    classes = scratch.save(classes.withColumn("t", F.monotonically_increasing_id()), "texts")
+    met = scratch.save(classes.select(F.col("t").alias("id"), F.explode("bands").alias("bucket")), "met")
     part = lambda seed: F.sum(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 31)))
     buckets = met.groupBy("bucket").agg(F.count("*").alias("m"), part(1).alias("who"), part(2).alias("too"), F.min("id").alias("low")).where("m > 1")
     once = buckets.groupBy("m", "who", "too", "low").agg(F.min("bucket").alias("bucket")).select("bucket", "m")
     members = scratch.save(met.join(once, "bucket"), "members")
     scratch.drop("met")
-    # one text of each representative: rows that share an id but not their words may hold others. The ids
-    # grow with the input, so they are merged at every size and never broadcast.
-    texts = plain.where("id is not null").join(members.select("id").distinct().hint("merge"), "id")
+    # the words of each text, from any row with its smallest id that holds them. The ids grow with the
+    # input, so they are merged at every size and never broadcast.
+    wanted = classes.select("t", "a", "b", "low").join(members.select(F.col("id").alias("t")).distinct().hint("merge"), "t")
+    texts = plain.join(wanted.hint("merge"), F.col("id") == F.col("low")).select("t", "a", "b", "text")
     items = _items(texts).groupBy("id").agg(F.max("items").alias("items"))
     groups = max(1, -(-members.count() // GROUP))
     blocks = F.ceil(F.col("m") / block).cast("int")
@@ -268,21 +269,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         )
     )
     links = scratch.save(_links(dealt.join(items.hint("merge"), "id"), least), "links")
-    representatives = signed.where("n > 0 and id is not null").groupBy("a", "b").agg(F.min("id").alias("rep"))
-    tied = real.select("id", "a", "b").join(representatives, ["a", "b"]).where("id != rep").select(F.col("id").alias("x"), F.col("rep").alias("y"))
-    of = components(links.unionByName(tied) if _shared_ids(signed) else links, scratch, "near-")
+    return signed, classes.select("t", "a", "b", "low"), links
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """(id, class_id, kept) of every row: its class's smallest id, and whether it is that one.
+
+    Classes are the components of documents linked by a similarity of ``least`` or more. Words are runs
+    of characters other than space and U+0009 to U+000D, unchanged. Null texts and texts without a word
+    link with nothing. Rows that share an id are one document and so in one class, linked by any of its
+    texts. Rows with a null id are kept with a null class and link nothing. An empty table gives an empty
+    result; other columns are ignored.
+    """
+    ship(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession, "near_dedup")
+    signed, texts, links = _search(docs, id_col, text_col, least, block, scratch)
+    shared = _shared_ids(signed)
+    if shared:
+        own = signed.where("n > 0 and id is not null").join(texts, ["a", "b"]).select("id", "t").distinct()
+        links = links.unionByName(own.join(own.groupBy("id").agg(F.min("t").alias("y")), "id").where("t != y").select(F.col("t").alias("x"), "y"))
+    of = components(links, scratch, "near-").withColumnRenamed("node", "t")
+    lowest = of.join(texts.select("t", "low"), "t").groupBy("component").agg(F.min("low").alias("lowest"))
+    classes = texts.join(of.join(lowest, "component").select("t", "lowest"), "t", "left").select("a", "b", F.coalesce("lowest", "low").alias("class"))
     named = (
-        signed.select("id", "a", "b", "n").join(representatives, ["a", "b"], "left")
-        .withColumn("rep", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("rep")).otherwise(F.col("id")))
-        .join(of.withColumnRenamed("node", "rep"), "rep", "left")
-        .withColumn("class_id", F.coalesce("component", "rep"))
+        signed.select("id", "a", "b", "n").join(classes, ["a", "b"], "left")
+        .withColumn("class_id", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("class")).otherwise(F.col("id")))
     )
+    if shared:  # a row without a word goes with the other rows of its id
+        worded = named.where("n > 0 and id is not null").groupBy("id").agg(F.min("class_id").alias("worded"))
+        named = named.join(worded, "id", "left").withColumn("class_id", F.coalesce("worded", "class_id"))
     return named.select("id", "class_id", F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)).alias("kept"))
 
 
 def _shared_ids(signed: DataFrame) -> bool:
     """Whether some id stands for different texts."""
-    return signed.where("n > 0 and id is not null").groupBy("id").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).where("lo != hi").limit(1).count() > 0
+    text = F.struct("a", "b")
+    return signed.where("id is not null").groupBy("id").agg(F.min(text).alias("lo"), F.max(text).alias("hi")).where("lo != hi").limit(1).count() > 0
 
 
 def op4_near_dedup(spark, sf_dir: str) -> DataFrame:

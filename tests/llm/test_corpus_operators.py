@@ -135,6 +135,16 @@ def test_near_duplicates(spark):
     assert near_dedup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_texts_of_a_shared_id_keep_their_links(spark):
+    one, two, far = prose(70, 150), prose(71, 150), prose(72, 150)
+    rows = [(10, one), (10, two), (10, None), (1, one + " end"), (2, two + " end"), (20, two + " last"), (21, far), (3, ""), (None, far), (None, far + " end")]
+    for turned in (rows, rows[::-1]):
+        got = near_dedup.near_duplicates(spark.createDataFrame(turned, "doc_id long, text string")).collect()
+        assert Counter(tuple(r) for r in got) == Counter(
+            [(10, 1, False)] * 3 + [(1, 1, True), (2, 1, False), (20, 1, False), (21, 21, True), (3, 3, True)] + [(None, None, True)] * 2
+        )
+
+
 def test_darts_estimate_weighted_similarity():
     rng = np.random.default_rng(4)
     element = rng.integers(0, 2**63, 300).astype(np.uint64)
