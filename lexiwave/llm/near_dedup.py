@@ -25,8 +25,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from lexiwave.functions.shipping import ship
 from lexiwave.llm.bytewords import RangeHash, Words, chunks, mix, ranges, text_buffers
@@ -312,9 +313,38 @@ def op4_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(docs).select(F.col("id").alias("doc_id"), "class_id", "kept")
 
 
+def _hashed(docs: DataFrame) -> DataFrame:
+    """``docs`` with the two hashes of each text's words, ``nd_a`` and ``nd_b``."""
+    rows = docs.withColumn("nd_text", F.col("text").cast("string"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, "nd_text"):
+                *_, a, b = shingle_sets(*text_buffers(part.column(part.num_columns - 1)))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=[*part.schema.names[:-1], "nd_a", "nd_b"])
+
+    kind = StructType([*docs.schema.fields, StructField("nd_a", LongType()), StructField("nd_b", LongType())])
+    return rows.mapInArrow(work, kind)
+
+
 def near_dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates stays, the one with the smallest id."""
-    marked = near_duplicates(docs).where("kept").select(F.col("id").alias("nd_id")).distinct()
-    stay = docs.join(marked, docs["doc_id"].eqNullSafe(F.col("nd_id"))).drop("nd_id").select(*docs.columns)
-    twice = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
-    return stay.dropDuplicates(["doc_id"]) if twice else stay
+    """One row of each class of near-duplicate texts stays: the one with the smallest id, then hashes of words, then columns.
+
+    Rows that share an id are rows of their own: each goes only if its text is in the class of a row that
+    stays. Of rows with the same id and no word one stays. All rows with a null id stay.
+    """
+    if docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").limit(1).count() == 0:
+        # each id is one row, so ids name the rows that stay
+        marked = near_duplicates(docs).where("kept").select(F.col("id").alias("nd_id")).distinct()
+        return docs.join(marked, docs["doc_id"].eqNullSafe(F.col("nd_id"))).drop("nd_id").select(*docs.columns)
+    ship(spark)
+    scratch = Scratch(spark, "near_dedup_stage")
+    signed, texts, links = _search(docs, "doc_id", "text", SIMILARITY, BLOCK, scratch)
+    of = components(links, scratch, "near-").withColumnRenamed("node", "t")
+    first = texts.join(of, "t", "left").groupBy(F.coalesce("component", "t")).agg(F.min(F.struct("low", "a", "b")).alias("first")).select("first.*")
+    keys = first.unionByName(signed.where("n = 0 and id is not null").select(F.col("id").alias("low"), "a", "b").distinct())
+    hashed = _hashed(docs)
+    stay = hashed.join(keys, (F.col("doc_id") == F.col("low")) & (F.col("nd_a") == F.col("a")) & (F.col("nd_b") == F.col("b")))
+    by = Window.partitionBy("doc_id", "nd_a", "nd_b").orderBy(*docs.columns)
+    stay = stay.withColumn("nd_row", F.row_number().over(by)).where("nd_row = 1").select(*docs.columns)
+    return stay.unionByName(docs.where(F.col("doc_id").isNull()))

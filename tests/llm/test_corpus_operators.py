@@ -145,6 +145,16 @@ def test_texts_of_a_shared_id_keep_their_links(spark):
         )
 
 
+def test_stage_keeps_rows_that_are_no_duplicates(spark):
+    texts = [prose(k, 150) for k in range(70, 75)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (None, None), (5, texts[2]), (5, texts[3]), (5, texts[2]), (5, ""), (5, None), (6, texts[3] + " end"), (4, texts[2] + " end"), (7, texts[4])]
+    for turned in (rows, rows[::-1]):
+        docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in turned], "doc_id long, text string, lang string, source string, n_chars long")
+        stay = near_dedup.near_dedup_stage(spark, docs, "")
+        assert stay.columns == docs.columns
+        assert Counter((r.doc_id, r.text) for r in stay.collect()) == Counter([*rows[:4], (5, texts[3]), (5, None), rows[10], rows[11]])
+
+
 def test_darts_estimate_weighted_similarity():
     rng = np.random.default_rng(4)
     element = rng.integers(0, 2**63, 300).astype(np.uint64)
