@@ -90,8 +90,19 @@ FROM marked JOIN d USING (rid) GROUP BY rid, d.doc_id, d.missing
 """
 
 
+def _site(docs: DataFrame) -> Column:
+    """The host of a page's ``url`` where the table has one and it names a host, else the source."""
+    if "url" not in docs.columns:
+        return F.col("source").cast("string")
+    host = F.lower(F.regexp_extract(F.col("url"), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
+    return F.when(host != "", host).otherwise(F.col("source").cast("string"))
+
+
 def line_dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their source's boilerplate lines taken out; n_chars follows the new text."""
-    out = drop_boilerplate(docs)
+    """Documents with their site's boilerplate lines taken out; n_chars follows the new text.
+
+    The share decides for sites of every size; a line on one page is never boilerplate.
+    """
+    out = drop_boilerplate(docs.withColumn("ld_host", _site(docs)), site="ld_host", min_pages=2)
     chars = F.when(F.col("ld_dropped") > 0, F.char_length("ld_text").cast("long")).otherwise(F.col("n_chars"))
     return out.withColumn("n_chars", chars).withColumn("text", F.col("ld_text")).select(*docs.columns)

@@ -152,6 +152,19 @@ def test_lines(spark, limit, monkeypatch):
     assert line_dedup.drop_boilerplate(empty(docs)).count() == 0
 
 
+def test_stage_drops_lines_of_small_sites(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(i, f"menu\nown {i}" + "\nrare" * (i in (10, 11)), "en", "small" if i < 5 else "large", 0) for i in range(50)] + [(50, "menu\nalone", "en", "single", 0)]
+    docs = spark.createDataFrame(rows, schema)
+    got = {r.doc_id: (r.text, r.n_chars) for r in line_dedup.line_dedup_stage(spark, docs, "").collect()}
+    # "rare" is on 2 of 45 pages, and one page shows no repetition
+    expect = {i: t.removeprefix("menu\n") if i < 50 else t for i, t, *_ in rows}
+    assert got == {i: (t, len(t) if i < 50 else 0) for i, t in expect.items()}
+    urls = docs.withColumn("url", F.when(F.col("doc_id") < 3, F.lit("HTTPS://me@A.example:80/x?y")).when(F.col("doc_id") == 3, F.lit("http://b.example")))
+    got = {r.doc_id: r.text for r in line_dedup.line_dedup_stage(spark, urls, "").collect()}
+    assert got == expect | {3: "menu\nown 3", 4: "menu\nown 4"}
+
+
 # op10
 
 def test_bpe_cuts_and_merges():
