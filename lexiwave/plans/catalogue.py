@@ -188,10 +188,20 @@ def kmeans_full(spark, sf_dir):
     return spark.createDataFrame([(i, float(w), float(np.trace(c))) for i, (w, c) in enumerate(zip(got.weight, got.covariance))], "k int, weight double, spread double")
 
 
-def cluster_covariance(spark, sf_dir):
+def covariance(spark, sf_dir) -> np.ndarray:
     mix = cluster.one_component(points(spark, sf_dir))
-    c = mix.covariance[0] - cluster.RIDGE * np.eye(len(mix.covariance[0]))
-    return spark.createDataFrame([(i, j, round(float(c[i, j]), 6) + 0.0) for i in range(4) for j in range(4)], "i int, j int, cov double")
+    return mix.covariance[0] - cluster.RIDGE * np.eye(len(mix.covariance[0]))
+
+
+def cluster_covariance(spark, sf_dir):
+    """The entries that the query's SQL has, null beyond the vectors' length; cluster_covariance_full has all."""
+    c = covariance(spark, sf_dir)
+    return spark.createDataFrame([(i, j, round(float(c[i, j]), 6) + 0.0 if max(i, j) < len(c) else None) for i in range(4) for j in range(4)], "i int, j int, cov double")
+
+
+def cluster_covariance_full(spark, sf_dir):
+    c = covariance(spark, sf_dir)
+    return spark.createDataFrame([(i, j, round(float(v), 6) + 0.0) for (i, j), v in np.ndenumerate(c)], "i int, j int, cov double")
 
 
 def gmm_em(spark, sf_dir):
@@ -274,7 +284,7 @@ QUERIES = {
     "log_mel": lambda s, d: positions(mels(s, d), "mel"),
     "mfcc": lambda s, d: positions(mels(s, d).withColumn("c", signal.dct(F.col("mel"), BANKS, COEFFICIENTS)), "c"), "mfcc_numpy": mfcc_numpy,
     "kmeans_assign": kmeans_assign, "kmeans_sse": kmeans_sse, "kmeans_lloyd": kmeans_lloyd, "kmeans_full": kmeans_full,
-    "cluster_covariance": cluster_covariance, "gmm_em": gmm_em,
+    "cluster_covariance": cluster_covariance, "cluster_covariance_full": cluster_covariance_full, "gmm_em": gmm_em,
     "hmm_forward": hmm_forward, "viterbi_cost": viterbi_cost, "hmm_occupancy": hmm_occupancy, "baum_welch_step": baum_welch_step,
     "nbest_costs": nbest_costs, "rescore_best": rescore_best,
 }

@@ -4,6 +4,7 @@ import datetime
 import math
 
 import duckdb
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
@@ -46,6 +47,17 @@ def test_query(spark, sf, name):
         assert sorted(map(key, rows)) == sorted(map(key, theirs))
 
 
+@pytest.mark.parametrize("d", [6, 3])
+def test_whole_covariance(spark, tmp_path, d):
+    rows = [(i, [math.sin(i * j + 1) for j in range(1, d + 1)], 0) for i in range(30)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    expect = np.cov(np.array([x for _, x, _ in rows], np.float32).astype(float), rowvar=False, bias=True)
+    full = {(r.i, r.j): r.cov for r in catalogue.cluster_covariance_full(spark, str(tmp_path)).collect()}
+    assert len(full) == d * d and all(abs(v - expect[at]) < 2e-6 for at, v in full.items())
+    few = {(r.i, r.j): r.cov for r in catalogue.cluster_covariance(spark, str(tmp_path)).collect()}
+    assert few == {(i, j): full.get((i, j)) for i in range(4) for j in range(4)}
+
+
 def test_registry():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(catalogue.QUERIES) <= set(entry.queries())
