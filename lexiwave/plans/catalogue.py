@@ -106,7 +106,7 @@ def unknown_words(spark, sf_dir):
 
 
 def arpa_lines(spark, sf_dir):
-    model = lm.katz(text.gram_counts(text.sequences(table(spark, sf_dir, "benchmark")), 2), 2)
+    model = lm.katz(text.gram_counts(text.sequences(table(spark, sf_dir, "documents")), 2), 2)
     return arpa.arpa_lines(model.probs.drop("model"), model.backoffs.drop("model"), 2)
 
 
@@ -184,7 +184,7 @@ def kmeans_lloyd(spark, sf_dir):
 
 
 def kmeans_full(spark, sf_dir):
-    got = cluster.kmeans(points(spark, sf_dir), 4, turns=25, attempts=2)
+    got = cluster.kmeans(points(spark, sf_dir), 4)
     return spark.createDataFrame([(i, float(w), float(np.trace(c))) for i, (w, c) in enumerate(zip(got.weight, got.covariance))], "k int, weight double, spread double")
 
 
@@ -208,7 +208,7 @@ def gmm_em(spark, sf_dir):
     data = points(spark, sf_dir)
     one = cluster.one_component(data)
     start = cluster.Mixture(np.full(2, 0.5), np.stack([one.mean[0] - 0.05, one.mean[0] + 0.05]), np.repeat(one.covariance, 2, 0))
-    got = cluster.gmm(data, start, turns=3)
+    got = cluster.gmm(data, start)
     return spark.createDataFrame([(i, float(w), float(m @ m)) for i, (w, m) in enumerate(zip(got.weight, got.mean))], "k int, weight double, norm2 double")
 
 
@@ -259,8 +259,7 @@ def nbest_costs(spark, sf_dir):
 
 
 def rescore_best(spark, sf_dir):
-    corpus = spark.createDataFrame([("low low high low high high low",)], ["text"])
-    model = lm.train("laplace", text.sequences(corpus), 3)
+    model = lm.train("laplace", text.sequences(table(spark, sf_dir, "documents")), 3)
     return decode.rescore(decoded(spark, sf_dir, 3), model).select("utt", "rank", F.round("second_cost", 4).alias("second_cost"), "best")
 
 

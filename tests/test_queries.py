@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as entry
+from lexiwave.operators import cluster
 from lexiwave.plans import catalogue
 
 WORDS = "the of and to in a was he it word lamp kran floor tap".split()
@@ -58,6 +59,18 @@ def test_whole_covariance(spark, tmp_path, d):
     assert few == {(i, j): full.get((i, j)) for i in range(4) for j in range(4)}
 
 
+def test_models_are_of_documents_and_run_to_their_rules(spark, sf, monkeypatch):
+    lines = {r[c] for r in catalogue.arpa_lines(spark, sf).collect() for c in r.asDict() if isinstance(r[c], str)}
+    assert any("été" in x.lower() for x in lines) and not any("unseen" in x for x in lines)
+    calls = []
+    for name in ("kmeans", "gmm"):
+        monkeypatch.setattr(catalogue.cluster, name, lambda *a, run=getattr(cluster, name), **k: (calls.append((a[1:], k)), run(*a, **k))[1])
+    texts = []
+    monkeypatch.setattr(catalogue.lm, "train", lambda kind, seqs, n, run=catalogue.lm.train: (texts.append(seqs.count()), run(kind, seqs, n))[1])
+    assert catalogue.kmeans_full(spark, sf).count() == 4 and catalogue.gmm_em(spark, sf).count() == 2 and catalogue.rescore_best(spark, sf).count()
+    assert [k for _, k in calls] == [{}, {}] and calls[0][0] == (4,) and texts == [40]
+
+
 def test_registry():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(catalogue.QUERIES) <= set(entry.queries())
