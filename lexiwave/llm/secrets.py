@@ -40,14 +40,20 @@ def most_entropy(run: Column, window: int = WINDOW) -> Column:
     A shorter run is one window of its own length; an empty one has 0. A step changes the counts of at
     most two characters (places in ``ALPHABET``; all others share one), and the sum of n log n with them.
     """
-    codes = F.transform(F.split(run, ""), lambda c: F.instr(F.lit(ALPHABET), c) + 1)
-    none = F.lit(0)
+    code = lambda c: F.instr(F.lit(ALPHABET), c) + 1
+    chars, none = F.split(run, ""), F.lit(0)
+    # each step gets the character that enters and the one that leaves, so nothing is looked up by place
+    behind = F.concat(F.array_repeat(F.lit(None).cast("string"), window), chars)
+    steps = F.transform(
+        F.arrays_zip(chars.alias("enters"), F.slice(behind, 1, F.size(chars)).alias("leaves")),
+        lambda x: F.struct(code(x["enters"]).alias("enters"), F.coalesce(code(x["leaves"]), none).alias("leaves")),
+    )
     start = F.struct(
         F.array_repeat(none, len(ALPHABET) + 1).alias("n"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"), none.alias("at"),
     )
 
-    def step(s: Column, into: Column) -> Column:
-        out = F.when(s["at"] >= window, F.element_at(codes, F.greatest(s["at"] - window + 1, F.lit(1)))).otherwise(none)
+    def step(s: Column, x: Column) -> Column:
+        into, out = x["enters"], x["leaves"]
         n_in = F.element_at(s["n"], into)
         n_out = F.element_at(s["n"], F.greatest(out, F.lit(1)))
         change = F.when(out == into, F.lit(0.0)).otherwise(
@@ -55,12 +61,15 @@ def most_entropy(run: Column, window: int = WINDOW) -> Column:
         )
         counts = F.transform(s["n"], lambda x, i: x + F.when(i + 1 == into, 1).otherwise(0) - F.when(i + 1 == out, 1).otherwise(0))
         total = s["sum"] + change
-        size = F.least(s["at"] + 1, F.lit(window)).cast("double")
-        full = (s["at"] + 1 >= window) | (s["at"] + 1 == F.size(codes))
-        bits = F.when(full, F.log2(size) - total / size).otherwise(F.lit(0.0))
+        # windows that are not full yet count only at the end of a run shorter than a window
+        bits = F.when(s["at"] + 1 >= window, F.log2(F.lit(float(window))) - total / window).otherwise(F.lit(0.0))
         return F.struct(counts.alias("n"), total.alias("sum"), F.greatest(s["best"], bits).alias("best"), (s["at"] + 1).alias("at"))
 
-    return F.when(F.length(run) == 0, F.lit(0.0)).otherwise(F.aggregate(codes, start, step)["best"])
+    def finish(s: Column) -> Column:
+        size = s["at"].cast("double")
+        return F.when(s["at"] < window, F.log2(size) - s["sum"] / size).otherwise(s["best"])
+
+    return F.when(F.length(run) == 0, F.lit(0.0)).otherwise(F.aggregate(steps, start, step, finish))
 
 
 SPAN = "struct<start: int, rank: int, end: int, value: string>"
