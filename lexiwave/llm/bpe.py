@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiwave.functions.shipping import ship
-from lexiwave.llm.bytewords import _BYTE_VALUE, RangeHash, chunks, ranges, text_buffers
+from lexiwave.llm.bytewords import chunks, range_keys, ranges, text_buffers
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: pretokens whose encodings a Python worker remembers between chunks
@@ -229,6 +229,20 @@ def pretokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return first, np.searchsorted(first, offsets)
 
 
+def _told_apart(data: np.ndarray, first: np.ndarray, end: np.ndarray, some: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ranges grouped by hash (``some`` of each group, the group of each), with those that differ in bytes from their group's taken out."""
+    size, like = end - first, some[which]
+    other = size != size[like]
+    sizes = np.where(other, 0, size)
+    differ = data[ranges(first, sizes)] != data[ranges(first[like], sizes)]
+    if differ.any():
+        other[np.repeat(np.arange(len(sizes)), sizes)[differ]] = True
+    alone = np.flatnonzero(other)
+    which = which.copy()
+    which[alone] = len(some) + np.arange(len(alone))
+    return np.concatenate([some, alone]), which
+
+
 class TextCoder:
     """Encodes and decodes columns of texts."""
 
@@ -249,8 +263,9 @@ class TextCoder:
         if not len(first):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         end = np.append(first[1:], len(data))
-        keys = RangeHash(_BYTE_VALUE[data])(first, end)
+        keys = range_keys(data, first, end)
         _, some, which = np.unique(keys, return_index=True, return_inverse=True)
+        some, which = _told_apart(data, first, end, some, which)
         raw, memory, code = data.tobytes(), self._memory, self.encoder.encode
         found = []
         for a, b in zip(first[some].tolist(), end[some].tolist()):

@@ -1,11 +1,12 @@
 """Words of whole texts as numpy arrays over their UTF-8 bytes.
 
-The separators (space, U+0009 to U+000D) are single ASCII bytes, so words are runs of other bytes. A
-hash of any range of bytes or words costs two look-ups in running sums, so no Python code runs per word.
+The separators (space, U+0009 to U+000D) are single ASCII bytes, so words are runs of other bytes. Words
+and runs of words are hashed by array operations, so no Python code runs per word.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,8 +18,9 @@ CHUNK_BYTES = 1 << 20
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_ODD, _SEED = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xA24BAED4963EE407)
+#: ranges of more bytes are hashed one by one
+LONG = 256
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -32,31 +34,55 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE_VALUE = mix(np.arange(1, 257, dtype=np.uint64))
-
-
-def _power_tables(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _powers.get(base)
-    if have is None or len(have[0]) < n:
-        size = max(n, CHUNK_BYTES + 1)
-        up, down = np.full(size, base, np.uint64), np.full(size, pow(base, -1, 1 << 64), np.uint64)
-        up[0] = down[0] = 1
-        have = (np.cumprod(up), np.cumprod(down))
-        if size <= 4 * CHUNK_BYTES:
-            _powers[base] = have
-    return have
-
-
-class RangeHash:
-    """64-bit polynomial hashes of ranges [a, b) of a sequence of 64-bit values, equal for equal content."""
-
-    def __init__(self, values: np.ndarray, base: int = _BASE):
-        up, self._down = _power_tables(len(values) + 1, base)
-        self._sums = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(values * up[: len(values)], out=self._sums[1:])
+def range_keys(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the bytes in ranges [start, end), equal for equal bytes.
+
+    Eight bytes are mixed in at once and every step mixes all bits, so no family of byte strings collides
+    by its structure. Ranges longer than ``LONG`` bytes are hashed by BLAKE2.
+    """
+    size = end - start
+    out = mix(size.astype(np.uint64) * _ODD + _SEED)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.lib.stride_tricks.as_strided(padded[:8].view("<u8"), (len(data) + 1,), (1,))
+    live, at = np.flatnonzero((size > 0) & (size <= LONG)), 0
+    while len(live):
+        left = size[live] - at
+        piece = eight[start[live] + at]
+        part = left < 8
+        piece[part] &= (np.uint64(1) << (8 * left[part]).astype(np.uint64)) - np.uint64(1)
+        out[live] = mix((out[live] ^ piece) * _ODD + _SEED)
+        live, at = live[left > 8], at + 8
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
+class RunHash:
+    """64-bit hashes of runs [a, b) of a sequence of keys, equal for equal runs.
+
+    A run is hashed from the two longest stretches of a power of two that cover it; stretches are hashed
+    from their halves with every bit mixed. ``salt`` gives independent families.
+    """
+
+    def __init__(self, keys: np.ndarray, salt: int = 0):
+        self._salt = mix(np.array([salt], np.uint64) + _SEED)[0]
+        self._levels = [mix(keys ^ self._salt)]
+
+    def _level(self, k: int) -> np.ndarray:
+        while len(self._levels) <= k:
+            low, step = self._levels[-1], 1 << (len(self._levels) - 1)
+            self._levels.append(mix(low[: max(len(low) - step, 0)] * _ODD + (low[step:] ^ self._salt)))
+        return self._levels[k]
 
     def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return mix((self._sums[b] - self._sums[a]) * self._down[a])
+        size = b - a
+        out = np.zeros(len(a), np.uint64)
+        power = np.frexp(np.maximum(size, 1))[1] - 1
+        for k in np.unique(power[size > 0]).tolist():
+            own = np.flatnonzero((power == k) & (size > 0))
+            level = self._level(k)
+            out[own] = mix(level[a[own]] * _ODD + (level[b[own] - (1 << k)] ^ (size[own].astype(np.uint64) * _SEED)))
+        return out
 
 
 def text_buffers(column) -> tuple[np.ndarray, np.ndarray]:
@@ -106,7 +132,7 @@ class Words:
         self.doc = np.repeat(np.arange(len(offsets) - 1), self.count)
 
     def keys(self) -> np.ndarray:
-        return RangeHash(_BYTE_VALUE[self.data])(self.start, self.end)
+        return range_keys(self.data, self.start, self.end)
 
 
 def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
