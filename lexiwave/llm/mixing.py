@@ -28,34 +28,49 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.size(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))), F.lit(0)).cast("long")
 
 
-def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.0) -> DataFrame:
+def source_targets(sizes: DataFrame, scratch: Scratch, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.0) -> DataFrame:
     """(source, source_size, n_units, target) from (source, size) rows.
 
     Sources in code point order, null last, weigh ``weights`` in turn. A target stops at ``cap`` times
     its source's size and the excess is shared again by weight, which is filling water to one level:
     ``target = min(cap * size, level * weight)``. Sorted by the level at which each source fills up,
-    the level is found with running sums over the table of sources.
+    the level is found with running sums over the table of sources, which may be as long as the web has hosts.
     """
     per_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_units"))
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (rank % len(weights) + 1).cast("int"))
-    weighed = per_source.withColumn("w", weight).withColumn("limit", F.lit(float(cap)) * F.col("source_size"))
-    by_level = Window.orderBy(F.col("limit") / F.col("w"), F.col("source").asc_nulls_first())
-    everything = Window.partitionBy()
-    before = by_level.rowsBetween(Window.unboundedPreceding, -1)
-    level = (
-        F.sum("source_size").over(everything) - F.coalesce(F.sum("limit").over(before), F.lit(0.0))
-    ) / (F.sum("w").over(everything) - F.coalesce(F.sum("w").over(before), F.lit(0.0)))
+    ranked = _ordered(per_source, scratch, "ranked", [F.col("source").asc_nulls_last()], {"rank": F.lit(1).cast("long")})
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
+    weighed = ranked.withColumn("w", weight).withColumn("limit", F.lit(float(cap)) * F.col("source_size"))
+    by_level = [F.col("limit") / F.col("w"), F.col("source").asc_nulls_first()]
+    filled = _ordered(weighed.drop("rank"), scratch, "filled", by_level, {"below": F.col("limit"), "w_below": F.col("w")})
+    whole = filled.agg(F.sum("source_size").alias("all_size"), F.sum("w").alias("all_w"))
     # the level with all earlier sources full; the first source that this does not fill fixes it
-    staged = weighed.withColumn("stage_level", level)
+    level = (F.col("all_size") - F.col("below")) / (F.col("all_w") - F.col("w_below"))
+    staged = filled.join(F.broadcast(whole)).withColumn("stage_level", level)  # one row
     fits = F.col("stage_level") * F.col("w") <= F.col("limit")
-    final = F.min(F.when(fits, F.struct(F.col("limit") / F.col("w"), F.col("stage_level").alias("level")))).over(everything)["level"]
-    return staged.select(
+    final = staged.agg(F.min(F.when(fits, F.struct(F.col("limit") / F.col("w"), F.col("stage_level").alias("level"))))["level"].alias("final"))
+    return staged.join(F.broadcast(final)).select(  # one row
         "source", "source_size", "n_units",
-        F.least(F.col("limit"), F.coalesce(final, F.lit(float("inf"))) * F.col("w")).alias("target"),
+        F.least(F.col("limit"), F.coalesce("final", F.lit(float("inf"))) * F.col("w")).alias("target"),
     )
 
 
+def _ordered(df: DataFrame, scratch: Scratch, name: str, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """``df`` with running sums, in the given order, of all rows before each.
+
+    Rows are sorted in ranges, one a partition; sums run within ranges, and only the ranges' totals, a row
+    a partition, go through one task.
+    """
+    pieces = df.repartitionByRange(*order).withColumn("piece", F.spark_partition_id())
+    pieces = scratch.save(pieces, name)
+    total = pieces.groupBy("piece").agg(*[F.sum(c).alias(k) for k, c in sums.items()])
+    before = Window.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    offset = total.select(F.col("piece").alias("of"), *[F.coalesce(F.sum(k).over(before), F.lit(0)).alias(f"{k}_0") for k in sums])
+    within = Window.partitionBy("piece").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    own = pieces.select("*", *[F.coalesce(F.sum(c).over(within), F.lit(0)).alias(k) for k, c in sums.items()])
+    joined = own.join(offset, F.col("piece") == F.col("of"))
+    return joined.select(*df.columns, *[(F.col(k) + F.col(f"{k}_0")).alias(k) for k in sums])
+
+
 def _uniform(*parts: Column) -> Column:
     return F.pmod(F.xxhash64(*parts), F.lit(1 << 52)) / F.lit(float(1 << 52))
 
@@ -121,7 +136,7 @@ def mix_sources(
         "sizes",
     )
     whole = sizes.select("source", (F.col("size") * F.col("rows")).alias("size"))
-    targets = scratch.save(source_targets(whole, weights, cap), "targets")
+    targets = scratch.save(source_targets(whole, scratch, weights, cap), "targets")
     most = targets.agg(F.max("n_units")).first()[0] or 0
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     units = (
@@ -183,8 +198,13 @@ def op8_mix_sources(spark, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated by their copies; those with none go. Columns stay as they were."""
-    mixed = mix_sources(docs).where("copies > 0").select(*[F.col(c).alias(f"mx_{c}") for c in ("id", "source", "size", "copies")]).distinct()
-    keyed = docs.withColumn("mx_words", word_count(F.col("text")))
-    same = keyed["doc_id"].eqNullSafe(mixed["mx_id"]) & keyed["source"].eqNullSafe(mixed["mx_source"]) & (F.col("mx_words") == F.col("mx_size"))
-    return keyed.join(mixed, same).withColumn("mx_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mx_copies")))).select(*docs.columns)
+    """Documents repeated by their copies; those with none go. Columns stay as they were, whatever their names.
+
+    Null texts have no words and take the whole part of the expected copies; null ids and sources are values
+    like others; equal rows get the same copies; an empty table stays empty.
+    """
+    mixed = mix_sources(docs).where("copies > 0").select("id", "source", "size", "copies").distinct()
+    keyed = docs.select(F.struct("*").alias("row"), word_count(F.col("text")).alias("words"))
+    same = F.col("row.doc_id").eqNullSafe(F.col("id")) & F.col("row.source").eqNullSafe(F.col("source")) & (F.col("words") == F.col("size"))
+    copies = keyed.join(mixed, same).select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return copies.select(*[F.col("row")[c].alias(c) for c in docs.columns])
