@@ -19,13 +19,14 @@ from pyspark.sql import functions as F
 
 from lexiwave.functions.shipping import ship
 from lexiwave.llm.bytewords import chunks, text_buffers
-from lexiwave.llm.sampling import smallest_hashes
+from lexiwave.llm.sampling import smallest_hashes_by
 
 HIDDEN = 8
-WINDOW = 128
+#: bytes read at once, of which the outer ``MARGIN`` on either side, where there is text, only warm up the state
+WINDOW, MARGIN = 256, 16
 UNDETERMINED = "und"
 
-#: bounds of what is learned from: rows, windows of a row, characters of a window
+#: bounds of what is learned from: rows of all languages together, windows of a row, characters of a window
 SAMPLE_ROWS, SAMPLE_WINDOWS, SAMPLE_CHARS = 2000, 6, 60
 
 _LETTER = np.zeros(256, bool)
@@ -196,14 +197,23 @@ def train(windows: list[bytes], labels: list[str], hidden: int = HIDDEN, steps:
     return net
 
 
-def label_texts(net: Network, data: np.ndarray, offsets: np.ndarray, window: int = WINDOW, lanes: int = 2048) -> np.ndarray:
-    """[texts, L] mean probabilities over the bytes of letters; zeros for a text without any."""
-    sizes = np.diff(offsets)
-    per_text = -(-sizes // window)
+def label_texts(net: Network, data: np.ndarray, offsets: np.ndarray, window: int = WINDOW, margin: int = MARGIN, lanes: int = 1024) -> np.ndarray:
+    """[texts, L] mean probabilities over the bytes of letters; zeros for a text without any.
+
+    Windows overlap by two margins, whose labels count in the neighbour that has them inside.
+    """
+    sizes, core = np.diff(offsets), window - 2 * margin
+    if core < 1:
+        raise ValueError("a window is longer than its two margins")
+    per_text = np.where(sizes <= window, (sizes > 0).astype(np.int64), -(-sizes // core))
     owner = np.repeat(np.arange(len(sizes)), per_text)
     number = np.arange(len(owner)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
-    begin = offsets[owner] + number * window
-    length = np.minimum(window, offsets[owner + 1] - begin)
+    whole = sizes[owner] <= window
+    inner = np.where(whole, 0, number * core)  # within the text, of the labels that count
+    outer = np.where(whole, sizes[owner], np.minimum(inner + core, sizes[owner]))
+    begin = np.maximum(inner - margin, 0)
+    length = np.minimum(outer + margin, sizes[owner]) - begin
+    begin, inner, outer = begin + offsets[owner], inner - begin, outer - begin
     sums, letters = np.zeros((len(sizes), len(net.languages))), np.zeros(len(sizes))
     order = np.argsort(-length, kind="stable")  # full windows first: they need no masks
     padded = np.concatenate([data, np.zeros(window, np.uint8)])
@@ -212,9 +222,8 @@ def label_texts(net: Network, data: np.ndarray, offsets: np.ndarray, window: int
         steps = int(length[own[0]])
         at = np.arange(steps)[:, None]
         codes = padded[begin[own][None, :] + at].astype(np.int32)
-        counted = _LETTER[codes]
-        short = at >= length[own][None, :]
-        codes[short], counted[short] = 256, False
+        counted = _LETTER[codes] & (at >= inner[own][None, :]) & (at < outer[own][None, :])
+        codes[at >= length[own][None, :]] = 256
         logits = net.logits(codes)
         logits -= logits.max(axis=1, keepdims=True)
         prob = np.exp(logits, out=logits)
@@ -232,17 +241,16 @@ def held_out(doc_id: Column) -> Column:
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS) -> Network:
-    """Train on the ``rows`` labelled rows not held out whose hashed ids are the smallest.
+    """Train on ``rows`` labelled rows not held out, an equal share a language: those whose hashed ids are the smallest.
 
     Of each, ``SAMPLE_WINDOWS`` windows of ``SAMPLE_CHARS`` characters at hashed places are read.
     """
     t, key = F.col(text_col), F.col(id_col)
     start = lambda i: F.pmod(F.xxhash64(key, i), F.greatest(F.char_length(t) - SAMPLE_CHARS, F.lit(1)).cast("long")).cast("int") + 1
-    sample = (
-        smallest_hashes(docs.where(~held_out(key) & F.col(lang_col).isNotNull()), id_col, rows).where(F.char_length(t) > 0)
-        .select(F.col(lang_col).cast("string").alias("lang"), F.transform(F.sequence(F.lit(1), F.lit(SAMPLE_WINDOWS)), lambda i: F.substring(t, start(i), SAMPLE_CHARS)).alias("windows"))
-        .collect()
-    )
+    cut = F.transform(F.sequence(F.lit(1), F.lit(SAMPLE_WINDOWS)), lambda i: F.substring(t, start(i), SAMPLE_CHARS))
+    known = docs.where(~held_out(key) & F.col(lang_col).isNotNull() & (F.char_length(t) > 0))
+    short = known.select(key.alias("key"), F.col(lang_col).cast("string").alias("lang"), cut.alias("windows"))
+    sample = smallest_hashes_by(short, "lang", "key", rows).select("lang", "windows").collect()
     pairs = [(w.encode(), r.lang) for r in sample for w in r.windows if w]
     return train([w for w, _ in pairs], [x for _, x in pairs]) if pairs else Network.new([], HIDDEN, 0)
 
@@ -258,13 +266,17 @@ def predict(docs: DataFrame, net: Network, keep: list[str], text_col: str = "tex
     network that learned no language. Rows are independent; repeated rows get equal results, ties go to
     the language first in code point order, and an empty table gives an empty result.
     """
-    kept = docs.select(*keep, F.col(text_col).cast("string").alias("__li_text"))
-    schema = kept.drop("__li_text").withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
+    return _labelled(docs.select(F.struct(*keep).alias("row"), F.col(text_col).cast("string").alias("text")), net).select("row.*", "lang_pred", "score")
+
+
+def _labelled(rows: DataFrame, net: Network) -> DataFrame:
+    """(row, lang_pred, score) of (row, text)."""
+    schema = rows.select("row", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, "__li_text"):
-                data, offsets = text_buffers(part.column(part.num_columns - 1))
+            for part in chunks(batch, "text"):
+                data, offsets = text_buffers(part.column(1))
                 plain = _LETTER[data] & (data < 128)
                 seen = np.concatenate([[0], np.cumsum(plain)])
                 has_plain = seen[offsets[1:]] > seen[offsets[:-1]]
@@ -275,13 +287,10 @@ def predict(docs: DataFrame, net: Network, keep: list[str], text_col: str = "tex
                     known = net.languages and offsets[i + 1] > offsets[i] and _has_letter(data[offsets[i] : offsets[i + 1]].tobytes() if not has_plain[i] else b"", bool(has_plain[i]))
                     names.append(net.languages[best[i]] if known else UNDETERMINED)
                     scores.append(min(1.0, float(prob[i, best[i]])) if known else 0.0)
-                columns = [part.column(j) for j in range(part.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays(
-                    [*columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[f.name for f in schema],
-                )
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["row", "lang_pred", "score"])
 
-    ship(docs.sparkSession)
-    return kept.mapInArrow(work, schema)
+    ship(rows.sparkSession)
+    return rows.mapInArrow(work, schema)
 
 
 def op9_language_id(spark, sf_dir: str) -> DataFrame:
@@ -296,8 +305,12 @@ LEAST_SCORE = 0.5
 
 
 def language_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the learned languages; undetermined ones and mixtures go."""
-    net = learn(docs)
-    columns = docs.columns
-    rows = docs.withColumn("__li_copy", F.col("text"))
-    return predict(rows, net, columns, "__li_copy").where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") > LEAST_SCORE)).select(*columns)
+    """Documents in one of the learned languages; undetermined ones and mixtures go.
+
+    Columns stay as they were, whatever their names. Null and empty texts and texts without a letter are
+    undetermined; rows are judged one by one, so null ids and repeated rows need no care; a table without
+    labelled texts, and so an empty one, has no language and leaves nothing.
+    """
+    rows = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
+    good = _labelled(rows, learn(docs)).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") > LEAST_SCORE))
+    return good.select(*[F.col("row")[c].alias(c) for c in docs.columns])
