@@ -16,58 +16,80 @@ from pyspark.sql import functions as F
 from lexiwave.llm.scratch import Scratch
 
 BROADCAST_LINES = 50_000
+RATIO, LEAST_PAGES = 0.1, 2
 
 
 def _print(line: Column) -> Column:
-    return F.struct(F.xxhash64(line).alias("a"), F.crc32(F.encode(line, "utf-8")).alias("b"))
+    """A line's fingerprint as a string, which array functions hash."""
+    return F.concat(F.hex(F.xxhash64(line)), F.lit("-"), F.hex(F.crc32(F.encode(line, "utf-8"))))
 
 
 def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def boilerplate_lines(pages: DataFrame, site: str, text: str, ratio: float, min_pages: int) -> DataFrame:
-    """(site, key) of every line on at least ``min_pages`` pages and more than ``ratio`` of its site's pages."""
-    keys = F.array_distinct(F.transform(F.filter(_lines(F.col(text)), lambda x: F.trim(x) != ""), _print))
+def _prints(text: Column) -> Column:
+    """Fingerprints of a page's different lines that are not blank."""
+    return F.array_distinct(F.transform(F.filter(_lines(text), lambda x: F.trim(x) != ""), _print))
+
+
+def boilerplate_lines(pages: DataFrame, ratio: float = RATIO, min_pages: int = LEAST_PAGES) -> DataFrame:
+    """(site, key) of every line of (site, text) on at least ``min_pages`` pages and more than ``ratio`` of its site's pages."""
     counts = (
-        pages.select(F.col(site).cast("string").alias("site"), F.explode(keys).alias("key"))
+        pages.select("site", F.explode(_prints(F.col("text"))).alias("key"))
         .groupBy("site", "key").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     )
-    totals = pages.groupBy(F.col(site).cast("string").alias("t_site")).agg(F.count("*").alias("total"))
+    totals = pages.groupBy(F.col("site").alias("t_site")).agg(F.count("*").alias("total"))
     return counts.join(totals, F.col("site").eqNullSafe(F.col("t_site"))).where(F.col("n") > ratio * F.col("total")).select("site", "key")
 
 
+def site_of(pages: DataFrame, url: str = "url", source: str = "source") -> Column:
+    """The host of a page's URL in lower case where the table has one that names a host, else the source."""
+    if url not in pages.columns:
+        return F.col(source).cast("string")
+    host = F.lower(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
+    return F.when(host != "", host).otherwise(F.col(source).cast("string"))
+
+
+def _cleaned(pages: DataFrame, site: Column, text: str, ratio: float, min_pages: int) -> DataFrame:
+    """(row, text, lines, dropped): each page as a struct, its kept text, and its numbers of lines and of dropped lines."""
+    scratch = Scratch(pages.sparkSession, "line_dedup")
+    packed = pages.select(F.struct("*").alias("row"), site.cast("string").alias("site"), F.col(text).cast("string").alias("text"))
+    found = scratch.save(boilerplate_lines(packed.select("site", "text"), ratio, min_pages), "boilerplate")
+    sets = found.groupBy(F.col("site").alias("k_site")).agg(F.collect_set("key").alias("keys"))
+    if found.count() <= BROADCAST_LINES:
+        sets = F.broadcast(sets)
+    joined = packed.join(sets, F.col("site").eqNullSafe(F.col("k_site")), "left")
+    # the page's own boilerplate lines are few; both arrays are hashed to find them
+    joined = joined.withColumn("hits", F.when(F.col("keys").isNotNull(), F.array_intersect(_prints(F.col("text")), "keys")))
+    lines = _lines(F.col("text"))
+    kept = F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("hits"), _print(x)))
+    kept = F.when(F.coalesce(F.size("hits"), F.lit(0)) > 0, kept).otherwise(lines)
+    count = lambda n: F.when(F.col("text").isNull(), 0).otherwise(n).cast("long")
+    return joined.withColumn("kept", kept).select(
+        "row", F.when(F.col("text").isNotNull(), F.array_join("kept", "\n")).alias("text"),
+        count(F.size(lines)).alias("lines"), count(F.size(lines) - F.size("kept")).alias("dropped"))
+
+
 def drop_boilerplate(
-    pages: DataFrame, site: str = "source", text: str = "text", ratio: float = 0.1, min_pages: int = 10,
+    pages: DataFrame, site: str | Column = "source", text: str = "text", ratio: float = RATIO, min_pages: int = LEAST_PAGES,
 ) -> DataFrame:
     """``pages`` with columns ``ld_text`` (kept lines), ``ld_lines`` and ``ld_dropped`` (line counts) added.
 
     Lines are separated by U+000A and compared unchanged; blank lines are neither counted nor dropped.
+    The ratio decides for sites of every size; a line on fewer than ``min_pages`` pages shows no repetition.
     A null text counts as empty and stays null. A null site is a site. Repeated rows are pages of their
-    own. A page whose lines all go keeps an empty text. Sites with fewer than ``min_pages`` pages lose
-    nothing. An empty table gives an empty result; other columns pass through untouched.
+    own. A page whose lines all go keeps an empty text. An empty table gives an empty result. Other columns
+    pass through untouched; columns of the added names are replaced.
     """
-    scratch = Scratch(pages.sparkSession, "line_dedup")
-    found = scratch.save(boilerplate_lines(pages, site, text, ratio, min_pages), "boilerplate")
-    sets = found.groupBy("site").agg(F.collect_set("key").alias("ld_keys")).withColumnRenamed("site", "ld_site")
-    if found.count() <= BROADCAST_LINES:
-        sets = F.broadcast(sets)
-    joined = pages.join(sets, pages[site].cast("string").eqNullSafe(F.col("ld_site")), "left")
-    lines = _lines(F.col(text))
-    kept = F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("ld_keys"), _print(x)))
-    kept = F.when(F.col("ld_keys").isNull(), lines).otherwise(kept)
-    return (
-        joined.withColumn("ld_kept", kept)
-        .withColumn("ld_lines", F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).cast("long"))
-        .withColumn("ld_dropped", F.when(F.col(text).isNull(), 0).otherwise(F.size(lines) - F.size("ld_kept")).cast("long"))
-        .withColumn("ld_text", F.when(F.col(text).isNotNull(), F.array_join("ld_kept", "\n")))
-        .drop("ld_keys", "ld_site", "ld_kept")
-    )
+    out = _cleaned(pages, F.col(site) if isinstance(site, str) else site, text, ratio, min_pages)
+    kept = [F.col("row")[c].alias(c) for c in pages.columns if c not in ("ld_text", "ld_lines", "ld_dropped")]
+    return out.select(*kept, F.col("text").alias("ld_text"), F.col("lines").alias("ld_lines"), F.col("dropped").alias("ld_dropped"))
 
 
 def op7_line_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
-    out = drop_boilerplate(docs)
+    out = drop_boilerplate(docs, site_of(docs))
     return out.select(
         "doc_id", F.col("ld_lines").alias("n_lines"), F.col("ld_dropped").alias("n_dropped"),
         F.sha2(F.encode(F.coalesce("ld_text", F.lit("")), "utf-8"), 256).alias("kept_sha256"),
@@ -80,7 +102,7 @@ lines AS (SELECT rid, source, unnest(string_split(text, chr(10))) AS line, unnes
 total AS (SELECT source, count(*) AS n FROM d GROUP BY source),
 per AS (SELECT source, line, count(DISTINCT rid) AS n FROM lines WHERE trim(line) <> '' GROUP BY source, line),
 bad AS (SELECT per.source, per.line FROM per JOIN total ON per.source IS NOT DISTINCT FROM total.source
-        WHERE per.n >= 10 AND per.n > 0.1 * total.n),
+        WHERE per.n >= 2 AND per.n > 0.1 * total.n),
 marked AS (SELECT l.rid, l.pos, l.line, b.line IS NOT NULL AS drop_it
            FROM lines l LEFT JOIN bad b ON l.line = b.line AND l.source IS NOT DISTINCT FROM b.source)
 SELECT d.doc_id, CASE WHEN d.missing THEN 0 ELSE count(*) END AS n_lines,
@@ -90,19 +112,15 @@ FROM marked JOIN d USING (rid) GROUP BY rid, d.doc_id, d.missing
 """
 
 
-def _site(docs: DataFrame) -> Column:
-    """The host of a page's ``url`` where the table has one and it names a host, else the source."""
-    if "url" not in docs.columns:
-        return F.col("source").cast("string")
-    host = F.lower(F.regexp_extract(F.col("url"), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
-    return F.when(host != "", host).otherwise(F.col("source").cast("string"))
-
-
 def line_dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their site's boilerplate lines taken out; n_chars follows the new text.
 
-    The share decides for sites of every size; a line on one page is never boilerplate.
+    One row a row and the same columns, whatever their names. Null texts stay null with their n_chars, null
+    sites are a site, repeated rows count as pages of their own, and an empty table stays empty.
     """
-    out = drop_boilerplate(docs.withColumn("ld_host", _site(docs)), site="ld_host", min_pages=2)
-    chars = F.when(F.col("ld_dropped") > 0, F.char_length("ld_text").cast("long")).otherwise(F.col("n_chars"))
-    return out.withColumn("n_chars", chars).withColumn("text", F.col("ld_text")).select(*docs.columns)
+    out = _cleaned(docs, site_of(docs), "text", RATIO, LEAST_PAGES)
+    new = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        chars = F.when(F.col("dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("row")["n_chars"])
+        new["n_chars"] = chars.cast(docs.schema["n_chars"].dataType)
+    return out.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
