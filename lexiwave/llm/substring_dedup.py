@@ -23,17 +23,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiwave.functions.shipping import ship
-from lexiwave.llm.bytewords import RangeHash, Words, chunks, mix, ranges, text_buffers
+from lexiwave.llm.bytewords import RunHash, Words, chunks, ranges, text_buffers
 from lexiwave.llm.fm_index import repeated_windows
 from lexiwave.llm.scratch import Scratch
+from lexiwave.llm.skew import heavy_keys, spread_join
 
 WINDOW = 35
 ANCHOR = 8
 HOT = 4096
 SHARD = 8192
 
-_BASES = (0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
-_PLACES = 64  # a segment's place is its first word times this plus its number of windows
+# a segment's place is its first word times _PLACES plus its number of windows; their mask is one signed integer
+_PLACES, _MOST_WINDOWS = 64, 63
 
 
 def _anchored(words: Words, width: int, anchor: int) -> tuple[np.ndarray, ...]:
@@ -45,7 +46,7 @@ def _anchored(words: Words, width: int, anchor: int) -> tuple[np.ndarray, ...]:
         return none
     grams = n - anchor + 1
     at = np.arange(grams)
-    least = RangeHash(keys, _BASES[0])(at, at + anchor)
+    least = RunHash(keys)(at, at + anchor)
     # the least of a window's grams, by doubling; windows that leave their text are dropped below
     span, place, covered = width - anchor + 1, at, 1
     while covered < span:
@@ -63,7 +64,7 @@ def _anchored(words: Words, width: int, anchor: int) -> tuple[np.ndarray, ...]:
     head = np.flatnonzero(new)
     windows = np.diff(np.append(head, len(start)))
     begin = start[head]
-    content = RangeHash(mix(keys), _BASES[1])(begin, begin + windows + width - 1)
+    content = RunHash(keys, 1)(begin, begin + windows + width - 1)
     text = words.doc[begin]
     return text, begin - words.first[text], windows, least[head], content
 
@@ -94,7 +95,7 @@ def _cut(docs: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             for part in chunks(batch, "text"):
                 words = Words(*text_buffers(part.column(0)))
-                hashes = RangeHash(words.keys(), _BASES[1])
+                hashes = RunHash(words.keys(), 1)
                 raw, out = words.data.tobytes(), {c: [] for c in names}
                 for i, wanted in enumerate(part.column(1).to_pylist()):
                     first = int(words.first[i])
@@ -137,15 +138,16 @@ def _search(segments: DataFrame, width: int) -> DataFrame:
 def repeated_segments(docs: DataFrame, scratch: Scratch, width: int, anchor: int, hot: int, shard: int) -> DataFrame:
     """(id, tk, places) of (id, tk, text): the segments with repeated windows, as struct(place, mask)."""
     segments = scratch.save(_segments(docs, width, anchor), "segments")
-    shared = segments.groupBy("anchor").count().where("count > 1").select("anchor")
-    alive = scratch.save(segments.join(shared, "anchor"), "alive")
+    shared = scratch.save(segments.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "anchors")
+    heavy = heavy_keys(shared, ["anchor"], "n")
+    alive = scratch.save(spread_join(segments, shared.select("anchor"), ["anchor"], heavy, F.col("content")), "alive")
     scratch.drop("segments")
     distinct = scratch.save(
         alive.groupBy("anchor", "content").agg(F.count("*").alias("weight"), F.min(F.struct("id", "tk", "place")).alias("at")), "distinct",
     )
     spread = distinct.groupBy("anchor").agg(F.count("*").alias("kinds"))
     wanted = (
-        distinct.join(spread, "anchor").groupBy("at.id", "at.tk")
+        spread_join(distinct, spread, ["anchor"], heavy, F.col("content")).groupBy("at.id", "at.tk")
         .agg(F.collect_list(F.struct(F.col("at.place").alias("place"), "anchor", "content", "weight", (F.col("kinds") > hot).alias("hot"))).alias("wanted"))
     )
     texts = docs.groupBy("id", "tk").agg(F.min("text").alias("text")) if _repeats_rows(docs) else docs
@@ -160,10 +162,11 @@ def repeated_segments(docs: DataFrame, scratch: Scratch, width: int, anchor: int
         single = windows.groupBy("window").agg(F.sum("weight").alias("weight"), F.min("words").alias("words"))
         single = single.select(F.col("window").alias("anchor"), F.lit(0).cast("long").alias("content"), "weight", "words", F.pmod(F.xxhash64("window"), shards(counts[1])).alias("shard"))
         twice = _search(single, width).select(F.col("anchor").alias("window"))
-        bits = windows.join(twice, "window").groupBy("anchor", "content").agg(F.bit_or(F.expr("shiftleft(1L, int(bit))")).alias("mask"))
+        often = windows.groupBy("window").agg(F.count("*").alias("n"))
+        bits = spread_join(windows, twice, ["window"], heavy_keys(scratch.save(often, "often"), ["window"], "n"), F.col("content")).groupBy("anchor", "content").agg(F.bit_or(F.expr("shiftleft(1L, int(bit))")).alias("mask"))
         masks = masks.unionByName(bits)
     masks = scratch.save(masks, "masks")
-    hits = alive.join(masks, ["anchor", "content"])
+    hits = spread_join(alive, masks, ["anchor", "content"], heavy_keys(distinct, ["anchor", "content"], "weight"), F.struct("id", "place"))
     return hits.groupBy("id", "tk").agg(F.collect_list(F.struct("place", "mask")).alias("places"))
 
 
@@ -180,6 +183,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     empty table gives an empty result, and other columns are ignored. Words are told apart by 64-bit
     hashes, segments by two of them.
     """
+    if not 1 <= anchor <= width or width - anchor + 1 > _MOST_WINDOWS:
+        raise ValueError(f"an anchor has at least one word and is at most {_MOST_WINDOWS - 1} words shorter than a window")
     ship(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "substring_dedup")
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("tk"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
