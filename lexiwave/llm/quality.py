@@ -2,9 +2,9 @@
 
 Each line has binary features read off its bytes. The field labels every line content or boilerplate,
 with weights for features and for pairs of neighbouring labels, and is fitted in numpy by gradient ascent
-on the likelihood (forward-backward) of a bounded sample of documents with a quality label: lines of a
-good document count as content, those of a bad one as boilerplate. The Viterbi path over all lines of a
-text decides: the share of words in content lines must reach ``LEAST_CONTENT``.
+on the likelihood (forward-backward) of a bounded sample of documents with a quality label, whose lines get
+labels of their own from it (``line_labels``). The Viterbi path over all lines of a text decides: the share
+of words in content lines must reach ``LEAST_CONTENT``.
 """
 
 from __future__ import annotations
@@ -18,15 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiwave.functions.shipping import ship
-from lexiwave.llm.bytewords import _BYTE_VALUE, RangeHash, Words, chunks, text_buffers
+from lexiwave.llm.bytewords import RunHash, Words, chunks, range_keys, text_buffers
 from lexiwave.llm.sampling import smallest_hashes
 
 LEAST_WORDS, MOST_REPEATED = 50, 50
 LEAST_CONTENT = 0.5
-#: bounds of the sample: documents of each quality, lines of a document
+#: bounds of the sample: documents of each quality, neighbouring lines of a document
 SAMPLE_DOCS, SAMPLE_LINES = 400, 200
 
-_BASE = 0xC6BC279692B5C323
 _SYMBOLS = b"#*$%&|<>"
 
 
@@ -75,7 +74,7 @@ class Lines:
         self.word_chars = in_word[offsets[1:]] - in_word[offsets[:-1]]
         self.n_symbols = self._sums(_SYMBOL[data], offsets)
         # windows of three words found twice in their text
-        hashes, starts = RangeHash(keys, _BASE), np.flatnonzero(words.doc[: max(len(keys) - 2, 0)] == words.doc[2:])
+        hashes, starts = RunHash(keys), np.flatnonzero(words.doc[: max(len(keys) - 2, 0)] == words.doc[2:])
         repeated = self._twice(words.doc[starts], hashes(starts, starts + 3))
         depth = np.zeros(len(keys) + 1, np.int64)
         for i in range(3):
@@ -100,7 +99,7 @@ class Lines:
         last_word = np.searchsorted(words.start, end)
         self.line_words = last_word - first_word
         worded = np.flatnonzero(self.line_words > 0)
-        copy = self._later(text[worded], RangeHash(_BYTE_VALUE[data])(begin[worded], end[worded]))
+        copy = self._later(text[worded], range_keys(data, begin[worded], end[worded]))
         is_copy = np.zeros(len(begin), bool)
         is_copy[worded[copy]] = True
         self.n_dup_lines = np.bincount(text[is_copy], minlength=texts)
@@ -179,9 +178,34 @@ class LineField:
                     now = came[i - a - 1][now]
         return out
 
+    @staticmethod
+    def expected(score: np.ndarray, live: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(log of the sum over all labellings, label probabilities, pair probabilities) of [T, N, 2] scores.
+
+        Sequences are columns and live from the first step on; pair probabilities [T - 1, N, 2, 2] are of
+        each step with the next. By the forward-backward recursions.
+        """
+        length, texts = live.shape
+        forward, backward = np.zeros((length, texts, 2)), np.zeros((length, texts, 2))
+        forward[0] = score[0]
+        for t in range(1, length):
+            new = np.logaddexp(forward[t - 1][:, :1] + pair[0], forward[t - 1][:, 1:] + pair[1]) + score[t]
+            forward[t] = np.where(live[t][:, None], new, forward[t - 1])
+        total = np.logaddexp(forward[-1][:, 0], forward[-1][:, 1])
+        for t in range(length - 2, -1, -1):
+            ahead = backward[t + 1] + score[t + 1]
+            new = np.logaddexp(ahead[:, :1] + pair[:, 0], ahead[:, 1:] + pair[:, 1])
+            backward[t] = np.where(live[t + 1][:, None], new, backward[t + 1])
+        one = np.exp(forward + backward - total[None, :, None]) * live[:, :, None]
+        two = np.exp(forward[:-1, :, :, None] + pair + (score[1:] + backward[1:])[:, :, None, :] - total[None, :, None, None]) * live[1:, :, None, None]
+        return total, one, two
+
     @classmethod
-    def fit(cls, features: np.ndarray, first: np.ndarray, label: np.ndarray, steps: int = 150, rate: float = 0.1, ridge: float = 3e-4, pair_ridge: float = 0.3) -> "LineField":
-        """Maximum likelihood for sequences of lines whose lines all have their text's label."""
+    def fit(
+        cls, features: np.ndarray, first: np.ndarray, label: np.ndarray, weight: np.ndarray | None = None, pairs: bool = True,
+        steps: int = 150, rate: float = 0.1, ridge: float = 3e-4, pair_ridge: float = 0.01,
+    ) -> "LineField":
+        """Maximum likelihood of the lines' labels; ``weight`` by text. Without ``pairs`` lines are independent."""
         counts = np.diff(first)
         texts, length = len(counts), int(counts.max(initial=1))
         at = np.arange(length)
@@ -189,37 +213,18 @@ class LineField:
         index = np.where(live, first[:-1][None, :] + at[:, None], 0)
         field = cls(np.zeros((FEATURES, 2)), np.zeros((2, 2)))
         moments = [(np.zeros_like(w), np.zeros_like(w)) for w in (field.line, field.pair)]
-        share = np.bincount(label, minlength=2) / texts
-        weight = 0.5 / np.maximum(share[label], 1e-9) / texts
+        per_text = (np.full(texts, 1 / texts) if weight is None else weight / weight.sum()) / np.maximum(counts, 1)
+        lines, own = features[index[live]], label[index]
+        truth = (own[:, :, None] == np.array([0, 1])) & live[:, :, None]
+        moved = truth[:-1, :, :, None] & truth[1:, :, None, :]
         for step in range(1, steps + 1):
-            score = field.scores(features)[index] * live[:, :, None]
-            forward, backward = np.zeros((length, texts, 2)), np.zeros((length, texts, 2))
-            forward[0] = score[0]
-            for t in range(1, length):
-                new = np.logaddexp(forward[t - 1][:, :1] + field.pair[0], forward[t - 1][:, 1:] + field.pair[1]) + score[t]
-                forward[t] = np.where(live[t][:, None], new, forward[t - 1])
-            total = np.logaddexp(forward[-1][:, 0], forward[-1][:, 1])
-            for t in range(length - 2, -1, -1):
-                ahead = backward[t + 1] + score[t + 1]
-                new = np.logaddexp(ahead[:, :1] + field.pair[:, 0], ahead[:, 1:] + field.pair[:, 1])
-                backward[t] = np.where(live[t + 1][:, None], new, backward[t + 1])
-            prob = np.exp(forward + backward - total[None, :, None]) * live[:, :, None]
-            truth = np.zeros_like(prob)
-            truth[:, np.arange(texts), label] = live
-            excess = (truth - prob) * weight[None, :, None] / np.maximum(counts, 1)[None, :, None]
+            _, one, two = cls.expected(field.scores(features)[index] * live[:, :, None], live, field.pair)
+            rows = ((truth - one) * per_text[None, :, None])[live]
             d_line = np.zeros_like(field.line)
-            rows = excess[live]
-            lines = features[index[live]]
             for k in range(lines.shape[1]):
                 for y in (0, 1):
                     d_line[:, y] += np.bincount(lines[:, k], rows[:, y], FEATURES)
-            d_pair = np.zeros((2, 2))
-            both = live[1:]
-            per_text = weight / np.maximum(counts, 1)
-            for a in (0, 1):
-                for b in (0, 1):
-                    p = np.exp(forward[:-1, :, a] + field.pair[a, b] + score[1:, :, b] + backward[1:, :, b] - total[None, :])
-                    d_pair[a, b] = ((((label == a) & (a == b))[None, :] - p) * both * per_text[None, :]).sum()
+            d_pair = ((moved - two) * per_text[None, :, None, None]).sum((0, 1)) * pairs
             for w, g, (m, v), r in ((field.line, d_line, moments[0], ridge), (field.pair, d_pair, moments[1], pair_ridge)):
                 g = g - r * w
                 m *= 0.9
@@ -230,24 +235,71 @@ class LineField:
         return field
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> LineField | None:
+#: in a good document a line counts as boilerplate only if it looks as little like content as this
+CLEAR = 0.1
+
+
+def line_labels(features: np.ndarray, first: np.ndarray, quality: np.ndarray) -> np.ndarray:
+    """1 for content and 0 for boilerplate, by line, from the qualities of whole texts.
+
+    Lines by themselves are told apart first, with their text's quality as label. A line of a bad text that
+    looks like those of good ones is content, and a line of a good text that clearly does not is boilerplate,
+    so labels differ within texts. A bad text keeps at least its least content-like line as boilerplate.
+    """
+    owner = np.repeat(np.arange(len(quality)), np.diff(first))
+    own = quality[owner]
+    share = np.bincount(own, minlength=2)
+    alone = LineField.fit(features, np.arange(len(own) + 1), own, 1 / np.maximum(share[own], 1), pairs=False)
+    score = alone.scores(features)
+    looks = 1 / (1 + np.exp(score[:, 0] - score[:, 1]))
+    label = np.where(own == 1, looks >= CLEAR, looks >= 0.5).astype(np.int64)
+    for t in np.flatnonzero(quality == 0).tolist():
+        a, b = first[t], first[t + 1]
+        if b > a:
+            label[a + int(looks[a:b].argmin())] = 0
+    return label
+
+
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS, lines: int = SAMPLE_LINES) -> LineField | None:
     """Fit on the ``sample`` labelled documents of each quality with the smallest hashed ids, or None.
 
-    Nothing is learned unless documents of both qualities are found.
+    Executors send features of lines, not texts. Of a document of more than ``lines`` lines, a run of that
+    many at a place hashed from its text is learned from. Nothing is learned unless documents of both
+    qualities are found.
     """
     marked = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     ids = None
     for q in (0, 1):
         some = smallest_hashes(marked.where(F.col("quality") == q), "doc_id", sample)
         ids = some if ids is None else ids.unionByName(some)
+    ship(docs.sparkSession)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                data, offsets = text_buffers(part.column(2))
+                found, out = Lines(data, offsets), []
+                for i in range(part.num_rows):
+                    a, b = found.first[i], found.first[i + 1]
+                    if b - a > lines:
+                        a += int(range_keys(data, offsets[i : i + 1], offsets[i + 1 : i + 2])[0] % np.uint64(b - a - lines + 1))
+                    out.append(found.features[a : min(b, a + lines)].astype("<i2").tobytes())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.binary())], names=["doc_id", "quality", "features"])
+
     # at most 2 * sample ids go to every executor
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").where(F.col("text").isNotNull()).groupBy("doc_id", "quality").agg(
-        F.min("text").alias("text")).select("quality", F.array_join(F.slice(F.split("text", "\n", -1), 1, SAMPLE_LINES), "\n").alias("text")).collect()
+    rows = (
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        .join(F.broadcast(ids.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))), "doc_id").where(F.col("text").isNotNull())
+        .select("doc_id", "quality", "text").mapInArrow(work, "doc_id long, quality int, features binary")
+        .groupBy("doc_id", "quality").agg(F.min("features").alias("features")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    )
     quality = np.array([r.quality for r in rows], np.int64)
     if len(set(quality.tolist())) < 2:
         return None
-    lines = Lines(*text_buffers(pa.array([r.text for r in rows], pa.string())))
-    return LineField.fit(lines.features, lines.first, quality)
+    each = [np.frombuffer(r.features, "<i2").reshape(-1, len(BINS)).astype(np.int64) for r in rows]
+    features, first = np.concatenate(each), np.concatenate([[0], np.cumsum([len(x) for x in each])])
+    share = np.bincount(quality, minlength=2)
+    return LineField.fit(features, first, line_labels(features, first, quality), 1 / share[quality])
 
 
 def judge(docs: DataFrame, field: LineField | None, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST_CONTENT) -> DataFrame:
