@@ -12,9 +12,11 @@ _SETTING = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where it is unset (tests), a new local one."""
+    """The folder named in spark.checkpoint.dir; where it is unset, a new local one in local mode, else an error."""
     path = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING, None)
     if not path:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError(f"{_SETTING} must name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="lexiwave-")
         spark.conf.set(_SETTING, path)
     return path.rstrip("/")

@@ -2,6 +2,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -61,12 +62,39 @@ def test_field():
         s = rng.normal(size=(n, 2))
         value = lambda y: sum(s[i, y[i]] for i in range(n)) + sum(pair[a, b] for a, b in zip(y, y[1:]))
         assert tuple(quality.LineField(np.zeros((1, 2)), pair).labels(s, np.array([0, n]))) == max(itertools.product((0, 1), repeat=n), key=value)
+    for _ in range(20):  # forward-backward against all labellings
+        n, pair = int(rng.integers(1, 6)), rng.normal(size=(2, 2))
+        s = rng.normal(size=(n + 2, 2, 2))
+        live = np.stack([np.arange(n + 2) < n, np.arange(n + 2) < n + 2], axis=1)
+        total, one, two = quality.LineField.expected(s * live[:, :, None], live, pair)
+        for column, m in ((0, n), (1, n + 2)):
+            every = {y: np.exp(sum(s[i, column, y[i]] for i in range(m)) + sum(pair[a, b] for a, b in zip(y, y[1:]))) for y in itertools.product((0, 1), repeat=m)}
+            z = sum(every.values())
+            assert np.isclose(total[column], np.log(z)) and not one[m:, column].any() and not two[max(m - 1, 0) :, column].any()
+            assert all(np.isclose(one[i, column, a], sum(v for y, v in every.items() if y[i] == a) / z) for i in range(m) for a in (0, 1))
+            assert all(np.isclose(two[i, column, a, b], sum(v for y, v in every.items() if y[i : i + 2] == (a, b)) / z) for i in range(m - 1) for a in (0, 1) for b in (0, 1))
     good = ["\n".join("some plain words of usual length in a line of prose" for _ in range(3))] * 20
     bad = ["\n".join("## $$ || %%%" for _ in range(4))] * 20
     lines = quality.Lines(*text_buffers(pa.array(good + bad)))
-    field = quality.LineField.fit(lines.features, lines.first, np.array([1] * 20 + [0] * 20), steps=40)
+    field = quality.LineField.fit(lines.features, lines.first, np.array([1] * 60 + [0] * 80), steps=40)
     labels = field.labels(field.scores(lines.features), lines.first)
     assert labels[:60].all() and not labels[60:].any()
+    # lines of a bad text that look like good ones are told from the rest
+    half = ["\n".join([good[0].split("\n")[0]] * 2 + ["## $$ || %%%"] * 3)] * 20
+    lines = quality.Lines(*text_buffers(pa.array(good + half)))
+    marks = quality.line_labels(lines.features, lines.first, np.array([1] * 20 + [0] * 20))
+    assert marks.tolist() == [1] * 60 + [1, 1, 0, 0, 0] * 20 or marks[60:].reshape(20, 5)[:, 2:].sum() == 0
+    field = quality.LineField.fit(lines.features, lines.first, marks, steps=60)
+    assert len(set(field.labels(field.scores(lines.features), lines.first)[60:65].tolist())) == 2
+
+
+def test_learning_from_tables(spark):
+    good, bad = "some plain words of usual length in a line of prose\n" * 3, "## $$ || %%%\n" * 300 + "some plain words of usual length"
+    docs = spark.createDataFrame([(i, good if i % 2 else bad) for i in range(40)] + [(None, good), (1, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)] + [(None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
+    field = quality.learn(docs, labels, lines=50)
+    shares = {r.id: r.content_share for r in quality.judge(docs.where("text is not null and doc_id is not null"), field).collect()}
+    assert all((s > 0.5) == bool(i % 2) for i, s in shares.items())
 
 
 # op5
@@ -80,6 +108,20 @@ def test_licences(spark):
     assert licences.scan_licences(docs, templates={}).where("licence is not null").count() == 0
 
 
+def test_whole_licences_and_several_in_a_text(spark, tmp_path):
+    three = licences.TEMPLATES["BSD-3-Clause"][2].replace("met: 1.", "met:\n\n1.").replace("THIS SOFTWARE", "\n\nTHIS SOFTWARE")
+    mit = licences.TEMPLATES["MIT"][2].replace("conditions: The", "conditions:\n\nThe").replace("THE SOFTWARE IS", "\n\nTHE SOFTWARE IS")
+    texts = [mit, mit.replace("\n", " "), f"{prose(1, 50)}\n{three}\n{prose(2, 50)}\n{mit}", licences.TEMPLATES["LGPL-2.1"][0], licences.TEMPLATES["AGPL-3.0"][1]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = licences.scan_licences(docs).orderBy("id").collect()
+    assert [r.licence for r in got] == ["MIT", "MIT", "BSD-3-Clause", "LGPL-2.1", "AGPL-3.0"]
+    assert {x.licence: x.dice for x in got[2].licences}["MIT"] == 1.0 and all(r.dice == 1 for r in got)
+    (tmp_path / "Own").write_text("one two three four five six\nseven eight nine ten")
+    own = licences.read_templates(str(tmp_path))
+    found = licences.scan_licences(spark.createDataFrame([(1, "zero One, two three four five six seven eight nine ten eleven")], "doc_id long, text string"), templates=own).first()
+    assert (found.licence, found.dice) == ("Own", 1.0)
+
+
 def test_licences_across_paragraphs_and_neighbours(spark):
     apache, gpl, bsd = licences.TEMPLATES["Apache-2.0"][1], licences.TEMPLATES["GPL-3.0"][1], licences.TEMPLATES["BSD-2-Clause"][1]
     apache = apache.replace("License. You may", "License.\n\n  You may").replace("Unless required", "\n\nUnless required")
@@ -135,18 +177,27 @@ def test_entropy(spark):
     assert all(abs(r.e - brute(r.s.replace("é", "~"))) < 1e-9 for r in got)
 
 
+def test_entropy_of_a_long_run_takes_linear_time(spark):
+    rng = random.Random(3)
+    run = "".join(rng.choice(secrets.ALPHABET) for _ in range(100_000))
+    begin = time.time()
+    row = secrets.scan_secrets(spark.createDataFrame([("k " + run,)], "text string")).select("ss_spans").first()
+    assert [(s.start, s.rank, s.end) for s in row.ss_spans] == [(2, 3, 100_002)] and time.time() - begin < 30
+
+
 # op7
 
 @pytest.mark.parametrize("limit", [line_dedup.BROADCAST_LINES, 0])
 def test_lines(spark, limit, monkeypatch):
     monkeypatch.setattr(line_dedup, "BROADCAST_LINES", limit)
-    docs = documents(spark, ["menu\n x \nown", "menu\n\nmenu\nother", "menu\n x "])
+    docs = documents(spark, ["menu\n x \nown", "menu\n\nmenu\nother", "menu\n x "]).withColumns({"ld_keys": F.lit("k"), "hits": F.lit(1), "row": F.lit(2)})
     got = line_dedup.drop_boilerplate(docs, ratio=0.4, min_pages=2).collect()
     rows = [(r.source, r.text) for r in docs.collect()]
     total, pages = Counter(s for s, _ in rows), Counter()
     for s, t in rows:
         pages.update((s, x) for x in set((t or "").split("\n")) if x.strip(" "))
     bad = {k for k, n in pages.items() if n >= 2 and n > 0.4 * total[k[0]]}
+    assert all((r.ld_keys, r.hits, r.row) == ("k", 1, 2) for r in got)
     expect = Counter((s, t, None if t is None else "\n".join(x for x in t.split("\n") if (s, x) not in bad)) for s, t in rows)
     assert Counter((r.source, r.text, r.ld_text) for r in got) == expect and bad
     assert line_dedup.drop_boilerplate(empty(docs)).count() == 0
@@ -167,6 +218,20 @@ def test_stage_drops_lines_of_small_sites(spark):
 
 # op10
 
+def test_bpe_tells_pretokens_apart_by_bytes(monkeypatch):
+    path = public_tokenizers.path(bpe.VOCABULARY)
+    plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.encoder(path).ranks, special_tokens={})
+    text = "the\nten thé tax token other tokens"
+    for keys in (bpe.range_keys, lambda data, a, b: np.minimum(b - a, 3).astype(np.uint64)):  # the second collides
+        monkeypatch.setattr(bpe, "range_keys", keys)
+        ids, at = bpe.TextCoder(path).encode(*text_buffers(pa.array([text, text[4:]])))
+        assert ids[: at[1]].tolist() == plain.encode_ordinary(text) and ids[at[1] :].tolist() == plain.encode_ordinary(text[4:])
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    two = one.translate(str.maketrans("ab", "ba"))
+    ids, _ = bpe.TextCoder(path).encode(*text_buffers(pa.array([f"{one}\n{two}"])))
+    assert ids.tolist() == plain.encode_ordinary(f"{one}\n{two}")
+
+
 def test_bpe_cuts_and_merges():
     path = public_tokenizers.path(bpe.VOCABULARY)
     coder, cut = bpe.TextCoder(path, remembered=50), regex.compile(public_tokenizers.PATTERN)
