@@ -51,8 +51,11 @@ class Clusters:
     sse: float
 
 
-def _stats(points: DataFrame, centre: np.ndarray, score) -> list:
-    """Sums of (share, share * x, share * x x', score) by cluster; ``score(x) -> (shares [n, k], per-point number)``."""
+def _stats(points: DataFrame, centre: np.ndarray, score, squares: bool = True) -> list:
+    """Sums of (share, share * x, share * x x', score) by cluster; ``score(x) -> (shares [n, k], per-point number)``.
+
+    Every task adds up its batches; without ``squares`` second moments are left out.
+    """
     ship(points.sparkSession)
     k, d = centre.shape
 
@@ -64,41 +67,60 @@ def _stats(points: DataFrame, centre: np.ndarray, score) -> list:
                 share, number = score(x)
                 n += share.sum(0)
                 first += share.T @ x
-                second += np.einsum("nk,ni,nj->kij", share, x, x, optimize=True)
+                if squares:
+                    second += np.einsum("nk,ni,nj->kij", share, x, x, optimize=True)
                 total += float(number.sum())
-        yield pd.DataFrame({"k": range(k), "n": n, "first": list(first), "second": [s.ravel() for s in second], "total": [total] + [0.0] * (k - 1)})
+        sums = [np.concatenate([[n[i], total if i == 0 else 0.0], first[i], second[i].ravel() if squares else []]) for i in range(k)]
+        yield pd.DataFrame({"k": range(k), "sums": sums})
 
-    parts = points.select("x").mapInPandas(work, "k int, n double, first array<double>, second array<double>, total double")
-    add = lambda c: parts.select("k", F.posexplode(c).alias("i", "v")).groupBy("k", "i").agg(F.sum("v").alias("v")).groupBy("k").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias(c))
-    rows = parts.groupBy("k").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).join(add("first"), "k").join(add("second"), "k").orderBy("k").collect()
-    n, first = np.array([r.n for r in rows]), np.array([r.first for r in rows])
-    return [n, first, np.array([r.second for r in rows]).reshape(k, d, d), sum(r.total for r in rows)]
+    parts = points.select("x").mapInPandas(work, "k int, sums array<double>")
+    rows = parts.select("k", F.posexplode("sums").alias("i", "v")).groupBy("k", "i").agg(F.sum("v").alias("v")).groupBy("k").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("sums")).orderBy("k").collect()
+    sums = np.array([r.sums for r in rows])
+    return [sums[:, 0], sums[:, 2 : 2 + d], sums[:, 2 + d :].reshape(k, d, d) if squares else None, float(sums[:, 1].sum())]
 
 
 def kmeans(points: DataFrame, k: int, turns: int = 1000, attempts: int = 5, seed: int = 0) -> Clusters:
-    """The best by squared error of several runs from random distinct points, each until its centres stand still."""
-    best = None
+    """The best by squared error of several runs from random distinct points, each until no centre moves by a millionth of the spread.
+
+    Second moments are summed once, for the best run. Fewer than ``k`` distinct points are an error.
+    """
+    if k < 1 or attempts < 1 or turns < 1:
+        raise ValueError("clusters, attempts and turns are 1 or more")
     some = np.array([r.x for r in points.select("x").distinct().orderBy(F.xxhash64("x"), "x").limit(k * attempts * 4).collect()])
-    rng = np.random.default_rng(seed)
-    for _ in range(attempts):
-        centre = some[rng.permutation(len(some))[:k]]
-        for _ in range(turns):
-            def score(x, c=centre):
-                far = ((x[:, None, :] - c[None, :, :]) ** 2).sum(2)
-                near = far.argmin(1)
-                return np.eye(len(c))[near], far[np.arange(len(x)), near]
-
-            n, first, second, sse = _stats(points, centre, score)
-            new = np.where(n[:, None] > 0, first / np.maximum(n, 1)[:, None], 0.0)
-            if (new == centre).all():
-                break
-            centre = new
-        mean = first / np.maximum(n, 1)[:, None]
-        cov = (second - n[:, None, None] * mean[:, :, None] * mean[:, None, :]) / np.maximum(n - 1, 1)[:, None, None] + RIDGE * np.eye(centre.shape[1])
-        if best is None or sse < best.sse:
-            best = Clusters(n / n.sum(), centre, cov, sse)
-    return best
+    if len(some) < k:
+        raise ValueError(f"{len(some)} distinct points for {k} clusters")
+    kept = points.select("x").persist()  # read by every turn; lost blocks are read again
+    rng, best = np.random.default_rng(seed), None
+    least = 1e-6 * max(float(some.std()), 1e-12)
+
+    def score(centre):
+        def of(x):
+            far = ((x[:, None, :] - centre[None, :, :]) ** 2).sum(2)
+            near = far.argmin(1)
+            return np.eye(len(centre))[near], far[np.arange(len(x)), near]
+
+        return of
+
+    try:
+        for _ in range(attempts):
+            centre = some[rng.permutation(len(some))[:k]]
+            for _ in range(turns):
+                n, first, _, sse = _stats(kept, centre, score(centre), squares=False)
+                new = np.where(n[:, None] > 0, first / np.maximum(n, 1)[:, None], 0.0)
+                still = np.abs(new - centre).max() <= least
+                centre = new
+                if still:
+                    break
+            if best is None or sse < best[0]:
+                best = (sse, centre)
+        sse, centre = best
+        n, first, second, sse = _stats(kept, centre, score(centre))
+    finally:
+        kept.unpersist()
+    mean = first / np.maximum(n, 1)[:, None]
+    cov = (second - n[:, None, None] * mean[:, :, None] * mean[:, None, :]) / np.maximum(n - 1, 1)[:, None, None] + RIDGE * np.eye(centre.shape[1])
+    return Clusters(n / n.sum(), centre, cov, sse)
 
 
 @dataclass
@@ -127,6 +149,18 @@ class Mixture:
         return np.exp(-self.nlp(x))
 
 
+def densities(points: DataFrame, mixture: Mixture) -> DataFrame:
+    """(id, nlp) of (id, x): the neglog density of every point."""
+    ship(points.sparkSession)
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                yield pd.DataFrame({"id": batch["id"], "nlp": mixture.nlp(np.stack(batch["x"].to_numpy()))})
+
+    return points.select("id", "x").mapInPandas(work, f"id {points.schema['id'].dataType.simpleString()}, nlp double")
+
+
 def one_component(points: DataFrame) -> Mixture:
     """The closed form of a one-component mixture: mean and population covariance with a ridge."""
     d = len(points.first().x)
@@ -135,6 +169,22 @@ def one_component(points: DataFrame) -> Mixture:
     return Mixture(np.ones(1), mean, second / n[:, None, None] - mean[:, :, None] * mean[:, None, :] + RIDGE * np.eye(d))
 
 
+def mixture_start(points: DataFrame, k: int, init: str = "kmeans", turns: int = 1000, attempts: int = 5, seed: int = 0) -> Mixture:
+    """Where expectation maximisation begins: clusters, or equal weights, random distinct points and the points' sample covariance."""
+    if init == "kmeans":
+        got = kmeans(points, k, turns, attempts, seed)
+        return Mixture(got.weight, got.centre, got.covariance)
+    if init != "random":
+        raise ValueError("a mixture starts from kmeans or random points")
+    means = [r.x for r in points.select("x").distinct().orderBy(F.xxhash64("x", F.lit(seed)), "x").limit(k).collect()]
+    if len(means) < k:
+        raise ValueError(f"{len(means)} distinct points for {k} components")
+    d = len(means[0])
+    n, first, second, _ = _stats(points, np.zeros((1, d)), lambda x: (np.ones((len(x), 1)), np.zeros(len(x))))
+    cov = (second[0] - np.outer(first[0], first[0]) / n[0]) / max(n[0] - 1, 1)
+    return Mixture(np.full(k, 1 / k), np.array(means), np.repeat(cov[None], k, 0))
+
+
 def gmm(points: DataFrame, start: Mixture, turns: int = 1000, eps: float = 1e-5, ignore_eps: bool = False) -> Mixture:
     """Expectation maximisation with responsibilities in log space; covariances about the old means.
 

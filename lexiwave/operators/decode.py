@@ -17,6 +17,7 @@ from lexiwave.operators.hmm import WordModel
 from lexiwave.operators.text import END
 
 LM_SCALE, WORD_PENALTY = 15.0, 0.5
+HYPOTHESES = "utt string, rank int, cost double, words array<string>, phones array<string>"
 
 
 @dataclass
@@ -46,6 +47,8 @@ class Decoder:
 
     def n_best(self, emissions: list[np.ndarray], n: int, distinct_words: bool = False) -> list[Hypothesis]:
         """The n best state paths; with ``distinct_words`` one a word sequence."""
+        if n < 1:
+            raise ValueError("one hypothesis or more")
         search = self._compat if self.compat else self._passing
         found, seen = [], set()
         for h in search(emissions, n):
@@ -60,9 +63,15 @@ class Decoder:
         """The n best ways into each state of a word from the frame before."""
         moves = self.models[w].transitions
         out = []
-        for j, cost in enumerate(emission.tolist()):
-            ways = ((e[0] + moves[i, j] + cost, i, r) for i, entries in enumerate(before) for r, e in enumerate(entries))
-            out.append([(c, w, i, False, r) for c, i, r in heapq.nsmallest(n, ways) if np.isfinite(c)])
+        costs = np.array([e[0] for entries in before for e in entries])
+        if not len(costs):
+            return [[] for _ in emission]
+        state = np.repeat(np.arange(len(before)), [len(entries) for entries in before])
+        rank = np.concatenate([np.arange(len(entries)) for entries in before])
+        ways = costs[:, None] + moves[state] + emission[None, :]
+        order = np.argsort(ways, axis=0, kind="stable")[:n]  # of equals the least state, then the least rank
+        for j, best in enumerate(order.T):
+            out.append([(float(ways[x, j]), w, int(state[x]), False, int(rank[x])) for x in best if np.isfinite(ways[x, j])])
         return out
 
     def _compat(self, emissions: list[np.ndarray], n: int) -> Iterator[Hypothesis]:
@@ -117,24 +126,39 @@ class Decoder:
             yield Hypothesis(c, list(a), list(b))
 
 
+def recognise_arrays(utterances: DataFrame, decoder: Decoder, n: int = 1) -> DataFrame:
+    """The same of (utt, frames) rows, whose frames are an array of feature arrays in order: no shuffle."""
+    ship(utterances.sparkSession)
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for utt, frames in batch.itertuples(index=False):
+                yield _found(utt, np.stack(frames), decoder, n)
+
+    return utterances.where(F.size("frames") > 0).select("utt", "frames").mapInPandas(work, HYPOTHESES)
+
+
+def _found(utt: str, x: np.ndarray, decoder: Decoder, n: int) -> pd.DataFrame:
+    found = decoder.n_best([m.emissions(x) for m in decoder.models], n)
+    return pd.DataFrame({
+        "utt": utt, "rank": np.arange(len(found), dtype="int32"), "cost": [h.cost for h in found], "words": [h.words for h in found], "phones": [h.phones for h in found]})
+
+
 def recognise(frames: DataFrame, decoder: Decoder, n: int = 1) -> DataFrame:
     """(utt, rank, cost, words, phones) of (utt, frame_no, features): utterances are decoded side by side."""
     ship(frames.sparkSession)
 
     def work(key, rows: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(rows.sort_values("frame_no")["features"].to_numpy())
-        found = decoder.n_best([m.emissions(x) for m in decoder.models], n)
-        return pd.DataFrame({
-            "utt": key[0], "rank": np.arange(len(found), dtype="int32"), "cost": [h.cost for h in found], "words": [h.words for h in found], "phones": [h.phones for h in found]})
+        return _found(key[0], np.stack(rows.sort_values("frame_no")["features"].to_numpy()), decoder, n)
 
-    return frames.select("utt", "frame_no", "features").groupBy("utt").applyInPandas(work, "utt string, rank int, cost double, words array<string>, phones array<string>")
+    return frames.select("utt", "frame_no", "features").groupBy("utt").applyInPandas(work, HYPOTHESES)
 
 
 def word_costs(words: list[str], model: lms.LanguageModel) -> np.ndarray:
     """Bigram neglogs of every two words, from a bigram model: one small table."""
     if model.n != 2:
         raise ValueError("the decoder takes a bigram model")
-    spark = model.counts.sparkSession
+    spark = model.vocab.sparkSession
     rows = spark.createDataFrame([("all", [a, b], 1) for a in words for b in words], "model string, gram array<string>, times int")
     scored = {tuple(r.gram): r.nlp for r in model.score(rows).collect()}
     return np.array([[scored[a, b] for b in words] for a in words])

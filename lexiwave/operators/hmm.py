@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from lexiwave.functions.neglog import array_sum
 from lexiwave.functions.shipping import ship
-from lexiwave.operators.cluster import Mixture
+from lexiwave.operators.cluster import RIDGE, Mixture
 
 INF = np.inf
 
@@ -101,17 +101,40 @@ def component_occupancy(gamma: np.ndarray, model: WordModel, x: np.ndarray) -> n
     return np.stack([(gamma[:, i][:, None] + s.component_nlp(x) - s.nlp(x)[:, None]).T for i, s in enumerate(model.states)])
 
 
-def baum_welch(model: WordModel, emissions: list[np.ndarray], eps: float = 1e-4, turns: int = 1000, ignore_eps: bool = False) -> tuple[WordModel, bool]:
+def refit_mixtures(model: WordModel, features: list[np.ndarray], gammas: list[np.ndarray]) -> WordModel:
+    """Mixtures re-estimated from the occupancies of their components: weights by the state's, covariances about the old means."""
+    x = np.concatenate(features)
+    shares = np.exp(-np.concatenate([np.moveaxis(component_occupancy(g, model, own), 2, 0) for g, own in zip(gammas, features)]))
+    states = []
+    for i, s in enumerate(model.states):
+        share = shares[:, i]
+        size = np.maximum(share.sum(0), 1e-300)
+        covariance = []
+        for k in range(len(s.weight)):
+            apart = x - s.mean[k]
+            covariance.append((share[:, k, None] * apart).T @ apart / size[k] + RIDGE * np.eye(x.shape[1]))
+        states.append(Mixture(size / size.sum(), share.T @ x / size[:, None], np.array(covariance)))
+    return replace(model, states=states)
+
+
+def baum_welch(
+    model: WordModel, emissions: list[np.ndarray], eps: float = 1e-4, turns: int = 1000, ignore_eps: bool = False, features: list[np.ndarray] | None = None,
+) -> tuple[WordModel, bool]:
     """Start and transition probabilities from many utterances' emissions; whether it converged.
 
-    Statistics of the utterances are summed. States that are never left keep their row.
+    Statistics of the utterances are summed. States that are never left keep their row. With ``features``
+    the mixtures are re-estimated too, from the same occupancies, and give the next turn's emissions; their
+    states must have the same number of components.
     """
     before = INF
     for _ in range(turns):
-        start, moved, left, likelihood = [], [], [], 0.0
+        start, moved, left, gammas, likelihood = [], [], [], [], 0.0
+        if features is not None:
+            emissions = [model.emissions(x) for x in features]
         for e in emissions:
             alpha, beta = forward(model.initial, model.transitions, e), backward(model.transitions, e)
             gamma = occupancy(alpha, beta)
+            gammas.append(gamma)
             start.append(gamma[0])
             if len(e) > 1:
                 moved.append(logsum(transit(alpha, beta, model.transitions, e), 0))
@@ -122,6 +145,8 @@ def baum_welch(model: WordModel, emissions: list[np.ndarray], eps: float = 1e-4,
         if moved:
             total, rows = logsum(np.stack(moved), 0), logsum(np.stack(left), 0)
             transitions = np.where(np.isinf(rows)[:, None], transitions, total - np.where(np.isinf(rows), 0, rows)[:, None])
+        if features is not None:
+            model = refit_mixtures(model, features, gammas)
         model = replace(model, initial=initial, transitions=transitions)
         if not ignore_eps and abs(likelihood - before) < eps:
             return model, True
@@ -169,6 +194,46 @@ def likelihoods(sequences: DataFrame, key: str, emissions: str, initial: np.ndar
     return sequences.select(key, emissions).mapInPandas(work, f"{key} {kind}, forward_nlp double, backward_nlp double, gamma array<double>, xi array<double>")
 
 
+def best_paths(sequences: DataFrame, key: str, emissions: str, initial: np.ndarray, transitions: np.ndarray) -> DataFrame:
+    """(key, cost, path) of rows with an array of emission arrays: the Viterbi path, of equal ones the least state at each step back."""
+    ship(sequences.sparkSession)
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for k, e in batch.itertuples(index=False):
+                e = np.stack(e)
+                cost, came = initial + e[0], np.zeros((len(e), len(initial)), int)
+                for t in range(1, len(e)):
+                    ways = cost[:, None] + transitions
+                    came[t] = ways.argmin(0)
+                    cost = ways.min(0) + e[t]
+                path = [int(cost.argmin())]
+                for t in range(len(e) - 1, 0, -1):
+                    path.append(int(came[t][path[-1]]))
+                rows.append((k, float(cost.min()), path[::-1]))
+            yield pd.DataFrame(rows, columns=[key, "cost", "path"])
+
+    kind = sequences.schema[key].dataType.simpleString()
+    return sequences.select(key, emissions).mapInPandas(work, f"{key} {kind}, cost double, path array<int>")
+
+
+def posteriors(sequences: DataFrame, key: str, emissions: str, initial: np.ndarray, transitions: np.ndarray) -> DataFrame:
+    """(key, t, beta, gamma) of every frame: neglogs of what follows it, and probabilities of its states."""
+    ship(sequences.sparkSession)
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for k, e in batch.itertuples(index=False):
+                e = np.stack(e)
+                beta = backward(transitions, e)
+                gamma = np.exp(-occupancy(forward(initial, transitions, e), beta))
+                yield pd.DataFrame({key: k, "t": np.arange(len(e), dtype="int32"), "beta": list(beta), "gamma": list(gamma)})
+
+    kind = sequences.schema[key].dataType.simpleString()
+    return sequences.select(key, emissions).mapInPandas(work, f"{key} {kind}, t int, beta array<double>, gamma array<double>")
+
+
 def _matrix(rows: np.ndarray) -> Column:
     return F.array(*[F.array(*map(F.lit, r)) for r in np.asarray(rows).tolist()])
 

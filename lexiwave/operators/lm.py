@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiwave.functions.neglog import clamp, inf, neglog, ratio
-from lexiwave.operators.text import END, UNKNOWN, context, count_of_counts, gram_counts, padded, suffix, vocabulary, windows
+from lexiwave.functions.scratch import Scratch, small
+from lexiwave.operators.text import END, UNKNOWN, context, count_of_counts, counted_vocabulary, gram_counts, padded, suffix, vocabulary, windows
 
 UNSEEN = 1e-9
 
@@ -26,6 +27,12 @@ def context_totals(counts: DataFrame, n: int) -> DataFrame:
     return counts.where(F.col("ord") == n).groupBy("model", context(F.col("gram")).alias("ctx")).agg(F.sum("cnt").alias("ctx_cnt"))
 
 
+def with_context_totals(grams: DataFrame) -> DataFrame:
+    """``grams`` with ctx_cnt, the sum over its context. A context has at most a vocabulary of grams; they are sorted by one string."""
+    words = F.array_join(context(F.col("gram")), " ")
+    return grams.withColumn("ctx_cnt", F.sum("cnt").over(Window.partitionBy("model", words)))
+
+
 def additive(counts: DataFrame, vocab: DataFrame, n: int, extra: float) -> DataFrame:
     """(model, gram, cnt, nlp) of the observed grams: (cnt + extra) / (context + extra * v).
 
@@ -33,9 +40,8 @@ def additive(counts: DataFrame, vocab: DataFrame, n: int, extra: float) -> DataF
     """
     if extra < 0:
         raise ValueError("the addition must not be negative")
-    top = counts.where(F.col("ord") == n).withColumn("ctx", context(F.col("gram")))
     return (
-        top.join(context_totals(counts, n), ["model", "ctx"]).join(F.broadcast(vocabulary_size(vocab)), "model")
+        with_context_totals(counts.where(F.col("ord") == n)).join(small(vocabulary_size(vocab)), "model")
         .select("model", "gram", "cnt", neglog(ratio(F.col("cnt") + extra, F.col("ctx_cnt") + extra * F.col("v"))).alias("nlp"))
     )
 
@@ -65,7 +71,7 @@ def score_additive(test: DataFrame, counts: DataFrame, vocab: DataFrame, n: int,
     top = counts.where(F.col("ord") == n).select("model", "gram", "cnt")
     return (
         test.withColumn("ctx", context(F.col("gram"))).join(top, ["model", "gram"], "left").join(context_totals(counts, n), ["model", "ctx"], "left")
-        .join(F.broadcast(vocabulary_size(vocab)), "model")
+        .join(small(vocabulary_size(vocab)), "model")
         .withColumn("nlp", neglog(ratio(F.coalesce("cnt", F.lit(0)) + extra, F.coalesce("ctx_cnt", F.lit(0)) + extra * F.col("v"))))
         .drop("ctx", "cnt", "ctx_cnt", "v")
     )
@@ -101,15 +107,17 @@ def good_turing(counts: DataFrame, vocab: DataFrame, n: int) -> GoodTuring:
     lnz = lambda r: F.col("slope") * F.ln(r) + F.col("intercept")
     r = F.col("cnt").cast("double")
     raw = (
-        counts.where(F.col("ord") == n).withColumn("ctx", context(F.col("gram"))).join(F.broadcast(fit), "model")
+        counts.where(F.col("ord") == n).withColumn("ctx", context(F.col("gram"))).join(small(fit), "model")
         .withColumn("p", F.exp(F.ln(r + 1) + lnz(r + 1) - lnz(r) - F.ln("total")))
     )
+    sizes, mass = small(vocabulary_size(vocab)), lambda seen, words, p0: seen + (F.col("v") - words) * p0
     contexts = (
         raw.groupBy("model", "ctx").agg(F.sum("p").alias("seen"), F.count("*").alias("words"), F.max("p0").alias("p0"))
-        .join(F.broadcast(vocabulary_size(vocab)), "model")
-        .select("model", "ctx", (F.col("seen") + (F.col("v") - F.col("words")) * F.col("p0")).alias("z"))
+        .join(sizes, "model").select("model", "ctx", mass(F.col("seen"), F.col("words"), F.col("p0")).alias("z"))
     )
-    probs = raw.join(contexts, ["model", "ctx"]).select("model", "gram", "cnt", neglog(F.col("p") / F.col("z")).alias("nlp"))
+    by = Window.partitionBy("model", F.array_join("ctx", " "))
+    z = mass(F.sum("p").over(by), F.count("*").over(by), F.col("p0"))
+    probs = raw.join(sizes, "model").withColumn("z", z).select("model", "gram", "cnt", neglog(F.col("p") / F.col("z")).alias("nlp"))
     return GoodTuring(fit, contexts, probs)
 
 
@@ -117,7 +125,7 @@ def score_good_turing(test: DataFrame, model: GoodTuring, vocab: DataFrame) -> D
     """``test`` with nlp: the gram's, or an unseen gram's share of its context, or 1 / v in an unseen context."""
     return (
         test.withColumn("ctx", context(F.col("gram"))).join(model.probs.select("model", "gram", F.col("nlp").alias("own")), ["model", "gram"], "left")
-        .join(model.contexts, ["model", "ctx"], "left").join(F.broadcast(model.fit.select("model", "p0")), "model").join(F.broadcast(vocabulary_size(vocab)), "model")
+        .join(model.contexts, ["model", "ctx"], "left").join(small(model.fit.select("model", "p0")), "model").join(small(vocabulary_size(vocab)), "model")
         .withColumn("nlp", F.coalesce("own", F.when(F.col("z").isNotNull(), neglog(F.col("p0") / F.col("z"))), F.ln(F.col("v").cast("double"))))
         .drop("ctx", "own", "z", "p0", "v")
     )
@@ -155,22 +163,30 @@ def katz_discounts(counts: DataFrame, k: int = 5) -> DataFrame:
     return named.where(F.col("r") <= k).select("model", "ord", "r", F.coalesce(clamp(d), F.lit(1.0)).alias("d"))
 
 
-def katz(counts: DataFrame, n: int, k: int = 5, reserved: float = 0.01) -> Katz:
-    """Katz back-off of order n: discounted observed grams and the weights of backing off from contexts."""
+def katz(counts: DataFrame, n: int, k: int = 5, reserved: float = 0.01, contexts: DataFrame | None = None) -> Katz:
+    """Katz back-off of order n: discounted observed grams and the weights of backing off from contexts.
+
+    With ``contexts``, rows of (model, ord, ctx), tables of orders above 1 hold only grams and weights of
+    these; a context's own tail must be among them too, as in ``test_contexts``.
+    """
+    if k < 1 or not 0 < reserved < 1:
+        raise ValueError("k is 1 or more, and the reserved probability is between 0 and 1")
     discounts = katz_discounts(counts, k)
     total = counts.where("ord = 1").groupBy("model").agg(F.sum("cnt").alias("total"))
-    ones = counts.where("ord = 1").join(F.broadcast(total), "model").select(
+    ones = counts.where("ord = 1").join(small(total), "model").select(
         "model", "ord", "gram", "cnt", ((1 - reserved) * F.col("cnt") / F.col("total")).alias("p"))
     parts = [ones]
     for m in range(2, n + 1):
         grams = counts.where(F.col("ord") == m).withColumn("ctx", context(F.col("gram"))).withColumn("r", F.col("cnt"))
+        if contexts is not None:
+            grams = grams.join(contexts.where(F.col("ord") == m).select("model", "ctx"), ["model", "ctx"], "left_semi")
         parts.append(
-            grams.join(context_totals(counts, m), ["model", "ctx"]).join(F.broadcast(discounts), ["model", "ord", "r"], "left")
+            with_context_totals(grams).join(small(discounts), ["model", "ord", "r"], "left")
             .select("model", "ord", "gram", "cnt", (F.coalesce("d", F.lit(1.0)) * F.col("cnt") / F.col("ctx_cnt")).alias("p")))
     backoffs = None
     for m in range(2, n + 1):
-        low = parts[m - 2].select("model", F.col("gram").alias("low_gram"), F.col("p").alias("low_p"))
-        joined = parts[m - 1].withColumn("low_gram", suffix(F.col("gram"))).join(low, ["model", "low_gram"], "left")
+        low = parts[m - 2].select("model", F.array_join("gram", " ").alias("low_gram"), F.col("p").alias("low_p"))
+        joined = parts[m - 1].withColumn("low_gram", F.array_join(suffix(F.col("gram")), " ")).join(low, ["model", "low_gram"], "left")
         sums = joined.groupBy("model", context(F.col("gram")).alias("ctx")).agg(F.sum("p").alias("hi"), F.sum(F.coalesce("low_p", F.lit(0.0))).alias("lo"))
         own = sums.select("model", F.lit(m).alias("ord"), "ctx", neglog(clamp(1 - F.col("hi")) / clamp(1 - F.col("lo"))).alias("nla"))
         backoffs = own if backoffs is None else backoffs.unionByName(own)
@@ -185,6 +201,15 @@ def katz(counts: DataFrame, n: int, k: int = 5, reserved: float = 0.01) -> Katz:
     return Katz(n, reserved, discounts, probs, backoffs)
 
 
+def test_contexts(test: DataFrame, n: int) -> DataFrame:
+    """(model, ord, ctx) of everything that scoring ``test`` backs off through."""
+    out = None
+    for m in range(2, n + 1):
+        own = test.select("model", F.lit(m).alias("ord"), F.slice("gram", n - m + 1, m - 1).alias("ctx"))
+        out = own if out is None else out.unionByName(own)
+    return test.select("model", F.lit(1).alias("ord"), F.col("gram").alias("ctx")).limit(0) if out is None else out.distinct()
+
+
 def score_katz(test: DataFrame, model: Katz) -> DataFrame:
     """``test`` with nlp by backing off: n left joins from the longest order to the shortest."""
     now, answer, carried = test, F.lit(None).cast("double"), F.lit(0.0)
@@ -224,43 +249,64 @@ MODELS = ("mle", "laplace", "additive", "good_turing", "katz")
 
 @dataclass
 class LanguageModel:
-    """One of ``MODELS`` trained on sequences, with the tables scoring needs."""
+    """One of ``MODELS`` trained on sequences, with the tables scoring needs.
+
+    ``restored`` is a Katz model read back from a file in place of counts.
+    """
 
     kind: str
     n: int
-    counts: DataFrame
+    counts: DataFrame | None
     vocab: DataFrame
     addition: float = 5
     k: int = 5
     reserved: float = 0.01
+    restored: Katz | None = None
+
+    def katz(self, test: DataFrame | None = None) -> Katz:
+        if self.restored is not None:
+            return self.restored
+        return katz(self.counts, self.n, self.k, self.reserved, None if test is None else test_contexts(test, self.n))
 
     def score(self, test: DataFrame) -> DataFrame:
         if self.kind == "good_turing":
             return score_good_turing(test, good_turing(self.counts, self.vocab, self.n), self.vocab)
         if self.kind == "katz":
-            return score_katz(test, katz(self.counts, self.n, self.k, self.reserved))
+            return score_katz(test, self.katz(test))
         return score_additive(test, self.counts, self.vocab, self.n, {"mle": 0, "laplace": 1}.get(self.kind, self.addition))
 
     def probs(self) -> DataFrame:
         if self.kind == "good_turing":
             return good_turing(self.counts, self.vocab, self.n).probs
         if self.kind == "katz":
-            return katz(self.counts, self.n, self.k, self.reserved).probs
+            return self.katz().probs
         return additive(self.counts, self.vocab, self.n, {"mle": 0, "laplace": 1}.get(self.kind, self.addition))
 
     def perplexity(self, seqs: DataFrame) -> DataFrame:
         return perplexity(self.score(test_windows(seqs, self.vocab, self.n)))
 
     def oov_rate(self, seqs: DataFrame) -> DataFrame:
-        return gram_oov_rate(gram_counts(seqs, self.n), self.counts, self.n)
+        seen = self.counts if self.restored is None else self.restored.probs
+        return gram_oov_rate(gram_counts(seqs, self.n, [self.n]), seen, self.n)
 
 
 def train(kind: str, seqs: DataFrame, n: int, addition: float = 5, k: int = 5, reserved: float = 0.01) -> LanguageModel:
-    """Factory of language models."""
+    """Factory of language models. Counts and vocabulary are written once, counts by order; all tables are made from them."""
     if kind not in MODELS:
         raise ValueError(f"unknown language model {kind!r}; one of {', '.join(MODELS)}")
     if n < 1:
         raise ValueError("the order is 1 or more")
     if kind == "additive" and addition <= 0:
         raise ValueError("the addition is above 0")
-    return LanguageModel(kind, n, gram_counts(seqs, n), vocabulary(seqs, n), addition, k, reserved)
+    if kind == "katz" and (k < 1 or not 0 < reserved < 1):
+        raise ValueError("k is 1 or more, and the reserved probability is between 0 and 1")
+    scratch = Scratch(seqs.sparkSession, "lm")
+    counts = scratch.save(gram_counts(seqs, n, None if kind == "katz" else [n]), "counts", "ord")
+    vocab = vocabulary(seqs, n) if n == 1 else counted_vocabulary(counts, n)
+    return LanguageModel(kind, n, counts, scratch.save(vocab, "vocabulary"), addition, k, reserved)
+
+
+def restored(model: Katz) -> LanguageModel:
+    """A Katz model read from a file as a language model; its unigrams are its vocabulary."""
+    words = model.probs.where("ord = 1").select("model", F.col("gram")[0].alias("token")).distinct()
+    return LanguageModel("katz", model.n, None, words, reserved=model.reserved, restored=model)

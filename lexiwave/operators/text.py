@@ -6,6 +6,8 @@ apart. Gram tables have one row a distinct gram: model, ord, gram (array), cnt.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,15 +16,28 @@ TOKEN = r"[\p{L}<>/.]+"
 START, END, UNKNOWN, SILENCE = "<s>", "</s>", "<unk>", "<sil>"
 
 
-def tokens(text: Column, pattern: str = TOKEN) -> Column:
-    """Lower-case runs of token characters; the text's own start and end marks are dropped, null is empty."""
-    found = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(0)), F.lower)
-    return F.filter(found, lambda t: ~t.isin(START, END))
-
+def tokens(text: Column, pattern: str = TOKEN, keep: Callable[[Column], Column] | None = None) -> Column:
+    """Lower-case runs of token characters; the text's own start and end marks are dropped, null is empty.
 
-def sequences(df: DataFrame, text: str = "text", model: Column | None = None, pattern: str = TOKEN) -> DataFrame:
+    ``pattern`` says what a token is, and ``keep``, a function of a token's column, which of them count.
+    """
+    text = F.coalesce(text, F.lit(""))
+    if pattern.startswith("[") and pattern.endswith("]+") and pattern.count("[") == 1:
+        # runs of the class: all else becomes one space, and the text is changed and cut as a whole
+        line = F.lower(F.trim(F.regexp_replace(text, "[^" + pattern[1:], " ")))
+        found = F.when(line == "", F.expr("cast(array() as array<string>)")).otherwise(F.split(line, " "))
+        marked = F.contains(line, F.lit(START)) | F.contains(line, F.lit(END))
+        found = F.when(marked, F.filter(found, lambda t: ~t.isin(START, END))).otherwise(found)
+    else:
+        found = F.filter(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.lower), lambda t: ~t.isin(START, END))
+    return found if keep is None else F.filter(found, keep)
+
+
+def sequences(
+    df: DataFrame, text: str = "text", model: Column | None = None, pattern: str = TOKEN, keep: Callable[[Column], Column] | None = None,
+) -> DataFrame:
     """(model, toks) of every row."""
-    return df.select((F.lit("all") if model is None else model).cast("string").alias("model"), tokens(F.col(text), pattern).alias("toks"))
+    return df.select((F.lit("all") if model is None else model).cast("string").alias("model"), tokens(F.col(text), pattern, keep).alias("toks"))
 
 
 def padded(toks: Column, n: int) -> Column:
@@ -39,20 +54,37 @@ def windows(seq: Column, width: int) -> Column:
         F.expr("cast(array() as array<array<string>>)"))
 
 
-def gram_counts(seqs: DataFrame, n: int) -> DataFrame:
-    """(model, ord, gram, cnt) of orders 1 to n: every prefix of every padded window, counted once.
-
-    Grams are exploded without their sequence (a long array would be copied with each) and summed before
-    the shuffle.
-    """
-    p = padded(F.col("toks"), n)
-
+def gram_rows(seqs: DataFrame, n: int) -> DataFrame:
+    """(model, ord, gram) of every gram of orders 1 to n, a row an occurrence."""
     def of_order(m: int) -> Column:
         return F.transform(windows(F.col("p"), m), lambda g: F.struct(F.lit(m).alias("ord"), g.alias("gram")))
 
     each = [of_order(m) for m in range(1, n + 1)]
-    exploded = seqs.select("model", p.alias("p")).select("model", F.explode(F.concat(*each)).alias("g"))
-    return exploded.groupBy("model", F.col("g.ord").alias("ord"), F.col("g.gram").alias("gram")).agg(F.count("*").alias("cnt"))
+    return seqs.select("model", padded(F.col("toks"), n).alias("p")).select("model", F.explode(F.concat(*each)).alias("g")).select("model", "g.ord", "g.gram")
+
+
+def gram_counts(seqs: DataFrame, n: int, orders: Iterable[int] | None = None) -> DataFrame:
+    """(model, ord, gram, cnt) of the orders asked for, 1 to n by default, in sequences padded for order n.
+
+    Words are exploded once, each with those behind it (null past the end), without their sequence, and summed
+    before the shuffle. Lower orders are sums of the higher one's rows.
+    """
+    asked = sorted(set(range(1, n + 1) if orders is None else orders))
+    if not asked or asked[0] < 1 or asked[-1] > n:
+        raise ValueError(f"orders are from 1 to {n}")
+    top = asked[-1]
+    words = [f"w{i}" for i in range(1, top + 1)]
+    padded_ = seqs.select("model", padded(F.col("toks"), n).alias("p"))
+    zipped = F.arrays_zip(*[(F.col("p") if i == 0 else F.slice("p", i + 1, F.size("p"))).alias(w) for i, w in enumerate(words)])
+    level = padded_.select("model", F.explode(zipped).alias("g")).select("model", *[F.col(f"g.{w}").alias(w) for w in words])
+    level, out = level.groupBy("model", *words).agg(F.count("*").alias("cnt")), None
+    for m in reversed(asked):
+        if m < len(words):
+            words = words[:m]
+            level = level.groupBy("model", *words).agg(F.sum("cnt").alias("cnt"))
+        own = level.where(F.col(words[-1]).isNotNull()).select("model", F.lit(m).alias("ord"), F.array(*words).alias("gram"), "cnt")
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
 def context(gram: Column) -> Column:
@@ -81,6 +113,13 @@ def vocabulary(seqs: DataFrame, n: int) -> DataFrame:
     return words.unionByName(extra).distinct()
 
 
+def counted_vocabulary(counts: DataFrame, n: int) -> DataFrame:
+    """The same from counts of an order n above 1: every word ends a padded window, and every model has one."""
+    ends = counts.where(F.col("ord") == n).select("model", F.element_at("gram", -1).alias("token")).distinct()
+    marks = ends.select("model").distinct().select("model", F.explode(F.array(*map(F.lit, [START, END, UNKNOWN]))).alias("token"))
+    return ends.unionByName(marks).distinct()
+
+
 def with_unknown(grams: DataFrame, vocab: DataFrame, models: list[str] | None = None) -> DataFrame:
     """(model, id, gram) with tokens outside the model's vocabulary replaced by ``<unk>``.
 
@@ -97,6 +136,14 @@ def dropped_grams(counts: DataFrame) -> DataFrame:
     return counts.where((F.size("gram") > 1) & (F.element_at("gram", -2) == END))
 
 
+def search_phrase(phrase: str) -> str:
+    """A phrase to search for, trimmed and in lower case; an empty one is an error."""
+    found = phrase.strip().lower()
+    if not found:
+        raise ValueError("there is nothing to search for")
+    return found
+
+
 def contains_phrase(text: Column, phrase: Column) -> Column:
     """Whether a text holds a phrase, trimmed and in lower case; the empty phrase is everywhere."""
     return F.contains(text, F.lower(F.trim(phrase)))

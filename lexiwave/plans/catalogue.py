@@ -10,9 +10,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiwave.operators import cluster, decode, hmm, lm, metrics, signal, text
+from lexiwave.functions.scratch import Scratch, small
+from lexiwave.operators import acoustic, cluster, decode, hmm, lm, metrics, signal, text
 from lexiwave.plans import sql
-from lexiwave.sources import arpa
+from lexiwave.sources import arpa, corpus
+from lexiwave.streaming import incremental
 
 LENGTH, STEP, SIZE, RATE, BANKS, COEFFICIENTS = 8, 4, 16, 16, 4, 3
 BANK, DCT = signal.mel_filterbank(SIZE, RATE, BANKS), signal.dct_matrix(BANKS, COEFFICIENTS)
@@ -43,14 +45,18 @@ def train_seqs(spark, sf_dir: str) -> DataFrame:
 
 def test_seqs(spark, sf_dir: str) -> DataFrame:
     """Every benchmark text for every model; models are few, one a language."""
-    models = train_seqs(spark, sf_dir).select("model").distinct()
-    return text.sequences(table(spark, sf_dir, "benchmark")).drop("model").join(F.broadcast(models)).select("model", "toks")
+    return text.sequences(table(spark, sf_dir, "benchmark")).drop("model").join(small(models(spark, sf_dir))).select("model", "toks")
+
+
+def models(spark, sf_dir: str) -> DataFrame:
+    """One row a model; only the column that names it is read."""
+    return table(spark, sf_dir, "documents").select(F.coalesce("lang", F.lit("und")).cast("string").alias("model")).distinct()
 
 
 def counted(n: int, order: int | None = None):
     def run(spark, sf_dir: str) -> DataFrame:
-        counts = text.gram_counts(train_seqs(spark, sf_dir), n)
-        return (counts if order is None else counts.where(F.col("ord") == order)).select("model", "ord", joined().alias("gram"), "cnt")
+        counts = text.gram_counts(train_seqs(spark, sf_dir), n, None if order is None else [order])
+        return counts.select("model", "ord", joined().alias("gram"), "cnt")
 
     return run
 
@@ -68,7 +74,11 @@ def perplexity(kind: str, n: int):
 
 
 def oov(n: int):
-    return lambda spark, sf_dir: trained("mle", n)(spark, sf_dir).oov_rate(test_seqs(spark, sf_dir)).withColumn("rate", F.round("rate", 6))
+    def run(spark, sf_dir: str) -> DataFrame:
+        seen, new = (text.gram_counts(f(spark, sf_dir), n, [n]) for f in (train_seqs, test_seqs))
+        return lm.gram_oov_rate(new, seen, n).withColumn("rate", F.round("rate", 6))
+
+    return run
 
 
 def tokenize_counts(spark, sf_dir):
@@ -76,7 +86,7 @@ def tokenize_counts(spark, sf_dir):
 
 
 def katz_model(spark, sf_dir, n):
-    return lm.katz(text.gram_counts(train_seqs(spark, sf_dir), n), n)
+    return trained("katz", n)(spark, sf_dir).katz()
 
 
 def katz_probs(n):
@@ -88,8 +98,8 @@ def katz_backoffs(n):
 
 
 def good_turing_fit(spark, sf_dir):
-    seqs = train_seqs(spark, sf_dir)
-    return lm.good_turing(text.gram_counts(seqs, 2), text.vocabulary(seqs, 2), 2).fit.select("model", F.round("slope", 6).alias("slope"), F.round("intercept", 6).alias("intercept"), "points", "total")
+    model = trained("good_turing", 2)(spark, sf_dir)
+    return lm.good_turing(model.counts, model.vocab, 2).fit.select("model", F.round("slope", 6).alias("slope"), F.round("intercept", 6).alias("intercept"), "points", "total")
 
 
 def token_oov(spark, sf_dir):
@@ -101,13 +111,27 @@ def unknown_words(spark, sf_dir):
     """Benchmark texts with words outside each model's vocabulary replaced."""
     bench = table(spark, sf_dir, "benchmark").select("item_id", text.tokens(F.col("text")).alias("gram"))
     seqs = train_seqs(spark, sf_dir)
-    grams = bench.join(F.broadcast(seqs.select("model").distinct())).select("model", F.col("item_id").alias("id"), "gram")
+    grams = bench.join(small(models(spark, sf_dir))).select("model", F.col("item_id").alias("id"), "gram")
     return text.with_unknown(grams, text.vocabulary(seqs, 1)).select("model", F.col("id").alias("item_id"), joined().alias("words"))
 
 
 def arpa_lines(spark, sf_dir):
-    model = lm.katz(text.gram_counts(text.sequences(table(spark, sf_dir, "documents")), 2), 2)
-    return arpa.arpa_lines(model.probs.drop("model"), model.backoffs.drop("model"), 2)
+    model = lm.train("katz", text.sequences(table(spark, sf_dir, "documents")), 2).katz()
+    return arpa.arpa_lines(model.probs.drop("model"), model.backoffs.drop("model"), 2, digits=6)
+
+
+def arpa_roundtrip(spark, sf_dir):
+    """The same model written as a file and read back."""
+    model = lm.train("katz", text.sequences(table(spark, sf_dir, "documents")), 2).katz()
+    path = f"{Scratch(spark, 'arpa').root}/model"
+    arpa.write_arpa(arpa.arpa_lines(model.probs.drop("model"), model.backoffs.drop("model"), 2), path)
+    return arpa.read_arpa(spark, path).probs.select("ord", joined().alias("gram"), r6(F.col("nlp")).alias("nlp"))
+
+
+def tokenize_other(spark, sf_dir):
+    """Counts of tokens by another rule: letters and digits, three or more."""
+    toks = text.sequences(table(spark, sf_dir, "documents"), pattern=r"[\p{L}\p{N}]+", keep=lambda t: F.char_length(t) >= 3)
+    return toks.select(F.explode("toks").alias("token")).groupBy("token").agg(F.count("*").alias("cnt"))
 
 
 def wer_pairs(spark, sf_dir):
@@ -241,6 +265,63 @@ def baum_welch_step(spark, sf_dir):
     return sums.select(F.floor(F.col("pos") / 3).cast("int").alias("i"), (F.col("pos") % 3).alias("j"), F.round(F.try_divide("v", F.sum("v").over(by)), 6).alias("p"))
 
 
+def hmm_xi(spark, sf_dir):
+    out = hmm.likelihoods(event_sequences(spark, sf_dir), "user_id", "e", START, MOVES)
+    return out.select("user_id", F.posexplode("xi").alias("pos", "v")).select("user_id", "pos", F.round("v", 4).alias("xi"))
+
+
+def hmm_states(column: str):
+    def run(spark, sf_dir):
+        out = hmm.posteriors(event_sequences(spark, sf_dir), "user_id", "e", START, MOVES)
+        return out.select("user_id", "t", F.posexplode(column).alias("j", "v")).withColumn("v", F.round("v", 4) + 0.0)
+
+    return run
+
+
+def viterbi_path(spark, sf_dir):
+    out = hmm.best_paths(event_sequences(spark, sf_dir), "user_id", "e", START, MOVES)
+    return out.select("user_id", F.round("cost", 4).alias("cost"), F.array_join(F.transform("path", lambda j: j.cast("string")), "").alias("path"))
+
+
+# two components over quantity and discount in percent
+PAIR = cluster.Mixture(np.array([0.4, 0.6]), np.array([[10.0, 2.0], [40.0, 8.0]]), np.array([[[120.0, 1.0], [1.0, 9.0]], [[150.0, -2.0], [-2.0, 8.0]]]))
+
+
+def order_points(spark, sf_dir) -> DataFrame:
+    x = F.array(F.col("l_quantity").cast("double"), F.round(100 * F.col("l_discount").cast("double"), 6))
+    return table(spark, sf_dir, "lineitem").where("l_quantity is not null and l_discount is not null").select(F.col("l_returnflag").alias("id"), x.alias("x"))
+
+
+def gmm_em_step(spark, sf_dir):
+    got = cluster.gmm(order_points(spark, sf_dir), PAIR, turns=1, ignore_eps=True)
+    rows = [(k, *(round(float(v), 6) + 0.0 for v in (got.weight[k], *got.mean[k], c[0, 0], c[0, 1], c[1, 1]))) for k, c in enumerate(got.covariance)]
+    return spark.createDataFrame(rows, "k int, weight double, m1 double, m2 double, c11 double, c12 double, c22 double")
+
+
+def gmm_loglik(spark, sf_dir):
+    return cluster.densities(order_points(spark, sf_dir), PAIR).groupBy(F.col("id").alias("l_returnflag")).agg(
+        F.count("*").alias("n"), F.round(F.avg("nlp"), 6).alias("mean_nlp"))
+
+
+def phone_mixtures(spark, sf_dir):
+    """One-component mixtures with return flags in the place of phones."""
+    found = acoustic.phone_mixtures(order_points(spark, sf_dir).select(F.col("id").alias("phone"), F.col("x").alias("features")))
+    rows = [(p, *(round(float(v), 6) + 0.0 for v in (*m.mean[0], m.covariance[0][0, 0], m.covariance[0][0, 1], m.covariance[0][1, 1]))) for p, m in sorted(found.items())]
+    return spark.createDataFrame(rows, "phone string, m1 double, m2 double, c11 double, c12 double, c22 double")
+
+
+def density_grid(spark, sf_dir):
+    out = acoustic.density_grid(spark, _word_models()[0], -50, 120, 0.5)
+    return out.select("state", F.round("x", 6).alias("x"), F.round("density", 8).alias("density"))
+
+
+def acoustic_moves(spark, sf_dir):
+    """Word models saved, restored and saved again: their moves."""
+    path = f"{Scratch(spark, 'acoustic').root}/models"
+    corpus.save_tables(acoustic.model_tables(spark, _word_models()), path)
+    models = acoustic.models_of(corpus.load_tables(spark, path, list(acoustic.TABLES)))
+    return acoustic.model_tables(spark, models)["moves"].withColumn("nlp", F.round("nlp", 6))
+
 def _word_models() -> list[hmm.WordModel]:
     def state(m):
         return cluster.Mixture(np.ones(1), np.array([[m]]), np.array([[[400.0]]]))
@@ -248,21 +329,73 @@ def _word_models() -> list[hmm.WordModel]:
     return [hmm.WordModel("low", ["l", "o"], [state(20.0), state(40.0)]), hmm.WordModel("high", ["h", "i"], [state(90.0), state(60.0)])]
 
 
-def decoded(spark, sf_dir, n):
+WORD_COSTS = np.array([[0.5, 1.0], [1.2, 0.4]])
+
+
+def decoded(spark, sf_dir, n, compat=True):
     s = signal.series(table(spark, sf_dir, "events"), "user_id", "value", "ts", "event_id")
-    rows = s.select(F.col("user_id").cast("string").alias("utt"), F.posexplode("samples").alias("frame_no", "v")).select("utt", "frame_no", F.array("v").alias("features"))
-    return decode.recognise(rows, decode.Decoder(_word_models(), np.array([[0.5, 1.0], [1.2, 0.4]])), n)
+    rows = s.select(F.col("user_id").cast("string").alias("utt"), F.transform("samples", lambda v: F.array(v)).alias("frames"))
+    return decode.recognise_arrays(rows, decode.Decoder(_word_models(), WORD_COSTS, compat=compat), n)
 
 
 def nbest_costs(spark, sf_dir):
     return decoded(spark, sf_dir, 3).select("utt", "rank", F.round("cost", 4).alias("cost"), F.size("words").alias("words"))
 
 
+def nbest_passing(spark, sf_dir):
+    """Costs of the three best paths by token passing."""
+    return decoded(spark, sf_dir, 3, compat=False).select("utt", "rank", F.round("cost", 4).alias("cost"))
+
+
 def rescore_best(spark, sf_dir):
     model = lm.train("laplace", text.sequences(table(spark, sf_dir, "documents")), 3)
     return decode.rescore(decoded(spark, sf_dir, 3), model).select("utt", "rank", F.round("second_cost", 4).alias("second_cost"), "best")
 
 
+def rescore_turns(spark, sf_dir):
+    """A conversation's turns, ranked by a bigram model of documents as if they were hypotheses of one utterance."""
+    model = lm.train("laplace", text.sequences(table(spark, sf_dir, "documents")), 2)
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
+    hyps = turns.select(F.col("conv_id").cast("string").alias("utt"), F.col("turn").cast("int").alias("rank"), text.tokens(F.col("text")).alias("words"))
+    out = decode.rescore(hyps, model)
+    return out.select("utt", "rank", F.round("second_cost", 4).alias("second_cost"), "best")
+
+
+def streamed(spark, name: str, stream: DataFrame, mode: str) -> DataFrame:
+    """The result of a stream run over all that its source holds, written by its last trigger."""
+    scratch = Scratch(spark, name)
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{scratch.root}/out")
+
+    query = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{scratch.root}/progress").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{scratch.root}/out")
+
+
+def stream_of(spark, sf_dir: str, name: str) -> DataFrame:
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/{name}.parquet*")
+
+
+def streaming_counts(spark, sf_dir):
+    out = streamed(spark, "streaming_counts", incremental.running_counts(stream_of(spark, sf_dir, "documents"), 1), "complete")
+    return out.select("model", "ord", joined().alias("gram"), "cnt")
+
+
+def streaming_frames(spark, sf_dir):
+    events = stream_of(spark, sf_dir, "events").where("value is not null").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = streamed(spark, "streaming_frames", incremental.time_frames(events, "ts", "2 hours", "1 hour", "30 days"), "complete")
+    return out.select(F.unix_seconds("frame.start").alias("start"), "n", F.round("mean", 6).alias("mean"), F.round("energy", 3).alias("energy"))
+
+
+def streaming_viterbi(spark, sf_dir):
+    events = stream_of(spark, sf_dir, "events").where(F.col("event_type").isin(*EVENT_TYPES)).withColumn("ts", F.col("ts").cast("timestamp"))
+    code = F.array_position(F.array(*map(F.lit, EVENT_TYPES)), F.col("event_type")).cast("int") - 1
+    seq = F.concat(F.lpad(F.unix_micros("ts").cast("string"), 20, "0"), F.lpad(F.col("event_id").cast("string"), 20, "0"))
+    out = streamed(spark, "streaming_viterbi", incremental.online_viterbi(events.select("user_id", seq.alias("seq"), code.alias("obs")), "user_id", START, MOVES, EMIT), "update")
+    return out.select("user_id", "frames", F.round("cost", 4).alias("cost"), "state")
+
+
 QUERIES = {
     "tokenize_counts": tokenize_counts,
     "vocabulary": lambda s, d: text.vocabulary(train_seqs(s, d), 2),
@@ -286,6 +419,11 @@ QUERIES = {
     "cluster_covariance": cluster_covariance, "cluster_covariance_full": cluster_covariance_full, "gmm_em": gmm_em,
     "hmm_forward": hmm_forward, "viterbi_cost": viterbi_cost, "hmm_occupancy": hmm_occupancy, "baum_welch_step": baum_welch_step,
     "nbest_costs": nbest_costs, "rescore_best": rescore_best,
+    "arpa_roundtrip": arpa_roundtrip, "tokenize_other": tokenize_other,
+    "hmm_backward": hmm_states("beta"), "hmm_gamma": hmm_states("gamma"), "hmm_xi": hmm_xi, "viterbi_path": viterbi_path,
+    "gmm_em_step": gmm_em_step, "gmm_loglik": gmm_loglik, "phone_mixtures": phone_mixtures, "density_grid": density_grid, "acoustic_moves": acoustic_moves,
+    "nbest_passing": nbest_passing, "rescore_turns": rescore_turns,
+    "streaming_counts": streaming_counts, "streaming_frames": streaming_frames, "streaming_viterbi": streaming_viterbi,
 }
 
 _FRAMES = (LENGTH, STEP)
@@ -302,6 +440,50 @@ _FIRST = "SELECT user_id, t, em.j AS j, st.a + e AS c FROM obs JOIN em USING (o)
 _STEP = "FROM r JOIN tr ON tr.i = r.j JOIN obs ON obs.user_id = r.user_id AND obs.t = r.t + 1 JOIN em ON em.o = obs.o AND em.j = tr.j"
 _LAST = "JOIN (SELECT user_id, max(t) AS t FROM obs GROUP BY user_id) USING (user_id, t)"
 
+_ALPHA = f"""r AS ({_FIRST} UNION ALL
+SELECT user_id, t, j, any_value(mn) - ln(sum(exp(mn - x))) + any_value(e) AS c FROM (
+  SELECT r.user_id, r.t + 1 AS t, tr.j, r.c + tr.a AS x, e, min(r.c + tr.a) OVER (PARTITION BY r.user_id, r.t, tr.j) AS mn {_STEP}) GROUP BY user_id, t, j)"""
+_BETA = """ends AS (SELECT user_id, max(t) AS t FROM obs GROUP BY user_id),
+b AS (SELECT user_id, t, j, 0.0::DOUBLE AS c FROM ends CROSS JOIN (SELECT DISTINCT j FROM em) UNION ALL
+SELECT user_id, t, i AS j, any_value(mn) - ln(sum(exp(mn - x))) AS c FROM (
+  SELECT b.user_id, b.t - 1 AS t, tr.i, b.c + tr.a + e AS x, min(b.c + tr.a + e) OVER (PARTITION BY b.user_id, b.t, tr.i) AS mn
+  FROM b JOIN tr ON tr.j = b.j JOIN obs ON obs.user_id = b.user_id AND obs.t = b.t JOIN em ON em.o = obs.o AND em.j = b.j WHERE b.t > 1) GROUP BY user_id, t, i)"""
+_TOTAL = f"total AS (SELECT user_id, any_value(mn) - ln(sum(exp(mn - c))) AS nlp FROM (SELECT user_id, c, min(c) OVER (PARTITION BY user_id) AS mn FROM r {_LAST}) GROUP BY user_id)"
+_BOTH = f"WITH RECURSIVE {_HMM}, {_ALPHA}, {_BETA}, {_TOTAL}"
+_XI = """xi AS (SELECT r.user_id, tr.i, tr.j, sum(exp(nlp - r.c - tr.a - em.e - b.c)) AS v FROM r JOIN total USING (user_id) JOIN tr ON tr.i = r.j
+  JOIN obs ON obs.user_id = r.user_id AND obs.t = r.t + 1 JOIN em ON em.o = obs.o AND em.j = tr.j JOIN b ON b.user_id = r.user_id AND b.t = r.t + 1 AND b.j = tr.j GROUP BY r.user_id, tr.i, tr.j)"""
+_PAIRS = "pts AS (SELECT l_returnflag AS f, l_quantity::DOUBLE AS x, round(100 * l_discount::DOUBLE, 6) AS y FROM lineitem WHERE l_quantity IS NOT NULL AND l_discount IS NOT NULL)"
+_SHARES = f"""{_PAIRS}, comp(k, w, m1, m2, c11, c12, c22) AS (VALUES {sql.values([(k, float(PAIR.weight[k]), *map(float, PAIR.mean[k]), float(c[0, 0]), float(c[0, 1]), float(c[1, 1])) for k, c in enumerate(PAIR.covariance)])}),
+dens AS (SELECT row_number() OVER () AS id, f, x, y FROM pts),
+each AS (SELECT id, f, x, y, k, m1, m2, w * exp(-0.5 * ((x - m1) * (x - m1) * c22 - 2 * (x - m1) * (y - m2) * c12 + (y - m2) * (y - m2) * c11) / (c11 * c22 - c12 * c12)) / (2 * pi() * sqrt(c11 * c22 - c12 * c12)) AS p FROM dens CROSS JOIN comp),
+share AS (SELECT *, p / sum(p) OVER (PARTITION BY id) AS s FROM each)"""
+# a state of the search is a word's state; its number is that of the word times two and the state
+_SEARCH = [(w, i) for w, m in enumerate(_word_models()) for i in range(len(m.phones))]
+
+
+def _search_moves() -> list[tuple]:
+    models, rows = _word_models(), []
+    for a, (v, i) in enumerate(_SEARCH):
+        for b, (w, j) in enumerate(_SEARCH):
+            if v == w and np.isfinite(models[v].transitions[i, j]):
+                rows.append((a, b, float(models[v].transitions[i, j])))
+            if i == models[v].end and j == models[w].begin:
+                rows.append((a, b, float(WORD_COSTS[v, w] * decode.LM_SCALE - np.log(decode.WORD_PENALTY))))
+    return rows
+
+
+_NBEST = f"""WITH RECURSIVE obs AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS t, value AS x FROM events WHERE value IS NOT NULL),
+st(j, mean, a) AS (VALUES {sql.values([(n, float(_word_models()[w].states[i].mean[0, 0]), float(_word_models()[w].initial[i])) for n, (w, i) in enumerate(_SEARCH)])}),
+tr(i, j, a) AS (VALUES {sql.values(_search_moves())}),
+em AS (SELECT user_id, t, j, 0.5 * (ln(2 * pi()) + (x - mean) * (x - mean) / 400) + 0.5 * ln(400) AS e, a FROM obs CROSS JOIN st),
+r AS (SELECT user_id, t, j, 1::BIGINT AS rn, a + e AS c FROM em WHERE t = 1 AND a < 1e29 UNION ALL
+SELECT user_id, t, j, rn, c FROM (SELECT r.user_id, r.t + 1 AS t, tr.j, r.c + tr.a + em.e AS c, row_number() OVER (PARTITION BY r.user_id, tr.j ORDER BY r.c + tr.a) AS rn
+  FROM r JOIN tr ON tr.i = r.j JOIN em ON em.user_id = r.user_id AND em.t = r.t + 1 AND em.j = tr.j) WHERE rn <= 3)
+SELECT CAST(user_id AS VARCHAR) AS utt, CAST(n - 1 AS INT) AS rank, round(c, 4) AS cost FROM (
+  SELECT user_id, c, row_number() OVER (PARTITION BY user_id ORDER BY c) AS n FROM r JOIN (SELECT user_id, max(t) AS t FROM obs GROUP BY user_id) USING (user_id, t)) WHERE n <= 3"""
+_ALL_SEQ = f"seq AS (SELECT 'all' AS model, {sql.TOKENS} AS toks FROM documents)"
+_ALL_KATZ = f"{_ALL_SEQ}, {sql.pads(2)}, {sql.counts(2)}, {sql.katz(2)}"
+
 SQL = {
     "tokenize_counts": f"WITH {sql.seqs()} SELECT model, token, count(*) AS cnt FROM (SELECT model, unnest(toks) AS token FROM seq) GROUP BY ALL",
     "vocabulary": f"WITH {sql.seqs()}, {sql.vocab(2)} SELECT model, token FROM voc",
@@ -341,5 +523,52 @@ SELECT user_id, round(any_value(mn) - ln(sum(exp(mn - c))), 4) AS nlp FROM (SELE
 SELECT r.user_id, r.t + 1 AS t, tr.j, min(r.c + tr.a) + any_value(e) AS c {_STEP} GROUP BY r.user_id, r.t, tr.j)
 SELECT user_id, round(min(c), 4) AS cost FROM r {_LAST} GROUP BY user_id""",
 }
+SQL |= {
+    "hmm_backward": f"{_BOTH} SELECT user_id, CAST(t - 1 AS INT) AS t, CAST(j AS INT) AS j, round(c, 4) + 0.0 AS v FROM b",
+    "hmm_gamma": f"{_BOTH} SELECT user_id, CAST(t - 1 AS INT) AS t, CAST(j AS INT) AS j, round(exp(nlp - r.c - b.c), 4) + 0.0 AS v FROM r JOIN b USING (user_id, t, j) JOIN total USING (user_id)",
+    "hmm_occupancy": f"""{_BOTH}, back AS (SELECT user_id, any_value(mn) - ln(sum(exp(mn - c))) AS nlp FROM (
+  SELECT b.user_id, st.a + em.e + b.c AS c, min(st.a + em.e + b.c) OVER (PARTITION BY b.user_id) AS mn FROM b JOIN obs USING (user_id, t) JOIN em ON em.o = obs.o AND em.j = b.j JOIN st ON st.j = b.j WHERE t = 1) GROUP BY user_id),
+occ AS (SELECT user_id, sum(exp(nlp - r.c - b.c)) AS frames FROM r JOIN b USING (user_id, t, j) JOIN total USING (user_id) GROUP BY user_id)
+SELECT user_id, round(total.nlp, 4) AS forward_nlp, round(back.nlp, 4) AS backward_nlp, round(frames, 4) AS frames FROM total JOIN back USING (user_id) JOIN occ USING (user_id)""",
+    "hmm_xi": f"{_BOTH}, {_XI} SELECT user_id, CAST(3 * i + j AS INT) AS pos, round(coalesce(v, 0), 4) AS xi FROM (SELECT user_id FROM ends) CROSS JOIN (SELECT i, j FROM tr) LEFT JOIN xi USING (user_id, i, j)",
+    "baum_welch_step": f"{_BOTH}, {_XI}, s AS (SELECT i, j, sum(v) AS v FROM xi GROUP BY i, j) SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, round(v / nullif(sum(v) OVER (PARTITION BY i), 0), 6) AS p FROM s",
+    "viterbi_path": f"""WITH RECURSIVE {_HMM}, f AS ({_FIRST}), r AS (SELECT user_id, t, j, c, CAST(j AS VARCHAR) AS p FROM f UNION ALL
+SELECT r.user_id, r.t + 1 AS t, tr.j, min(r.c + tr.a) + any_value(e) AS c, arg_min(r.p, (r.c + tr.a, tr.i)) || CAST(tr.j AS VARCHAR) AS p {_STEP} GROUP BY r.user_id, r.t, tr.j)
+SELECT user_id, round(min(c), 4) AS cost, arg_min(p, (c, j)) AS path FROM r {_LAST} GROUP BY user_id""",
+    "gmm_em_step": f"""WITH {_SHARES} SELECT CAST(k AS INT) AS k, round(sum(s) / (SELECT count(*) FROM pts), 6) + 0.0 AS weight, round(sum(s * x) / sum(s), 6) + 0.0 AS m1, round(sum(s * y) / sum(s), 6) + 0.0 AS m2,
+round(sum(s * (x - m1) * (x - m1)) / sum(s) + {cluster.RIDGE}, 6) + 0.0 AS c11, round(sum(s * (x - m1) * (y - m2)) / sum(s), 6) + 0.0 AS c12, round(sum(s * (y - m2) * (y - m2)) / sum(s) + {cluster.RIDGE}, 6) + 0.0 AS c22 FROM share GROUP BY k""",
+    "gmm_loglik": f"WITH {_SHARES}, one AS (SELECT id, any_value(f) AS f, -ln(sum(p)) AS nlp FROM each GROUP BY id) SELECT f AS l_returnflag, count(*) AS n, round(avg(nlp), 6) AS mean_nlp FROM one GROUP BY f",
+    "phone_mixtures": f"""WITH {_PAIRS} SELECT f AS phone, round(avg(x), 6) + 0.0 AS m1, round(avg(y), 6) + 0.0 AS m2, round(covar_pop(x, x) + {cluster.RIDGE}, 6) + 0.0 AS c11,
+round(covar_pop(x, y), 6) + 0.0 AS c12, round(covar_pop(y, y) + {cluster.RIDGE}, 6) + 0.0 AS c22 FROM pts WHERE f IS NOT NULL GROUP BY f""",
+    "density_grid": f"""WITH m(state, mean) AS (VALUES (0, 20.0::DOUBLE), (1, 40.0::DOUBLE)) SELECT CAST(state AS INT) AS state, CAST(-50 + 0.5 * i AS DOUBLE) AS x,
+round(exp(-0.5 * pow(-50 + 0.5 * i - mean, 2) / 400) / sqrt(2 * pi() * 400), 8) AS density FROM m CROSS JOIN range(0, 341) g(i)""",
+    "acoustic_moves": "SELECT word, i, j, round(CASE WHEN i = 1 THEN 0 ELSE ln(2) END, 6) AS nlp FROM (VALUES ('low'), ('high')) w(word) CROSS JOIN (VALUES (0, 0), (0, 1), (1, 1)) m(i, j)",
+    "cluster_covariance_full": "WITH pts AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE embedding IS NOT NULL), e AS (SELECT row_number() OVER () AS id, x FROM pts), "
+    "u AS (SELECT id, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM e) SELECT CAST(a.i - 1 AS INT) AS i, CAST(b.i - 1 AS INT) AS j, round(covar_pop(a.v, b.v), 6) + 0.0 AS cov FROM u a JOIN u b ON a.id = b.id GROUP BY a.i, b.i",
+    "nbest_passing": _NBEST,
+    "rescore_turns": f"""WITH {_ALL_SEQ}, {sql.pads(2)}, {sql.counts_of(2)}, {sql.vocab(2)}, {sql.contexts(2)}, h AS (SELECT conv_id, turn, {sql.TOKENS} AS toks FROM (SELECT conv_id, turn, min(text) AS text FROM conversations GROUP BY conv_id, turn)),
+hp AS (SELECT conv_id, turn, list_concat(list_concat(['<s>'], toks), ['</s>']) AS p FROM h), g AS (SELECT conv_id, turn, unnest(list_transform(range(1, len(p)), lambda i: p[i:i + 1])) AS gram FROM hp),
+sc AS (SELECT conv_id, turn, sum(-ln((coalesce(cnt, 0) + 1) / (coalesce(ctx_cnt, 0) + v)::DOUBLE)) AS c FROM g LEFT JOIN cnts ON cnts.gram = g.gram LEFT JOIN ctxs ON ctx = g.gram[1:1] CROSS JOIN vsize GROUP BY conv_id, turn)
+SELECT CAST(conv_id AS VARCHAR) AS utt, CAST(turn AS INT) AS rank, round(c, 4) AS second_cost, row_number() OVER (PARTITION BY conv_id ORDER BY c, turn) = 1 AS best FROM sc""",
+    "streaming_counts": f"WITH {_ALL_SEQ}, {sql.pads(1)}, {sql.counts(1)} SELECT model, ord, array_to_string(gram, ' ') AS gram, cnt FROM cnts",
+    "streaming_frames": """WITH e AS (SELECT CAST(floor(epoch_us(ts) / 1000000 / 3600) AS BIGINT) * 3600 AS hour, value FROM events WHERE value IS NOT NULL)
+SELECT hour - d AS start, count(*) AS n, round(avg(value), 6) AS mean, round(sum(value * value), 3) AS energy FROM e CROSS JOIN (VALUES (0), (3600)) w(d) GROUP BY hour - d""",
+    "streaming_viterbi": f"""WITH RECURSIVE {_HMM}, r AS ({_FIRST} UNION ALL SELECT r.user_id, r.t + 1 AS t, tr.j, min(r.c + tr.a) + any_value(e) AS c {_STEP} GROUP BY r.user_id, r.t, tr.j)
+SELECT user_id, any_value(t) AS frames, round(min(c), 4) AS cost, CAST(arg_min(j, (c, j)) AS INT) AS state FROM r {_LAST} GROUP BY user_id""",
+    "tokenize_other": r"SELECT token, count(*) AS cnt FROM (SELECT unnest(list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}]+'), lambda x: lower(x)), lambda x: x NOT IN ('<s>', '</s>') AND length(x) >= 3)) AS token FROM documents) GROUP BY token",
+    "arpa_roundtrip": f"WITH {_ALL_KATZ} SELECT CAST(ord AS INT) AS ord, array_to_string(gram, ' ') AS gram, {sql.r6('nlp')} AS nlp FROM kp",
+    "arpa_lines": f"""WITH {_ALL_KATZ}, body AS (SELECT CAST(ord AS INT) AS section, 0 AS last, '!' || (CASE WHEN key = '<unk>' THEN '0' ELSE '1' END) || key AS "at",
+  printf('%.6f', nlp + 0.0) || chr(9) || key || CASE WHEN ord < 2 THEN chr(9) || printf('%.6f', coalesce(nla, 0) + 0.0) ELSE '' END AS text
+  FROM (SELECT ord, gram, array_to_string(gram, ' ') AS key, nlp FROM kp) k LEFT JOIN a2 ON k.ord = 1 AND a2.ctx = k.gram)
+SELECT section, last, "at", text FROM body UNION ALL SELECT 0, 0, printf('%03d', ord), 'ngram ' || ord || '=' || count(*) FROM kp GROUP BY ord
+UNION ALL SELECT * FROM (VALUES (0, 0, '', '\\data\\'), (1, 0, '', '\\1-grams:'), (2, 0, '', '\\2-grams:'), (0, 1, '~', ' '), (1, 1, '~', ' '), (2, 1, '~', ' '), (3, 0, '', '\\end\\')) f""",
+    "wer_pairs": """WITH RECURSIVE p AS (SELECT conv_id, turn, string_split(coalesce(next, ''), ' ') AS a, string_split(coalesce(text, ''), ' ') AS b, row_number() OVER () AS id FROM (
+  SELECT conv_id, turn, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS next FROM conversations) WHERE next IS NOT NULL),
+d AS (SELECT id, 0::BIGINT AS i, range(0, len(b) + 1) AS v FROM p UNION ALL
+SELECT id, i, list_transform(range(1, len(m) + 1), lambda j: list_min(list_transform(m[1:j], lambda x, k: x - k)) + j) AS v FROM (
+  SELECT d.id, d.i + 1 AS i, list_concat([d.i + 1], list_transform(range(1, len(b) + 1), lambda j: least(d.v[j + 1] + 1, d.v[j] + CASE WHEN b[j] = a[d.i + 1] THEN 0 ELSE 1 END))) AS m
+  FROM d JOIN p ON p.id = d.id WHERE d.i < len(a)))
+SELECT conv_id, turn, round(v[len(v)] / len(b)::DOUBLE, 6) AS wer FROM p JOIN d ON d.id = p.id AND d.i = len(a)""",
+}
 for _n in (1, 2, 3):
     SQL[f"ngram_counts_{_n}"] = f"WITH {sql.seqs()}, {sql.pads(_n)}, {sql.counts(_n)} SELECT model, ord, array_to_string(gram, ' ') AS gram, cnt FROM cnts WHERE ord = {_n}"

@@ -26,7 +26,12 @@ def grams(m: int, source: str = "pad") -> str:
 
 def counts(n: int, name: str = "cnts", source: str = "pad") -> str:
     union = " UNION ALL ".join(grams(m, source) for m in range(1, n + 1))
-    return f"{name} AS (SELECT model, ord, gram, count(*) AS cnt FROM ({union}) GROUP BY ALL)"
+    return f"{name} AS MATERIALIZED (SELECT model, ord, gram, count(*) AS cnt FROM ({union}) GROUP BY ALL)"
+
+
+def counts_of(n: int) -> str:
+    """Counts of order n alone."""
+    return f"cnts AS MATERIALIZED (SELECT model, ord, gram, count(*) AS cnt FROM ({grams(n)}) GROUP BY ALL)"
 
 
 def vocab(n: int) -> str:
@@ -38,7 +43,7 @@ def vocab(n: int) -> str:
 
 
 def contexts(n: int, name: str = "ctxs") -> str:
-    return f"{name} AS (SELECT model, gram[1:{n - 1}] AS ctx, sum(cnt) AS ctx_cnt FROM cnts WHERE ord = {n} GROUP BY ALL)"
+    return f"{name} AS MATERIALIZED (SELECT model, gram[1:{n - 1}] AS ctx, sum(cnt) AS ctx_cnt FROM cnts WHERE ord = {n} GROUP BY ALL)"
 
 
 def neglog(p: str) -> str:
@@ -90,9 +95,9 @@ nb AS (SELECT model, r, n_r, coalesce(lag(r) OVER w, 0) AS q, lead(r) OVER w AS
 z AS (SELECT model, r, n_r, ln(r) AS x, ln(CASE WHEN t IS NULL THEN n_r / (r - q)::DOUBLE ELSE n_r / (0.5 * (t - q)) END) AS y FROM nb),
 fit AS (SELECT model, coalesce(regr_slope(y, x), max(y / (x * x + 1)) * max(x)) AS slope, coalesce(regr_intercept(y, x), max(y / (x * x + 1))) AS intercept,
         count(*) AS points, sum(r * n_r)::BIGINT AS total, exp(coalesce(regr_intercept(y, x), max(y / (x * x + 1)))) / sum(r * n_r) AS p0 FROM z GROUP BY model),
-gt AS (SELECT c.model, gram, cnt, gram[1:{n - 1}] AS ctx, p0,
+gt AS MATERIALIZED (SELECT c.model, gram, cnt, gram[1:{n - 1}] AS ctx, p0,
        exp(ln(cnt + 1) + slope * ln(cnt + 1) - slope * ln(cnt) - ln(total)) AS p FROM cnts c JOIN fit f ON c.model = f.model WHERE ord = {n}),
-gctx AS (SELECT g.model, ctx, sum(p) + (max(v) - count(*)) * max(p0) AS z FROM gt g JOIN vsize s ON g.model = s.model GROUP BY g.model, ctx)"""
+gctx AS MATERIALIZED (SELECT g.model, ctx, sum(p) + (max(v) - count(*)) * max(p0) AS z FROM gt g JOIN vsize s ON g.model = s.model GROUP BY g.model, ctx)"""
 
 
 def good_turing_fit(n: int) -> str:
@@ -100,9 +105,11 @@ def good_turing_fit(n: int) -> str:
 
 
 def good_turing_probs(n: int) -> str:
+    base = ", ".join([seqs(), pads(n), counts_of(n), vocab(n)])
+    z = "(sum(p) OVER w + (v - count(*) OVER w) * p0)"
     return (
-        f"WITH {model_base(n)}, {good_turing(n)} SELECT g.model, array_to_string(gram, ' ') AS gram, cnt, {r6(neglog('(p / z)'))} AS nlp "
-        "FROM gt g JOIN gctx x ON g.model = x.model AND g.ctx = x.ctx"
+        f"WITH {base}, {good_turing(n)} SELECT model, array_to_string(gram, ' ') AS gram, cnt, {r6(neglog('(p / z)'))} AS nlp "
+        f"FROM (SELECT g.model, gram, cnt, p, {z} AS z FROM gt g JOIN vsize s ON g.model = s.model WINDOW w AS (PARTITION BY g.model, ctx))"
     )
 
 

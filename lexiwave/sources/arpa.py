@@ -11,18 +11,20 @@ from lexiwave.operators.lm import Katz
 from lexiwave.operators.text import UNKNOWN
 
 
-def arpa_lines(probs: DataFrame, backoffs: DataFrame, n: int, log10: bool = False) -> DataFrame:
+def arpa_lines(probs: DataFrame, backoffs: DataFrame, n: int, log10: bool = False, digits: int | None = None) -> DataFrame:
     """(section, line_no, text) of one model's (ord, gram, nlp) and (ord, ctx, nla) tables.
 
     Values are negative natural logs, or with ``log10`` the usual logs to base 10. ``<unk>`` comes first,
-    grams follow in order; orders below n carry a back-off weight, 0 where there is none.
+    grams follow in order; orders below n carry a back-off weight, 0 where there is none. Numbers have all
+    their digits, or ``digits`` behind the point.
     """
-    scale = (lambda c: -c / math.log(10)) if log10 else (lambda c: c)
+    scaled = (lambda c: -c / math.log(10)) if log10 else (lambda c: c)
+    shown = (lambda c: scaled(c).cast("string")) if digits is None else (lambda c: F.format_string(f"%.{digits}f", scaled(c) + 0.0))
     weights = backoffs.select((F.col("ord") - 1).alias("ord"), F.col("ctx").alias("gram"), "nla")
     rows = (
         probs.join(weights, ["ord", "gram"], "left")
         .withColumn("key", F.array_join("gram", " "))
-        .withColumn("text", F.concat_ws("\t", scale(F.col("nlp")).cast("string"), "key", F.when(F.col("ord") < n, scale(F.coalesce("nla", F.lit(0.0))).cast("string"))))
+        .withColumn("text", F.concat_ws("\t", shown(F.col("nlp")), "key", F.when(F.col("ord") < n, shown(F.coalesce("nla", F.lit(0.0))))))
         .select("ord", F.when(F.col("key") == UNKNOWN, 0).otherwise(1).alias("late"), "key", "text")
     )
     counts = probs.groupBy("ord").agg(F.count("*").alias("c"))
@@ -36,8 +38,9 @@ def arpa_lines(probs: DataFrame, backoffs: DataFrame, n: int, log10: bool = Fals
 
 
 def write_arpa(lines: DataFrame, path: str) -> None:
-    """One text file, as the format asks for; its lines are sorted in the cluster and merged in one task."""
-    lines.orderBy("section", "last", "at").select("text").coalesce(1).write.mode("overwrite").text(path)
+    """Text files whose names are in the order of their lines, a range of them each; one behind the other they are the file."""
+    keys = ["section", "last", "at"]
+    lines.repartitionByRange(*keys).sortWithinPartitions(*keys).select("text").write.mode("overwrite").text(path)
 
 
 def read_arpa(spark: SparkSession, path: str, log10: bool = False) -> Katz:

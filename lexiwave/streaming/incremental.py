@@ -10,12 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from lexiwave.operators.text import gram_counts, sequences
+from lexiwave.operators.text import gram_rows, sequences
 
 
 def running_counts(texts: DataFrame, n: int, text: str = "text") -> DataFrame:
-    """(model, ord, gram, cnt) so far, for ``update`` or ``complete`` output."""
-    return gram_counts(sequences(texts, text), n)
+    """(model, ord, gram, cnt) so far, for ``update`` or ``complete`` output: one aggregation, as streams take."""
+    return gram_rows(sequences(texts, text), n).groupBy("model", "ord", "gram").agg(F.count("*").alias("cnt"))
 
 
 def time_frames(events: DataFrame, time: str, length: str, step: str, late: str, *keys: str) -> DataFrame:

@@ -28,6 +28,7 @@ def sf(spark, tmp_path_factory):
         "events": (events, "event_id long, ts timestamp, user_id long, event_type string, value double, props string"),
         "embeddings": ([(i, [math.sin(i * j + 1) for j in range(1, 7)], i % 3) for i in range(30)], "vec_id long, embedding array<float>, label int"),
     }
+    tables["lineitem"] = ([(float(i * 7 % 50), (i * 3 % 11) / 100, "ANR"[i % 3]) for i in range(300)], "l_quantity double, l_discount double, l_returnflag string")
     for name, (rows, schema) in tables.items():
         spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{top}/{name}.parquet")
     return str(top)
@@ -40,7 +41,7 @@ def test_query(spark, sf, name):
     assert rows
     if name in catalogue.SQL:
         con = duckdb.connect()
-        for t in ("documents", "benchmark", "conversations", "events", "embeddings"):
+        for t in ("documents", "benchmark", "conversations", "events", "embeddings", "lineitem"):
             con.sql(f"create view {t} as select * from '{sf}/{t}.parquet/*.parquet'")
         rel = con.sql(catalogue.SQL[name])
         theirs = [dict(zip(rel.columns, r)) for r in rel.fetchall()]
@@ -67,6 +68,7 @@ def test_models_are_of_documents_and_run_to_their_rules(spark, sf, monkeypatch):
         monkeypatch.setattr(catalogue.cluster, name, lambda *a, run=getattr(cluster, name), **k: (calls.append((a[1:], k)), run(*a, **k))[1])
     texts = []
     monkeypatch.setattr(catalogue.lm, "train", lambda kind, seqs, n, run=catalogue.lm.train: (texts.append(seqs.count()), run(kind, seqs, n))[1])
+
     assert catalogue.kmeans_full(spark, sf).count() == 4 and catalogue.gmm_em(spark, sf).count() == 2 and catalogue.rescore_best(spark, sf).count()
     assert [k for _, k in calls] == [{}, {}] and calls[0][0] == (4,) and texts == [40]
 

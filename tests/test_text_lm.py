@@ -69,7 +69,36 @@ def test_mle_and_perplexity(spark):
     assert got.windows == number and abs(got.perplexity - math.exp(total / number)) < 1e-9
 
 
+def test_other_tokens(spark):
+    df = spark.createDataFrame([("Ab1 c2d </s> x-y",)], "text string")
+    other = text.tokens(F.col("text"), r"[a-z]+|[0-9]", keep=lambda t: t != "y")
+    assert df.select(other.alias("t")).first().t == ["b", "1", "c", "2", "d", "s", "x"]
+    assert df.select(text.tokens(F.col("text"), r"[\p{L}\p{N}]+").alias("t")).first().t == ["ab1", "c2d", "s", "x", "y"]
+
+
+@pytest.mark.parametrize("orders", [[1], [2], [3], [1, 3], [2, 3]])
+def test_counts_of_some_orders(spark, orders):
+    got = {tuple(r.gram): r.cnt for r in text.gram_counts(seqs(spark, [*TRAIN, ""]), 3, orders).collect()}
+    assert got == {g: c for g, c in counted(3, [*TRAIN, ""]).items() if len(g) in orders}
+    with pytest.raises(ValueError):
+        text.gram_counts(seqs(spark, TRAIN), 2, [3])
+
+
+def test_scoring_needs_only_contexts_of_the_test(spark):
+    model = lm.train("katz", seqs(spark, TRAIN), 3)
+    test = lm.test_windows(seqs(spark, TEST), model.vocab, 3)
+    whole = {tuple(r.gram): r.nlp for r in lm.score_katz(test, model.katz()).collect()}
+    some = {tuple(r.gram): r.nlp for r in model.score(test).collect()}
+    assert whole.keys() == some.keys() and all(abs(whole[g] - some[g]) < 1e-12 or whole[g] == some[g] for g in whole)
+    assert model.katz(test).probs.count() < model.katz().probs.count()
+
+
 def test_bad_settings(spark):
+    for k, reserved in ((0, 0.01), (5, 0.0), (5, 1.0)):
+        with pytest.raises(ValueError):
+            lm.train("katz", seqs(spark, TRAIN), 2, k=k, reserved=reserved)
+    with pytest.raises(ValueError):
+        text.search_phrase(" ")
     for kind, n, extra in (("nope", 2, 1), ("mle", 0, 1), ("additive", 2, 0)):
         with pytest.raises(ValueError):
             lm.train(kind, seqs(spark, TRAIN), n, extra)
@@ -79,7 +108,7 @@ def test_arpa_round_trip(spark, tmp_path):
     model = lm.katz(text.gram_counts(seqs(spark, TRAIN), 3), 3)
     for log10 in (False, True):
         arpa.write_arpa(arpa.arpa_lines(model.probs.drop("model"), model.backoffs.drop("model"), 3, log10), str(tmp_path / "lm"))
-        lines = [r.value for r in spark.read.text(str(tmp_path / "lm")).collect()]
+        lines = [x for f in sorted((tmp_path / "lm").glob("part-*.txt")) for x in f.read_text().splitlines()]
         assert lines[0] == "\\data\\" and lines[-1] == "\\end\\" and any(x.endswith("\t<unk>\t0.0") or x.endswith("\t<unk>\t-0.0") for x in lines)
         back = arpa.read_arpa(spark, str(tmp_path / "lm"), log10)
         assert back.n == 3 and abs(back.reserved - 0.01) < 1e-9
