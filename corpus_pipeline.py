@@ -9,7 +9,7 @@ from lexiwave.llm.language_id import language_stage
 from lexiwave.llm.line_dedup import line_dedup_stage
 from lexiwave.llm.mixing import mixing_stage
 from lexiwave.llm.near_dedup import near_dedup_stage
-from lexiwave.llm.scratch import Scratch
+from lexiwave.functions.scratch import Scratch
 
 STAGES = [
     ("language_id", language_stage),

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiwave.llm.scratch import Scratch
+from lexiwave.functions.scratch import Scratch
 
 
 def smallest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from lexiwave.functions.shipping import ship
 from lexiwave.llm.components import components, smallest
 from lexiwave.llm.sampling import smallest_hashes
-from lexiwave.llm.scratch import Scratch
+from lexiwave.functions.scratch import Scratch
 
 COSINE = 0.98
 #: rows the quantisers are fitted on; vectors a list is meant to hold; most lists

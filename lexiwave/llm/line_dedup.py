@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiwave.llm.scratch import Scratch
+from lexiwave.functions.scratch import Scratch
 
 BROADCAST_LINES = 50_000
 RATIO, LEAST_PAGES = 0.1, 2

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiwave.llm.scratch import Scratch
+from lexiwave.functions.scratch import Scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK = 256

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from lexiwave.functions.shipping import ship
 from lexiwave.llm.bytewords import RunHash, Words, chunks, mix, ranges, text_buffers
 from lexiwave.llm.components import components
-from lexiwave.llm.scratch import Scratch
+from lexiwave.functions.scratch import Scratch
 from lexiwave.llm.skew import heavy_keys, spread_join
 
 SHINGLE = 5

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexiwave.llm import bytewords, components, embedding_dedup, fm_index, language_id, mixing, near_dedup, skew, substring_dedup
 from lexiwave.llm.bytewords import text_buffers
-from lexiwave.llm.scratch import Scratch
+from lexiwave.functions.scratch import Scratch
 
 from .helpers import documents, prose, words
 
