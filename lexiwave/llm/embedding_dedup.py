@@ -13,8 +13,9 @@ tables (asymmetric: the query is not coded). Bounds are exact, not chosen for av
 What is left is compared by exact cosine in double precision, so no link is lost or made up. The quantisers
 are fitted on a bounded sample; they decide how much is skipped and not what is found.
 
-Equal vectors of a label are one entry with a weight. Lists are cut into blocks of ``BLOCK`` members and
-queries, each pair of blocks is one task, and a task returns counts and a spanning forest, never pairs.
+Equal vectors of a label are one entry with a weight. Two lists are compared once, by sending vectors of the
+one with the lesser number to the other, in the precision they came in. Lists are cut into blocks of
+``BLOCK`` members, each a task or several, and a task returns counts and a spanning forest, never pairs.
 """
 
 from __future__ import annotations
@@ -25,17 +26,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from lexiwave.functions.shipping import ship
 from lexiwave.llm.components import components, smallest
 from lexiwave.llm.sampling import smallest_hashes
-from lexiwave.functions.scratch import Scratch
+from lexiwave.llm.skew import heavy_keys, spread_join
+from lexiwave.functions.scratch import Scratch, small
 
 COSINE = 0.98
-#: rows the quantisers are fitted on; vectors a list is meant to hold; most lists
-SAMPLE, LIST, MOST_LISTS = 20_000, 1024, 4096
+#: rows a quantiser is fitted on, four a list at least; vectors a list is meant to hold
+SAMPLE, LIST = 20_000, 4096
 SUBSPACES, CODES = 8, 64
-BLOCK = 2048
+#: members of a list in a task, and vectors from elsewhere that ask them
+BLOCK, ASKING = 4096, 32_768
 
 
 def _centres(points: np.ndarray, k: int, turns: int, seed: int) -> np.ndarray:
@@ -103,11 +107,27 @@ class Quantiser:
         return np.sqrt(total)
 
 
-def _matrix(column, d: int, kind=np.float64) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, d)
+def _units(raw: list[bytes], d: int, kind: str) -> np.ndarray:
+    """Vectors of length one, in double precision, from the bytes of the given ones."""
+    x = np.frombuffer(b"".join(raw), kind).reshape(-1, d).astype(np.float64)
+    x /= np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", least: float = COSINE, block: int = BLOCK, lists: int = LIST) -> DataFrame:
+def _fitted(classes: DataFrame, radius_lists: int, kind: str) -> dict[int, Quantiser]:
+    """A quantiser a number of components, fitted on at most ``SAMPLE`` of its vectors."""
+    sizes = classes.groupBy("label", "d").agg(F.count("*").alias("n")).groupBy("d").agg(F.max("n").alias("n")).collect()
+    out = {}
+    for r in sizes:
+        some = smallest_hashes(classes.where(F.col("d") == r.d), "k", SAMPLE).select("raw").collect()
+        sample = _units([bytes(x.raw) for x in some], r.d, kind)
+        out[r.d] = Quantiser.fit(sample, max(1, min(len(sample) // 4, -(-r.n // radius_lists))))
+    return out
+
+
+def link_vectors(
+    vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", least: float = COSINE, block: int = BLOCK, lists: int = LIST, asking: int = ASKING,
+) -> DataFrame:
     """One row per input row: id, n_links, component_id, kept.
 
     Two rows link when their labels and numbers of components are equal and their cosine is ``least`` or
@@ -118,110 +138,119 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     spark = vectors.sparkSession
     ship(spark)
     scratch = Scratch(spark, "embedding_dedup")
-    v = F.transform(F.col(vec_col), lambda x: x.cast("double"))
+    single = isinstance(vectors.schema[vec_col].dataType.elementType, FloatType)
+    kind, part = ("<f4", "float") if single else ("<f8", "double")
+    v = F.transform(F.col(vec_col), lambda x: x.cast(part))
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), v.alias("v"))
     fine = (
         F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)
         & ~F.coalesce(F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), F.lit(True))
         & F.coalesce(F.exists("v", lambda x: x != 0), F.lit(False))
     )
-    rows = rows.withColumn("fine", F.coalesce(fine, F.lit(False)))
+    # a label and vector are known by two hashes
+    rows = rows.withColumns({"fine": F.coalesce(fine, F.lit(False)), "k": F.xxhash64("label", "v"), "k2": F.xxhash64(F.lit("again"), "v", "label")})
+    keys = scratch.save(rows.where("fine").select("id", "k", "k2"), "keys")
+    kinds = keys.groupBy("k", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("weight"), F.count(F.lit(1)).alias("rows"))
+    kinds = scratch.save(kinds.withColumn("t", F.monotonically_increasing_id()), "kinds")
+    heavy = heavy_keys(kinds, ["k", "k2"], "rows")
+    # of each different vector one row goes on: one with the least id
+    first = spread_join(rows.where("fine"), kinds.select("k", "k2", "rep", "weight", "t"), ["k", "k2"], heavy, F.col("id")).where("id = rep")
+    if keys.groupBy("k", "k2", "id").count().where("count > 1").limit(1).count():
+        first = first.dropDuplicates(["t"])
+    label_type = vectors.schema[label_col].dataType.simpleString()
+
+    def pack(batches):
+        for batch in batches:
+            column = batch.column(4)
+            offsets = np.asarray(column.offsets)
+            flat = np.asarray(column.values).astype(kind, copy=False)
+            raw = [flat[a:b].tobytes() for a, b in zip(offsets, offsets[1:])]
+            sizes = pa.array(np.diff(offsets), pa.int32())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], batch.column(5), sizes, pa.array(raw, pa.binary())], names=["label", "t", "rep", "weight", "k", "d", "raw"])
+
     classes = scratch.save(
-        rows.where("fine").groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("weight")).withColumns({"d": F.size("v"), "k": F.xxhash64("label", "v")}), "classes",
-    )
-    most = {r.d: r.n for r in classes.groupBy("label", "d").count().groupBy("d").agg(F.max("count").alias("n")).orderBy(F.desc("n")).limit(16).collect()}
+        first.select("label", "t", "rep", "weight", "v", "k").mapInArrow(pack, f"label {label_type}, t long, rep long, weight long, k long, d int, raw binary"), "classes")
     radius = float(np.sqrt(max(0.0, 2 - 2 * least)))
-    quantisers = {}
-    for d, n in most.items():
-        some = smallest_hashes(classes.where(F.col("d") == d), "k", SAMPLE).select("v").collect()
-        sample = np.array([r.v for r in some])
-        sample /= np.abs(sample).max(1, keepdims=True)
-        sample /= np.linalg.norm(sample, axis=1, keepdims=True)
-        quantisers[d] = Quantiser.fit(sample, min(MOST_LISTS, len(sample), -(-n // lists)))
-    shared = spark.sparkContext.broadcast(quantisers)
-    label_type = classes.schema["label"].dataType.simpleString()
+    shared = spark.sparkContext.broadcast(_fitted(classes, lists, kind))
 
     def index(batches):
         for batch in batches:
-            vectors_, sizes_ = batch.column(4).to_pylist(), np.asarray(batch.column(1))
-            for d in np.unique(sizes_).tolist():
-                at = np.flatnonzero(sizes_ == d)
-                x = np.array([vectors_[i] for i in at])
-                x /= np.abs(x).max(1, keepdims=True)
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
-                q = shared.value.get(d)
-                # vectors of a length too rare to have a quantiser stand in one list and are all compared
-                cell, probes, codes, error = q.index(x, radius) if q else (np.zeros(len(x), int), [np.zeros(1, int)] * len(x), np.zeros((len(x), 1), np.uint8), np.full(len(x), np.inf))
-                kept = [batch.column(j).take(pa.array(at)) for j in (0, 1, 2, 3, 5)]
-                made = [
-                    pa.array(cell, pa.int32()), pa.array([p.astype(np.int32) for p in probes], pa.list_(pa.int32())),
-                    pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), pa.array([u.tobytes() for u in x], pa.binary()),
-                ]
-                yield pa.RecordBatch.from_arrays([*kept, *made], names=["label", "d", "rep", "weight", "k", "cell", "probes", "codes", "error", "unit"])
-
-    indexed = scratch.save(
-        classes.select("label", "d", "rep", "weight", "v", "k").mapInArrow(
-            index, f"label {label_type}, d int, rep long, weight long, k long, cell int, probes array<int>, codes binary, error double, unit binary"), "indexed",
-    )
+            sizes = np.asarray(batch.column(5))
+            for d in np.unique(sizes).tolist():
+                own = batch.filter(pa.array(sizes == d))
+                cell, probes, codes, error = shared.value[d].index(_units(own.column(6).to_pylist(), d, kind), radius)
+                # a pair of lists is looked at from the one with the lesser number
+                later = [p[p > c].astype(np.int32) for p, c in zip(probes, cell)]
+                made = [pa.array(cell, pa.int32()), pa.array(later, pa.list_(pa.int32())), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error)]
+                yield pa.RecordBatch.from_arrays([*own.columns, *made], names=[*own.schema.names, "cell", "later", "codes", "error"])
+
+    indexed = scratch.save(classes.mapInArrow(
+        index, f"label {label_type}, t long, rep long, weight long, k long, d int, raw binary, cell int, later array<int>, codes binary, error double"), "indexed")
+    scratch.drop("classes")
     at_list = ["label", "d", "cell"]
     in_list = indexed.groupBy(*at_list).agg(F.count("*").alias("members"))
-    asked = indexed.select("label", "d", F.explode("probes").alias("cell")).groupBy(*at_list).agg(F.count("*").alias("queries"))
-    sizes = scratch.save(
-        in_list.join(asked, at_list).select(*at_list, F.ceil(F.col("members") / block).cast("int").alias("mb"), F.ceil(F.col("queries") / block).cast("int").alias("qb")), "sizes",
-    )
-    few = F.broadcast(sizes) if sizes.count() <= 100_000 else sizes
-    slot = lambda n: F.pmod(F.xxhash64("k"), F.col(n)).cast("int")
-    both = ["rep", "weight", "k", "unit"]
-    members = indexed.join(few, at_list).select(
-        *at_list, slot("mb").alias("m"), F.explode(F.sequence(F.lit(0), F.col("qb") - 1)).alias("q"), F.lit(False).alias("asks"), *both, "codes", "error")
-    queries = indexed.drop("cell").withColumn("cell", F.explode("probes")).join(few, at_list).select(
-        *at_list, F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("m"), slot("qb").alias("q"), F.lit(True).alias("asks"), *both,
-        F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("error"))
-    out_schema = pa.schema([(c, pa.int64()) for c in ("k", "n", "rep", "tie")])
+    asked = indexed.select("label", "d", F.explode("later").alias("cell")).groupBy(*at_list).agg(F.count("*").alias("askers"))
+    mb = F.ceil(F.col("members") / block)
+    sizes = in_list.join(asked, at_list, "left").select(
+        *at_list, mb.cast("int").alias("mb"), F.ceil((F.coalesce("askers", F.lit(0)) + F.col("members") * (mb - 1) + 1) / asking).cast("int").alias("qb"))
+    sizes = small(scratch.save(sizes, "sizes"), 100_000)
+    slot = lambda n, seed: F.pmod(F.xxhash64("k", "t", F.lit(seed)), F.col(n)).cast("int")
+    both = ["rep", "weight", "t", "raw"]
+    placed_ = indexed.join(sizes, at_list).withColumn("own", slot("mb", 1))
+    members = placed_.select(*at_list, F.col("own").alias("m"), F.explode(F.sequence(F.lit(0), F.col("qb") - 1)).alias("q"), F.lit(False).alias("asks"), *both, "codes", "error")
+    none = [F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("error")]
+    # a list's later blocks ask its earlier ones, and other lists ask all of its blocks
+    within = placed_.where("own > 0").withColumn("m", F.explode(F.sequence(F.lit(0), F.col("own") - 1))).select(*at_list, "m", slot("qb", 2).alias("q"), F.lit(True).alias("asks"), *both, *none)
+    across = indexed.drop("cell").withColumn("cell", F.explode("later")).join(sizes, at_list).withColumn("m", F.explode(F.sequence(F.lit(0), F.col("mb") - 1))).select(
+        *at_list, "m", slot("qb", 2).alias("q"), F.lit(True).alias("asks"), *both, *none)
+    out_schema = pa.schema([(c, pa.int64()) for c in ("t", "n", "rep", "tie")])
 
     def compare(key, table):
-        d, cell = key[1].as_py(), key[2].as_py()
+        d, cell, first_turn = key[1].as_py(), key[2].as_py(), key[4].as_py() == 0
         asks = np.asarray(table.column("asks"))
-        ids, weight, k = (np.asarray(table.column(c)) for c in ("rep", "weight", "k"))
-        unit = _matrix(table.column("unit"), d)
+        ids, weight, t = (np.asarray(table.column(c)) for c in ("rep", "weight", "t"))
         m, q = np.flatnonzero(~asks), np.flatnonzero(asks)
-        quantiser = shared.value.get(d)
-        links, ends = np.zeros(len(q), np.int64), ([], [])
-        if len(m):
-            codes = _matrix(table.column("codes").take(pa.array(m)), len(quantiser.cuts) if quantiser else 1, np.uint8)
-            reach = radius + np.asarray(table.column("error").take(pa.array(m))) + 1e-9
-        for i in range(0, len(q) if len(m) else 0, 256):
-            own = q[i : i + 256]
-            near = quantiser.distances(unit[own], cell, codes) <= reach[None, :] if quantiser else np.ones((len(own), len(m)), bool)
-            near &= k[own][:, None] != k[m][None, :]
+        if not len(m):
+            return out_schema.empty_table()
+        quantiser, unit = shared.value[d], _units(table.column("raw").to_pylist(), d, kind)
+        codes = np.frombuffer(b"".join(table.column("codes").take(pa.array(m)).to_pylist()), np.uint8).reshape(len(m), -1)
+        reach = radius + np.asarray(table.column("error").take(pa.array(m))) + 1e-9
+        links, ends = np.zeros(len(ids), np.int64), ([], [])
+        # members are compared with each other once, by the task of the first askers
+        for own, inner in [(q[i : i + 256], False) for i in range(0, len(q), 256)] + [(m[i : i + 256], True) for i in range(0, len(m) if first_turn else 0, 256)]:
+            near = quantiser.distances(unit[own], cell, codes) <= reach[None, :]
+            if inner:
+                near &= own[:, None] < m[None, :]
             r, c = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
             if len(r):
                 good = (unit[own[r]] @ unit[m[c]].T >= least) & near[np.ix_(r, c)]
-                links[i + r] += good @ weight[m[c]]
+                links[own[r]] += good @ weight[m[c]]
+                links[m[c]] += weight[own[r]] @ good
                 a, b = np.nonzero(good)
-                ends[0].append(own[r[a]])
-                ends[1].append(m[c[b]])
+                if len(a):  # a forest of this block's links
+                    nodes, at = np.unique(np.concatenate([own[r[a]], m[c[b]]]), return_inverse=True)
+                    root = smallest(len(nodes), at[: len(a)], at[len(a) :])
+                    ends[0].append(nodes[root != np.arange(len(nodes))])
+                    ends[1].append(nodes[root[root != np.arange(len(nodes))]])
         a, b = (np.concatenate(e) if e else np.zeros(0, int) for e in ends)
         order = np.argsort(ids, kind="stable")
         place = np.empty(len(ids), int)
         place[order] = np.arange(len(ids))
         tie = ids[order[smallest(len(ids), place[a], place[b])[place]]]
-        tied = np.flatnonzero(tie != ids)
+        found, tied = np.flatnonzero(links > 0), np.flatnonzero(tie != ids)
         zero = np.zeros(len(tied), np.int64)
-        out = pa.table([np.concatenate(x) for x in ((k[q], zero), (links, zero), (ids[q], ids[tied]), (ids[q], tie[tied]))], schema=out_schema)
-        return out.filter(pa.array(np.concatenate([links > 0, zero == 0])))
+        return pa.table([np.concatenate(x) for x in ((t[found], zero), (links[found], zero), (ids[found], ids[tied]), (ids[found], tie[tied]))], schema=out_schema)
 
     found = scratch.save(
-        members.unionByName(queries).groupBy(*at_list, "m", "q").applyInArrow(compare, "k long, n long, rep long, tie long"), "found",
+        members.unionByName(within).unionByName(across).groupBy(*at_list, "m", "q").applyInArrow(compare, "t long, n long, rep long, tie long"), "found",
     )
-    counts = found.where("n > 0").groupBy("k").agg(F.sum("n").alias("n"))
+    counts = found.where("n > 0").groupBy("t").agg(F.sum("n").alias("n"))
     edges = found.where("rep != tie").select("rep", "tie")
-    placed = rows.where("fine").join(classes.select("label", "v", "rep", "weight", "k"), ["label", "v"]).select("id", "rep", "weight", "k")
-    placed = scratch.save(placed, "placed")
+    counted = kinds.join(counts, "t", "left").select("k", "k2", "rep", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).cast("long").alias("n_links"))
+    placed = scratch.save(spread_join(keys, counted, ["k", "k2"], heavy, F.col("id")).select("id", "rep", "n_links"), "placed")
     same = placed.where("id != rep").select(F.col("id").alias("rep"), F.col("rep").alias("tie"))
     of = components(edges.unionByName(same), scratch, "near-")
-    known = placed.join(counts, "k", "left").join(of, F.col("node") == F.col("id"), "left").select(
-        "id", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    known = placed.join(of, F.col("node") == F.col("id"), "left").select("id", "n_links", F.coalesce("component", "id").alias("component_id"))
     alone = rows.where("not fine").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return known.unionByName(alone).withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))
 

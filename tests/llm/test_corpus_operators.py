@@ -40,7 +40,7 @@ def test_components(spark):
 
 # op2
 
-def test_embeddings(spark):
+def test_embeddings(spark, monkeypatch):
     rng = np.random.default_rng(1)
     base = rng.normal(size=(6, 8))
     rows = [(i, (base[i % 6] + rng.normal(0, 0.08, 8)).tolist(), i % 2) for i in range(120)]
@@ -59,8 +59,12 @@ def test_embeddings(spark):
                     edges.append((a[0], b[0]))
     of = roots({r[0] for r in rows}, edges)
     expect = Counter((r[0], links[id(r)], of[r[0]], r[0] == of[r[0]]) for r in rows)
-    for block, lists in ((2048, 1024), (10, 8)):
-        assert Counter(tuple(r) for r in embedding_dedup.link_vectors(df, block=block, lists=lists).collect()) == expect
+    for block, lists, asking in ((embedding_dedup.BLOCK, embedding_dedup.LIST, embedding_dedup.ASKING), (10, 8, 7), (100, 8, 1000)):
+        monkeypatch.setattr(skew, "PARTS", 2000 if block > 10 else 20)
+        assert Counter(tuple(r) for r in embedding_dedup.link_vectors(df, block=block, lists=lists, asking=asking).collect()) == expect
+    single = df.where("vec_id < 209").withColumn("embedding", F.col("embedding").cast("array<float>"))
+    got = Counter(tuple(r) for r in embedding_dedup.link_vectors(single, block=30, lists=8).collect())
+    assert got == Counter((r[0], links[id(r)], of[r[0]], r[0] == of[r[0]]) for r in rows if r[0] < 209)
     assert embedding_dedup.link_vectors(df.limit(0)).count() == 0
 
 
