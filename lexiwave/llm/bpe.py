@@ -259,13 +259,27 @@ class TextCoder:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, first id of each text)."""
+        return self.coded(data, offsets)[:2]
+
+    def coded(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, bytes]:
+        """The same and all texts decoded from the ids; pretokens that share a hash by chance are told apart if those differ."""
+        raw = data.tobytes()
+        for exact in (False, True):
+            ids, first = self._encode(data, offsets, exact)
+            decoded, ends = self.decode(ids), np.concatenate([[0], np.cumsum(self._sizes[ids])])
+            if decoded == raw and (ends[first] == offsets).all():
+                return ids, first, decoded
+        raise ValueError("a text was not decoded to its own bytes")
+
+    def _encode(self, data: np.ndarray, offsets: np.ndarray, exact: bool) -> tuple[np.ndarray, np.ndarray]:
         first, by_text = pretokens(data, offsets)
         if not len(first):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         end = np.append(first[1:], len(data))
         keys = range_keys(data, first, end)
         _, some, which = np.unique(keys, return_index=True, return_inverse=True)
-        some, which = _told_apart(data, first, end, some, which)
+        if exact:
+            some, which = _told_apart(data, first, end, some, which)
         raw, memory, code = data.tobytes(), self._memory, self.encoder.encode
         found = []
         for a, b in zip(first[some].tolist(), end[some].tolist()):
@@ -306,15 +320,10 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         for batch in batches:
             for part in chunks(batch, "text"):
                 data, offsets = text_buffers(part.column(1))
-                ids, first = coder.encode(data, offsets)
-                counts, by_ids, by_text = np.diff(first), [], []
-                for i in range(part.num_rows):
-                    own = ids[first[i] : first[i + 1]]
-                    text = coder.decode(own)
-                    if text != data[offsets[i] : offsets[i + 1]].tobytes():
-                        raise ValueError("a text was not decoded to its own bytes")
-                    by_ids.append(hashlib.sha256(own.astype("<u4").tobytes()).hexdigest())
-                    by_text.append(hashlib.sha256(text).hexdigest())
+                ids, first, decoded = coder.coded(data, offsets)
+                counts, little = np.diff(first), ids.astype("<u4").tobytes()
+                by_ids = [hashlib.sha256(little[4 * a : 4 * b]).hexdigest() for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
+                by_text = [hashlib.sha256(decoded[a:b]).hexdigest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
                 columns = [part.column(0), pa.array(counts, pa.int64()), pa.array(by_ids), pa.array(by_text)]
                 if with_ids:
                     columns.append(pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(ids.astype(np.int32))))
@@ -337,5 +346,8 @@ def op10_byte_bpe(spark, sf_dir: str) -> DataFrame:
 
 
 def bpe_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the documents, one row each."""
+    """Token counts and digests of the documents, one row each, repeated rows and null ids too.
+
+    Null and empty texts have no tokens; other columns are ignored; an empty table gives an empty result.
+    """
     return encode_texts(docs, _public_vocabulary()).withColumnRenamed("id", "doc_id")
