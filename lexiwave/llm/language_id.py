@@ -197,7 +197,7 @@ def train(windows: list[bytes], labels: list[str], hidden: int = HIDDEN, steps:
     return net
 
 
-def label_texts(net: Network, data: np.ndarray, offsets: np.ndarray, window: int = WINDOW, margin: int = MARGIN, lanes: int = 1024) -> np.ndarray:
+def label_texts(net: Network, data: np.ndarray, offsets: np.ndarray, window: int = WINDOW, margin: int = MARGIN, lanes: int = 2048) -> np.ndarray:
     """[texts, L] mean probabilities over the bytes of letters; zeros for a text without any.
 
     Windows overlap by two margins, whose labels count in the neighbour that has them inside.

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexiwave.functions.scratch import Scratch, small
+
 
 def smallest_hashes(df: DataFrame, key: str, rows: int) -> DataFrame:
     """The ``rows`` rows whose hashed keys are the smallest.
@@ -25,9 +27,10 @@ def smallest_hashes_by(df: DataFrame, group: str, key: str, rows: int) -> DataFr
     share are dropped before any sorting. The groups must be few, such as languages.
     """
     sizes = df.groupBy(F.col(group).alias("s_group")).agg(F.count("*").alias("s_n"))
+    sizes = Scratch(df.sparkSession, "sample").save(sizes, "sizes")
     sizes = sizes.withColumn("s_share", F.greatest(F.lit(1), F.floor(F.lit(rows) / F.count("*").over(Window.partitionBy()))))
     h = F.xxhash64(key)
     cut = F.least(F.lit(1.0), F.lit(1.5) * F.col("s_share") / F.col("s_n") + F.lit(30.0) / F.col("s_n"))
-    near = df.join(sizes, F.col(group) == F.col("s_group")).where(F.pmod(h, F.lit(1 << 30)) < cut * (1 << 30))
+    near = df.join(small(sizes), F.col(group) == F.col("s_group")).where(F.pmod(h, F.lit(1 << 30)) < cut * (1 << 30))
     by = Window.partitionBy("s_group").orderBy(F.pmod(h, F.lit(1 << 30)), h, key)
     return near.withColumn("s_rank", F.row_number().over(by)).where(F.col("s_rank") <= F.col("s_share")).select(*df.columns)
