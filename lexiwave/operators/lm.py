@@ -16,6 +16,8 @@ from lexiwave.functions.scratch import Scratch, small
 from lexiwave.operators.text import END, UNKNOWN, context, count_of_counts, counted_vocabulary, gram_counts, padded, suffix, vocabulary, windows
 
 UNSEEN = 1e-9
+#: grams of a context that one task may hold
+WINDOW_ROWS = 1_000_000
 
 
 def vocabulary_size(vocab: DataFrame) -> DataFrame:
@@ -27,10 +29,30 @@ def context_totals(counts: DataFrame, n: int) -> DataFrame:
     return counts.where(F.col("ord") == n).groupBy("model", context(F.col("gram")).alias("ctx")).agg(F.sum("cnt").alias("ctx_cnt"))
 
 
-def with_context_totals(grams: DataFrame) -> DataFrame:
-    """``grams`` with ctx_cnt, the sum over its context. A context has at most a vocabulary of grams; they are sorted by one string."""
-    words = F.array_join(context(F.col("gram")), " ")
-    return grams.withColumn("ctx_cnt", F.sum("cnt").over(Window.partitionBy("model", words)))
+def over_contexts(grams: DataFrame, words: int, **sums: Column) -> DataFrame:
+    """``grams`` with aggregates over their contexts added, sorted and joined by one string a context.
+
+    A context has at most as many grams as there are ``words``. Up to ``WINDOW_ROWS`` a window takes them. Of a
+    larger vocabulary, contexts with more grams are found by an aggregate, summed before the shuffle, and
+    joined to theirs, so no task holds one; they are one in ``WINDOW_ROWS`` grams at most.
+    """
+    keyed = grams.withColumn("ctx_key", F.array_join(context(F.col("gram")), " "))
+
+    def by_window(some: DataFrame) -> DataFrame:
+        by = Window.partitionBy("model", "ctx_key")
+        return some.withColumns({name: c.over(by) for name, c in sums.items()}).drop("ctx_key")
+
+    if words <= WINDOW_ROWS:
+        return by_window(keyed)
+    found = keyed.groupBy("model", "ctx_key").agg(F.count("*").alias("ctx_grams"), *[c.alias(name) for name, c in sums.items()])
+    large = keyed.join(small(found.where(F.col("ctx_grams") > WINDOW_ROWS)), ["model", "ctx_key"], "left")
+    rest = by_window(large.where("ctx_grams is null").drop("ctx_grams", *sums))
+    return rest.unionByName(large.where("ctx_grams is not null").select(*rest.columns))
+
+
+def with_context_totals(grams: DataFrame, words: int) -> DataFrame:
+    """``grams`` with ctx_cnt, the sum over its context."""
+    return over_contexts(grams, words, ctx_cnt=F.sum("cnt"))
 
 
 def additive(counts: DataFrame, vocab: DataFrame, n: int, extra: float) -> DataFrame:
@@ -41,7 +63,7 @@ def additive(counts: DataFrame, vocab: DataFrame, n: int, extra: float) -> DataF
     if extra < 0:
         raise ValueError("the addition must not be negative")
     return (
-        with_context_totals(counts.where(F.col("ord") == n)).join(small(vocabulary_size(vocab)), "model")
+        with_context_totals(counts.where(F.col("ord") == n), vocab.count()).join(small(vocabulary_size(vocab)), "model")
         .select("model", "gram", "cnt", neglog(ratio(F.col("cnt") + extra, F.col("ctx_cnt") + extra * F.col("v"))).alias("nlp"))
     )
 
@@ -115,9 +137,9 @@ def good_turing(counts: DataFrame, vocab: DataFrame, n: int) -> GoodTuring:
         raw.groupBy("model", "ctx").agg(F.sum("p").alias("seen"), F.count("*").alias("words"), F.max("p0").alias("p0"))
         .join(sizes, "model").select("model", "ctx", mass(F.col("seen"), F.col("words"), F.col("p0")).alias("z"))
     )
-    by = Window.partitionBy("model", F.array_join("ctx", " "))
-    z = mass(F.sum("p").over(by), F.count("*").over(by), F.col("p0"))
-    probs = raw.join(sizes, "model").withColumn("z", z).select("model", "gram", "cnt", neglog(F.col("p") / F.col("z")).alias("nlp"))
+    summed = over_contexts(raw, vocab.count(), seen=F.sum("p"), kinds=F.count("*")).join(sizes, "model")
+    z = mass(F.col("seen"), F.col("kinds"), F.col("p0"))
+    probs = summed.select("model", "gram", "cnt", neglog(F.col("p") / z).alias("nlp"))
     return GoodTuring(fit, contexts, probs)
 
 
@@ -175,13 +197,13 @@ def katz(counts: DataFrame, n: int, k: int = 5, reserved: float = 0.01, contexts
     total = counts.where("ord = 1").groupBy("model").agg(F.sum("cnt").alias("total"))
     ones = counts.where("ord = 1").join(small(total), "model").select(
         "model", "ord", "gram", "cnt", ((1 - reserved) * F.col("cnt") / F.col("total")).alias("p"))
-    parts = [ones]
+    parts, words = [ones], counts.where("ord = 1").count() if n > 1 else 0
     for m in range(2, n + 1):
         grams = counts.where(F.col("ord") == m).withColumn("ctx", context(F.col("gram"))).withColumn("r", F.col("cnt"))
         if contexts is not None:
             grams = grams.join(contexts.where(F.col("ord") == m).select("model", "ctx"), ["model", "ctx"], "left_semi")
         parts.append(
-            with_context_totals(grams).join(small(discounts), ["model", "ord", "r"], "left")
+            with_context_totals(grams, words).join(small(discounts), ["model", "ord", "r"], "left")
             .select("model", "ord", "gram", "cnt", (F.coalesce("d", F.lit(1.0)) * F.col("cnt") / F.col("ctx_cnt")).alias("p")))
     backoffs = None
     for m in range(2, n + 1):

@@ -93,6 +93,17 @@ def test_scoring_needs_only_contexts_of_the_test(spark):
     assert model.katz(test).probs.count() < model.katz().probs.count()
 
 
+@pytest.mark.parametrize("kind,n", [("laplace", 1), ("laplace", 2), ("good_turing", 1), ("good_turing", 2), ("katz", 3)])
+def test_contexts_with_more_grams_than_a_task_holds(spark, kind, n, monkeypatch):
+    model = lm.train(kind, seqs(spark, [*TRAIN, "c d a", "a d", "d b c"]), n)
+    one_task = {(len(r.gram), *r.gram): (r.cnt, r.nlp) for r in model.probs().collect()}
+    monkeypatch.setattr(lm, "WINDOW_ROWS", 2)
+    assert any(v > 2 for v in Counter(g[1:-1] for g in one_task).values())
+    spread = {(len(r.gram), *r.gram): (r.cnt, r.nlp) for r in model.probs().collect()}
+    assert one_task.keys() == spread.keys()
+    assert all(a[0] == spread[g][0] and abs(a[1] - spread[g][1]) < 1e-9 for g, a in one_task.items())
+
+
 def test_bad_settings(spark):
     for k, reserved in ((0, 0.01), (5, 0.0), (5, 1.0)):
         with pytest.raises(ValueError):
