@@ -241,14 +241,16 @@ def held_out(doc_id: Column) -> Column:
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS) -> Network:
-    """Train on ``rows`` labelled rows not held out, an equal share a language: those whose hashed ids are the smallest.
+    """Train on ``rows`` labelled rows not held out, an equal share a language: those whose hashed ids and texts are the smallest.
 
-    Of each, ``SAMPLE_WINDOWS`` windows of ``SAMPLE_CHARS`` characters at hashed places are read.
+    Of each, ``SAMPLE_WINDOWS`` windows of ``SAMPLE_CHARS`` characters at hashed places are read. Rows equal
+    in id and text count once; rows with a null id differ by their texts.
     """
-    t, key = F.col(text_col), F.col(id_col)
+    t = F.col(text_col)
+    key = F.xxhash64(F.col(id_col), t)
     start = lambda i: F.pmod(F.xxhash64(key, i), F.greatest(F.char_length(t) - SAMPLE_CHARS, F.lit(1)).cast("long")).cast("int") + 1
     cut = F.transform(F.sequence(F.lit(1), F.lit(SAMPLE_WINDOWS)), lambda i: F.substring(t, start(i), SAMPLE_CHARS))
-    known = docs.where(~held_out(key) & F.col(lang_col).isNotNull() & (F.char_length(t) > 0))
+    known = docs.where(~held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & (F.char_length(t) > 0))
     short = known.select(key.alias("key"), F.col(lang_col).cast("string").alias("lang"), cut.alias("windows"))
     sample = smallest_hashes_by(short, "lang", "key", rows).select("lang", "windows").collect()
     pairs = [(w.encode(), r.lang) for r in sample for w in r.windows if w]

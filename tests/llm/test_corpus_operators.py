@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lexiwave.llm import bytewords, components, embedding_dedup, fm_index, language_id, mixing, near_dedup, skew, substring_dedup
+from lexiwave.llm import bytewords, components, embedding_dedup, fm_index, language_id, mixing, near_dedup, sampling, skew, substring_dedup
 from lexiwave.llm.bytewords import text_buffers
 from lexiwave.functions.scratch import Scratch
 
@@ -317,6 +317,25 @@ def test_language_id(spark):
     assert language_id.predict(labelled.limit(0), net, ["doc_id"]).count() == 0
 
 
+def test_sample_counts_a_key_once(spark):
+    rows = [("a", i % 3, f"a{i % 3}") for i in range(900)] + [("a", 10 + i, f"a{10 + i}") for i in range(60)] + [("b", i, f"b{i}") for i in range(2)]
+    df = spark.createDataFrame(rows, "g string, k long, v string")
+    got = sampling.smallest_hashes_by(df, "g", "k", 40).collect()
+    by = {g: [r.v for r in got if r.g == g] for g in "ab"}
+    assert len(set(by["a"])) == len(by["a"]) == 20 and sorted(by["b"]) == ["b0", "b1"]
+    again = sampling.smallest_hashes_by(df.repartition(7).unionByName(df), "g", "k", 40).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, got))
+
+
+def test_learns_from_rows_without_an_id(spark):
+    texts = {"en": "the and tion ing of that with", "fr": "eau eux que les été çois pour"}
+    rows = [(None, " ".join(w.split()[(i * j + i) % 7] for j in range(40)), lang) for i in range(40) for lang, w in texts.items()]
+    repeated = [(None, rows[0][1], "en")] * 3000  # more than a sample
+    df = spark.createDataFrame(rows + repeated, "doc_id long, text string, lang string")
+    out = language_id.predict(df, language_id.learn(df), ["lang"]).groupBy("lang").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")).alias("right")).collect()
+    assert len(out) == 2 and all(r.right > 0.95 for r in out)
+
+
 def test_inference_is_the_trained_network():
     net = language_id.Network.new(["a", "b"], 5, 3)
     texts = ["abc d" * 60, "é", "", "12"]
