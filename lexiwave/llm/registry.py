@@ -10,6 +10,7 @@ from lexiwave.llm.near_dedup import op4_near_dedup
 from lexiwave.llm.quality import op1_quality_rules
 from lexiwave.llm.secrets import op6_secret_scan
 from lexiwave.llm.substring_dedup import op3_substring_dedup
+from lexiwave.llm.turn_repair import OP12_SQL, op12_turn_repair
 from lexiwave.llm.vector_codes import OP11_SQL, op11_vector_codes
 
 QUERIES = {
@@ -24,5 +25,6 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_byte_bpe": op10_byte_bpe,
     "op11_vector_codes": op11_vector_codes,
+    "op12_turn_repair": op12_turn_repair,
 }
-SQL = {"op7_line_dedup": OP7_SQL, "op11_vector_codes": OP11_SQL}
+SQL = {"op7_line_dedup": OP7_SQL, "op11_vector_codes": OP11_SQL, "op12_turn_repair": OP12_SQL}

@@ -116,21 +116,21 @@ def assign(tree: Tree, book: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nda
     return code, sums, numbers
 
 
-def _blocks(column: pa.Array, parts: int) -> Iterator[tuple[int, list[np.ndarray]]]:
+def _blocks(column: pa.Array, parts: int, tree: int) -> Iterator[tuple[int, list[np.ndarray]]]:
     """(first row, a matrix a part) of blocks of vectors, which all have one length."""
     x = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float64)
-    for i in range(0, len(x), TREE):
-        yield i, np.split(x[i : i + TREE], parts, axis=1)
+    for i in range(0, len(x), tree):
+        yield i, np.split(x[i : i + tree], parts, axis=1)
 
 
-def _turn(vectors: DataFrame, books: list[np.ndarray]) -> list[np.ndarray]:
+def _turn(vectors: DataFrame, books: list[np.ndarray], tree: int) -> list[np.ndarray]:
     """The codebooks after every part is assigned and every used entry replaced by the floor of its parts' mean."""
     p = books[0].shape[1]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, numbers = np.zeros((len(books), len(books[0]), p), np.int64), np.zeros((len(books), len(books[0])), np.int64)
         for batch in batches:
-            for _, parts in _blocks(batch.column(0), len(books)):
+            for _, parts in _blocks(batch.column(0), len(books), tree):
                 for k, (points, book) in enumerate(zip(parts, books)):
                     _, s, n = assign(Tree.build(points), book)
                     sums[k] += s
@@ -160,7 +160,7 @@ def _whole(vectors: DataFrame, id_col: str, vec_col: str, label_col: str, scale:
 
 def compress_vectors(
     vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label",
-    parts: int = PARTS, entries: int = ENTRIES, turns: int = TURNS, scale: int = SCALE,
+    parts: int = PARTS, entries: int = ENTRIES, turns: int = TURNS, scale: int = SCALE, tree: int = TREE,
 ) -> tuple[DataFrame, list[np.ndarray]]:
     """One row per vector, (id, label, code, error, label_error), and the codebooks [entries, p] of each part.
 
@@ -184,17 +184,17 @@ def compress_vectors(
     books = np.split(first, parts, axis=1)
     if len(first):
         for _ in range(turns):
-            books = _turn(whole, books)
+            books = _turn(whole, books, tree)
     schema = pa.schema([("code", pa.string()), ("error", pa.int64())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             codes, errors = [], []
-            for _, cut in _blocks(batch.column(2), parts):
+            for _, cut in _blocks(batch.column(2), parts, tree):
                 found, error = np.empty((len(cut[0]), parts), np.uint8), np.zeros(len(cut[0]), np.int64)
                 for k, (points, book) in enumerate(zip(cut, books)):
-                    tree = Tree.build(points)
-                    found[tree.order, k] = assign(tree, book)[0]
+                    over = Tree.build(points)
+                    found[over.order, k] = assign(over, book)[0]
                     error += ((points - book[found[:, k]]) ** 2).sum(1).astype(np.int64)
                 codes += [row.tobytes().hex() for row in found]
                 errors.append(error)

@@ -62,14 +62,13 @@ def test_subtrees_are_assigned_whole(monkeypatch):
 
 
 @pytest.mark.parametrize("tree,entries,turns", [(8192, 256, 4), (37, 7, 3)])
-def test_against_plain_lloyd(spark, monkeypatch, tree, entries, turns):
-    monkeypatch.setattr(vector_codes, "TREE", tree)
+def test_against_plain_lloyd(spark, tree, entries, turns):
     rng = np.random.default_rng(2)
-    rows = [(i, [float(v) for v in rng.normal(0, 0.3, 8)], int(i) % 3) for i in rng.permutation(300)]
+    rows = [(int(i), [float(v) for v in rng.normal(0, 0.3, 8)], int(i) % 3) for i in rng.permutation(300)]
     rows += [(7, rows[3][1], 1)] * 40 + [(None, rows[5][1], None), (900, None, 1), (901, [0.1, None] * 4, 1), (902, [float("nan")] * 8, 1), (903, [float("-inf")] * 8, 2)]
     rows += [(904, [], None), (905, [0.5] * 6, 2), (906, [2.0] * 8, None)]
     df = spark.createDataFrame([(*r, 1, "x") for r in rows], "vec_id long, embedding array<double>, label int, n long, code string")
-    got, books = compress_vectors(df.repartition(5), entries=entries, turns=turns)
+    got, books = compress_vectors(df.repartition(5), entries=entries, turns=turns, tree=tree)
     expect, plain_books = plain(rows, 4, entries, turns)
     assert sorted(repr(tuple(r)) for r in got.collect()) == expect
     assert [[[int(v) for v in e] for e in b] for b in books] == plain_books
