@@ -1,6 +1,7 @@
 """Queries of the subpackage by name, and the SQL of those that SQL can express."""
 
 from lexiwave.llm.bpe import op10_byte_bpe
+from lexiwave.llm.chat_format import OP13_SQL, op13_chat_format
 from lexiwave.llm.embedding_dedup import op2_embedding_dedup
 from lexiwave.llm.language_id import op9_language_id
 from lexiwave.llm.licences import op5_licence_scan
@@ -26,5 +27,6 @@ QUERIES = {
     "op10_byte_bpe": op10_byte_bpe,
     "op11_vector_codes": op11_vector_codes,
     "op12_turn_repair": op12_turn_repair,
+    "op13_chat_format": op13_chat_format,
 }
-SQL = {"op7_line_dedup": OP7_SQL, "op11_vector_codes": OP11_SQL, "op12_turn_repair": OP12_SQL}
+SQL = {"op7_line_dedup": OP7_SQL, "op11_vector_codes": OP11_SQL, "op12_turn_repair": OP12_SQL, "op13_chat_format": OP13_SQL}
