@@ -75,26 +75,46 @@ def most_entropy(run: Column, window: int = WINDOW) -> Column:
 SPAN = "struct<start: int, rank: int, end: int, value: string>"
 
 
+def _once(value: Column, of) -> Column:
+    """``of(value)``, with ``value`` made once however often it is used."""
+    return F.transform(F.array(value), of)[0]
+
+
+def _blocks(items: Column) -> Column:
+    """An array in blocks of about the root of its size; an empty one is one empty block."""
+    n = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(items))).cast("int"))
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(items) - 1) / n).cast("int"))), lambda i: F.slice(items, i * n + 1, n))
+
+
 def _matches(text: Column, rank: int, pattern: str, least: int, group: int) -> Column:
     """Spans of the pattern's leftmost non-overlapping matches whose ``group`` has ``least`` code points.
 
-    A match starts behind the pieces and matches before it.
+    A match starts behind the pieces and matches before it. Starts are summed within blocks of matches, and
+    blocks are moved by sums over blocks, so no array is copied once a match.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = found if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     gaps = F.transform(F.split(text, pattern, -1), F.char_length)
-    empty = F.expr(f"cast(array() as array<{SPAN}>)")
+    empty, none = F.expr(f"cast(array() as array<{SPAN}>)"), F.expr("cast(array() as array<int>)")
 
     def place(s: Column, x: Column) -> Column:
         begin = s["at"] + x["gap"]
         end = begin + F.char_length(x["found"])
         span = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), x["value"].alias("value"))
-        spans = F.when(F.char_length(x["value"]) >= least, F.concat(s["spans"], F.array(span))).otherwise(s["spans"])
-        return F.struct(end.alias("at"), spans.alias("spans"))
+        return F.struct(end.alias("at"), F.concat(s["spans"], F.array(span)).alias("spans"))
+
+    def move(s: Column, b: Column) -> Column:
+        return F.struct((s["at"] + b["at"]).alias("at"), F.concat(s["before"], F.array(s["at"])).alias("before"))
+
+    def whole(placed: Column) -> Column:
+        before = F.aggregate(placed, F.struct(F.lit(0).alias("at"), none.alias("before")), move)["before"]
+        moved = F.zip_with(placed, before, lambda b, o: F.transform(b["spans"], lambda x: F.struct(
+            (x["start"] + o).alias("start"), x["rank"].alias("rank"), (x["end"] + o).alias("end"), x["value"].alias("value"))))
+        return F.filter(F.flatten(moved), lambda x: F.char_length(x["value"]) >= least)
 
     items = F.arrays_zip(found.alias("found"), values.alias("value"), F.slice(gaps, 1, F.size(found)).alias("gap"))
-    walked = F.aggregate(items, F.struct(F.lit(0).alias("at"), empty.alias("spans")), place)["spans"]
-    return F.when(text.rlike(pattern), walked).otherwise(empty)
+    placed = F.transform(_once(items, _blocks), lambda b: F.aggregate(b, F.struct(F.lit(0).alias("at"), empty.alias("spans")), place))
+    return F.when(text.rlike(pattern), _once(placed, whole)).otherwise(empty)
 
 
 def scan_secrets(docs: DataFrame, text_col: str = "text", hex_bits: float = HEX_BITS, base64_bits: float = BASE64_BITS) -> DataFrame:
@@ -103,7 +123,8 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", hex_bits: float = HEX_
     Ranks 0 to 3 are ``KINDS``: assign, access and hex by their patterns (``ss_base``), and entropy, for
     candidates by the method that no base span touches. Offsets are code points, end exclusive. Null and
     empty texts have empty arrays, and so has an empty table no rows. Rows are independent: repeated ones
-    give equal results, and other columns pass through.
+    give equal results, and other columns pass through. Spans that start together stand in order of rank
+    and end. A very long text of n matches takes time in proportion to its length and n times the root of n.
     """
     t = F.coalesce(F.col(text_col), F.lit(""))
     # runs are greedy, so a least length inside the pattern drops the same matches as a filter behind it
@@ -112,12 +133,15 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", hex_bits: float = HEX_
         _matches(t, 1, ACCESS[:-1] + f"{{{ACCESS_LEAST - 4},}}", ACCESS_LEAST, 0),
         _matches(t, 2, HEX[:-1] + f"{{{HEX_LEAST},}}", HEX_LEAST, 0),
     ))
-    touches = lambda c: F.exists(F.col("ss_base"), lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+    meets = lambda b, c: (b["start"] < c["end"]) & (c["start"] < b["end"])
+    # base spans are in blocks by start, of which a candidate looks into those that it meets
+    reach = lambda b: F.struct(F.get(b, F.lit(0))["start"].alias("start"), F.array_max(F.transform(b, lambda x: x["end"])).alias("end"), b.alias("spans"))
+    blocks = F.transform(_once(F.col("ss_base"), _blocks), reach)
+    touches = lambda blocks, c: F.coalesce(F.exists(blocks, lambda b: meets(b, c) & F.exists(b["spans"], lambda x: meets(x, c))), F.lit(False))
     least = lambda v: F.when(v.rlike("^[0-9a-fA-F]+$"), hex_bits).otherwise(base64_bits)
-    secret = lambda c: ~c["value"].rlike(ALLOW) & ~touches(c) & (most_entropy(c["value"]) > least(c["value"]))
-    return docs.withColumn("ss_base", base).withColumn(
-        "ss_spans", F.array_sort(F.concat(F.col("ss_base"), F.filter(_matches(t, 3, CANDIDATE, WINDOW, 0), secret))),
-    )
+    secret = lambda blocks, c: ~c["value"].rlike(ALLOW) & ~touches(blocks, c) & (most_entropy(c["value"]) > least(c["value"]))
+    found = _once(blocks, lambda blocks: F.filter(_matches(t, 3, CANDIDATE, WINDOW, 0), lambda c: secret(blocks, c)))
+    return docs.withColumn("ss_base", base).withColumn("ss_spans", F.array_sort(F.concat(F.col("ss_base"), found)))
 
 
 KINDS = ("assign", "access", "hex", "entropy")

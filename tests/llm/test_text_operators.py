@@ -185,6 +185,22 @@ def test_entropy_of_a_long_run_takes_linear_time(spark):
     assert [(s.start, s.rank, s.end) for s in row.ss_spans] == [(2, 3, 100_002)] and time.time() - begin < 30
 
 
+def test_many_matches_in_a_text(spark):
+    """Fifty thousand spans of one kind, and as many candidates among them, in time near their number."""
+    rng = random.Random(4)
+    hexes = ["".join(rng.choice("0123456789abcdef") for _ in range(24)) for _ in range(50_000)]
+    mixed = [f"token={h[:8]}" if i % 3 == 0 else h if i % 3 == 1 else "".join(rng.choice(secrets.ALPHABET[:62]) for _ in range(22)) for i, h in enumerate(hexes[:9000])]
+    begin = time.time()
+    rows = secrets.scan_secrets(spark.createDataFrame([(" ".join(hexes),), (" ".join(mixed),)], "text string")).select("text", "ss_base", "ss_spans").collect()
+    assert time.time() - begin < 60
+    for r in rows:
+        expect = sorted((m.start(), k, m.end()) for k, (p, g, n) in enumerate(PATTERNS) for m in p.finditer(r.text) if len(m[g]) >= n)
+        assert [(s.start, s.rank, s.end) for s in r.ss_base] == expect and all(r.text[s.start : s.end] == s.value or s.rank == 0 for s in r.ss_base)
+    covered = {p for s in rows[1].ss_base for p in range(s.start, s.end)}
+    extra = [s for s in rows[1].ss_spans if s.rank == 3]
+    assert extra and not any(covered & set(range(s.start, s.end)) for s in extra)
+
+
 # op7
 
 @pytest.mark.parametrize("limit", [line_dedup.BROADCAST_LINES, 0])
