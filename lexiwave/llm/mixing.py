@@ -10,6 +10,10 @@ mostly a short one, and a source misses its target by at most half of that docum
 The meetings form a reduction tree. Documents are hashed into blocks of bounded size; each block is
 folded to one residual document, the residuals are blocked again by a coarser hash prefix, and so on
 until each source has one residual, which is rounded to the nearer whole. A hot source only has more blocks.
+
+Equal rows (one id, source and size) are one unit of the tree but not one mass: of n rows with the fraction
+p, the whole part of n * p get a copy more, and what is left is the fraction of a single row. So a unit
+moves one document's words, however often it is repeated.
 """
 
 from __future__ import annotations
@@ -18,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiwave.functions.scratch import Scratch
+from lexiwave.llm.skew import heavy_keys, spread_join
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK = 256
@@ -109,25 +114,10 @@ def _fold(items: Column, seed: int) -> Column:
     )
 
 
-def mix_sources(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    source_col: str = "source",
-    weights: tuple[float, ...] = (5, 2, 1),
-    cap: float = 3.0,
-    seed: int = 0,
-    block: int = BLOCK,
+def _allotted(
+    docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, source_col: str, weights: tuple[float, ...], cap: float, seed: int, block: int,
 ) -> DataFrame:
-    """Copies of each document so that every source's words come near its target.
-
-    Returns one row per input row: id, source, size, source_size, target, copies, taken. Null text has
-    size 0. Rows equal in id, source and size are one unit and get the same copies. Documents of size 0
-    take the whole part of the expected copies; they add no words. A null source is a source, ranked
-    last. An empty table gives an empty result. Other columns are ignored, so none can clash.
-    """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "mixing")
+    """One row a unit of equal rows: id, source, size, rows, source_size, target, base, more; ``more`` of its rows have base + 1 copies, the rest base."""
     sizes = scratch.save(
         docs.select(
             F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"),
@@ -140,20 +130,15 @@ def mix_sources(
     most = targets.agg(F.max("n_units")).first()[0] or 0
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     units = (
-        sizes.alias("u").join(targets.alias("t"), F.col("u.source").eqNullSafe(F.col("t.source")))
-        .select(
-            F.struct(F.col("u.id").alias("id"), F.col("u.source").alias("source"), F.col("u.size").alias("size")).alias("unit"),
-            (F.col("u.size") * F.col("rows")).cast("double").alias("size"),
-            expected.alias("expected"),
-            F.xxhash64("u.id", "u.size", F.lit(seed)).alias("h"),
-            F.ceil(F.col("n_units") / block).cast("long").alias("blocks"),
-        )
-        .withColumn("p", F.col("expected") - F.floor("expected"))
-    )
-    item = F.struct((-F.col("size")).alias("order"), "h", "unit", "size", "p")  # arrays sort by this, large ones first
-    open_units = units.where("size > 0 and p > 0").select(
-        F.pmod("h", "blocks").alias("slot"), F.col("unit.source").alias("source"), item.alias("item"),
+        sizes.alias("u").join(F.broadcast(targets).alias("t") if _few(targets) else targets.alias("t"), F.col("u.source").eqNullSafe(F.col("t.source")))
+        .select("u.id", "u.source", "u.size", "rows", "source_size", "target", F.floor(expected).alias("base"), (expected - F.floor(expected)).alias("fraction"),
+                F.xxhash64("u.id", "u.size", F.lit(seed)).alias("h"), F.ceil(F.col("n_units") / block).cast("long").alias("blocks"))
+        .withColumn("mass", F.when(F.col("size") > 0, F.col("rows") * F.col("fraction")).otherwise(F.lit(0.0)))
+        .withColumn("sure", F.floor("mass"))
     )
+    unit = F.struct("id", "source", "size")
+    item = F.struct((-F.col("size").cast("double")).alias("order"), "h", unit.alias("unit"), F.col("size").cast("double").alias("size"), (F.col("mass") - F.col("sure")).alias("p"))
+    open_units = units.where("mass > sure").select(F.pmod("h", "blocks").alias("slot"), "source", item.alias("item"))  # arrays sort by this, large ones first
     decided, level = [], 0
     while True:
         folded = open_units.groupBy("source", "slot").agg(F.array_sort(F.collect_list("item")).alias("items"))
@@ -164,27 +149,38 @@ def mix_sources(
             break
         open_units = step.select(F.floor(F.col("slot") / block).alias("slot"), "source", F.col("f.rest").alias("item"))
     last = step.select("f.rest").where(F.col("rest").isNotNull())
-    decided.append(last.select(
-        "rest.unit", (F.col("rest.p") >= 0.5).cast("int").alias("extra"),
-    ))
+    decided.append(last.select("rest.unit", (F.col("rest.p") >= 0.5).cast("int").alias("extra")))
     extra = decided[0]
     for part in decided[1:]:
         extra = extra.unionByName(part)
-    extra = extra.select(F.col("unit.id").alias("id"), F.col("unit.source").alias("source"), F.col("unit.size").alias("size"), "extra")
-    rows = (
-        sizes.alias("u").join(F.broadcast(targets).alias("t") if _few(targets) else targets.alias("t"), F.col("u.source").eqNullSafe(F.col("t.source")))
-        .join(
-            extra.alias("x"),
-            F.col("u.id").eqNullSafe(F.col("x.id")) & F.col("u.source").eqNullSafe(F.col("x.source")) & (F.col("u.size") == F.col("x.size")),
-            "left",
-        )
-    )
-    copies = (F.floor(expected) + F.coalesce(F.col("x.extra"), F.lit(0))).cast("long")
-    return rows.select(
-        F.col("u.id").alias("id"), F.col("u.source").alias("source"), F.col("u.size").alias("size"), "source_size", "target",
-        copies.alias("copies"), (copies * F.col("u.size")).cast("long").alias("taken"),
-        F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))).alias("row_no"),
-    ).drop("row_no")
+    extra = extra.select(F.col("unit.id").alias("x_id"), F.col("unit.source").alias("x_source"), F.col("unit.size").alias("x_size"), "extra")
+    same = F.col("id").eqNullSafe(F.col("x_id")) & F.col("source").eqNullSafe(F.col("x_source")) & (F.col("size") == F.col("x_size"))
+    return units.join(extra, same, "left").select(
+        "id", "source", "size", "rows", "source_size", "target", "base", (F.col("sure") + F.coalesce("extra", F.lit(0))).cast("long").alias("more"))
+
+
+def mix_sources(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights: tuple[float, ...] = (5, 2, 1),
+    cap: float = 3.0,
+    seed: int = 0,
+    block: int = BLOCK,
+) -> DataFrame:
+    """Copies of each document so that every source's words come within half a document of its target.
+
+    Returns one row per input row: id, source, size, source_size, target, copies, taken. Null text has
+    size 0. Rows equal in id, source and size share their copies as evenly as whole copies go, null ids too.
+    Documents of size 0 take the whole part of the expected copies; they add no words. A null source is a
+    source, ranked last. An empty table gives an empty result. Documents of equal size meet in the order of
+    a hash; a very long text only has a large size. Other columns are ignored, so none can clash.
+    """
+    units = _allotted(docs, Scratch(docs.sparkSession, "mixing"), id_col, text_col, source_col, weights, cap, seed, block)
+    numbered = units.withColumn("row_no", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
+    copies = (F.col("base") + (F.col("row_no") <= F.col("more")).cast("int")).cast("long")
+    return numbered.select("id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
 
 
 def _few(targets: DataFrame) -> bool:
@@ -201,10 +197,39 @@ def mixing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated by their copies; those with none go. Columns stay as they were, whatever their names.
 
     Null texts have no words and take the whole part of the expected copies; null ids and sources are values
-    like others; equal rows get the same copies; an empty table stays empty.
+    like others; rows equal in id, source and size share their copies as evenly as whole copies go, in an order
+    of no meaning; an empty table stays empty; a very long text is one row like others.
+    """
+    scratch = Scratch(spark, "mixing_stage")
+    units = scratch.save(_allotted(docs, scratch, "doc_id", "text", "source", (5, 2, 1), 3.0, 0, BLOCK), "units")
+    key = lambda i, s: [F.xxhash64(i.isNull(), i, s.isNull(), s, F.lit(0)), F.coalesce(i, F.lit(0)), F.coalesce(s, F.lit(""))]
+    keys = ["k_hash", "k_id", "k_source", "k_size"]
+    row_id, row_source = F.col("row.doc_id").cast("long"), F.col("row.source").cast("string")
+    keyed = docs.select(F.struct("*").alias("row"), word_count(F.col("text")).alias("k_size"))
+    keyed = keyed.select("row", "k_size", *[c.alias(k) for k, c in zip(keys, key(row_id, row_source))])
+    allotted = units.select(*[c.alias(k) for k, c in zip(keys, key(F.col("id"), F.col("source")))], F.col("size").alias("k_size"), "rows", "base", "more")
+    heavy = scratch.save(heavy_keys(allotted, keys, "rows"), "heavy")
+    joined = spread_join(keyed.withColumn("place", F.monotonically_increasing_id()), allotted, keys, heavy, F.col("place"))
+    take = lambda df, copies: df.select("row", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
+    single = joined.where((F.col("rows") == 1) & (F.col("base") + F.col("more") > 0))
+    several = joined.where("rows > 1 and base + more > 0")
+    out = take(single, F.col("base") + F.col("more"))
+    if units.where("rows > 1").limit(1).count():
+        numbered = _numbered(several, scratch, keys)
+        copies = F.col("base") + (F.col("row_no") <= F.col("more")).cast("int")
+        out = out.unionByName(take(numbered.where(copies > 0), copies))
+    return out.select(*[F.col("row")[c].alias(c) for c in docs.columns])
+
+
+def _numbered(rows: DataFrame, scratch: Scratch, keys: list[str]) -> DataFrame:
+    """``rows`` with ``row_no``, 1 to n among those of a key.
+
+    Rows are written down in pieces; they are numbered within pieces, and only a key's numbers of rows a
+    piece, not its rows, meet in one task.
     """
-    mixed = mix_sources(docs).where("copies > 0").select("id", "source", "size", "copies").distinct()
-    keyed = docs.select(F.struct("*").alias("row"), word_count(F.col("text")).alias("words"))
-    same = F.col("row.doc_id").eqNullSafe(F.col("id")) & F.col("row.source").eqNullSafe(F.col("source")) & (F.col("words") == F.col("size"))
-    copies = keyed.join(mixed, same).select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return copies.select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    pieces = scratch.save(rows.withColumn("piece", F.spark_partition_id()), "pieces")
+    counts = pieces.groupBy(*keys, "piece").agg(F.count("*").alias("n"))
+    before = Window.partitionBy(*keys).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    offset = counts.select(*keys, "piece", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    within = Window.partitionBy(*keys, "piece").orderBy("place")
+    return pieces.withColumn("within", F.row_number().over(within)).join(offset, [*keys, "piece"]).withColumn("row_no", F.col("within") + F.col("before"))
