@@ -135,12 +135,16 @@ def _search(segments: DataFrame, width: int) -> DataFrame:
     return segments.groupBy("shard").applyInArrow(work, "anchor long, content long, mask long")
 
 
-def repeated_segments(docs: DataFrame, scratch: Scratch, width: int, anchor: int, hot: int, shard: int) -> DataFrame:
-    """(id, tk, places) of (id, tk, text): the segments with repeated windows, as struct(place, mask)."""
+def repeated_segments(docs: DataFrame, scratch: Scratch, width: int, anchor: int, hot: int, shard: int, repeats: bool) -> DataFrame:
+    """(id, tk, places) of (id, tk, text): the different segments with repeated windows, as struct(place, mask).
+
+    Equal rows have equal segments: each counts as an occurrence, but only different places are gathered, before
+    the shuffle too, so k copies of a row cost k times a row.
+    """
     segments = scratch.save(_segments(docs, width, anchor), "segments")
     shared = scratch.save(segments.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "anchors")
     heavy = heavy_keys(shared, ["anchor"], "n")
-    alive = scratch.save(spread_join(segments, shared.select("anchor"), ["anchor"], heavy, F.col("content")), "alive")
+    alive = scratch.save(spread_join(segments, shared.select("anchor"), ["anchor"], heavy, F.monotonically_increasing_id()), "alive")
     scratch.drop("segments")
     distinct = scratch.save(
         alive.groupBy("anchor", "content").agg(F.count("*").alias("weight"), F.min(F.struct("id", "tk", "place")).alias("at")), "distinct",
@@ -150,7 +154,7 @@ def repeated_segments(docs: DataFrame, scratch: Scratch, width: int, anchor: int
         spread_join(distinct, spread, ["anchor"], heavy, F.col("content")).groupBy("at.id", "at.tk")
         .agg(F.collect_list(F.struct(F.col("at.place").alias("place"), "anchor", "content", "weight", (F.col("kinds") > hot).alias("hot"))).alias("wanted"))
     )
-    texts = docs.groupBy("id", "tk").agg(F.min("text").alias("text")) if _repeats_rows(docs) else docs
+    texts = docs.groupBy("id", "tk").agg(F.min("text").alias("text")) if repeats else docs
     located = texts.join(wanted, texts["id"].eqNullSafe(wanted["id"]) & (texts["tk"] == wanted["tk"])).select("text", "wanted")
     pieces = scratch.save(_cut(located, width), "pieces")
     counts = pieces.agg(F.count("*"), F.count(F.when(F.col("bit") >= 0, 1))).first()
@@ -166,12 +170,8 @@ def repeated_segments(docs: DataFrame, scratch: Scratch, width: int, anchor: int
         bits = spread_join(windows, twice, ["window"], heavy_keys(scratch.save(often, "often"), ["window"], "n"), F.col("content")).groupBy("anchor", "content").agg(F.bit_or(F.expr("shiftleft(1L, int(bit))")).alias("mask"))
         masks = masks.unionByName(bits)
     masks = scratch.save(masks, "masks")
-    hits = spread_join(alive, masks, ["anchor", "content"], heavy_keys(distinct, ["anchor", "content"], "weight"), F.struct("id", "place"))
-    return hits.groupBy("id", "tk").agg(F.collect_list(F.struct("place", "mask")).alias("places"))
-
-
-def _repeats_rows(docs: DataFrame) -> bool:
-    return docs.groupBy("id", "tk").count().where("count > 1").limit(1).count() > 0
+    hits = spread_join(alive, masks, ["anchor", "content"], heavy_keys(distinct, ["anchor", "content"], "weight"), F.monotonically_increasing_id())
+    return hits.groupBy("id", "tk").agg(F.collect_set(F.struct("place", "mask")).alias("places"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW, anchor: int = ANCHOR, hot: int = HOT, shard: int = SHARD, with_text: bool = False) -> DataFrame:
@@ -181,15 +181,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     in its own document or another. Windows are judged on the input. Kept words are joined by one space.
     Null and empty texts have no words. Repeated rows repeat each other's windows. A null id is an id, an
     empty table gives an empty result, and other columns are ignored. Words are told apart by 64-bit
-    hashes, segments by two of them.
+    hashes, segments by two of them. Of equal hashes in a window the leftmost run is its anchor. A very long
+    text is cut into segments, of which a task holds a shard at most; its own places are one row.
     """
     if not 1 <= anchor <= width or width - anchor + 1 > _MOST_WINDOWS:
         raise ValueError(f"an anchor has at least one word and is at most {_MOST_WINDOWS - 1} words shorter than a window")
     ship(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "substring_dedup")
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("tk"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    found = repeated_segments(plain, scratch, width, anchor, hot, shard).select(F.col("id").alias("f_id"), F.col("tk").alias("f_tk"), "places")
-    joined = plain.join(found, plain["id"].eqNullSafe(F.col("f_id")) & (F.col("tk") == F.col("f_tk")), "left").select("id", "text", "places")
+    keyed = plain.select("*", F.coalesce("id", F.lit(0)).alias("k_id"), F.col("id").isNull().alias("k_none"))
+    keys = ["k_id", "k_none", "tk"]
+    repeated = scratch.save(keyed.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1"), "repeated")
+    found = repeated_segments(plain, scratch, width, anchor, hot, shard, repeated.limit(1).count() > 0)
+    places = found.select(F.coalesce("id", F.lit(0)).alias("k_id"), F.col("id").isNull().alias("k_none"), "tk", "places")
+    # copies of a row of very many are dealt over many tasks
+    joined = spread_join(keyed, places, keys, heavy_keys(repeated, keys, "n"), F.monotonically_increasing_id(), "left").select("id", "text", "places")
     fields = [("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())] + [("kept", pa.string())] * with_text
     schema = pa.schema(fields)
 

@@ -1,4 +1,5 @@
 import hashlib
+import time
 import zlib
 from collections import Counter
 
@@ -101,6 +102,21 @@ def test_substrings(spark, hot, monkeypatch):
     assert substring_dedup.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_substrings_of_equal_rows(spark):
+    """Thousands of equal rows, with an id and without: results as defined, and time in proportion to their number."""
+    took = []
+    for n in (500, 5000):
+        texts = [(None, prose(1, 950)), (4, prose(2, 120))]
+        rows = [texts[0]] * n + [texts[1]] * (n // 2) + [(i, prose(10 + i, 60)) for i in range(50)] + [(90, prose(1, 950)[:400])]
+        begin = time.time()
+        got = Counter(tuple(r) for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect())
+        took.append(time.time() - begin)
+        none = hashlib.sha256(b"").hexdigest()
+        assert got[None, 950, 950, none] == n and got[4, 120, 120, none] == n // 2 and sum(got.values()) == len(rows)
+        assert all(removed == 0 for i, _, removed, _ in got if i is not None and i < 90 and i != 4) and any(i == 90 and removed > 0 for i, _, removed, _ in got)
+    assert took[1] < 20 * took[0]
+
+
 def test_fm_index():
     rng = np.random.default_rng(3)
     text = rng.integers(1, 5, 400)
