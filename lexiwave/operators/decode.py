@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lexiwave.functions.shipping import ship
 from lexiwave.operators import lm as lms
-from lexiwave.operators.hmm import WordModel
+from lexiwave.operators.hmm import WordModel, tied_emissions
 from lexiwave.operators.text import END
 
 LM_SCALE, WORD_PENALTY = 15.0, 0.5
@@ -139,7 +139,7 @@ def recognise_arrays(utterances: DataFrame, decoder: Decoder, n: int = 1) -> Dat
 
 
 def _found(utt: str, x: np.ndarray, decoder: Decoder, n: int) -> pd.DataFrame:
-    found = decoder.n_best([m.emissions(x) for m in decoder.models], n)
+    found = decoder.n_best(tied_emissions(decoder.models, x), n)
     return pd.DataFrame({
         "utt": utt, "rank": np.arange(len(found), dtype="int32"), "cost": [h.cost for h in found], "words": [h.words for h in found], "phones": [h.phones for h in found]})
 

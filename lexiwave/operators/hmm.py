@@ -1,7 +1,8 @@
 """Hidden Markov models over utterances: forward, backward, occupancies, Baum-Welch, word models.
 
-All probabilities are neglogs. Recursions over states are array operations; utterances are independent
-rows, so training sums their statistics in the cluster and only model-sized tables come back.
+All probabilities are neglogs. Recursions over states are array operations. Training sums expected moves and
+occupancies of blocks of all utterances in the cluster, and only model-sized tables come back. What takes a
+sequence as one array is for short ones; ``segments`` has the same for sequences of any length.
 """
 
 from __future__ import annotations
@@ -16,20 +17,14 @@ from pyspark.sql import functions as F
 
 from lexiwave.functions.neglog import array_sum
 from lexiwave.functions.shipping import ship
+from lexiwave.functions.scratch import Scratch
+from lexiwave.operators import segments
 from lexiwave.operators.cluster import RIDGE, Mixture
+from lexiwave.operators.segments import Chain, logsum
 
 INF = np.inf
 
 
-def logsum(x: np.ndarray, axis: int) -> np.ndarray:
-    """Neglog of summed probabilities along an axis; all impossible stays impossible."""
-    low = x.min(axis=axis, keepdims=True)
-    safe = np.where(np.isinf(low), 0.0, low)
-    with np.errstate(divide="ignore"):
-        out = safe - np.log(np.exp(safe - x).sum(axis=axis, keepdims=True))
-    return np.squeeze(out, axis=axis)
-
-
 @dataclass
 class WordModel:
     """States named by phones, with start neglogs [n] and transitions [n, n]; ``states`` score observations.
@@ -65,8 +60,37 @@ class WordModel:
             raise ValueError("every row of transitions sums to probability 1")
 
     def emissions(self, x: np.ndarray) -> np.ndarray:
-        """[T, n], each frame and state once."""
-        return np.stack([s.nlp(x) for s in self.states], axis=1)
+        """[T, n], each frame once for every state that differs from the others."""
+        return tied_emissions([self], x)[0]
+
+
+@dataclass
+class Symbols:
+    """A state that gives numbered symbols, the one feature of a frame, with neglogs ``table``."""
+
+    table: np.ndarray
+
+    def nlp(self, x: np.ndarray) -> np.ndarray:
+        return self.table[np.atleast_2d(x)[:, 0].astype(int)]
+
+
+def _content(state: Mixture | Symbols) -> bytes:
+    return b"|".join(np.ascontiguousarray(v, np.float64).tobytes() for v in vars(state).values())
+
+
+def tied_emissions(models: list[WordModel], x: np.ndarray) -> list[np.ndarray]:
+    """[T, n] of every model. States of equal content, such as a phone that many words share, are scored once."""
+    table: dict[bytes, np.ndarray] = {}
+    out = []
+    for m in models:
+        columns = []
+        for s in m.states:
+            key = _content(s)
+            if key not in table:
+                table[key] = s.nlp(x)
+            columns.append(table[key])
+        out.append(np.stack(columns, axis=1))
+    return out
 
 
 def forward(initial: np.ndarray, transitions: np.ndarray, emissions: np.ndarray) -> np.ndarray:
@@ -154,24 +178,91 @@ def baum_welch(
     return model, False
 
 
-def train_words(frames: DataFrame, models: dict[str, WordModel], turns: int = 100) -> dict[str, WordModel]:
+def _expectations(blocks: segments.Blocks, models: dict[str, WordModel], mixtures: bool, scratch: Scratch, name: str) -> dict[str, np.ndarray]:
+    """A word's sums over its utterances: likelihood, number, expected moves [n + 1, n] (the last row from the beginning) and, with
+    ``mixtures``, size, sum and scatter about the old mean of every component. A task adds up its blocks and sends a row a word."""
+    chains = {w: Chain(m.initial, m.transitions, m.emissions) for w, m in models.items()}
+    told = segments.with_context(blocks, lambda values: chains[values[0]], scratch, name, rows=blocks.rows.where(F.col("word").isin(*models)))
+    key, width = blocks.key, blocks.width
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for (word, *_), chain, rows, e, lengths, xs in segments.batches(key, width, lambda values: chains[values[0]], batch):
+                alpha, beta, total, before = segments.smooth(chain, rows, e, lengths)
+                begins = np.isfinite(before[:, -1])
+                one = [np.array([total[begins].sum(), begins.sum()]), segments.moves(chain, alpha, beta, total, before, e, lengths).sum(0).ravel()]
+                if mixtures:
+                    gamma, x = total[:, None] - alpha - beta, np.concatenate(xs)
+                    own = -np.concatenate([gamma[:n, i] for i, n in enumerate(lengths)])  # neglogs of occupancies
+                    one += [_component_sums(s, own[:, i], x) for i, s in enumerate(models[word].states)]
+                sums[word] = sums.get(word, 0.0) + np.concatenate(one)
+        if sums:
+            yield pd.DataFrame({"word": list(sums), "sums": list(sums.values())})
+
+    parts = told.mapInPandas(work, "word string, sums array<double>")
+    added = parts.select("word", F.posexplode("sums").alias("i", "v")).groupBy("word", "i").agg(F.sum("v").alias("v")).groupBy("word").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("sums"))
+    return {r.word: np.array(r.sums) for r in added.collect()}  # a row a word, of a model's size
+
+
+def _component_sums(state: Mixture, gamma: np.ndarray, x: np.ndarray) -> np.ndarray:
+    share = np.exp(-(gamma[:, None] + state.component_nlp(x) - state.nlp(x)[:, None]))
+    parts = []
+    for k, mean in enumerate(state.mean):
+        apart = x - mean
+        parts += [share[:, k].sum()[None], share[:, k] @ x, ((share[:, k, None] * apart).T @ apart).ravel()]
+    return np.concatenate(parts)
+
+
+def _refitted(state: Mixture, sums: np.ndarray) -> Mixture:
+    d = state.mean.shape[1]
+    rows = sums.reshape(len(state.weight), 1 + d + d * d)
+    size = np.maximum(rows[:, 0], 1e-300)
+    scatter = rows[:, 1 + d :].reshape(-1, d, d) / size[:, None, None] + RIDGE * np.eye(d)
+    return Mixture(size / size.sum(), rows[:, 1 : 1 + d] / size[:, None], scatter)
+
+
+def _maximised(model: WordModel, sums: np.ndarray, mixtures: bool) -> WordModel:
+    """The model of a word's sums; states that are never left keep their row."""
+    n = len(model.phones)
+    moved = sums[2 : 2 + (n + 1) * n].reshape(n + 1, n)
+    left = moved[:n].sum(1, keepdims=True)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        transitions = np.where(left > 0, -np.log(moved[:n] / left), model.transitions)
+        initial = -np.log(moved[n] / sums[1])
+    states = model.states
+    if mixtures:
+        sizes = [len(s.weight) * (1 + s.mean.shape[1] * (1 + s.mean.shape[1])) for s in states]
+        edges = np.cumsum([2 + (n + 1) * n, *sizes])
+        states = [_refitted(s, sums[a:b]) for s, a, b in zip(states, edges, edges[1:])]
+    return replace(model, initial=initial, transitions=transitions, states=states)
+
+
+def train_words(
+    frames: DataFrame, models: dict[str, WordModel], turns: int = 100, eps: float = 1e-4, ignore_eps: bool = False, mixtures: bool = False, size: int = segments.BLOCK,
+) -> dict[str, WordModel]:
     """Baum-Welch of every word's model on its utterances: (word, utt, frame_no, features) rows.
 
-    One task a word; a word's recordings are training data of bounded size.
+    Utterances are cut into blocks of at most ``size`` frames, which are read by every turn and may lie in any
+    task, so neither a word of very many utterances nor an utterance of any length is one task's work. A word
+    stops after the turn in which its likelihood moves by less than ``eps``; the others go on. With
+    ``mixtures`` the states' mixtures are re-estimated too. Words without utterances keep their model.
     """
-    ship(frames.sparkSession)
-
-    def work(key, rows: pd.DataFrame) -> pd.DataFrame:
-        model = models[key[0]]
-        seqs = [np.stack(g.sort_values("frame_no")["features"].to_numpy()) for _, g in rows.groupby("utt")]
-        model, done = baum_welch(model, [model.emissions(x) for x in seqs], turns=turns)
-        return pd.DataFrame({"word": [key[0]], "initial": [model.initial], "transitions": [model.transitions.ravel()], "converged": [done]})
-
-    trained = frames.where(F.col("word").isin(*models)).groupBy("word").applyInPandas(work, "word string, initial array<double>, transitions array<double>, converged boolean").collect()
-    out = dict(models)
-    for r in trained:
-        n = len(r.initial)
-        out[r.word] = replace(models[r.word], initial=np.array(r.initial), transitions=np.array(r.transitions).reshape(n, n))
+    scratch = Scratch(frames.sparkSession, "train_words")
+    own = frames.where(F.col("word").isin(*models)).select(F.col("word").cast("string"), "utt", "frame_no", F.transform("features", lambda v: v.cast("double")).alias("features"))
+    blocks = segments.blocks_of(own, ["word", "utt"], ["frame_no"], "features", scratch, size=size)
+    out, before, active = dict(models), {}, set(models)
+    for turn in range(turns):
+        found = _expectations(blocks, {w: out[w] for w in sorted(active)}, mixtures, scratch, f"turn{turn}")
+        for word, sums in found.items():
+            out[word] = _maximised(out[word], sums, mixtures)
+            if not ignore_eps and abs(sums[0] - before.get(word, INF)) < eps:
+                active.discard(word)
+            before[word] = sums[0]
+        active &= set(found)
+        if not active:
+            break
     return out
 
 

@@ -6,12 +6,14 @@ Signals and sequences are every user's events in order.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiwave.functions.scratch import Scratch, small
-from lexiwave.operators import acoustic, cluster, decode, hmm, lm, metrics, signal, text
+from lexiwave.operators import acoustic, cluster, decode, hmm, lm, metrics, segments, signal, text
 from lexiwave.plans import sql
 from lexiwave.sources import arpa, corpus
 from lexiwave.streaming import incremental
@@ -283,6 +285,73 @@ def viterbi_path(spark, sf_dir):
     return out.select("user_id", F.round("cost", 4).alias("cost"), F.array_join(F.transform("path", lambda j: j.cast("string")), "").alias("path"))
 
 
+#: events of a block in the queries below; real blocks are longer
+BLOCK = 16
+
+
+def event_steps(spark, sf_dir) -> DataFrame:
+    """Every event as a step of its user's sequence: the number of its type as the one feature."""
+    code = F.array_position(F.array(*map(F.lit, EVENT_TYPES)), F.col("event_type")).cast("double") - 1
+    return table(spark, sf_dir, "events").where(F.col("event_type").isin(*EVENT_TYPES)).select("user_id", "ts", "event_id", F.array(code).alias("x"))
+
+
+def event_blocks(spark, sf_dir, name: str) -> tuple[segments.Blocks, Scratch]:
+    scratch = Scratch(spark, name)
+    return segments.blocks_of(event_steps(spark, sf_dir), ["user_id"], ["ts", "event_id"], "x", scratch, size=BLOCK), scratch
+
+
+def event_chain(_: tuple, chain=segments.Chain(START, MOVES, lambda x: EMIT[:, x[:, 0].astype(int)].T)) -> segments.Chain:
+    return chain
+
+
+def segmented_forward(spark, sf_dir):
+    blocks, scratch = event_blocks(spark, sf_dir, "segmented_forward")
+    return segments.likelihoods(blocks, event_chain, scratch).withColumn("nlp", F.round("nlp", 4))
+
+
+def segmented_states(column: str):
+    def run(spark, sf_dir):
+        blocks, scratch = event_blocks(spark, sf_dir, f"segmented_{column}")
+        out = segments.posteriors(blocks, event_chain, scratch)
+        return out.select("user_id", F.col("t").cast("int").alias("t"), F.posexplode(column).alias("j", "v")).withColumn("v", F.round("v", 4) + 0.0)
+
+    return run
+
+
+def segmented_path(spark, sf_dir):
+    blocks, scratch = event_blocks(spark, sf_dir, "segmented_path")
+    return segments.best_paths(blocks, event_chain, scratch).withColumn("cost", F.round("cost", 4))
+
+
+def baum_welch_turns(spark, sf_dir):
+    """Moves, and starts as moves from -1, after two turns of training on all users' events, cut into blocks."""
+    frames = event_steps(spark, sf_dir).select(F.lit("all").alias("word"), F.col("user_id").alias("utt"), F.struct("ts", "event_id").alias("frame_no"), F.col("x").alias("features"))
+    model = hmm.WordModel("all", ["0", "1", "2"], [hmm.Symbols(e) for e in EMIT], MOVES, START)
+    got = hmm.train_words(frames, {"all": model}, turns=2, ignore_eps=True, size=BLOCK)["all"]
+    rows = [(i - 1, j, round(float(np.exp(-c)), 6) + 0.0) for i, row in enumerate([got.initial, *got.transitions]) for j, c in enumerate(row)]
+    return spark.createDataFrame(rows, "i int, j int, p double")
+
+
+def event_models() -> list[hmm.WordModel]:
+    """Two-state models of two components a state over event values, one a type of event: a recording is a user's values of that type."""
+    def mixture(a, b):
+        return cluster.Mixture(np.array([0.5, 0.5]), np.array([[a], [b]]), np.array([[[300.0]], [[500.0]]]))
+
+    return [hmm.WordModel(e, ["0", "1"], [mixture(10.0, 50.0), mixture(30.0, 90.0)], initial=np.log([2.0, 2.0])) for e in EVENT_TYPES]
+
+
+def baum_welch_mixtures(spark, sf_dir):
+    """Models of event types after three turns, mixtures re-estimated: moves by -1, means and variances by state and component."""
+    events = table(spark, sf_dir, "events").where("value is not null")
+    frames = events.select(F.col("event_type").alias("word"), F.col("user_id").alias("utt"), F.struct("ts", "event_id").alias("frame_no"), F.array("value").alias("features"))
+    got = hmm.train_words(frames, {m.word: m for m in event_models()}, turns=3, ignore_eps=True, mixtures=True, size=BLOCK)
+    rows = []
+    for word, m in sorted(got.items()):
+        for i, s in enumerate(m.states):
+            rows += [(word, i, k, *(round(float(v), 6) for v in (np.exp(-m.transitions[i, i]), s.weight[k], s.mean[k, 0], s.covariance[k, 0, 0]))) for k in range(2)]
+    return spark.createDataFrame(rows, "event_type string, state int, component int, stay double, weight double, mean double, variance double")
+
+
 # two components over quantity and discount in percent
 PAIR = cluster.Mixture(np.array([0.4, 0.6]), np.array([[10.0, 2.0], [40.0, 8.0]]), np.array([[[120.0, 1.0], [1.0, 9.0]], [[150.0, -2.0], [-2.0, 8.0]]]))
 
@@ -418,6 +487,8 @@ QUERIES = {
     "kmeans_assign": kmeans_assign, "kmeans_sse": kmeans_sse, "kmeans_lloyd": kmeans_lloyd, "kmeans_full": kmeans_full,
     "cluster_covariance": cluster_covariance, "cluster_covariance_full": cluster_covariance_full, "gmm_em": gmm_em,
     "hmm_forward": hmm_forward, "viterbi_cost": viterbi_cost, "hmm_occupancy": hmm_occupancy, "baum_welch_step": baum_welch_step,
+    "segmented_forward": segmented_forward, "segmented_backward": segmented_states("beta"), "segmented_gamma": segmented_states("gamma"), "segmented_path": segmented_path,
+    "baum_welch_turns": baum_welch_turns, "baum_welch_mixtures": baum_welch_mixtures,
     "nbest_costs": nbest_costs, "rescore_best": rescore_best,
     "arpa_roundtrip": arpa_roundtrip, "tokenize_other": tokenize_other,
     "hmm_backward": hmm_states("beta"), "hmm_gamma": hmm_states("gamma"), "hmm_xi": hmm_xi, "viterbi_path": viterbi_path,
@@ -452,6 +523,15 @@ _TOTAL = f"total AS (SELECT user_id, any_value(mn) - ln(sum(exp(mn - c))) AS nlp
 _BOTH = f"WITH RECURSIVE {_HMM}, {_ALPHA}, {_BETA}, {_TOTAL}"
 _XI = """xi AS (SELECT r.user_id, tr.i, tr.j, sum(exp(nlp - r.c - tr.a - em.e - b.c)) AS v FROM r JOIN total USING (user_id) JOIN tr ON tr.i = r.j
   JOIN obs ON obs.user_id = r.user_id AND obs.t = r.t + 1 JOIN em ON em.o = obs.o AND em.j = tr.j JOIN b ON b.user_id = r.user_id AND b.t = r.t + 1 AND b.j = tr.j GROUP BY r.user_id, tr.i, tr.j)"""
+# the moves and starts of the next turn; _again reads them in the place of the first
+_FIRST_MOVES = """tr2 AS MATERIALIZED (SELECT i, j, CASE WHEN v > 0 THEN -ln(v / sum(v) OVER (PARTITION BY i)) ELSE 1e30 END AS a FROM (SELECT i, j, sum(v) AS v FROM xi GROUP BY i, j)),
+st2 AS MATERIALIZED (SELECT r.j AS j, -ln(sum(exp(nlp - r.c - b.c)) / count(*)) AS a FROM r JOIN b USING (user_id, t, j) JOIN total USING (user_id) WHERE t = 1 GROUP BY r.j)"""
+
+
+def _again(ctes: str) -> str:
+    return re.sub(r"\b(r|b|tr|st|tr2|st2|total|xi)\b(?=\.| AS [(M]| JOIN| USING|\)? (ON|WHERE|GROUP)| \(|$)|(?<=FROM )xi\b", r"\g<0>2", ctes)
+
+
 _PAIRS = "pts AS (SELECT l_returnflag AS f, l_quantity::DOUBLE AS x, round(100 * l_discount::DOUBLE, 6) AS y FROM lineitem WHERE l_quantity IS NOT NULL AND l_discount IS NOT NULL)"
 _SHARES = f"""{_PAIRS}, comp(k, w, m1, m2, c11, c12, c22) AS (VALUES {sql.values([(k, float(PAIR.weight[k]), *map(float, PAIR.mean[k]), float(c[0, 0]), float(c[0, 1]), float(c[1, 1])) for k, c in enumerate(PAIR.covariance)])}),
 dens AS (SELECT row_number() OVER () AS id, f, x, y FROM pts),
@@ -570,5 +650,11 @@ SELECT id, i, list_transform(range(1, len(m) + 1), lambda j: list_min(list_trans
   FROM d JOIN p ON p.id = d.id WHERE d.i < len(a)))
 SELECT conv_id, turn, round(v[len(v)] / len(b)::DOUBLE, 6) AS wer FROM p JOIN d ON d.id = p.id AND d.i = len(a)""",
 }
+SQL |= {
+    "segmented_forward": SQL["hmm_forward"], "segmented_backward": SQL["hmm_backward"], "segmented_gamma": SQL["hmm_gamma"],
+    "segmented_path": f"SELECT user_id, CAST(i - 1 AS BIGINT) AS t, CAST(path[i] AS BIGINT) AS state, cost FROM ({SQL['viterbi_path']}) CROSS JOIN range(1, 1000000) g(i) WHERE i <= length(path)",
+    "baum_welch_turns": f"""{_BOTH}, {_XI}, {_FIRST_MOVES}, {_again(_ALPHA)}, {_again(_BETA.partition("b AS (")[1] + _BETA.partition("b AS (")[2])}, {_again(_TOTAL)}, {_again(_XI)}, {_again(_FIRST_MOVES).replace("tr22", "tr3").replace("st22", "st3")}
+SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, CASE WHEN a > 1e29 THEN 0.0 ELSE round(exp(-a), 6) + 0.0 END AS p FROM (SELECT i, j, a FROM tr3 UNION ALL SELECT -1, j, a FROM st3)""",
+}
 for _n in (1, 2, 3):
     SQL[f"ngram_counts_{_n}"] = f"WITH {sql.seqs()}, {sql.pads(_n)}, {sql.counts(_n)} SELECT model, ord, array_to_string(gram, ' ') AS gram, cnt FROM cnts WHERE ord = {_n}"
