@@ -16,7 +16,7 @@ from lexiwave.functions.scratch import Scratch, small
 from lexiwave.operators import acoustic, cluster, decode, hmm, lm, metrics, segments, signal, text
 from lexiwave.plans import sql
 from lexiwave.sources import arpa, corpus
-from lexiwave.streaming import incremental
+from lexiwave.streaming import incremental, sinks
 
 LENGTH, STEP, SIZE, RATE, BANKS, COEFFICIENTS = 8, 4, 16, 16, 4, 3
 BANK, DCT = signal.mel_filterbank(SIZE, RATE, BANKS), signal.dct_matrix(BANKS, COEFFICIENTS)
@@ -430,41 +430,81 @@ def rescore_turns(spark, sf_dir):
     return out.select("utt", "rank", F.round("second_cost", 4).alias("second_cost"), "best")
 
 
-def streamed(spark, name: str, stream: DataFrame, mode: str) -> DataFrame:
-    """The result of a stream run over all that its source holds, written by its last trigger."""
-    scratch = Scratch(spark, name)
-
-    def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{scratch.root}/out")
-
-    query = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{scratch.root}/progress").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{scratch.root}/out")
+TRIGGERS = 3
 
 
 def stream_of(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(table(spark, sf_dir, name).schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/{name}.parquet*")
 
 
+def stream_in_parts(spark, name: str, df: DataFrame, time: str | None = None) -> DataFrame:
+    """A stream that reads ``df`` in ``TRIGGERS`` triggers: parts of equal lengths of time, written one after the other, or of equal hashes."""
+    root = f"{Scratch(spark, name).root}/parts"
+    if time is None:
+        part = F.pmod(F.xxhash64(*df.columns), F.lit(TRIGGERS))
+    else:
+        first, last = df.agg(F.min(time), F.max(time)).first()
+        share = F.unix_micros(time) - F.unix_micros(F.lit(first))
+        part = F.coalesce(F.floor(TRIGGERS * share / (F.unix_micros(F.lit(last)) - F.unix_micros(F.lit(first)) + 1)), F.lit(0))
+    for i in range(TRIGGERS):
+        df.where(part == i).coalesce(1).write.parquet(f"{root}/{i}")
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/*")
+
+
+def streamed(spark, name: str, stream: DataFrame, mode: str, keys: list[str]) -> DataFrame:
+    """What a stream has given once its source is read: the latest row of every key, or all rows without keys."""
+    sink = sinks.KeyedTable(spark, Scratch(spark, name).root, stream.schema, keys, compact=2)
+    with incremental.rocks_state(spark):
+        query = sink.start(stream, mode)
+    query.awaitTermination()
+    return sink.rows()
+
+
 def streaming_counts(spark, sf_dir):
-    out = streamed(spark, "streaming_counts", incremental.running_counts(stream_of(spark, sf_dir, "documents"), 1), "complete")
+    stream = stream_in_parts(spark, "streaming_counts", table(spark, sf_dir, "documents").select("text"))
+    out = streamed(spark, "streaming_counts", incremental.running_counts(stream, 2), "update", ["model", "ord", "gram"])
     return out.select("model", "ord", joined().alias("gram"), "cnt")
 
 
+def event_stream(spark, sf_dir, name: str, condition) -> DataFrame:
+    events = table(spark, sf_dir, "events").where(condition).withColumn("ts", F.col("ts").cast("timestamp")).select("event_id", "ts", "user_id", "event_type", "value")
+    return stream_in_parts(spark, name, events, "ts")
+
+
 def streaming_frames(spark, sf_dir):
     events = stream_of(spark, sf_dir, "events").where("value is not null").withColumn("ts", F.col("ts").cast("timestamp"))
-    out = streamed(spark, "streaming_frames", incremental.time_frames(events, "ts", "2 hours", "1 hour", "30 days"), "complete")
+    out = streamed(spark, "streaming_frames", incremental.time_frames(events, "ts", "2 hours", "1 hour", "30 days"), "update", ["frame"])
+    return shown_frames(out)
+
+
+def shown_frames(out: DataFrame) -> DataFrame:
     return out.select(F.unix_seconds("frame.start").alias("start"), "n", F.round("mean", 6).alias("mean"), F.round("energy", 3).alias("energy"))
 
 
-def streaming_viterbi(spark, sf_dir):
-    events = stream_of(spark, sf_dir, "events").where(F.col("event_type").isin(*EVENT_TYPES)).withColumn("ts", F.col("ts").cast("timestamp"))
+def streaming_frames_closed(spark, sf_dir):
+    """Frames that the watermark has closed, each given once; those still open at the end of the stream are not given."""
+    frames = incremental.time_frames(event_stream(spark, sf_dir, "streaming_frames_closed", F.col("value").isNotNull()), "ts", "2 hours", "1 hour", "3 hours")
+    return shown_frames(streamed(spark, "streaming_frames_closed", frames, "append", []))
+
+
+def observed(spark, sf_dir, name: str) -> DataFrame:
+    events = event_stream(spark, sf_dir, name, F.col("event_type").isin(*EVENT_TYPES))
     code = F.array_position(F.array(*map(F.lit, EVENT_TYPES)), F.col("event_type")).cast("int") - 1
     seq = F.concat(F.lpad(F.unix_micros("ts").cast("string"), 20, "0"), F.lpad(F.col("event_id").cast("string"), 20, "0"))
-    out = streamed(spark, "streaming_viterbi", incremental.online_viterbi(events.select("user_id", seq.alias("seq"), code.alias("obs")), "user_id", START, MOVES, EMIT), "update")
+    return events.select("user_id", seq.alias("seq"), code.alias("obs"))
+
+
+def streaming_viterbi(spark, sf_dir):
+    out = streamed(spark, "streaming_viterbi", incremental.online_viterbi(observed(spark, sf_dir, "streaming_viterbi"), "user_id", START, MOVES, EMIT), "update", ["user_id"])
     return out.select("user_id", "frames", F.round("cost", 4).alias("cost"), "state")
 
 
+def streaming_paths(spark, sf_dir):
+    """Every user's path, given out as it settles, three triggers."""
+    out = streamed(spark, "streaming_paths", incremental.online_paths(observed(spark, sf_dir, "streaming_paths"), "user_id", START, MOVES, EMIT), "update", ["user_id", "began", "t"])
+    return out.select("user_id", "t", "state")
+
+
 QUERIES = {
     "tokenize_counts": tokenize_counts,
     "vocabulary": lambda s, d: text.vocabulary(train_seqs(s, d), 2),
@@ -495,6 +535,7 @@ QUERIES = {
     "gmm_em_step": gmm_em_step, "gmm_loglik": gmm_loglik, "phone_mixtures": phone_mixtures, "density_grid": density_grid, "acoustic_moves": acoustic_moves,
     "nbest_passing": nbest_passing, "rescore_turns": rescore_turns,
     "streaming_counts": streaming_counts, "streaming_frames": streaming_frames, "streaming_viterbi": streaming_viterbi,
+    "streaming_paths": streaming_paths, "streaming_frames_closed": streaming_frames_closed,
 }
 
 _FRAMES = (LENGTH, STEP)
@@ -630,9 +671,12 @@ round(exp(-0.5 * pow(-50 + 0.5 * i - mean, 2) / 400) / sqrt(2 * pi() * 400), 8)
 hp AS (SELECT conv_id, turn, list_concat(list_concat(['<s>'], toks), ['</s>']) AS p FROM h), g AS (SELECT conv_id, turn, unnest(list_transform(range(1, len(p)), lambda i: p[i:i + 1])) AS gram FROM hp),
 sc AS (SELECT conv_id, turn, sum(-ln((coalesce(cnt, 0) + 1) / (coalesce(ctx_cnt, 0) + v)::DOUBLE)) AS c FROM g LEFT JOIN cnts ON cnts.gram = g.gram LEFT JOIN ctxs ON ctx = g.gram[1:1] CROSS JOIN vsize GROUP BY conv_id, turn)
 SELECT CAST(conv_id AS VARCHAR) AS utt, CAST(turn AS INT) AS rank, round(c, 4) AS second_cost, row_number() OVER (PARTITION BY conv_id ORDER BY c, turn) = 1 AS best FROM sc""",
-    "streaming_counts": f"WITH {_ALL_SEQ}, {sql.pads(1)}, {sql.counts(1)} SELECT model, ord, array_to_string(gram, ' ') AS gram, cnt FROM cnts",
+    "streaming_counts": f"WITH {_ALL_SEQ}, {sql.pads(2)}, {sql.counts(2)} SELECT model, ord, array_to_string(gram, ' ') AS gram, cnt FROM cnts",
     "streaming_frames": """WITH e AS (SELECT CAST(floor(epoch_us(ts) / 1000000 / 3600) AS BIGINT) * 3600 AS hour, value FROM events WHERE value IS NOT NULL)
 SELECT hour - d AS start, count(*) AS n, round(avg(value), 6) AS mean, round(sum(value * value), 3) AS energy FROM e CROSS JOIN (VALUES (0), (3600)) w(d) GROUP BY hour - d""",
+    "streaming_frames_closed": """WITH e AS (SELECT CAST(floor(epoch_us(ts) / 1000000 / 3600) AS BIGINT) * 3600 AS hour, value FROM events WHERE value IS NOT NULL),
+w AS (SELECT floor(max(epoch_us(ts)) / 1000) / 1000 - 3 * 3600 AS mark FROM events WHERE value IS NOT NULL)
+SELECT hour - d AS start, count(*) AS n, round(avg(value), 6) AS mean, round(sum(value * value), 3) AS energy FROM e CROSS JOIN (VALUES (0), (3600)) v(d) CROSS JOIN w GROUP BY hour - d, mark HAVING hour - d + 7200 <= mark""",
     "streaming_viterbi": f"""WITH RECURSIVE {_HMM}, r AS ({_FIRST} UNION ALL SELECT r.user_id, r.t + 1 AS t, tr.j, min(r.c + tr.a) + any_value(e) AS c {_STEP} GROUP BY r.user_id, r.t, tr.j)
 SELECT user_id, any_value(t) AS frames, round(min(c), 4) AS cost, CAST(arg_min(j, (c, j)) AS INT) AS state FROM r {_LAST} GROUP BY user_id""",
     "tokenize_other": r"SELECT token, count(*) AS cnt FROM (SELECT unnest(list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}]+'), lambda x: lower(x)), lambda x: x NOT IN ('<s>', '</s>') AND length(x) >= 3)) AS token FROM documents) GROUP BY token",
@@ -653,6 +697,7 @@ SELECT conv_id, turn, round(v[len(v)] / len(b)::DOUBLE, 6) AS wer FROM p JOIN d
 SQL |= {
     "segmented_forward": SQL["hmm_forward"], "segmented_backward": SQL["hmm_backward"], "segmented_gamma": SQL["hmm_gamma"],
     "segmented_path": f"SELECT user_id, CAST(i - 1 AS BIGINT) AS t, CAST(path[i] AS BIGINT) AS state, cost FROM ({SQL['viterbi_path']}) CROSS JOIN range(1, 1000000) g(i) WHERE i <= length(path)",
+    "streaming_paths": f"SELECT user_id, CAST(i - 1 AS BIGINT) AS t, CAST(path[i] AS INT) AS state FROM ({SQL['viterbi_path']}) CROSS JOIN range(1, 1000000) g(i) WHERE i <= length(path)",
     "baum_welch_turns": f"""{_BOTH}, {_XI}, {_FIRST_MOVES}, {_again(_ALPHA)}, {_again(_BETA.partition("b AS (")[1] + _BETA.partition("b AS (")[2])}, {_again(_TOTAL)}, {_again(_XI)}, {_again(_FIRST_MOVES).replace("tr22", "tr3").replace("st22", "st3")}
 SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, CASE WHEN a > 1e29 THEN 0.0 ELSE round(exp(-a), 6) + 0.0 END AS p FROM (SELECT i, j, a FROM tr3 UNION ALL SELECT -1, j, a FROM st3)""",
 }
