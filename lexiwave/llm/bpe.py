@@ -31,6 +31,11 @@ from lexiwave.llm.bytewords import chunks, range_keys, ranges, text_buffers
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: pretokens whose encodings a Python worker remembers between chunks
 REMEMBERED = 150_000
+#: pairs of neighbours whose compatibility is remembered; beyond that all are forgotten and worked out again
+PAIRS = 400_000
+
+# Fixed value: the split pattern that ``pretokens`` implements.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 class Encoder:
@@ -82,6 +87,8 @@ class Encoder:
     def compatible(self, a: int, b: int) -> bool:
         """Whether the merges keep the tokens with ids a and b apart when they stand side by side."""
         x, y = self._bytes[a], self._bytes[b]
+        if len(self._compatible) >= PAIRS:
+            self._compatible.clear()
         known = self._compatible[a << 32 | b] = self.merged(x + y) == [x, y]
         return known
 
@@ -308,7 +315,8 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     ``path`` is a rank file that every executor has. Null and empty texts have no tokens and the digests
     of nothing. Rows are independent, so ties, repeated rows and extra columns need no care, and an empty
-    table gives an empty result. A decoded text that differs from its bytes is an error.
+    table gives an empty result. A very long text is one row's work, in time in proportion to its length and
+    whole: it is never cut. A decoded text that differs from its bytes is an error.
     """
     fields = [("id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
     if with_ids:
@@ -337,6 +345,8 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 def _public_vocabulary() -> str:
     import public_tokenizers
 
+    if public_tokenizers.PATTERN != PATTERN:
+        raise ValueError("texts are cut by another pattern than the vocabulary's")
     return public_tokenizers.path(VOCABULARY)
 
 
@@ -348,6 +358,7 @@ def op10_byte_bpe(spark, sf_dir: str) -> DataFrame:
 def bpe_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the documents, one row each, repeated rows and null ids too.
 
-    Null and empty texts have no tokens; other columns are ignored; an empty table gives an empty result.
+    Null and empty texts have no tokens; very long ones are encoded whole; there are no ties; other columns are
+    ignored; an empty table gives an empty result.
     """
     return encode_texts(docs, _public_vocabulary()).withColumnRenamed("id", "doc_id")

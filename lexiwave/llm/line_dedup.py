@@ -80,7 +80,8 @@ def drop_boilerplate(
     The ratio decides for sites of every size; a line on fewer than ``min_pages`` pages shows no repetition.
     A null text counts as empty and stays null. A null site is a site. Repeated rows are pages of their
     own. A page whose lines all go keeps an empty text. An empty table gives an empty result. Other columns
-    pass through untouched; columns of the added names are replaced.
+    pass through untouched; columns of the added names are replaced. A line exactly at the ratio stays. A
+    very long text is one row; its different lines are counted once each.
     """
     out = _cleaned(pages, F.col(site) if isinstance(site, str) else site, text, ratio, min_pages)
     kept = [F.col("row")[c].alias(c) for c in pages.columns if c not in ("ld_text", "ld_lines", "ld_dropped")]
@@ -96,6 +97,46 @@ def op7_line_dedup(spark, sf_dir: str) -> DataFrame:
     )
 
 
+_BREAKS = r"(?i)<(?:/?(?:p|div|li|ul|ol|nav|br|h[1-6]|tr|td|th|table|section|article|header|footer|title|body|head|html|blockquote|pre))(?:\s[^>]*)?/?>"
+_UNSEEN, _TAG = r"(?is)<(script|style)(?:\s[^>]*)?>.*?</(?:script|style)>", r"<[^>]*>"
+
+
+def page_text(html: Column) -> Column:
+    """The lines of a page: what stands between block elements, without scripts, styles and tags, trimmed; blank ones go."""
+    shown = F.regexp_replace(F.regexp_replace(F.regexp_replace(html, _UNSEEN, "\n"), _BREAKS, "\n"), _TAG, "")
+    return F.array_join(F.filter(F.transform(F.split(shown, "\n", -1), lambda x: F.trim(x)), lambda x: x != ""), "\n")
+
+
+def page_lines(spark, sf_dir: str) -> DataFrame:
+    """Boilerplate of the host's pages taken out of every page: the same operator over web pages."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", F.lit(None).cast("string").alias("source"), page_text(F.col("html")).alias("text"))
+    pages = pages.withColumn("host", site_of(pages))
+    out = drop_boilerplate(pages, "host")
+    return out.select(
+        "page_id", "host", F.col("ld_lines").alias("n_lines"), F.col("ld_dropped").alias("n_dropped"),
+        F.sha2(F.encode(F.coalesce("ld_text", F.lit("")), "utf-8"), 256).alias("kept_sha256"),
+    )
+
+
+def _line_sql(table: str, key: str, site: str) -> str:
+    return f"""
+WITH d AS (SELECT {key}, {site} AS site, coalesce(text, '') AS text, text IS NULL AS missing, row_number() OVER () AS rid FROM {table}),
+lines AS (SELECT rid, site, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM d),
+total AS (SELECT site, count(*) AS n FROM d GROUP BY site),
+per AS (SELECT site, line, count(DISTINCT rid) AS n FROM lines WHERE trim(line) <> '' GROUP BY site, line),
+bad AS (SELECT per.site, per.line FROM per JOIN total ON per.site IS NOT DISTINCT FROM total.site WHERE per.n >= 2 AND per.n > 0.1 * total.n),
+marked AS (SELECT l.rid, l.pos, l.line, b.line IS NOT NULL AS drop_it FROM lines l LEFT JOIN bad b ON l.line = b.line AND l.site IS NOT DISTINCT FROM b.site)
+SELECT d.{key}, d.site AS host, CASE WHEN d.missing THEN 0 ELSE count(*) END AS n_lines, CAST(count(*) FILTER (WHERE drop_it) AS BIGINT) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT drop_it), '')) AS kept_sha256
+FROM marked JOIN d USING (rid) GROUP BY rid, d.{key}, d.site, d.missing
+"""
+
+
+_SHOWN = f"regexp_replace(regexp_replace(regexp_replace(html, '{_UNSEEN}', chr(10), 'g'), '{_BREAKS}', chr(10), 'g'), '{_TAG}', '', 'g')"
+_HOST = r"nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '')"
+_TEXT = f"array_to_string(list_filter(list_transform(string_split({_SHOWN}, chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10))"
+PAGES_SQL = _line_sql(f"(SELECT page_id, {_HOST} AS host, {_TEXT} AS text FROM pages)", "page_id", "host")
+
 OP7_SQL = """
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, text IS NULL AS missing, row_number() OVER () AS rid FROM documents),
 lines AS (SELECT rid, source, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM d),
@@ -116,7 +157,8 @@ def line_dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their site's boilerplate lines taken out; n_chars follows the new text.
 
     One row a row and the same columns, whatever their names. Null texts stay null with their n_chars, null
-    sites are a site, repeated rows count as pages of their own, and an empty table stays empty.
+    sites are a site, repeated rows count as pages of their own, and an empty table stays empty. A line exactly
+    at the ratio stays; a very long text is one row like others.
     """
     out = _cleaned(docs, site_of(docs), "text", RATIO, LEAST_PAGES)
     new = {"text": F.col("text")}

@@ -5,7 +5,7 @@ from lexiwave.llm.chat_format import OP13_SQL, op13_chat_format
 from lexiwave.llm.embedding_dedup import op2_embedding_dedup
 from lexiwave.llm.language_id import op9_language_id
 from lexiwave.llm.licences import op5_licence_scan
-from lexiwave.llm.line_dedup import OP7_SQL, op7_line_dedup
+from lexiwave.llm.line_dedup import OP7_SQL, PAGES_SQL, op7_line_dedup, page_lines
 from lexiwave.llm.mixing import op8_mix_sources
 from lexiwave.llm.near_dedup import op4_near_dedup
 from lexiwave.llm.quality import op1_quality_rules
@@ -22,6 +22,7 @@ QUERIES = {
     "op5_licence_scan": op5_licence_scan,
     "op6_secret_scan": op6_secret_scan,
     "op7_line_dedup": op7_line_dedup,
+    "line_dedup_pages": page_lines,
     "op8_mix_sources": op8_mix_sources,
     "op9_language_id": op9_language_id,
     "op10_byte_bpe": op10_byte_bpe,
@@ -29,4 +30,4 @@ QUERIES = {
     "op12_turn_repair": op12_turn_repair,
     "op13_chat_format": op13_chat_format,
 }
-SQL = {"op7_line_dedup": OP7_SQL, "op11_vector_codes": OP11_SQL, "op12_turn_repair": OP12_SQL, "op13_chat_format": OP13_SQL}
+SQL = {"op7_line_dedup": OP7_SQL, "line_dedup_pages": PAGES_SQL, "op11_vector_codes": OP11_SQL, "op12_turn_repair": OP12_SQL, "op13_chat_format": OP13_SQL}

@@ -219,6 +219,25 @@ def test_lines(spark, limit, monkeypatch):
     assert line_dedup.drop_boilerplate(empty(docs)).count() == 0
 
 
+def test_pages_by_host(spark, tmp_path):
+    """Lines of pages' texts by host of the URL, against the SQL; hosts are compared in lower case, and pages without one are a site."""
+    import duckdb
+
+    rows = []
+    for i in range(60):
+        host = ["a.example.com", "A.EXAMPLE.com:80", "b.example.org", "u:p@c.example"][i % 4]
+        body = f"<nav><a href='/x'>Menu</a>\n</nav><p>Line {i} here.</p>\n<p>Foot &amp; note</p><script>var x = '<p>';</script><style>p{{}}</style>" + ("<p>Rare</p>" if i < 5 else "")
+        rows.append((i, f"http://{host}/p{i}" if i % 7 else [None, "nohost", ""][i % 3], None if i == 9 else body))
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    got = line_dedup.page_lines(spark, str(tmp_path))
+    rel = con.sql(line_dedup.PAGES_SQL)
+    assert rel.columns == got.columns and sorted(rel.fetchall(), key=repr) == sorted(map(tuple, got.collect()), key=repr)
+    by = {r.page_id: r for r in got.collect()}
+    assert by[9].n_lines == 0 and by[1].n_dropped >= 2 and by[1].host == "a.example.com" and by[0].host is None
+
+
 def test_stage_drops_lines_of_small_sites(spark):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     rows = [(i, f"menu\nown {i}" + "\nrare" * (i in (10, 11)), "en", "small" if i < 5 else "large", 0) for i in range(50)] + [(50, "menu\nalone", "en", "single", 0)]
@@ -265,6 +284,24 @@ def test_bpe_cuts_and_merges():
         assert coder.decode(ids[at[i] : at[i + 1]]) == t.encode()
 
 
+def test_bpe_forgets_pairs(monkeypatch):
+    """What is remembered stays within its bound, and ids are the same."""
+    monkeypatch.setattr(bpe, "PAIRS", 5)
+    e = bpe.Encoder(public_tokenizers.path(bpe.VOCABULARY))
+    plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=e.ranks, special_tokens={})
+    rng = random.Random(6)
+    for _ in range(300):
+        word = "".join(rng.choice("aehnstrié") for _ in range(30))
+        assert e.encode(word.encode()) == plain.encode_ordinary(word) and len(e._compatible) <= 5
+
+
+def test_bpe_checks_the_pattern(monkeypatch):
+    assert bpe._public_vocabulary() == public_tokenizers.path(bpe.VOCABULARY)
+    monkeypatch.setattr(public_tokenizers, "PATTERN", "x")
+    with pytest.raises(ValueError):
+        bpe._public_vocabulary()
+
+
 def test_backtracking_equals_merging():
     rng = random.Random(2)
     for _ in range(20):
