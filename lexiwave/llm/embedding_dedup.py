@@ -133,7 +133,8 @@ def link_vectors(
     Two rows link when their labels and numbers of components are equal and their cosine is ``least`` or
     more. Null vectors or labels, null ids, null or non-finite components and vectors of zeros link with
     nothing: n_links 0, component their own id, kept. Equal vectors link. Rows that share an id count as
-    rows in n_links and have one component. An empty table gives an empty result; other columns are ignored.
+    rows in n_links and have one component. A cosine of exactly ``least`` links. An empty table gives an empty
+    result; other columns, texts among them, are ignored.
     """
     spark = vectors.sparkSession
     ship(spark)

@@ -266,7 +266,8 @@ def predict(docs: DataFrame, net: Network, keep: list[str], text_col: str = "tex
 
     Null texts, empty ones and ones without a letter are ``und`` with score 0, and so is everything for a
     network that learned no language. Rows are independent; repeated rows get equal results, ties go to
-    the language first in code point order, and an empty table gives an empty result.
+    the language first in code point order, and an empty table gives an empty result. A very long text is read
+    whole, in windows.
     """
     return _labelled(docs.select(F.struct(*keep).alias("row"), F.col(text_col).cast("string").alias("text")), net).select("row.*", "lang_pred", "score")
 
@@ -310,7 +311,8 @@ def language_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the learned languages; undetermined ones and mixtures go.
 
     Columns stay as they were, whatever their names. Null and empty texts and texts without a letter are
-    undetermined; rows are judged one by one, so null ids and repeated rows need no care; a table without
+    undetermined; rows are judged one by one, so null ids and repeated rows need no care; very long texts are
+    read whole, and of equal probabilities the language first in code point order counts; a table without
     labelled texts, and so an empty one, has no language and leaves nothing.
     """
     rows = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))

@@ -342,8 +342,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Classes are the components of documents linked by a similarity of ``least`` or more. Words are runs
     of characters other than space and U+0009 to U+000D, unchanged. Null texts and texts without a word
     link with nothing. Rows that share an id are one document and so in one class, linked by any of its
-    texts. Rows with a null id are kept with a null class and link nothing. An empty table gives an empty
-    result; other columns are ignored.
+    texts. Rows with a null id are kept with a null class and link nothing. A similarity of exactly ``least``
+    links; a class is named by its smallest id, so ties cannot matter. A very long text is compared whole, by
+    all its elements. An empty table gives an empty result; other columns are ignored.
     """
     ship(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "near_dedup")
@@ -394,7 +395,8 @@ def near_dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows that share an id are rows of their own: each goes only if its text is in the class of a row that
     stays. Of rows with the same id and no word (null, empty and blank texts) one stays. All rows with a null
-    id stay. Columns stay as they were, whatever their names; an empty table stays empty.
+    id stay. Columns stay as they were, whatever their names; very long texts are compared whole; an empty table
+    stays empty.
     """
     columns = [F.col("row")[c].alias(c) for c in docs.columns]
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))

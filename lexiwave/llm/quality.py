@@ -306,8 +306,8 @@ def judge(docs: DataFrame, field: LineField | None, id_col: str = "doc_id", text
     """One row per input row: id, counts, base_failed, kept and content_share.
 
     Words are runs of characters other than space and U+0009 to U+000D. Null and empty texts have no words
-    and fail. Without a field every text is content. Rows are independent, so ties and repeated rows need no
-    care; an empty table gives an empty result and other columns are ignored.
+    and fail. Without a field every text is content. Rows are independent, so repeated rows need no care; ties
+    between labels go to content. A very long text is labelled whole, as one sequence of lines. An empty table gives an empty result and other columns are ignored.
     """
     ship(docs.sparkSession)
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
