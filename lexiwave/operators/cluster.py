@@ -80,13 +80,15 @@ def _stats(points: DataFrame, centre: np.ndarray, score, squares: bool = True) -
     return [sums[:, 0], sums[:, 2 : 2 + d], sums[:, 2 + d :].reshape(k, d, d) if squares else None, float(sums[:, 1].sum())]
 
 
-def kmeans(points: DataFrame, k: int, turns: int = 1000, attempts: int = 5, seed: int = 0) -> Clusters:
+def kmeans(points: DataFrame, k: int, turns: int = 1000, attempts: int = 5, seed: int = 0, start: np.ndarray | None = None) -> Clusters:
     """The best by squared error of several runs from random distinct points, each until no centre moves by a millionth of the spread.
 
-    Second moments are summed once, for the best run. Fewer than ``k`` distinct points are an error.
+    With ``start``, [k, d] centres, there is one run, from these. Second moments are summed once, for the best
+    run. Fewer than ``k`` distinct points are an error.
     """
     if k < 1 or attempts < 1 or turns < 1:
         raise ValueError("clusters, attempts and turns are 1 or more")
+    attempts = attempts if start is None else 1
     some = np.array([r.x for r in points.select("x").distinct().orderBy(F.xxhash64("x"), "x").limit(k * attempts * 4).collect()])
     if len(some) < k:
         raise ValueError(f"{len(some)} distinct points for {k} clusters")
@@ -104,7 +106,7 @@ def kmeans(points: DataFrame, k: int, turns: int = 1000, attempts: int = 5, seed
 
     try:
         for _ in range(attempts):
-            centre = some[rng.permutation(len(some))[:k]]
+            centre = some[rng.permutation(len(some))[:k]] if start is None else np.asarray(start, float)
             for _ in range(turns):
                 n, first, _, sse = _stats(kept, centre, score(centre), squares=False)
                 new = np.where(n[:, None] > 0, first / np.maximum(n, 1)[:, None], 0.0)

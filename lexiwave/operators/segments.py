@@ -252,7 +252,7 @@ def _matrices(blocks: Blocks, rows: DataFrame, chain_of: ChainOf, best: bool) ->
     return _mapped(blocks, rows, chain_of, work, "v array<double>")
 
 
-def _joined(blocks: Blocks, rows: DataFrame, told: DataFrame, *columns: str) -> DataFrame:
+def joined(blocks: Blocks, rows: DataFrame, told: DataFrame, *columns: str) -> DataFrame:
     at = [*blocks.key, "piece", "block"]
     return rows.alias("b").join(told.alias("c"), [F.col(f"b.{k}").eqNullSafe(F.col(f"c.{k}")) for k in at]).select("b.*", *[f"c.{c}" for c in columns])
 
@@ -265,7 +265,7 @@ def with_context(blocks: Blocks, chain_of: ChainOf, scratch: Scratch, name: str,
     long = rows.where("not whole")
     matrices = scratch.save(_matrices(blocks, long, chain_of, best), f"{name}-matrices")
     told = scratch.save(tree(matrices, blocks.key, *(lambda keys, *a, part=i: _told(chain_of(keys), best)[part](keys, *a) for i in (0, 1))), f"{name}-context")
-    return rows.where("whole").withColumn("c", F.lit(None).cast("array<double>")).unionByName(_joined(blocks, long, told, "c"))
+    return rows.where("whole").withColumn("c", F.lit(None).cast("array<double>")).unionByName(joined(blocks, long, told, "c"))
 
 
 def _contexts(chain: Chain, rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray | None, np.ndarray, np.ndarray]:
@@ -375,7 +375,7 @@ def best_paths(blocks: Blocks, chain_of: ChainOf, scratch: Scratch, name: str =
 
         long = scratch.save(rows.where("not whole"), f"{name}-long")
         told = tree(scratch.save(_mapped(blocks, long, chain_of, ends, "v array<double>"), f"{name}-ends"), blocks.key, up, down)
-        exits = exits.where("whole").unionByName(_joined(blocks, long, told.withColumnRenamed("c", "exit"), "exit"))
+        exits = exits.where("whole").unionByName(joined(blocks, long, told.withColumnRenamed("c", "exit"), "exit"))
 
     def walk(chain, some, e, lengths, xs):
         first, total, *_ = _contexts(chain, some)

@@ -1,7 +1,8 @@
 """Ordered series to cepstral coefficients: pre-emphasis, frames, power and mel spectra, cosine transform.
 
 Each step exists as a column expression over arrays, and ``mfcc`` runs them all in numpy for real frame
-sizes. An utterance is one row's array of samples, a recording of bounded length.
+sizes. There an utterance is one row's array of samples, a recording of bounded length; ``long_frames`` and
+``long_mfcc`` take recordings of any length, a row a sample.
 """
 
 from __future__ import annotations
@@ -14,7 +15,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexiwave.functions.scratch import Scratch
 from lexiwave.functions.shipping import ship
+from lexiwave.operators import segments
 
 EPSILON = float(np.finfo(float).eps)
 
@@ -115,6 +118,13 @@ def dct(values: Column, size: int, coefficients: int = 13) -> Column:
     return F.array(*[one(r) for r in dct_matrix(size, coefficients)])
 
 
+def _features(cut: np.ndarray, rate: int, banks: int, coefficients: int, size: int) -> np.ndarray:
+    """[frames, coefficients] of windowed frames."""
+    power = np.abs(np.fft.rfft(cut, size)) ** 2 / size
+    energy = power @ mel_filterbank(size, rate, banks).T
+    return np.log(np.where(energy == 0, EPSILON, energy)) @ dct_matrix(banks, coefficients).T
+
+
 def mfcc_array(samples: np.ndarray, rate: int, k: float = 0.95, length_s: float = 0.025, step_s: float = 0.01, window_k: float = 0.46, banks: int = 40, coefficients: int = 13, size: int = 512) -> np.ndarray:
     """[frames, coefficients] of one utterance."""
     x = np.asarray(samples, np.float64)
@@ -127,9 +137,7 @@ def mfcc_array(samples: np.ndarray, rate: int, k: float = 0.95, length_s: float
     number = (len(y) - length) // step + 1 if len(y) >= length else 0
     padded = np.concatenate([y, np.zeros(number * step + length)])
     cut = padded[(np.arange(number + 1) * step)[:, None] + np.arange(length)[None, :]] * np.array(hamming(length, window_k))
-    power = np.abs(np.fft.rfft(cut, size)) ** 2 / size
-    energy = power @ mel_filterbank(size, rate, banks).T
-    return np.log(np.where(energy == 0, EPSILON, energy)) @ dct_matrix(banks, coefficients).T
+    return _features(cut, rate, banks, coefficients, size)
 
 
 def mfcc(recordings: DataFrame, **settings) -> DataFrame:
@@ -143,3 +151,91 @@ def mfcc(recordings: DataFrame, **settings) -> DataFrame:
                 yield pd.DataFrame({"path": path, "frame_no": np.arange(len(out), dtype="int32"), "features": list(out)})
 
     return recordings.select("path", "sample_rate", "samples").mapInPandas(work, "path string, frame_no int, features array<double>")
+
+
+def _cell_frames(x: np.ndarray, at: int, total: int, first: int, last: int, length: int, step: int, k: float, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers, frames) of the frames that start from ``first`` up to ``last``, of samples x that begin at place ``at``: one before, if any, and all they cover."""
+    y = x.astype(np.float64).copy()
+    y[1:] -= k * x[:-1]
+    if at == 0:
+        y[:1] = x[:1]
+    y = y[: max(0, total - 1 - at)]  # the last sample is in no frame
+    count = ((total - 1 - length) // step + 1 if total - 1 >= length else 0) + 1
+    number = np.arange(-(-first // step), min(count, -(-last // step)))
+    padded = np.concatenate([y, np.zeros(length + step)])
+    places = np.minimum((number * step - at)[:, None] + np.arange(length)[None, :], len(padded) - 1)
+    return number, padded[places] * window
+
+
+def long_frames(
+    samples: DataFrame, key: list[str], order: list[str], value: str, length: int, step: int, k: float = 0.95, window_k: float = 0.46,
+    scratch: Scratch | None = None, size: int = segments.BLOCK, cell: int | None = None,
+) -> DataFrame:
+    """(key, frame_no, frame) of a row a sample: pre-emphasis and frames of recordings of any length, as ``frames`` of ``pre_emphasis`` gives them.
+
+    A recording is cut into blocks. One that is cut learns each block's place by a reduction tree, and its
+    frames are dealt to cells of ``cell`` places, to which blocks send their samples and a halo: the one before
+    the cell, and those behind it that its last frames still cover. Null values are left out. Frames without
+    a sample of their own are zeros, as the last may be; an empty table gives no frames.
+    """
+    if length < 1 or not 1 <= step <= length:
+        raise ValueError("a frame has 1 sample or more and steps on by 1 to its length")
+    scratch = scratch or Scratch(samples.sparkSession, "long_frames")
+    cell, window = max(cell or 16 * size, length), np.array(hamming(length, window_k))
+    live = samples.where(F.col(value).isNotNull()).withColumn("__x", F.array(F.col(value).cast("double")))
+    blocks = segments.blocks_of(live, key, order, "__x", scratch, "samples", size)
+    kinds = ", ".join(f"{c} {samples.schema[c].dataType.simpleString()}" for c in key)
+
+    def made(keys: list, number: np.ndarray, cut: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({c: pd.Series([v] * len(number), dtype=object) for c, v in zip(key, keys)} | {"frame_no": number, "frame": pd.Series(list(cut), dtype=object)})
+
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for *keys, x in batch.itertuples(index=False):
+                yield made(keys, *_cell_frames(x, 0, len(x), 0, len(x) + length, length, step, k, window))
+
+    out = f"{kinds}, frame_no long, frame array<double>"
+    short = blocks.rows.where("whole").select(*key, "x").mapInPandas(whole, out)
+    if not blocks.cut:
+        return short
+
+    def down(_: tuple, c: np.ndarray | None, vs: list) -> list[np.ndarray]:
+        counts = np.cumsum([0, *(v[0] for v in vs)])
+        first, total = (0, counts[-1]) if c is None else (c[0], c[1])
+        return [np.array([first + n, total]) for n in counts[:-1]]
+
+    long = blocks.rows.where("not whole")
+    counts = long.select(*key, "piece", "block", F.array(F.size("x").cast("double")).alias("v"))
+    told = segments.tree(counts, key, lambda _, vs: np.array([sum(v[0] for v in vs)]), down)
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for *keys, x, c in batch.itertuples(index=False):
+                a, total = int(c[0]), int(c[1])
+                for g in range(max(0, (a - cell - length + 1) // cell + 1), (a + len(x)) // cell + 1):
+                    low, high = max(a, g * cell - 1), min(a + len(x), g * cell + cell + length - 1)
+                    if low < high:
+                        rows.append((*keys, g, low, total, x[low - a : high - a]))
+            yield pd.DataFrame(rows, columns=[*key, "cell", "at", "total", "x"])
+
+    dealt = segments.joined(blocks, long, told, "c").select(*key, "x", "c").mapInPandas(deal, f"{kinds}, cell long, at long, total long, x array<double>")
+
+    def cells(keys: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("at")
+        first = int(keys[-1]) * cell
+        return made(list(keys[:-1]), *_cell_frames(np.concatenate(list(rows["x"])), int(rows["at"].iloc[0]), int(rows["total"].iloc[0]), first, first + cell, length, step, k, window))
+
+    return short.unionByName(dealt.groupBy(*key, "cell").applyInPandas(cells, out))
+
+
+def long_mfcc(framed: DataFrame, key: list[str], rate: int, banks: int = 40, coefficients: int = 13, size: int = 512) -> DataFrame:
+    """(key, frame_no, features) of ``long_frames``."""
+    kinds = ", ".join(f"{c} {framed.schema[c].dataType.simpleString()}" for c in key)
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                yield batch.drop(columns="frame").assign(features=list(_features(np.stack(batch["frame"].to_numpy()), rate, banks, coefficients, size)))
+
+    return framed.select(*key, "frame_no", "frame").mapInPandas(work, f"{kinds}, frame_no long, features array<double>")

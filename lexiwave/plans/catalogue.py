@@ -7,6 +7,7 @@ Signals and sequences are every user's events in order.
 from __future__ import annotations
 
 import re
+from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -380,16 +381,53 @@ def phone_mixtures(spark, sf_dir):
 
 
 def density_grid(spark, sf_dir):
-    out = acoustic.density_grid(spark, _word_models()[0], -50, 120, 0.5)
+    """Densities of quantities by return flag, a state each of a model fitted to all line items."""
+    quantity = order_points(spark, sf_dir).where("id is not null").select(F.col("id").alias("phone"), F.slice("x", 1, 1).alias("features"))
+    found = acoustic.phone_mixtures(quantity)
+    out = acoustic.density_grid(spark, hmm.WordModel("flags", sorted(found), [found[p] for p in sorted(found)]), -50, 120, 0.5)
     return out.select("state", F.round("x", 6).alias("x"), F.round("density", 8).alias("density"))
 
 
 def acoustic_moves(spark, sf_dir):
-    """Word models saved, restored and saved again: their moves."""
+    """The moves of a model trained for a turn on all events, saved, restored and saved again."""
+    frames = event_steps(spark, sf_dir).select(F.lit("all").alias("word"), F.col("user_id").alias("utt"), F.struct("ts", "event_id").alias("frame_no"), F.col("x").alias("features"))
+    model = hmm.WordModel("all", ["0", "1", "2"], [hmm.Symbols(e) for e in EMIT], MOVES, START)
+    trained = hmm.train_words(frames, {"all": model}, turns=1)["all"]
     path = f"{Scratch(spark, 'acoustic').root}/models"
-    corpus.save_tables(acoustic.model_tables(spark, _word_models()), path)
+    corpus.save_tables(acoustic.model_tables(spark, [replace(trained, states=[])]), path)
     models = acoustic.models_of(corpus.load_tables(spark, path, list(acoustic.TABLES)))
-    return acoustic.model_tables(spark, models)["moves"].withColumn("nlp", F.round("nlp", 6))
+    return acoustic.model_tables(spark, models)["moves"].withColumn("nlp", F.round("nlp", 6) + 0.0)
+
+
+def kmeans_turns(spark, sf_dir):
+    """Weights and centres after ``LLOYD`` turns from the four vectors with the least ids."""
+    start = np.array([r.centre for r in first_centres(spark, sf_dir).orderBy("k").collect()])
+    got = cluster.kmeans(points(spark, sf_dir), len(start), turns=LLOYD, start=start)
+    rows = [(k, i, round(float(got.weight[k]), 6), round(float(v), 6) + 0.0) for (k, i), v in np.ndenumerate(got.centre)]
+    return spark.createDataFrame(rows, "k int, pos int, weight double, v double")
+
+
+def gmm_turns(spark, sf_dir):
+    """Weights, means and covariances after ``LLOYD`` turns of expectation maximisation over all line items."""
+    got = cluster.gmm(order_points(spark, sf_dir), PAIR, turns=LLOYD, ignore_eps=True)
+    rows = [(k, *(round(float(v), 5) + 0.0 for v in (got.weight[k], *got.mean[k], c[0, 0], c[0, 1], c[1, 1]))) for k, c in enumerate(got.covariance)]
+    return spark.createDataFrame(rows, "k int, weight double, m1 double, m2 double, c11 double, c12 double, c22 double")
+
+
+LLOYD = 4
+
+
+def long_frames(spark, sf_dir):
+    """Every user's events as a signal of any length: blocks of ``BLOCK`` samples, cells of twice as many places."""
+    rows = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
+    return positions(signal.long_frames(rows, ["user_id"], ["ts", "event_id"], "value", LENGTH, STEP, size=BLOCK, cell=2 * BLOCK).withColumn("frame_no", F.col("frame_no").cast("int")), "frame")
+
+
+def long_mfcc(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
+    framed = signal.long_frames(rows, ["user_id"], ["ts", "event_id"], "value", LENGTH, STEP, size=BLOCK, cell=2 * BLOCK)
+    return positions(signal.long_mfcc(framed, ["user_id"], RATE, BANKS, COEFFICIENTS, SIZE).withColumn("frame_no", F.col("frame_no").cast("int")), "features")
+
 
 def _word_models() -> list[hmm.WordModel]:
     def state(m):
@@ -528,6 +566,7 @@ QUERIES = {
     "cluster_covariance": cluster_covariance, "cluster_covariance_full": cluster_covariance_full, "gmm_em": gmm_em,
     "hmm_forward": hmm_forward, "viterbi_cost": viterbi_cost, "hmm_occupancy": hmm_occupancy, "baum_welch_step": baum_welch_step,
     "segmented_forward": segmented_forward, "segmented_backward": segmented_states("beta"), "segmented_gamma": segmented_states("gamma"), "segmented_path": segmented_path,
+    "long_frames": long_frames, "long_mfcc": long_mfcc, "kmeans_turns": kmeans_turns, "gmm_turns": gmm_turns,
     "baum_welch_turns": baum_welch_turns, "baum_welch_mixtures": baum_welch_mixtures,
     "nbest_costs": nbest_costs, "rescore_best": rescore_best,
     "arpa_roundtrip": arpa_roundtrip, "tokenize_other": tokenize_other,
@@ -578,6 +617,32 @@ _SHARES = f"""{_PAIRS}, comp(k, w, m1, m2, c11, c12, c22) AS (VALUES {sql.values
 dens AS (SELECT row_number() OVER () AS id, f, x, y FROM pts),
 each AS (SELECT id, f, x, y, k, m1, m2, w * exp(-0.5 * ((x - m1) * (x - m1) * c22 - 2 * (x - m1) * (y - m2) * c12 + (y - m2) * (y - m2) * c11) / (c11 * c22 - c12 * c12)) / (2 * pi() * sqrt(c11 * c22 - c12 * c12)) AS p FROM dens CROSS JOIN comp),
 share AS (SELECT *, p / sum(p) OVER (PARTITION BY id) AS s FROM each)"""
+
+
+def _kmeans_sql(turns: int) -> str:
+    """Lloyd turns one behind the other; an empty cluster's centre becomes zeros."""
+    parts = ["pts AS MATERIALIZED (SELECT row_number() OVER () AS id, vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE embedding IS NOT NULL)",
+             "c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY vec_id) - 1 AS INT) AS k, x AS c FROM (SELECT * FROM pts ORDER BY vec_id LIMIT 4))"]
+    near = lambda i: f"n{i} AS MATERIALIZED (SELECT id, any_value(x) AS x, arg_min(k, (d, k)) AS k FROM (SELECT id, x, k, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM pts CROSS JOIN c{i}) GROUP BY id)"
+    for i in range(turns):
+        parts += [near(i), f"c{i + 1} AS MATERIALIZED (SELECT k, list(coalesce(v, 0) ORDER BY j) AS c FROM (SELECT c.k, j, avg(n.x[j]) AS v FROM c{i} c CROSS JOIN (SELECT unnest(range(1, (SELECT max(len(x)) FROM pts) + 1)) AS j) LEFT JOIN n{i} n ON n.k = c.k GROUP BY c.k, j) GROUP BY k)"]
+    parts.append(near(turns))
+    return (f"WITH {', '.join(parts)} SELECT k, CAST(i - 1 AS INT) AS pos, round((SELECT count(*) FROM n{turns} n WHERE n.k = c.k) / (SELECT count(*) FROM pts)::DOUBLE, 6) AS weight, round(c[i], 6) + 0.0 AS v "
+            f"FROM c{turns} c CROSS JOIN (SELECT unnest(range(1, (SELECT max(len(x)) FROM pts) + 1)) AS i)")
+
+
+def _gmm_sql(turns: int) -> str:
+    det = "(c11 * c22 - c12 * c12)"
+    density = f"w * exp(-0.5 * ((x - m1) * (x - m1) * c22 - 2 * (x - m1) * (y - m2) * c12 + (y - m2) * (y - m2) * c11) / {det}) / (2 * pi() * sqrt({det}))"
+    parts = [_PAIRS, "ids AS MATERIALIZED (SELECT row_number() OVER () AS id, x, y FROM pts)", f"g0(k, w, m1, m2, c11, c12, c22) AS (VALUES {sql.values([(k, float(PAIR.weight[k]), *map(float, PAIR.mean[k]), float(c[0, 0]), float(c[0, 1]), float(c[1, 1])) for k, c in enumerate(PAIR.covariance)])})"]
+    for i in range(turns):
+        parts += [f"s{i} AS (SELECT *, p / sum(p) OVER (PARTITION BY id) AS s FROM (SELECT id, x, y, k, m1, m2, {density} AS p FROM ids CROSS JOIN g{i}))",
+                  f"""g{i + 1} AS MATERIALIZED (SELECT k, sum(s) / (SELECT count(*) FROM pts) AS w, sum(s * x) / sum(s) AS m1, sum(s * y) / sum(s) AS m2, sum(s * (x - m1) * (x - m1)) / sum(s) + {cluster.RIDGE} AS c11,
+sum(s * (x - m1) * (y - m2)) / sum(s) AS c12, sum(s * (y - m2) * (y - m2)) / sum(s) + {cluster.RIDGE} AS c22 FROM s{i} GROUP BY k)"""]
+    shown = ", ".join(f"round({c}, 5) + 0.0 AS {n}" for c, n in (("w", "weight"), *((c, c) for c in ("m1", "m2", "c11", "c12", "c22"))))
+    return f"WITH {', '.join(parts)} SELECT CAST(k AS INT) AS k, {shown} FROM g{turns}"
+
+
 # a state of the search is a word's state; its number is that of the word times two and the state
 _SEARCH = [(w, i) for w, m in enumerate(_word_models()) for i in range(len(m.phones))]
 
@@ -661,9 +726,9 @@ round(sum(s * (x - m1) * (x - m1)) / sum(s) + {cluster.RIDGE}, 6) + 0.0 AS c11,
     "gmm_loglik": f"WITH {_SHARES}, one AS (SELECT id, any_value(f) AS f, -ln(sum(p)) AS nlp FROM each GROUP BY id) SELECT f AS l_returnflag, count(*) AS n, round(avg(nlp), 6) AS mean_nlp FROM one GROUP BY f",
     "phone_mixtures": f"""WITH {_PAIRS} SELECT f AS phone, round(avg(x), 6) + 0.0 AS m1, round(avg(y), 6) + 0.0 AS m2, round(covar_pop(x, x) + {cluster.RIDGE}, 6) + 0.0 AS c11,
 round(covar_pop(x, y), 6) + 0.0 AS c12, round(covar_pop(y, y) + {cluster.RIDGE}, 6) + 0.0 AS c22 FROM pts WHERE f IS NOT NULL GROUP BY f""",
-    "density_grid": f"""WITH m(state, mean) AS (VALUES (0, 20.0::DOUBLE), (1, 40.0::DOUBLE)) SELECT CAST(state AS INT) AS state, CAST(-50 + 0.5 * i AS DOUBLE) AS x,
-round(exp(-0.5 * pow(-50 + 0.5 * i - mean, 2) / 400) / sqrt(2 * pi() * 400), 8) AS density FROM m CROSS JOIN range(0, 341) g(i)""",
-    "acoustic_moves": "SELECT word, i, j, round(CASE WHEN i = 1 THEN 0 ELSE ln(2) END, 6) AS nlp FROM (VALUES ('low'), ('high')) w(word) CROSS JOIN (VALUES (0, 0), (0, 1), (1, 1)) m(i, j)",
+    "density_grid": f"""WITH {_PAIRS}, m AS (SELECT CAST(row_number() OVER (ORDER BY f) - 1 AS INT) AS state, avg(x) AS mean, var_pop(x) + {cluster.RIDGE} AS v FROM pts WHERE f IS NOT NULL GROUP BY f)
+SELECT state, CAST(-50 + 0.5 * i AS DOUBLE) AS x, round(exp(-0.5 * pow(-50 + 0.5 * i - mean, 2) / v) / sqrt(2 * pi() * v), 8) AS density FROM m CROSS JOIN range(0, 341) g(i)""",
+    "acoustic_moves": f"{_BOTH}, {_XI}, s AS (SELECT i, j, sum(v) AS v FROM xi GROUP BY i, j) SELECT 'all' AS word, CAST(i AS INT) AS i, CAST(j AS INT) AS j, nlp FROM (SELECT i, j, v, round(-ln(v / sum(v) OVER (PARTITION BY i)), 6) + 0.0 AS nlp FROM s WHERE v > 0)",
     "cluster_covariance_full": "WITH pts AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE embedding IS NOT NULL), e AS (SELECT row_number() OVER () AS id, x FROM pts), "
     "u AS (SELECT id, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM e) SELECT CAST(a.i - 1 AS INT) AS i, CAST(b.i - 1 AS INT) AS j, round(covar_pop(a.v, b.v), 6) + 0.0 AS cov FROM u a JOIN u b ON a.id = b.id GROUP BY a.i, b.i",
     "nbest_passing": _NBEST,
@@ -697,6 +762,7 @@ SELECT conv_id, turn, round(v[len(v)] / len(b)::DOUBLE, 6) AS wer FROM p JOIN d
 SQL |= {
     "segmented_forward": SQL["hmm_forward"], "segmented_backward": SQL["hmm_backward"], "segmented_gamma": SQL["hmm_gamma"],
     "segmented_path": f"SELECT user_id, CAST(i - 1 AS BIGINT) AS t, CAST(path[i] AS BIGINT) AS state, cost FROM ({SQL['viterbi_path']}) CROSS JOIN range(1, 1000000) g(i) WHERE i <= length(path)",
+    "long_frames": SQL["hamming_frames"], "long_mfcc": SQL["mfcc_numpy"], "kmeans_turns": _kmeans_sql(LLOYD), "gmm_turns": _gmm_sql(LLOYD),
     "streaming_paths": f"SELECT user_id, CAST(i - 1 AS BIGINT) AS t, CAST(path[i] AS INT) AS state FROM ({SQL['viterbi_path']}) CROSS JOIN range(1, 1000000) g(i) WHERE i <= length(path)",
     "baum_welch_turns": f"""{_BOTH}, {_XI}, {_FIRST_MOVES}, {_again(_ALPHA)}, {_again(_BETA.partition("b AS (")[1] + _BETA.partition("b AS (")[2])}, {_again(_TOTAL)}, {_again(_XI)}, {_again(_FIRST_MOVES).replace("tr22", "tr3").replace("st22", "st3")}
 SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, CASE WHEN a > 1e29 THEN 0.0 ELSE round(exp(-a), 6) + 0.0 END AS p FROM (SELECT i, j, a FROM tr3 UNION ALL SELECT -1, j, a FROM st3)""",

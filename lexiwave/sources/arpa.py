@@ -43,8 +43,47 @@ def write_arpa(lines: DataFrame, path: str) -> None:
     lines.repartitionByRange(*keys).sortWithinPartitions(*keys).select("text").write.mode("overwrite").text(path)
 
 
-def read_arpa(spark: SparkSession, path: str, log10: bool = False) -> Katz:
-    """A Katz model. A line's order is its number of words, so lines need no order and any file splits."""
+def write_arpa_file(lines: DataFrame, path: str) -> None:
+    """One file that other tools read, at ``path``.
+
+    Ranges of lines are written by many tasks beside it and then appended in order, a buffer at a time, so
+    nobody holds the model; the file takes its name only when it is whole.
+    """
+    spark = lines.sparkSession
+    parts, whole = f"{path}.parts", f"{path}.whole"
+    write_arpa(lines, parts)
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    hadoop = jvm.org.apache.hadoop
+    target = hadoop.fs.Path(whole)
+    files = target.getFileSystem(conf)
+    out = files.create(target, True)
+    try:
+        for f in sorted((x.getPath() for x in files.globStatus(hadoop.fs.Path(f"{parts}/part-*"))), key=lambda p: p.getName()):
+            piece = files.open(f)
+            hadoop.io.IOUtils.copyBytes(piece, out, 1 << 20, False)
+            piece.close()
+    finally:
+        out.close()
+    files.delete(hadoop.fs.Path(path), True)
+    files.rename(target, hadoop.fs.Path(path))
+    files.delete(hadoop.fs.Path(parts), True)
+
+
+def check_counts(lines: DataFrame) -> None:
+    """An error if a header ``ngram k=c`` of (value) lines does not name the number of grams of each order."""
+    said = lines.select(F.regexp_extract("value", r"^ngram (\d+)=(\d+)\s*$", 1).alias("ord"), F.regexp_extract("value", r"^ngram (\d+)=(\d+)\s*$", 2).alias("n")).where("ord <> ''")
+    told = {int(r.ord): int(r.n) for r in said.collect()}  # a line an order
+    found = lines.where(F.contains("value", F.lit("\t"))).groupBy(F.size(F.split(F.split("value", "\t")[1], " ")).alias("ord")).count()
+    held = {r.ord: r["count"] for r in found.collect()}
+    wrong = sorted(k for k in told.keys() | held.keys() if told.get(k, 0) != held.get(k, 0))
+    if wrong:
+        raise ValueError("; ".join(f"order {k}: the header says {told.get(k, 'nothing')}, the file has {held.get(k, 0)}" for k in wrong))
+
+
+def read_arpa(spark: SparkSession, path: str, log10: bool = False, check: bool = True) -> Katz:
+    """A Katz model. A line's order is its number of words, so lines need no order and any file splits; with ``check`` the header's numbers must be right."""
+    if check:
+        check_counts(spark.read.text(path))
     back = (lambda c: -c * math.log(10)) if log10 else (lambda c: c)
     parts = F.split("value", "\t")
     lines = spark.read.text(path).where(F.contains("value", F.lit("\t"))).select(

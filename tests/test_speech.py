@@ -144,3 +144,31 @@ def test_rescoring(spark):
     costs = decode.word_costs(["low", "high"], model)
     assert costs[0, 1] < costs[0, 0]
     assert decode.rescore(hyps, model, compat=True).where("best").first()["rank"] == 0
+
+
+@pytest.mark.parametrize("size,cell", [(4, 8), (16, 30), (7, None), (4096, None)])
+def test_frames_of_long_signals(spark, size, cell):
+    """Blocks and halos of any size give the frames of whole arrays; a recording of many blocks needs no array of its own."""
+    rng = np.random.default_rng(1)
+    lengths = {"a": 1, "b": 2, "c": 8, "d": 9, "e": 10, "f": 57, "g": 300, None: 33}
+    signals = {p: rng.normal(size=n) for p, n in lengths.items()}
+    rows = spark.createDataFrame([(p, i, float(v), 1) for p, xs in signals.items() for i, v in enumerate(xs)] + [("a", 5, None, 1)], "path string, i int, value double, frame_no int").repartition(3)
+    for length, step in ((8, 4), (5, 5), (9, 2), (1, 1)):
+        got = {}
+        for r in signal.long_frames(rows, ["path"], ["i"], "value", length, step, size=size, cell=cell).collect():
+            assert (r.path, r.frame_no) not in got
+            got[r.path, r.frame_no] = r.frame
+        want = {}
+        for p, x in signals.items():
+            y = x.copy()
+            y[1:] -= 0.95 * x[:-1]
+            number = (len(x) - 1 - length) // step + 1 if len(x) - 1 >= length else 0
+            for f in range(number + 1):
+                part = y[f * step : max(f * step, min(f * step + length, len(x) - 1))]
+                want[p, f] = np.concatenate([part, np.zeros(length - len(part))]) * signal.hamming(length)
+        assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in got)
+    features = signal.long_mfcc(signal.long_frames(rows, ["path"], ["i"], "value", 8, 4, size=size, cell=cell), ["path"], 16, 4, 3, 16).collect()
+    for p, x in signals.items():
+        own = np.stack([r.features for r in sorted((r for r in features if r.path == p), key=lambda r: r.frame_no)])
+        assert np.allclose(own, signal.mfcc_array(x, 16, length_s=0.5, step_s=0.25, banks=4, coefficients=3, size=16))
+    assert signal.long_frames(rows.limit(0), ["path"], ["i"], "value", 8, 4).count() == 0

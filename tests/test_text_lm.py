@@ -150,3 +150,25 @@ def test_empty_corpus(spark):
 def test_phrase(spark):
     df = spark.createDataFrame([("x of the y", " Of The "), ("", ""), ("ab", "abc")], "t string, p string")
     assert [r.f for r in df.select(text.contains_phrase(F.col("t"), F.col("p")).alias("f")).collect()] == [True, True, False]
+
+
+def test_one_arpa_file(spark, tmp_path):
+    """One file in order, read back whole; a header that names other numbers is an error."""
+    model = lm.train("katz", text.sequences(spark.createDataFrame([("a b a c a b",), ("c a b d",)], ["text"])), 3).katz()
+    lines = arpa.arpa_lines(model.probs.drop("model"), model.backoffs.drop("model"), 3)
+    path = tmp_path / "model.arpa"
+    for _ in range(2):  # a second writing takes the place of the first
+        arpa.write_arpa_file(lines.repartition(5), f"file://{path}")
+    shown = path.read_text().split("\n")
+    assert path.is_file() and shown[0] == "\\data\\" and shown[-2:] == ["\\end\\", ""] and sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["model.arpa"]
+    order = [int(x[1]) for x in shown if x.endswith("-grams:")]
+    assert order == [1, 2, 3] and shown[shown.index("\\1-grams:") + 1].split("\t")[1] == "<unk>"
+    back = arpa.read_arpa(spark, str(path))
+    key = lambda df: sorted((r.ord, tuple(r.gram), round(r.nlp, 9)) for r in df.collect())
+    assert back.n == 3 and key(back.probs) == key(model.probs)
+    said = next(x for x in shown if x.startswith("ngram 2="))
+    other = tmp_path / "other.arpa"
+    other.write_text("\n".join(said + "1" if x == said else x for x in shown))
+    with pytest.raises(ValueError, match="order 2"):
+        arpa.read_arpa(spark, str(other))
+    assert arpa.read_arpa(spark, str(other), check=False).n == 3
