@@ -1,4 +1,5 @@
 import hashlib
+import os
 import time
 import zlib
 from collections import Counter
@@ -156,6 +157,31 @@ def test_near_duplicates(spark):
     assert near_dedup.near_duplicates(docs.limit(0)).count() == 0
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="the given tables are not here")
+def test_recall_by_band_on_the_given_table(spark):
+    """Of all pairs of documents: every one of 0.8 or more is in one class, and classes are what these pairs join, nothing else."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = {r.doc_id: Counter(shingles(r.text)) for r in docs.collect()}
+    holders = {}
+    for i, own in rows.items():
+        for x in own:
+            holders.setdefault(x, []).append(i)
+    shared = Counter()
+    for x, some in holders.items():
+        for n, j in enumerate(some):
+            for i in some[:n]:
+                shared[i, j] += min(rows[i][x], rows[j][x])
+    size = {i: sum(own.values()) for i, own in rows.items()}
+    like = {pair: n / (size[pair[0]] + size[pair[1]] - n) for pair, n in shared.items()}
+    of = {r.id: r.class_id for r in near_dedup.near_duplicates(docs).collect()}
+    bands = Counter()
+    for (a, b), v in like.items():
+        bands[min(int(v * 10), 9), of[a] == of[b]] += 1
+    assert bands[8, True] + bands[9, True] > 50 and not bands[8, False] and not bands[9, False]
+    assert of == roots(rows, [p for p, v in like.items() if v >= 0.8])
+    assert bands[4, False] + bands[5, False] + bands[6, False] + bands[7, False] > 50  # what is left apart has less
+
+
 def test_forests_join_what_is_linked(monkeypatch):
     rng = np.random.default_rng(8)
     for most in (near_dedup.MOST_BITS, 0):
