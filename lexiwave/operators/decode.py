@@ -15,8 +15,11 @@ from lexiwave.functions.shipping import ship
 from lexiwave.operators import lm as lms
 from lexiwave.operators.hmm import WordModel, tied_emissions
 from lexiwave.operators.text import END
+from lexiwave.operators.trie import GramTrie
 
 LM_SCALE, WORD_PENALTY = 15.0, 0.5
+#: words of a table of all pairs
+MOST_WORDS = 2000
 HYPOTHESES = "utt string, rank int, cost double, words array<string>, phones array<string>"
 
 
@@ -28,7 +31,11 @@ class Hypothesis:
 
 
 class Decoder:
-    """Search over word models joined by word-to-word costs ``lm[i, j]`` (neglog of word j behind word i).
+    """Search over word models joined by word-to-word costs ``lm[i, j]`` (neglog of word j behind word i), or by a ``GramTrie`` of any order.
+
+    With a trie each path carries the context that its words leave, the first word is costed behind the start
+    marks, and the search is by token passing; costs of words behind a context are looked up when one is met,
+    so no table of all pairs is made.
 
     ``compat`` keeps the customs that the recognised words depend on: a word may begin in the very frame in
     which another ends, without an emission of its own; one counter of decoded words a rank scales the
@@ -36,8 +43,12 @@ class Decoder:
     frame. Without it, a new word starts in the next frame, pays its emission, and each path its own penalty.
     """
 
-    def __init__(self, models: list[WordModel], lm: np.ndarray, scale: float = LM_SCALE, penalty: float = WORD_PENALTY, compat: bool = True):
-        if lm.shape != (len(models), len(models)):
+    def __init__(self, models: list[WordModel], lm: np.ndarray | GramTrie, scale: float = LM_SCALE, penalty: float = WORD_PENALTY, compat: bool = True):
+        if isinstance(lm, GramTrie):
+            if compat:
+                raise ValueError("a trie is searched by token passing; compatible search takes bigram costs, such as the trie's pairs")
+            self._ids = [lm.word(m.word) for m in models]
+        elif lm.shape != (len(models), len(models)):
             raise ValueError("the search needs a bigram cost for every two words")
         self.models, self.lm, self.scale, self.penalty, self.compat = models, lm, scale, penalty, compat
 
@@ -105,24 +116,36 @@ class Decoder:
             path.reverse()
             yield Hypothesis(cost, [models[v].word for v, _, c in path if c], [models[v].phones[s] for v, s, _ in path])
 
+    def _begins(self) -> tuple[np.ndarray, list]:
+        """Costs of the words as first ones, and the contexts they leave."""
+        if isinstance(self.lm, GramTrie):
+            return self.lm.row(self.lm.begin(), self._ids)
+        return np.zeros(len(self.models)), list(range(len(self.models)))
+
+    def _follows(self, context) -> tuple[np.ndarray, list]:
+        if isinstance(self.lm, GramTrie):
+            return self.lm.row(context, self._ids)
+        return self.lm[context], list(range(len(self.models)))
+
     def _passing(self, emissions: list[np.ndarray], n: int) -> Iterator[Hypothesis]:
-        """Token passing: a token is (cost, words, phones), and each state keeps its n best."""
+        """Token passing: a token is (cost, words, phones, context), and each state keeps its n best."""
         models, fee = self.models, -np.log(self.penalty)
-        now = [[[(float(m.initial[i] + emissions[w][0, i]), (m.word,), (m.phones[i],))] for i in range(len(m.phones))] for w, m in enumerate(models)]
+        first, contexts = self._begins()
+        now = [[[(float(m.initial[i] + emissions[w][0, i] + first[w] * self.scale), (m.word,), (m.phones[i],), contexts[w])] for i in range(len(m.phones))] for w, m in enumerate(models)]
         for t in range(1, len(emissions[0])):
-            ends = [(v, k) for v, m in enumerate(models) for k in now[v][m.end]]
+            ends = [(k, *self._follows(k[3])) for v, m in enumerate(models) for k in now[v][m.end] if np.isfinite(k[0])]
             new = []
             for w, m in enumerate(models):
                 states = []
                 for j in range(len(m.phones)):
-                    ways = [(k[0] + m.transitions[i, j], k[1], k[2]) for i in range(len(m.phones)) for k in now[w][i]]
+                    ways = [(k[0] + m.transitions[i, j], k[1], k[2], k[3]) for i in range(len(m.phones)) for k in now[w][i]]
                     if j == m.begin:
-                        ways += [(k[0] + self.lm[v, w] * self.scale + fee, (*k[1], m.word), k[2]) for v, k in ends]
+                        ways += [(k[0] + costs[w] * self.scale + fee, (*k[1], m.word), k[2], after[w]) for k, costs, after in ends]
                     cost = float(emissions[w][t, j])
-                    states.append([(c + cost, a, (*b, m.phones[j])) for c, a, b in heapq.nsmallest(n, ways) if np.isfinite(c)])
+                    states.append([(c + cost, a, (*b, m.phones[j]), x) for c, a, b, x in heapq.nsmallest(n, ways, key=lambda k: k[:3]) if np.isfinite(c)])
                 new.append(states)
             now = new
-        for c, a, b in heapq.nsmallest(n, (k for w in now for s in w for k in s if np.isfinite(k[0]))):
+        for c, a, b, _ in heapq.nsmallest(n, (k for w in now for s in w for k in s if np.isfinite(k[0])), key=lambda k: k[:3]):
             yield Hypothesis(c, list(a), list(b))
 
 
@@ -155,9 +178,13 @@ def recognise(frames: DataFrame, decoder: Decoder, n: int = 1) -> DataFrame:
 
 
 def word_costs(words: list[str], model: lms.LanguageModel) -> np.ndarray:
-    """Bigram neglogs of every two words, from a bigram model: one small table."""
+    """Bigram neglogs of every two words, from a bigram model: a table of at most ``MOST_WORDS`` squared; larger vocabularies take a trie."""
     if model.n != 2:
         raise ValueError("the decoder takes a bigram model")
+    if len(words) > MOST_WORDS:
+        raise ValueError(f"more than {MOST_WORDS} words; search with the model's trie")
+    if model.kind == "katz":
+        return GramTrie.of(model).pairs(words)
     spark = model.vocab.sparkSession
     rows = spark.createDataFrame([("all", [a, b], 1) for a in words for b in words], "model string, gram array<string>, times int")
     scored = {tuple(r.gram): r.nlp for r in model.score(rows).collect()}

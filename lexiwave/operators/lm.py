@@ -68,18 +68,19 @@ def additive(counts: DataFrame, vocab: DataFrame, n: int, extra: float) -> DataF
     )
 
 
-def test_windows(seqs: DataFrame, vocab: DataFrame, n: int) -> DataFrame:
-    """(model, gram, times) of held-out sequences: every window of order n up to the end mark, unknown words replaced.
+def test_windows(seqs: DataFrame, vocab: DataFrame, n: int, *also: str) -> DataFrame:
+    """(model, gram, times) of held-out sequences: every window of order n up to the end mark, unknown words replaced; apart by the columns ``also``.
 
     Distinct grams are looked up once and weighed by how often they occur.
     """
+    of = ["model", *also]
     p = padded(F.col("toks"), n) if n > 1 else F.concat(F.col("toks"), F.array(F.lit(END)))
-    raw = seqs.select("model", p.alias("p")).select("model", F.explode(windows(F.col("p"), n)).alias("gram")).groupBy("model", "gram").agg(F.count("*").alias("times"))
-    word = raw.select("model", "gram", "times", *[F.element_at("gram", i + 1).alias(f"w{i}") for i in range(n)])
+    raw = seqs.select(*of, p.alias("p")).select(*of, F.explode(windows(F.col("p"), n)).alias("gram")).groupBy(*of, "gram").agg(F.count("*").alias("times"))
+    word = raw.select(*of, "gram", "times", *[F.element_at("gram", i + 1).alias(f"w{i}") for i in range(n)])
     for i in range(n):
         known = vocab.select(F.col("model"), F.col("token").alias(f"w{i}"), F.lit(True).alias(f"k{i}"))
         word = word.join(known, ["model", f"w{i}"], "left").withColumn(f"w{i}", F.when(F.col(f"k{i}"), F.col(f"w{i}")).otherwise(UNKNOWN))
-    return word.groupBy("model", F.array(*[F.col(f"w{i}") for i in range(n)]).alias("gram")).agg(F.sum("times").alias("times"))
+    return word.groupBy(*of, F.array(*[F.col(f"w{i}") for i in range(n)]).alias("gram")).agg(F.sum("times").alias("times"))
 
 
 def perplexity(scored: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiwave.functions.scratch import Scratch, small
-from lexiwave.operators import acoustic, cluster, decode, hmm, lm, metrics, segments, signal, text
+from lexiwave.operators import acoustic, cluster, decode, hmm, lm, metrics, segments, signal, text, trie
 from lexiwave.plans import sql
 from lexiwave.sources import arpa, corpus
 from lexiwave.streaming import incremental, sinks
@@ -84,6 +84,18 @@ def oov(n: int):
     return run
 
 
+def trie_perplexity(spark, sf_dir):
+    """Perplexity of documents by language under a Katz trigram model of the benchmark, held as a trie in every task; by joins if it has too many grams."""
+    model = lm.train("katz", text.sequences(table(spark, sf_dir, "benchmark")), 3)
+    tests = text.sequences(table(spark, sf_dir, "documents"), model=F.coalesce("lang", F.lit("und")))
+    if model.counts.limit(trie.MOST_GRAMS).count() < trie.MOST_GRAMS:
+        out = trie.scored(tests, trie.GramTrie.of(model)).groupBy("model").agg(F.sum("windows").alias("windows"), F.sum("nlp").alias("nlp"))
+    else:
+        windows = lm.test_windows(tests.withColumn("lang", F.col("model")).withColumn("model", F.lit("all")), model.vocab, 3, "lang")
+        out = model.score(windows).groupBy(F.col("lang").alias("model")).agg(F.sum("times").alias("windows"), F.sum(F.col("nlp") * F.col("times")).alias("nlp"))
+    return out.select("model", "windows", r6(F.exp(F.col("nlp") / F.col("windows"))).alias("perplexity"))
+
+
 def tokenize_counts(spark, sf_dir):
     return train_seqs(spark, sf_dir).select("model", F.explode("toks").alias("token")).groupBy("model", "token").agg(F.count("*").alias("cnt"))
 
@@ -557,6 +569,7 @@ QUERIES = {
     "perplexity_by_lang_mle": perplexity("mle", 2), "perplexity_by_lang_laplace": perplexity("laplace", 2), "perplexity_by_lang_additive": perplexity("additive", 2),
     "perplexity_by_lang_good_turing": perplexity("good_turing", 2), "perplexity_by_lang_katz": perplexity("katz", 2), "perplexity_by_lang_katz_3": perplexity("katz", 3),
     "ngram_oov_rate_1": oov(1), "ngram_oov_rate_2": oov(2), "ngram_oov_rate_3": oov(3), "token_oov_rate": token_oov,
+    "trie_perplexity": trie_perplexity,
     "arpa_lines": arpa_lines, "wer_pairs": wer_pairs, "phrase_search": phrase_search,
     "pre_emphasis": pre_emphasis, "frame_count": frame_count,
     "hamming_frames": lambda s, d: positions(framed(s, d), "frame"), "power_spectrum": lambda s, d: positions(spectra(s, d), "power"),
@@ -619,6 +632,23 @@ each AS (SELECT id, f, x, y, k, m1, m2, w * exp(-0.5 * ((x - m1) * (x - m1) * c2
 share AS (SELECT *, p / sum(p) OVER (PARTITION BY id) AS s FROM each)"""
 
 
+def _trie_sql(n: int) -> str:
+    train = ", ".join([sql.seqs("seq", "benchmark", "'all'"), sql.pads(n), sql.counts(n), sql.vocab(n), sql.contexts(n), sql.katz(n)])
+    words = ", ".join(f"CASE WHEN v{i}.token IS NULL THEN '<unk>' ELSE raw.gram[{i + 1}] END" for i in range(n))
+    known = " ".join(f"LEFT JOIN voc v{i} ON v{i}.token = raw.gram[{i + 1}]" for i in range(n))
+    joins, cases, carried = "", "", "0"
+    for m in range(n, 0, -1):
+        joins += f" LEFT JOIN (SELECT * FROM kp WHERE ord = {m}) p{m} ON p{m}.gram = t.gram[{n - m + 1}:{n}]"
+        cases += f" WHEN p{m}.nlp IS NOT NULL THEN {carried} + p{m}.nlp"
+        if m > 1:
+            joins += f" LEFT JOIN a{m} ON a{m}.ctx = t.gram[{n - m + 1}:{n - 1}]"
+            carried += f" + coalesce(a{m}.nla, 0)"
+    return f"""WITH {train}, tseq AS (SELECT coalesce(lang, 'und') AS model, {sql.TOKENS} AS toks FROM documents), {sql.pads(n, 'tpad', 'tseq')},
+raw AS (SELECT model, gram, count(*) AS times FROM ({sql.grams(n, 'tpad')}) GROUP BY model, gram), test AS (SELECT raw.model, [{words}] AS gram, sum(times) AS times FROM raw {known} GROUP BY ALL),
+scored AS (SELECT t.model, times, CASE{cases} ELSE 'inf'::DOUBLE END AS nlp FROM test t{joins})
+SELECT model, CAST(sum(times) AS BIGINT) AS windows, {sql.r6('exp(sum(times * nlp) / sum(times))')} AS perplexity FROM scored GROUP BY model"""
+
+
 def _kmeans_sql(turns: int) -> str:
     """Lloyd turns one behind the other; an empty cluster's centre becomes zeros."""
     parts = ["pts AS MATERIALIZED (SELECT row_number() OVER () AS id, vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE embedding IS NOT NULL)",
@@ -763,6 +793,7 @@ SQL |= {
     "segmented_forward": SQL["hmm_forward"], "segmented_backward": SQL["hmm_backward"], "segmented_gamma": SQL["hmm_gamma"],
     "segmented_path": f"SELECT user_id, CAST(i - 1 AS BIGINT) AS t, CAST(path[i] AS BIGINT) AS state, cost FROM ({SQL['viterbi_path']}) CROSS JOIN range(1, 1000000) g(i) WHERE i <= length(path)",
     "long_frames": SQL["hamming_frames"], "long_mfcc": SQL["mfcc_numpy"], "kmeans_turns": _kmeans_sql(LLOYD), "gmm_turns": _gmm_sql(LLOYD),
+    "trie_perplexity": _trie_sql(3),
     "streaming_paths": f"SELECT user_id, CAST(i - 1 AS BIGINT) AS t, CAST(path[i] AS INT) AS state FROM ({SQL['viterbi_path']}) CROSS JOIN range(1, 1000000) g(i) WHERE i <= length(path)",
     "baum_welch_turns": f"""{_BOTH}, {_XI}, {_FIRST_MOVES}, {_again(_ALPHA)}, {_again(_BETA.partition("b AS (")[1] + _BETA.partition("b AS (")[2])}, {_again(_TOTAL)}, {_again(_XI)}, {_again(_FIRST_MOVES).replace("tr22", "tr3").replace("st22", "st3")}
 SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, CASE WHEN a > 1e29 THEN 0.0 ELSE round(exp(-a), 6) + 0.0 END AS p FROM (SELECT i, j, a FROM tr3 UNION ALL SELECT -1, j, a FROM st3)""",

@@ -20,7 +20,7 @@ def sf(spark, tmp_path_factory):
     pick = lambda i, n: " ".join(WORDS[(i * 7 + j * j * (i % 5 + 1)) % len(WORDS)] for j in range(n))
     docs = [(i, pick(i, 3 + i % 17) + (" of the " if i % 3 else ". Été"), ["en", "fr"][i % 2], f"src{i % 3}", 10) for i in range(40)]
     start = datetime.datetime(2024, 1, 1)
-    events = [(i, start + datetime.timedelta(seconds=(i * 37) % 500), i % 4, catalogue.EVENT_TYPES[(i * i) % 5], float((i * 29) % 101), "") for i in range(120)]
+    events = [(i, start + datetime.timedelta(minutes=(i * 37) % 500), i % 4, catalogue.EVENT_TYPES[(i * i) % 5], float((i * 29) % 101), "") for i in range(120)]
     tables = {
         "documents": (docs, "doc_id long, text string, lang string, source string, n_chars long"),
         "benchmark": ([(i, pick(i + 3, 6) + " unseen") for i in range(5)], "item_id long, text string"),
@@ -76,3 +76,11 @@ def test_models_are_of_documents_and_run_to_their_rules(spark, sf, monkeypatch):
 def test_registry():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(catalogue.QUERIES) <= set(entry.queries())
+
+
+def test_a_model_too_large_for_a_trie(spark, sf, monkeypatch):
+    """By joins the same perplexities."""
+    key = lambda rows: sorted(map(tuple, rows))
+    want = key(catalogue.trie_perplexity(spark, sf).collect())
+    monkeypatch.setattr(catalogue.trie, "MOST_GRAMS", 1)
+    assert key(catalogue.trie_perplexity(spark, sf).collect()) == want
