@@ -461,6 +461,11 @@ def nbest_costs(spark, sf_dir):
     return decoded(spark, sf_dir, 3).select("utt", "rank", F.round("cost", 4).alias("cost"), F.size("words").alias("words"))
 
 
+def nbest_compat(spark, sf_dir):
+    """Costs of the three best paths by the compatible search."""
+    return decoded(spark, sf_dir, 3).select("utt", "rank", F.round("cost", 4).alias("cost"))
+
+
 def nbest_passing(spark, sf_dir):
     """Costs of the three best paths by token passing."""
     return decoded(spark, sf_dir, 3, compat=False).select("utt", "rank", F.round("cost", 4).alias("cost"))
@@ -585,7 +590,7 @@ QUERIES = {
     "arpa_roundtrip": arpa_roundtrip, "tokenize_other": tokenize_other,
     "hmm_backward": hmm_states("beta"), "hmm_gamma": hmm_states("gamma"), "hmm_xi": hmm_xi, "viterbi_path": viterbi_path,
     "gmm_em_step": gmm_em_step, "gmm_loglik": gmm_loglik, "phone_mixtures": phone_mixtures, "density_grid": density_grid, "acoustic_moves": acoustic_moves,
-    "nbest_passing": nbest_passing, "rescore_turns": rescore_turns,
+    "nbest_passing": nbest_passing, "nbest_compat": nbest_compat, "rescore_turns": rescore_turns,
     "streaming_counts": streaming_counts, "streaming_frames": streaming_frames, "streaming_viterbi": streaming_viterbi,
     "streaming_paths": streaming_paths, "streaming_frames_closed": streaming_frames_closed,
 }
@@ -697,6 +702,32 @@ SELECT user_id, t, j, rn, c FROM (SELECT r.user_id, r.t + 1 AS t, tr.j, r.c + tr
   FROM r JOIN tr ON tr.i = r.j JOIN em ON em.user_id = r.user_id AND em.t = r.t + 1 AND em.j = tr.j) WHERE rn <= 3)
 SELECT CAST(user_id AS VARCHAR) AS utt, CAST(n - 1 AS INT) AS rank, round(c, 4) AS cost FROM (
   SELECT user_id, c, row_number() OVER (PARTITION BY user_id ORDER BY c) AS n FROM r JOIN (SELECT user_id, max(t) AS t FROM obs GROUP BY user_id) USING (user_id, t)) WHERE n <= 3"""
+
+
+def _compat_sql() -> str:
+    """The compatible search of the two words, a row a user and frame: sorted costs of up to three ways into each state, and the counters of decoded words.
+
+    A word that has once ended offers its ends in the same frame to every word's beginning, dearer by the words
+    decoded so far of that rank; a counter goes up when a beginning's entry of its rank is new.
+    """
+    models, half, fee = _word_models(), float(-np.log(0.5)), float(np.log(decode.WORD_PENALTY))
+    means = [float(s.mean[0, 0]) for m in models for s in m.states]
+    e = ", ".join(f"0.5 * (ln(2 * pi()) + (x - {m!r}) * (x - {m!r}) / 400) + 0.5 * ln(400) AS e{i}" for i, m in enumerate(means))
+    within = ", ".join(
+        f"list_transform(r.s{b}, lambda c: c + {half!r} + e{b}) AS n{b}, list_sort(list_concat(list_transform(r.s{b}, lambda c: c + {half!r} + e{b + 1}), list_transform(r.s{b + 1}, lambda c: c + e{b + 1})))[1:3] AS n{b + 1}" for b in (0, 2))
+    offers = lambda w: "list_concat({}, {})".format(*[
+        f"CASE WHEN ended{v} OR len(n{2 * v + 1}) > 0 THEN list_transform(n{2 * v + 1}, lambda c, i: c + {float(WORD_COSTS[v, w] * decode.LM_SCALE)!r} - dec[i] * {fee!r}) ELSE [] END" for v in (0, 1)])
+    begins = ", ".join(f"list_sort(list_concat(n{2 * w}, {offers(w)}))[1:3] AS b{2 * w}" for w in (0, 1))
+    begun = " OR ".join(f"(i <= len(b{k}) AND (i > len(n{k}) OR b{k}[i] < n{k}[i]))" for k in (0, 2))
+    return f"""WITH RECURSIVE obs AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS t, value AS x FROM events WHERE value IS NOT NULL),
+em AS (SELECT user_id, t, {e} FROM obs),
+r AS (SELECT user_id, t, [e0] AS s0, []::DOUBLE[] AS s1, [e2] AS s2, []::DOUBLE[] AS s3, [1.0, 1.0, 1.0]::DOUBLE[] AS dec, false AS ended0, false AS ended1 FROM em WHERE t = 1 UNION ALL
+SELECT user_id, t, b0, n1, b2, n3, list_transform(range(1, 4), lambda i: dec[i] + CASE WHEN {begun} THEN 1.0 ELSE 0.0 END), ended0 OR len(n1) > 0, ended1 OR len(n3) > 0
+FROM (SELECT *, {begins} FROM (SELECT em.user_id, em.t, dec, ended0, ended1, {within} FROM r JOIN em ON em.user_id = r.user_id AND em.t = r.t + 1)))
+SELECT CAST(user_id AS VARCHAR) AS utt, CAST(i - 1 AS INT) AS rank, round(c[i], 4) AS cost FROM (
+  SELECT user_id, list_sort(list_concat(list_concat(s0, s1), list_concat(s2, s3)))[1:3] AS c FROM r JOIN (SELECT user_id, max(t) AS t FROM obs GROUP BY user_id) USING (user_id, t)) CROSS JOIN range(1, 4) g(i) WHERE i <= len(c)"""
+
+
 _ALL_SEQ = f"seq AS (SELECT 'all' AS model, {sql.TOKENS} AS toks FROM documents)"
 _ALL_KATZ = f"{_ALL_SEQ}, {sql.pads(2)}, {sql.counts(2)}, {sql.katz(2)}"
 
@@ -761,7 +792,7 @@ SELECT state, CAST(-50 + 0.5 * i AS DOUBLE) AS x, round(exp(-0.5 * pow(-50 + 0.5
     "acoustic_moves": f"{_BOTH}, {_XI}, s AS (SELECT i, j, sum(v) AS v FROM xi GROUP BY i, j) SELECT 'all' AS word, CAST(i AS INT) AS i, CAST(j AS INT) AS j, nlp FROM (SELECT i, j, v, round(-ln(v / sum(v) OVER (PARTITION BY i)), 6) + 0.0 AS nlp FROM s WHERE v > 0)",
     "cluster_covariance_full": "WITH pts AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE embedding IS NOT NULL), e AS (SELECT row_number() OVER () AS id, x FROM pts), "
     "u AS (SELECT id, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM e) SELECT CAST(a.i - 1 AS INT) AS i, CAST(b.i - 1 AS INT) AS j, round(covar_pop(a.v, b.v), 6) + 0.0 AS cov FROM u a JOIN u b ON a.id = b.id GROUP BY a.i, b.i",
-    "nbest_passing": _NBEST,
+    "nbest_passing": _NBEST, "nbest_compat": _compat_sql(),
     "rescore_turns": f"""WITH {_ALL_SEQ}, {sql.pads(2)}, {sql.counts_of(2)}, {sql.vocab(2)}, {sql.contexts(2)}, h AS (SELECT conv_id, turn, {sql.TOKENS} AS toks FROM (SELECT conv_id, turn, min(text) AS text FROM conversations GROUP BY conv_id, turn)),
 hp AS (SELECT conv_id, turn, list_concat(list_concat(['<s>'], toks), ['</s>']) AS p FROM h), g AS (SELECT conv_id, turn, unnest(list_transform(range(1, len(p)), lambda i: p[i:i + 1])) AS gram FROM hp),
 sc AS (SELECT conv_id, turn, sum(-ln((coalesce(cnt, 0) + 1) / (coalesce(ctx_cnt, 0) + v)::DOUBLE)) AS c FROM g LEFT JOIN cnts ON cnts.gram = g.gram LEFT JOIN ctxs ON ctx = g.gram[1:1] CROSS JOIN vsize GROUP BY conv_id, turn)
