@@ -13,6 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexiwave.functions import neglog
 from lexiwave.functions.scratch import Scratch, small
 from lexiwave.operators import acoustic, cluster, decode, hmm, lm, metrics, segments, signal, text, trie
 from lexiwave.plans import sql
@@ -302,6 +303,15 @@ def viterbi_path(spark, sf_dir):
 BLOCK = 16
 
 
+def log_sums(spark, sf_dir):
+    """Event values as neglogs, twenty times as large: their sum by type, and the same from the sums of two halves."""
+    rows = table(spark, sf_dir, "events").select("event_type", (F.col("event_id") % 2).alias("half"), (20 * F.col("value")).alias("x"))
+    halves = neglog.group_sums(rows, ["event_type", "half"], "x").groupBy("event_type").pivot("half", [0, 1]).agg(F.min("nlp"))
+    either = neglog.add(F.coalesce("0", neglog.inf()), F.coalesce("1", neglog.inf()))
+    whole = neglog.group_sums(rows, ["event_type"], "x").select(F.col("event_type").alias("of"), "nlp")
+    return halves.join(whole, F.col("event_type").eqNullSafe(F.col("of"))).select("event_type", r6(F.col("nlp")).alias("nlp"), r6(either).alias("by_halves"))
+
+
 def event_steps(spark, sf_dir) -> DataFrame:
     """Every event as a step of its user's sequence: the number of its type as the one feature."""
     code = F.array_position(F.array(*map(F.lit, EVENT_TYPES)), F.col("event_type")).cast("double") - 1
@@ -583,7 +593,7 @@ QUERIES = {
     "kmeans_assign": kmeans_assign, "kmeans_sse": kmeans_sse, "kmeans_lloyd": kmeans_lloyd, "kmeans_full": kmeans_full,
     "cluster_covariance": cluster_covariance, "cluster_covariance_full": cluster_covariance_full, "gmm_em": gmm_em,
     "hmm_forward": hmm_forward, "viterbi_cost": viterbi_cost, "hmm_occupancy": hmm_occupancy, "baum_welch_step": baum_welch_step,
-    "segmented_forward": segmented_forward, "segmented_backward": segmented_states("beta"), "segmented_gamma": segmented_states("gamma"), "segmented_path": segmented_path,
+    "log_sums": log_sums, "segmented_forward": segmented_forward, "segmented_backward": segmented_states("beta"), "segmented_gamma": segmented_states("gamma"), "segmented_path": segmented_path,
     "long_frames": long_frames, "long_mfcc": long_mfcc, "kmeans_turns": kmeans_turns, "gmm_turns": gmm_turns,
     "baum_welch_turns": baum_welch_turns, "baum_welch_mixtures": baum_welch_mixtures,
     "nbest_costs": nbest_costs, "rescore_best": rescore_best,
@@ -824,6 +834,8 @@ SQL |= {
     "segmented_forward": SQL["hmm_forward"], "segmented_backward": SQL["hmm_backward"], "segmented_gamma": SQL["hmm_gamma"],
     "segmented_path": f"SELECT user_id, CAST(i - 1 AS BIGINT) AS t, CAST(path[i] AS BIGINT) AS state, cost FROM ({SQL['viterbi_path']}) CROSS JOIN range(1, 1000000) g(i) WHERE i <= length(path)",
     "long_frames": SQL["hamming_frames"], "long_mfcc": SQL["mfcc_numpy"], "kmeans_turns": _kmeans_sql(LLOYD), "gmm_turns": _gmm_sql(LLOYD),
+    "log_sums": """WITH e AS (SELECT event_type, 20 * value AS x, min(20 * value) OVER (PARTITION BY event_type) AS low FROM events WHERE value IS NOT NULL), s AS (SELECT event_type, any_value(low) - ln(sum(exp(low - x))) AS v FROM e GROUP BY event_type)
+SELECT event_type, round(v, 6) + 0.0 AS nlp, round(v, 6) + 0.0 AS by_halves FROM s""",
     "trie_perplexity": _trie_sql(3),
     "streaming_paths": f"SELECT user_id, CAST(i - 1 AS BIGINT) AS t, CAST(path[i] AS INT) AS state FROM ({SQL['viterbi_path']}) CROSS JOIN range(1, 1000000) g(i) WHERE i <= length(path)",
     "baum_welch_turns": f"""{_BOTH}, {_XI}, {_FIRST_MOVES}, {_again(_ALPHA)}, {_again(_BETA.partition("b AS (")[1] + _BETA.partition("b AS (")[2])}, {_again(_TOTAL)}, {_again(_XI)}, {_again(_FIRST_MOVES).replace("tr22", "tr3").replace("st22", "st3")}

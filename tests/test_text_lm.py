@@ -3,6 +3,7 @@ from collections import Counter
 
 import pytest
 
+from lexiwave.functions import neglog
 from lexiwave.operators import lm, text
 from lexiwave.sources import arpa
 from pyspark.sql import functions as F
@@ -172,3 +173,12 @@ def test_one_arpa_file(spark, tmp_path):
     with pytest.raises(ValueError, match="order 2"):
         arpa.read_arpa(spark, str(other))
     assert arpa.read_arpa(spark, str(other), check=False).n == 3
+
+
+def test_sums_of_neglogs(spark):
+    rows = [("a", 1.0), ("a", 2.0), ("a", 3000.0), ("b", 5000.0), ("b", 5000.0), ("c", float("inf")), ("c", float("inf")), (None, 2.0), (None, float("inf")), ("d", None)]
+    got = {r.k: r.nlp for r in neglog.group_sums(spark.createDataFrame(rows, "k string, x double"), ["k"], "x").collect()}
+    want = {"a": -math.log(math.exp(-1) + math.exp(-2)), "b": 5000 - math.log(2), "c": math.inf, None: 2.0}
+    assert got.keys() == want.keys() and all(got[k] == v or abs(got[k] - v) < 1e-9 for k, v in want.items())
+    pair = spark.range(1).select(neglog.add(F.lit(1.0), F.lit(2.0)).alias("x"), neglog.add(neglog.inf(), neglog.inf()).alias("y")).first()
+    assert abs(pair.x - want["a"]) < 1e-9 and pair.y == math.inf
