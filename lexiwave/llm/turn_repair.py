@@ -226,7 +226,7 @@ def repair_conversations(
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import duckdb
 
-        con, now, kept = duckdb.connect(config={"threads": 1, "memory_limit": "512MB"}), None, pa.null()
+        con, now, kept = duckdb.connect(config={"threads": 1, "memory_limit": "512MB", "temp_directory": ""}), None, pa.null()
         for batch in batches:
             kept = batch.schema.field(0).type
             found, texts, lines, starts = _read(batch, now, segment)
