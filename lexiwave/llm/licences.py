@@ -204,6 +204,12 @@ def read_templates(folder: str) -> dict[str, tuple[str, ...]]:
     return {f.name: (f.read_text(errors="replace"),) for f in sorted(Path(folder).iterdir()) if f.is_file()}
 
 
+def built_in() -> dict[str, tuple[str, ...]]:
+    """``TEMPLATES`` and the whole texts that lie beside this module, a file a licence; read on the driver, for tasks get them with their function."""
+    whole = read_templates(str(Path(__file__).parent / "licence_texts"))
+    return {name: (*TEMPLATES.get(name, ()), *whole.get(name, ())) for name in sorted(TEMPLATES.keys() | whole.keys())}
+
+
 def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, tuple[str, ...]] | None = None, least: float = LEAST) -> DataFrame:
     """One row per input row: id, licence (the best, null if none), dice (0 if none) and licences, all found.
 
@@ -212,7 +218,7 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     time in proportion to its words. An empty table gives an empty result and other columns are ignored.
     """
     ship(docs.sparkSession)
-    chosen = TEMPLATES if templates is None else templates
+    chosen = built_in() if templates is None else templates
     kind = "id long, licence string, dice double, licences array<struct<licence: string, dice: double>>"
     each = pa.list_(pa.struct([("licence", pa.string()), ("dice", pa.float64())]))
     schema = pa.schema([("id", pa.int64()), ("licence", pa.string()), ("dice", pa.float64()), ("licences", each)])

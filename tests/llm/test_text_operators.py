@@ -122,6 +122,15 @@ def test_whole_licences_and_several_in_a_text(spark, tmp_path):
     assert (found.licence, found.dice) == ("Own", 1.0)
 
 
+def test_whole_texts_of_long_licences(spark):
+    """The built-in whole texts, without the notice at their end, among prose; a text cut in half is not one of them."""
+    whole = {n: w[-1] for n, w in licences.built_in().items() if len(w[-1]) > 5000}
+    assert sorted(whole) == ["Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0"]
+    texts = [f"{prose(3, 300)}\n\n{w[: int(0.92 * len(w))]}\n\n{prose(4, 300)}" for w in whole.values()] + [w[: len(w) // 2] for w in whole.values()]
+    got = licences.scan_licences(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("id").collect()
+    assert [r.licence for r in got] == [*whole, *[None] * 6] and all(r.dice > 0.9 for r in got[:6])
+
+
 def test_licences_across_paragraphs_and_neighbours(spark):
     apache, gpl, bsd = licences.TEMPLATES["Apache-2.0"][1], licences.TEMPLATES["GPL-3.0"][1], licences.TEMPLATES["BSD-2-Clause"][1]
     apache = apache.replace("License. You may", "License.\n\n  You may").replace("Unless required", "\n\nUnless required")
