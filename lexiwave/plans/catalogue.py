@@ -17,7 +17,7 @@ from lexiwave.functions import neglog
 from lexiwave.functions.scratch import Scratch, small
 from lexiwave.operators import acoustic, cluster, decode, hmm, lm, metrics, segments, signal, text, trie
 from lexiwave.plans import sql
-from lexiwave.sources import arpa, corpus
+from lexiwave.sources import arpa, corpus, wav
 from lexiwave.streaming import incremental, sinks
 
 LENGTH, STEP, SIZE, RATE, BANKS, COEFFICIENTS = 8, 4, 16, 16, 4, 3
@@ -131,6 +131,19 @@ def unknown_words(spark, sf_dir):
     return text.with_unknown(grams, text.vocabulary(seqs, 1)).select("model", F.col("id").alias("item_id"), joined().alias("words"))
 
 
+def wav_scan(spark, sf_dir):
+    """All events as recordings of up to 500 samples, written as WAV files and read by ranges of bytes; sums of samples times place tell their order."""
+    wav.register(spark)
+    path = f"{Scratch(spark, 'wav').root}/recordings"
+    sample = (F.floor(100 * F.col("value")) % 32768).cast("int")
+    events = table(spark, sf_dir, "events").where("value is not null").select(F.floor(F.col("event_id") / 500).alias("part"), F.struct("event_id", sample.alias("s")).alias("s"))
+    made = events.groupBy("part").agg(F.array_sort(F.collect_list("s"))["s"].alias("samples"))  # 500 events at most
+    made.select(F.format_string("%d.wav", "part").alias("path"), F.lit(8000).alias("sample_rate"), "samples").write.format("wav").mode("append").save(path)
+    read = spark.read.format("wav").option("splitBytes", 1 << 14).option("blockSamples", 200).load(path)
+    each = read.select(F.regexp_extract("path", r"(\d+)\.wav$", 1).cast("long").alias("part"), "sample_rate", "n_samples", "first", F.posexplode("samples").alias("at", "s"))
+    return each.groupBy("part", "sample_rate", "n_samples").agg(F.count("*").alias("found"), F.sum("s").alias("total"), F.sum((F.col("first") + F.col("at") + 1) * F.col("s")).alias("placed"))
+
+
 def arpa_lines(spark, sf_dir):
     model = lm.train("katz", text.sequences(table(spark, sf_dir, "documents")), 2).katz()
     return arpa.arpa_lines(model.probs.drop("model"), model.backoffs.drop("model"), 2, digits=6)
@@ -585,7 +598,7 @@ QUERIES = {
     "perplexity_by_lang_good_turing": perplexity("good_turing", 2), "perplexity_by_lang_katz": perplexity("katz", 2), "perplexity_by_lang_katz_3": perplexity("katz", 3),
     "ngram_oov_rate_1": oov(1), "ngram_oov_rate_2": oov(2), "ngram_oov_rate_3": oov(3), "token_oov_rate": token_oov,
     "trie_perplexity": trie_perplexity,
-    "arpa_lines": arpa_lines, "wer_pairs": wer_pairs, "phrase_search": phrase_search,
+    "wav_scan": wav_scan, "arpa_lines": arpa_lines, "wer_pairs": wer_pairs, "phrase_search": phrase_search,
     "pre_emphasis": pre_emphasis, "frame_count": frame_count,
     "hamming_frames": lambda s, d: positions(framed(s, d), "frame"), "power_spectrum": lambda s, d: positions(spectra(s, d), "power"),
     "log_mel": lambda s, d: positions(mels(s, d), "mel"),
@@ -763,6 +776,8 @@ FROM tw LEFT JOIN voc v ON v.model = tw.model AND v.token = tw.token GROUP BY tw
     "phrase_search": f"SELECT lang, source, count(*) AS docs, CAST(count(*) FILTER (WHERE contains(lower(text), '{PHRASE}')) AS BIGINT) AS hits FROM documents GROUP BY ALL",
     "pre_emphasis": f"WITH {sql.SAMPLES}, {sql.EMPHASIS} SELECT user_id, CAST(i - 1 AS INT) AS pos, round(v, 6) + 0.0 AS v FROM (SELECT user_id, unnest(s) AS v, generate_subscripts(s, 1) AS i FROM emp)",
     "frame_count": f"WITH {sql.frames(*_FRAMES)} SELECT user_id, count(*) AS frames FROM fr GROUP BY user_id",
+    "wav_scan": """WITH e AS (SELECT event_id // 500 AS part, CAST(floor(100 * value) AS BIGINT) % 32768 AS s, row_number() OVER (PARTITION BY event_id // 500 ORDER BY event_id, CAST(floor(100 * value) AS BIGINT) % 32768) AS i FROM events WHERE value IS NOT NULL)
+SELECT part, CAST(8000 AS INT) AS sample_rate, count(*) AS n_samples, count(*) AS found, CAST(sum(s) AS BIGINT) AS total, CAST(sum(i * s) AS BIGINT) AS placed FROM e GROUP BY part""",
     "hamming_frames": sql.positions(sql.frames(*_FRAMES), "fr", "frame"),
     "power_spectrum": sql.positions(sql.spectrum(*_FRAMES, SIZE), "ps", "power"),
     "log_mel": sql.positions(sql.mel(*_FRAMES, SIZE, BANK), "lm", "mel"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexiwave.operators import cluster, decode, hmm, lm, metrics, signal, text
 from lexiwave.sources.corpus import read_corpus, read_topologies, read_transcripts
-from lexiwave.sources.wav import parse_wav, read_wav
+from lexiwave.sources.wav import parse_wav, read_wav, register
 
 
 def test_wer(spark):
@@ -172,3 +172,53 @@ def test_frames_of_long_signals(spark, size, cell):
         own = np.stack([r.features for r in sorted((r for r in features if r.path == p), key=lambda r: r.frame_no)])
         assert np.allclose(own, signal.mfcc_array(x, 16, length_s=0.5, step_s=0.25, banks=4, coefficients=3, size=16))
     assert signal.long_frames(rows.limit(0), ["path"], ["i"], "value", 8, 4).count() == 0
+
+
+def test_wav_source(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    made = {f"{n}.wav": rng.integers(-30000, 30000, n).tolist() for n in (0, 1, 7, 1000, 5001)}
+    register(spark)
+    rows = spark.createDataFrame([(f"in/{k}", 8000, v) for k, v in made.items()], "path string, sample_rate int, samples array<int>")
+    for mode in ("append", "append", "overwrite"):  # again and over: the same files
+        rows.repartition(3).write.format("wav").mode(mode).save(str(tmp_path / "w"))
+    assert sorted(p.name for p in (tmp_path / "w").rglob("*") if p.is_file()) == sorted(["_SUCCESS", *made])
+    assert {r.path.split("/")[-1]: r.samples for r in read_wav(spark, str(tmp_path / "w")).collect()} == made
+    for split, block, path in ((32 << 20, 1 << 16, str(tmp_path / "w")), (100, 7, f"file://{tmp_path}/w"), (1001, 1000, str(tmp_path / "w"))):
+        df, got = spark.read.format("wav").option("splitBytes", split).option("blockSamples", block).load(path), {}
+        for r in sorted(df.collect(), key=lambda r: (r.path, r["first"])):
+            held = got.setdefault(r.path.split("/")[-1], [])
+            assert r["first"] == len(held) and r.n_samples == len(made[r.path.split("/")[-1]]) and len(r.samples) <= block
+            held += r.samples
+        assert got == made
+    assert df.select(F.spark_partition_id()).distinct().count() > 10
+    heads = spark.read.format("wav").schema("n_samples long, path string").option("splitBytes", 100).load(str(tmp_path / "w")).collect()
+    assert sorted(r.n_samples for r in heads) == sorted(map(len, made.values()))
+
+
+def test_wav_source_of_odd_files(spark, tmp_path):
+    register(spark)
+    (tmp_path / "a.wav").write_bytes(wav([1, -2, 3, -4, 5, -6], channels=2, extra=b"LIST" + struct.pack("<I", 3) + b"abc\0"))
+    (tmp_path / "b.wav").write_bytes(wav([0] * 17 + [5, -6, 7, 8], channels=1))
+    one = spark.read.format("wav").option("channel", 2).option("splitBytes", 5).load(str(tmp_path / "a.wav")).orderBy("first")
+    assert [x for r in one.collect() for x in r.samples] == [-2, -4, -6]
+    old = spark.read.format("wav").option("compat", "true").option("splitBytes", 5).load(str(tmp_path / "b.wav")).orderBy("first")
+    assert [x for r in old.collect() for x in r.samples] == [5, -6, 7, 8]
+    assert spark.read.format("wav").option("pathGlobFilter", "*.none").load(str(tmp_path)).count() == 0
+    (tmp_path / "c.wav").write_bytes(b"nope")
+    with pytest.raises(Exception, match="c.wav: not a RIFF file"):
+        spark.read.format("wav").load(str(tmp_path)).collect()
+    bad = spark.createDataFrame([("x.wav", 8000, [40000])], "path string, sample_rate int, samples array<int>")
+    with pytest.raises(Exception, match="16 bits"):
+        bad.write.format("wav").mode("append").save(str(tmp_path / "bad"))
+
+
+def test_frames_of_a_file_in_ranges(spark, tmp_path):
+    register(spark)
+    samples = np.random.default_rng(4).integers(-9000, 9000, 3000).tolist()
+    spark.createDataFrame([("x.wav", 8000, samples)], "path string, sample_rate int, samples array<int>").write.format("wav").mode("append").save(str(tmp_path / "w"))
+    rows = spark.read.format("wav").option("splitBytes", 700).option("blockSamples", 100).load(str(tmp_path / "w"))
+    each = rows.select("path", "first", F.posexplode("samples")).select("path", (F.col("first") + F.col("pos")).alias("at"), F.col("col").alias("x"))
+    got = {r.frame_no: r.frame for r in signal.long_frames(each, ["path"], ["at"], "x", 200, 80, size=64).collect()}
+    whole = read_wav(spark, str(tmp_path / "w")).withColumn("s", signal.pre_emphasis(F.col("samples").cast("array<double>")))
+    want = {r.frame_no: r.frame for r in signal.frames(whole, "path", F.col("s"), 200, 80).collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in got)
