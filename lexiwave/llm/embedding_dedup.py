@@ -14,13 +14,17 @@ What is left is compared by exact cosine in double precision, so no link is lost
 are fitted on a bounded sample; they decide how much is skipped and not what is found.
 
 Equal vectors of a label are one entry with a weight. Two lists are compared once, by sending vectors of the
-one with the lesser number to the other, in the precision they came in. Lists are cut into blocks of
-``BLOCK`` members, each a task or several, and a task returns counts and a spanning forest, never pairs.
+one with the lesser number to the other, in the precision they came in. A list that holds many vectors
+is cut by centres of its own, fitted by executors on a sample of it, and what comes to the list is dealt
+over its parts by the same bound: the half-plane argument needs no more than that a member lies with its
+nearest centre. Parts are cut into blocks of ``BLOCK`` members, each a task or several, and a task returns
+counts and a spanning forest, never pairs.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +44,8 @@ SAMPLE, LIST = 20_000, 4096
 SUBSPACES, CODES = 8, 64
 #: members of a list in a task, and vectors from elsewhere that ask them
 BLOCK, ASKING = 4096, 32_768
+#: a list of more than ``SPLIT`` blocks is cut into parts of about a block each, ``PARTS`` at most, fitted on four vectors a part
+SPLIT, PARTS = 4, 1024
 
 
 def _centres(points: np.ndarray, k: int, turns: int, seed: int) -> np.ndarray:
@@ -63,6 +69,21 @@ def nearest(points: np.ndarray, centre: np.ndarray) -> np.ndarray:
     return np.concatenate([_squared(points[i : i + 4096], centre).argmin(1) for i in range(0, len(points), 4096)] or [np.zeros(0, int)])
 
 
+def _reach(x: np.ndarray, centre: np.ndarray, apart: np.ndarray, radius: float) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The nearest centre of each row, and all centres that can be nearest to something within ``radius`` of it."""
+    own, probes = np.empty(len(x), np.int64), []
+    for i in range(0, len(x), 1024):
+        far = _squared(x[i : i + 1024], centre)
+        mine = far.argmin(1)
+        own[i : i + 1024] = mine
+        least = far[np.arange(len(mine)), mine]
+        plane = (far - least[:, None]) / (2 * np.maximum(apart[mine], 1e-12))
+        for row, m in zip(plane <= radius + 1e-9, mine):
+            row[m] = True
+            probes.append(np.flatnonzero(row))
+    return own, probes
+
+
 @dataclass
 class Quantiser:
     """Coarse centres [lists, d] and, a subspace each, codewords of residuals."""
@@ -80,19 +101,13 @@ class Quantiser:
         out.words = [_centres(rest[:, s], codes, 6, seed + i) for i, s in enumerate(out.cuts)]
         return out
 
+    @cached_property
+    def apart(self) -> np.ndarray:
+        return np.sqrt(_squared(self.centre, self.centre))
+
     def index(self, x: np.ndarray, radius: float) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
         """(list, lists to probe, codes, coding error) of vectors of length one."""
-        own, probes = np.empty(len(x), np.int64), []
-        apart = np.sqrt(_squared(self.centre, self.centre))
-        for i in range(0, len(x), 1024):
-            far = _squared(x[i : i + 1024], self.centre)
-            mine = far.argmin(1)
-            own[i : i + 1024] = mine
-            least = far[np.arange(len(mine)), mine]
-            plane = (far - least[:, None]) / (2 * np.maximum(apart[mine], 1e-12))
-            for row, m in zip(plane <= radius + 1e-9, mine):
-                row[m] = True
-                probes.append(np.flatnonzero(row))
+        own, probes = _reach(x, self.centre, self.apart, radius)
         rest = x - self.centre[own]
         codes = np.stack([nearest(rest[:, s], w) for s, w in zip(self.cuts, self.words)], axis=1).astype(np.uint8)
         made = np.concatenate([w[codes[:, j]] for j, w in enumerate(self.words)], axis=1)
@@ -125,6 +140,49 @@ def _fitted(classes: DataFrame, radius_lists: int, kind: str) -> dict[int, Quant
     return out
 
 
+def _cut(arrived: DataFrame, at_list: list[str], scratch: Scratch, kind: str, radius: float, block: int, asking: int) -> DataFrame:
+    """What arrives at lists, with the part it belongs to and the parts it asks (``later``).
+
+    Members of a list ask the parts behind their own, vectors from other lists all parts within reach. Lists
+    of up to ``SPLIT`` blocks are one part. A large list's sample and centres are one task's, and bounded;
+    what is dealt over its parts is not, and goes to tasks of about ``asking`` rows.
+    """
+    none = F.array().cast("array<int>")
+    whole = lambda df: df.withColumns({"part": F.lit(0), "later": F.when(F.col("asks"), F.array(F.lit(0))).otherwise(none)})
+    members = arrived.where("not asks").groupBy(*at_list).agg(F.count("*").alias("members")).where(F.col("members") > SPLIT * block)
+    large = scratch.save(members.withColumn("parts", F.least(F.ceil(F.col("members") / block), F.lit(PARTS)).cast("int")), "large")
+    if not large.limit(1).count():
+        return whole(arrived)
+    few = small(large)
+    some = arrived.where("not asks").join(few, at_list).where(F.pmod(F.xxhash64("k", "t", F.lit(3)), "members") < 4 * F.col("parts"))
+    types = dict(arrived.dtypes)
+    keys = ", ".join(f"{c} {types[c]}" for c in at_list)
+
+    def fit(key, table):
+        sample = _units(table.column("raw").to_pylist(), key[1].as_py(), kind)
+        made = _centres(sample, table.column("parts")[0].as_py(), 8, 17).tobytes()
+        return pa.table([*[table.column(c).slice(0, 1) for c in at_list], pa.array([made], pa.binary())], names=[*at_list, "centres"])
+
+    centres = some.select(*at_list, "parts", "raw").groupBy(*at_list).applyInArrow(fit, f"{keys}, centres binary")
+    slots = arrived.join(few.select(*at_list), at_list).groupBy(*at_list).agg(F.ceil(F.count("*") / asking).cast("int").alias("slots"))
+    slots = scratch.save(slots, "slots")
+    sent = centres.join(small(slots), at_list).withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("slots") - 1))).drop("slots")
+    dealt = arrived.join(small(slots), at_list).withColumn("slot", F.pmod(F.xxhash64("k", "t", F.lit(4)), "slots").cast("int")).drop("slots")
+    names = arrived.columns
+
+    def deal(key, table):
+        d, given = key[1].as_py(), table.column("centres").drop_null()
+        centre = np.frombuffer(given[0].as_py()).reshape(-1, d) if len(given) else np.zeros((1, d))
+        rows = table.filter(table.column("centres").is_null()).select(names)
+        own, probes = _reach(_units(rows.column("raw").to_pylist(), d, kind), centre, np.sqrt(_squared(centre, centre)), radius)
+        later = [p if asks else p[p > o] for p, o, asks in zip(probes, own, rows.column("asks").to_pylist())]
+        return rows.append_column("part", pa.array(own, pa.int32())).append_column("later", pa.array([p.astype(np.int32) for p in later], pa.list_(pa.int32())))
+
+    shape = ", ".join(f"{c} {t}" for c, t in arrived.dtypes)
+    cut = dealt.unionByName(sent, allowMissingColumns=True).groupBy(*at_list, "slot").applyInArrow(deal, f"{shape}, part int, later array<int>")
+    return whole(arrived.join(few.select(*at_list), at_list, "left_anti")).unionByName(scratch.save(cut, "cut"))
+
+
 def link_vectors(
     vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", least: float = COSINE, block: int = BLOCK, lists: int = LIST, asking: int = ASKING,
 ) -> DataFrame:
@@ -188,26 +246,28 @@ def link_vectors(
     indexed = scratch.save(classes.mapInArrow(
         index, f"label {label_type}, t long, rep long, weight long, k long, d int, raw binary, cell int, later array<int>, codes binary, error double"), "indexed")
     scratch.drop("classes")
-    at_list = ["label", "d", "cell"]
-    in_list = indexed.groupBy(*at_list).agg(F.count("*").alias("members"))
-    asked = indexed.select("label", "d", F.explode("later").alias("cell")).groupBy(*at_list).agg(F.count("*").alias("askers"))
+    both, none = ["rep", "weight", "t", "raw"], {"codes": F.lit(None).cast("binary"), "error": F.lit(None).cast("double")}
+    come = indexed.withColumns({"cell": F.explode("later"), "asks": F.lit(True), **none}).drop("later")
+    entered = _cut(indexed.withColumn("asks", F.lit(False)).drop("later").unionByName(come), ["label", "d", "cell"], scratch, kind, radius, block, asking)
+    at_list = ["label", "d", "cell", "part"]
+    in_list = entered.where("not asks").groupBy(*at_list).agg(F.count("*").alias("members"))
+    asked = entered.withColumn("part", F.explode("later")).groupBy(*at_list).agg(F.count("*").alias("askers"))
     mb = F.ceil(F.col("members") / block)
     sizes = in_list.join(asked, at_list, "left").select(
         *at_list, mb.cast("int").alias("mb"), F.ceil((F.coalesce("askers", F.lit(0)) + F.col("members") * (mb - 1) + 1) / asking).cast("int").alias("qb"))
     sizes = small(scratch.save(sizes, "sizes"), 100_000)
     slot = lambda n, seed: F.pmod(F.xxhash64("k", "t", F.lit(seed)), F.col(n)).cast("int")
-    both = ["rep", "weight", "t", "raw"]
-    placed_ = indexed.join(sizes, at_list).withColumn("own", slot("mb", 1))
+    placed_ = entered.where("not asks").join(sizes, at_list).withColumn("own", slot("mb", 1))
     members = placed_.select(*at_list, F.col("own").alias("m"), F.explode(F.sequence(F.lit(0), F.col("qb") - 1)).alias("q"), F.lit(False).alias("asks"), *both, "codes", "error")
-    none = [F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("error")]
-    # a list's later blocks ask its earlier ones, and other lists ask all of its blocks
+    none = [c.alias(n) for n, c in none.items()]
+    # a part's later blocks ask its earlier ones, and other parts and lists ask all of its blocks
     within = placed_.where("own > 0").withColumn("m", F.explode(F.sequence(F.lit(0), F.col("own") - 1))).select(*at_list, "m", slot("qb", 2).alias("q"), F.lit(True).alias("asks"), *both, *none)
-    across = indexed.drop("cell").withColumn("cell", F.explode("later")).join(sizes, at_list).withColumn("m", F.explode(F.sequence(F.lit(0), F.col("mb") - 1))).select(
+    across = entered.withColumn("part", F.explode("later")).join(sizes, at_list).withColumn("m", F.explode(F.sequence(F.lit(0), F.col("mb") - 1))).select(
         *at_list, "m", slot("qb", 2).alias("q"), F.lit(True).alias("asks"), *both, *none)
     out_schema = pa.schema([(c, pa.int64()) for c in ("t", "n", "rep", "tie")])
 
     def compare(key, table):
-        d, cell, first_turn = key[1].as_py(), key[2].as_py(), key[4].as_py() == 0
+        d, cell, first_turn = key[1].as_py(), key[2].as_py(), key[5].as_py() == 0
         asks = np.asarray(table.column("asks"))
         ids, weight, t = (np.asarray(table.column(c)) for c in ("rep", "weight", "t"))
         m, q = np.flatnonzero(~asks), np.flatnonzero(asks)

@@ -64,12 +64,39 @@ def test_embeddings(spark, monkeypatch):
     for block, lists, asking in ((embedding_dedup.BLOCK, embedding_dedup.LIST, embedding_dedup.ASKING), (10, 8, 7), (100, 8, 1000)):
         monkeypatch.setattr(skew, "PARTS", 2000 if block > 10 else 20)
         assert Counter(tuple(r) for r in embedding_dedup.link_vectors(df, block=block, lists=lists, asking=asking).collect()) == expect
+    monkeypatch.setattr(embedding_dedup, "SPLIT", 1)  # lists of two blocks have parts
+    monkeypatch.setattr(embedding_dedup, "SAMPLE", 24)
+    for block, lists, asking in ((4, 20, 9),):
+        assert Counter(tuple(r) for r in embedding_dedup.link_vectors(df, block=block, lists=lists, asking=asking).collect()) == expect
     single = df.where("vec_id < 209").withColumn("embedding", F.col("embedding").cast("array<float>"))
     got = Counter(tuple(r) for r in embedding_dedup.link_vectors(single, block=30, lists=8).collect())
     assert got == Counter((r[0], links[id(r)], of[r[0]], r[0] == of[r[0]]) for r in rows if r[0] < 209)
     assert embedding_dedup.link_vectors(df.limit(0)).count() == 0
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="the given tables are not here")
+def test_lists_and_parts_on_the_given_table(spark, monkeypatch):
+    """Several lists a label, and parts of lists, find the links of brute force among the table's vectors and near copies of a third of them."""
+    given = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    rng = np.random.default_rng(8)
+    near = lambda v: (np.array(v) + np.linalg.norm(v) * rng.normal(0, 0.02, len(v))).tolist()
+    copies = [(10**6 * i + r.vec_id, near(r.embedding), r.label) for i in (1, 2) for r in given.where("vec_id % 3 = 0 and embedding is not null").orderBy("vec_id").collect()]
+    df = given.select("vec_id", "embedding", "label").unionByName(spark.createDataFrame(copies, given.select("vec_id", "embedding", "label").schema))
+    rows = [r for r in df.collect() if r.embedding is not None and r.label is not None and all(x is not None and np.isfinite(x) for x in r.embedding) and any(r.embedding)]
+    x = np.array([r.embedding for r in rows], np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    label = np.array([r.label for r in rows])
+    near = (x @ x.T >= 0.98) & (label[:, None] == label[None, :])
+    of = roots({r.vec_id for r in rows}, [(rows[i].vec_id, rows[j].vec_id) for i, j in zip(*np.nonzero(near))])
+    expect = {r.vec_id: (int(n) - 1, of[r.vec_id]) for r, n in zip(rows, near.sum(1))}
+    assert sum(n > 0 for n, _ in expect.values()) > 100
+    monkeypatch.setattr(embedding_dedup, "SPLIT", 1)
+    for block, lists in ((64, 12), (6, 40)):
+        got = {r.id: (r.n_links, r.component_id) for r in embedding_dedup.link_vectors(df, block=block, lists=lists, asking=50).collect()}
+        assert len(got) == df.count() and {k: got[k] for k in expect} == expect
+        assert all(v == (0, k) for k, v in got.items() if k not in expect)
+
+
 def test_probes_lose_nothing():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(3000, 16))
