@@ -1,4 +1,5 @@
 import hashlib
+import math
 import os
 import time
 import zlib
@@ -420,6 +421,26 @@ def test_learns_from_rows_without_an_id(spark):
     assert len(out) == 2 and all(r.right > 0.95 for r in out)
 
 
+def test_recurrence_number_by_number():
+    """Scores of both directions against the gates' equations, a byte and a unit at a time."""
+    hidden, codes = 3, [97, 256, 200, 98, 97]
+    net = language_id.Network.new(["a", "b"], hidden, 5)
+    net.params |= {f"bias_{d}": np.array([0.3, -0.2, 0.1], np.float32) for d in "fb"} | {"out_bias": np.array([0.5, -0.5], np.float32)}
+    p, sigmoid = net.params, lambda x: 1 / (1 + math.exp(-x))
+    want = [[float(b) for b in p["out_bias"]] for _ in codes]
+    for d, steps in (("f", range(len(codes))), ("b", reversed(range(len(codes))))):
+        h = [0.0] * hidden
+        for t in steps:
+            x, u = p[f"inputs_{d}"][codes[t]], [sum(h[i] * float(p[f"state_{d}"][i, j]) for i in range(hidden)) for j in range(3 * hidden)]
+            z = [sigmoid(x[j] + u[j]) for j in range(hidden)]
+            r = [sigmoid(x[hidden + j] + u[hidden + j]) for j in range(hidden)]
+            c = [math.tanh(x[2 * hidden + j] + r[j] * (u[2 * hidden + j] + p[f"bias_{d}"][j])) for j in range(hidden)]
+            h = [(1 - z[j]) * c[j] + z[j] * h[j] if codes[t] < 256 else 0.0 for j in range(hidden)]
+            for k in range(2):
+                want[t][k] += sum(h[j] * float(p["out"][j + (hidden if d == "b" else 0), k]) for j in range(hidden))
+    assert np.allclose(net.logits(np.array(codes)[:, None])[:, :, 0], want, atol=1e-5)
+
+
 def test_inference_is_the_trained_network():
     net = language_id.Network.new(["a", "b"], 5, 3)
     texts = ["abc d" * 60, "é", "", "12"]

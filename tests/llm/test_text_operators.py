@@ -1,5 +1,6 @@
 import hashlib
 import itertools
+import os
 import random
 import re
 import time
@@ -97,6 +98,15 @@ def test_learning_from_tables(spark):
     assert all((s > 0.5) == bool(i % 2) for i, s in shares.items())
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="the given tables are not here")
+def test_quality_of_documents_not_learned_from(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    field = quality.learn(docs, labels.where("doc_id % 2 = 0"))
+    rows = quality.judge(docs, field).join(labels.where("doc_id % 2 = 1").select(F.col("doc_id").alias("id"), "quality"), "id")
+    right = {r.quality: r.right for r in rows.groupBy("quality").agg(F.avg((F.col("content_share") >= 0.5).cast("double")).alias("right")).collect()}
+    assert right[1] > 0.97 and right[0] < 0.1
+
+
 # op5
 
 def test_licences(spark):
