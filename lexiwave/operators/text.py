@@ -14,14 +14,18 @@ from pyspark.sql import functions as F
 # Characters of a token, and the tokens with a meaning of their own.
 TOKEN = r"[\p{L}<>/.]+"
 START, END, UNKNOWN, SILENCE = "<s>", "</s>", "<unk>", "<sil>"
+#: stands between the words of a gram's key; no token holds it
+SEPARATOR = "\x01"
 
 
 def tokens(text: Column, pattern: str = TOKEN, keep: Callable[[Column], Column] | None = None) -> Column:
     """Lower-case runs of token characters; the text's own start and end marks are dropped, null is empty.
 
-    ``pattern`` says what a token is, and ``keep``, a function of a token's column, which of them count.
+    ``pattern`` says what a token is (U+0001 is in none), and ``keep``, a function of a token's column, which of them count.
     """
     text = F.coalesce(text, F.lit(""))
+    if pattern != TOKEN:
+        text = F.replace(text, F.lit(SEPARATOR), F.lit(" "))
     if pattern.startswith("[") and pattern.endswith("]+") and pattern.count("[") == 1:
         # runs of the class: all else becomes one space, and the text is changed and cut as a whole
         line = F.lower(F.trim(F.regexp_replace(text, "[^" + pattern[1:], " ")))
@@ -63,30 +67,46 @@ def gram_rows(seqs: DataFrame, n: int) -> DataFrame:
     return seqs.select("model", padded(F.col("toks"), n).alias("p")).select("model", F.explode(F.concat(*each)).alias("g")).select("model", "g.ord", "g.gram")
 
 
-def gram_counts(seqs: DataFrame, n: int, orders: Iterable[int] | None = None) -> DataFrame:
-    """(model, ord, gram, cnt) of the orders asked for, 1 to n by default, in sequences padded for order n.
+def gram_key(gram: Column) -> Column:
+    """A gram's words as one string, which is shorter to shuffle and quicker to compare than an array."""
+    return F.array_join(gram, SEPARATOR)
 
-    Words are exploded once, each with those behind it (null past the end), without their sequence, and summed
-    before the shuffle. Lower orders are sums of the higher one's rows.
+
+def key_words(key: Column) -> Column:
+    """How many words a key has."""
+    return F.octet_length(key) - F.octet_length(F.replace(key, F.lit(SEPARATOR), F.lit(""))) + 1
+
+
+def gram_keys(seqs: DataFrame, n: int, orders: Iterable[int] | None = None, keep: Callable[[DataFrame, int], DataFrame] = lambda level, m: level) -> DataFrame:
+    """(model, ord, key, cnt) of the orders asked for, 1 to n by default, in sequences padded for order n.
+
+    Words are exploded once, each with those behind it (fewer at the end), without their sequence, and summed
+    before the shuffle. Lower orders are sums of the higher one's rows, which ``keep(rows, order)`` may write
+    down. All orders read one shuffle of the highest: the order's filter names the count, so it stays behind
+    the sums and each order has the same plan below them.
     """
     asked = sorted(set(range(1, n + 1) if orders is None else orders))
     if not asked or asked[0] < 1 or asked[-1] > n:
         raise ValueError(f"orders are from 1 to {n}")
-    top = asked[-1]
-    words = [f"w{i}" for i in range(1, top + 1)]
+    words = [f"w{i}" for i in range(1, asked[-1] + 1)]
     padded_ = seqs.select("model", padded(F.col("toks"), n).alias("p"))
     zipped = F.arrays_zip(*[(F.col("p") if i == 0 else F.slice("p", i + 1, F.size("p"))).alias(w) for i, w in enumerate(words)])
-    level = padded_.select("model", F.explode(zipped).alias("g")).select("model", *[F.col(f"g.{w}").alias(w) for w in words])
-    level, out = level.groupBy("model", *words).agg(F.count("*").alias("cnt")), None
+    each = padded_.select("model", F.explode(zipped).alias("g")).select("model", F.concat_ws(SEPARATOR, *[F.col(f"g.{w}") for w in words]).alias("key"))
+    level, out = keep(each.groupBy("model", "key").agg(F.count("*").alias("cnt")), asked[-1]), None
     for m in reversed(asked):
-        if m < len(words):
-            words = words[:m]
-            level = level.groupBy("model", *words).agg(F.sum("cnt").alias("cnt"))
-        own = level.where(F.col(words[-1]).isNotNull()).select("model", F.lit(m).alias("ord"), F.array(*words).alias("gram"), "cnt")
+        if m < asked[-1]:
+            level = keep(level.groupBy("model", F.substring_index("key", SEPARATOR, m).alias("key")).agg(F.sum("cnt").alias("cnt")), m)
+        whole = F.least(F.col("cnt"), key_words(F.col("key")).cast("long") - (m - 1)) >= 1
+        own = level.where(whole).select("model", F.lit(m).alias("ord"), "key", "cnt")
         out = own if out is None else out.unionByName(own)
     return out
 
 
+def gram_counts(seqs: DataFrame, n: int, orders: Iterable[int] | None = None, keep: Callable[[DataFrame, int], DataFrame] = lambda level, m: level) -> DataFrame:
+    """``gram_keys`` with grams as arrays: (model, ord, gram, cnt)."""
+    return gram_keys(seqs, n, orders, keep).select("model", "ord", F.split("key", SEPARATOR).alias("gram"), "cnt")
+
+
 def context(gram: Column) -> Column:
     return F.slice(gram, 1, F.size(gram) - 1)
 

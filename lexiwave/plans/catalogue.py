@@ -59,8 +59,8 @@ def models(spark, sf_dir: str) -> DataFrame:
 
 def counted(n: int, order: int | None = None):
     def run(spark, sf_dir: str) -> DataFrame:
-        counts = text.gram_counts(train_seqs(spark, sf_dir), n, None if order is None else [order])
-        return counts.select("model", "ord", joined().alias("gram"), "cnt")
+        counts = text.gram_keys(train_seqs(spark, sf_dir), n, None if order is None else [order])
+        return counts.select("model", "ord", F.replace("key", F.lit(text.SEPARATOR), F.lit(" ")).alias("gram"), "cnt")
 
     return run
 
@@ -592,7 +592,7 @@ QUERIES = {
     "unknown_words": unknown_words,
     "lm_mle": probs("mle", 2), "lm_laplace": probs("laplace", 2), "lm_additive5": probs("additive", 2),
     "lm_good_turing_fit": good_turing_fit, "lm_good_turing_probs": probs("good_turing", 2),
-    "katz_discounts": lambda s, d: katz_model(s, d, 3).discounts.withColumn("d", F.round("d", 6)),
+    "katz_discounts": lambda s, d: lm.katz_discounts(text.gram_counts(train_seqs(s, d), 3, [2, 3])).withColumn("d", F.round("d", 6)),
     "katz_probs_2": katz_probs(2), "katz_probs_3": katz_probs(3), "katz_backoff_2": katz_backoffs(2), "katz_backoff_3": katz_backoffs(3),
     "perplexity_by_lang_mle": perplexity("mle", 2), "perplexity_by_lang_laplace": perplexity("laplace", 2), "perplexity_by_lang_additive": perplexity("additive", 2),
     "perplexity_by_lang_good_turing": perplexity("good_turing", 2), "perplexity_by_lang_katz": perplexity("katz", 2), "perplexity_by_lang_katz_3": perplexity("katz", 3),
