@@ -35,10 +35,10 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/lexiwave/{name}-{uuid.uuid4().hex}"
         atexit.register(self._clear, "")
 
-    def save(self, df: DataFrame, name: str, *by: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, *by: str, compression: str = "snappy") -> DataFrame:
         """The table as written; with ``by``, in folders by these columns' values, of which a filter reads its own."""
         path = f"{self.root}/{name}"
-        (df.write.partitionBy(*by) if by else df.write).mode("overwrite").parquet(path)
+        (df.write.partitionBy(*by) if by else df.write).mode("overwrite").option("compression", compression).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
     def drop(self, name: str) -> None:

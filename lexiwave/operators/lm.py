@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 
 from lexiwave.functions.neglog import clamp, inf, neglog, ratio
 from lexiwave.functions.scratch import Scratch, small
-from lexiwave.operators.text import END, UNKNOWN, context, count_of_counts, counted_vocabulary, gram_counts, padded, suffix, vocabulary, windows
+from lexiwave.operators.text import END, SEPARATOR, START, UNKNOWN, context, count_of_counts, counted_vocabulary, gram_counts, gram_key, padded, vocabulary, windows
 
 UNSEEN = 1e-9
 #: grams of a context that one task may hold
 WINDOW_ROWS = 1_000_000
+#: contexts of a test that are sent to every executor; more are joined
+TEST_CONTEXTS = 200_000
 
 
 def vocabulary_size(vocab: DataFrame) -> DataFrame:
@@ -168,10 +170,10 @@ class Katz:
 def katz_discounts(counts: DataFrame, k: int = 5) -> DataFrame:
     """(model, ord, r, d) for orders above 1 and r up to k.
 
-    A count-of-counts that is missing is 0 up to the order's largest count and 1e-9 above it. Where the
+    Counts of counts are written down, so grams are counted once. One that is missing is 0 up to the order's largest count and 1e-9 above it. Where the
     formula divides by zero there is no discount.
     """
-    spectrum = count_of_counts(counts.where("ord > 1"))
+    spectrum = Scratch(counts.sparkSession, "spectrum").save(count_of_counts(counts.where("ord > 1")), "spectrum")
     top = spectrum.groupBy("model", "ord").agg(F.max("r").alias("top"))
     grid = top.withColumn("r", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(k + 1).cast("long"))))
     full = grid.join(spectrum, ["model", "ord", "r"], "left").withColumn(
@@ -194,24 +196,32 @@ def katz(counts: DataFrame, n: int, k: int = 5, reserved: float = 0.01, contexts
     """
     if k < 1 or not 0 < reserved < 1:
         raise ValueError("k is 1 or more, and the reserved probability is between 0 and 1")
-    discounts = katz_discounts(counts, k)
-    total = counts.where("ord = 1").groupBy("model").agg(F.sum("cnt").alias("total"))
+    scratch = Scratch(counts.sparkSession, "katz")
+    discounts = scratch.save(katz_discounts(counts, k), "discounts")
+    sent, total = small(discounts), counts.where("ord = 1").groupBy("model").agg(F.sum("cnt").alias("total"))
+    if contexts is not None:
+        contexts = scratch.save(contexts.select("model", "ord", gram_key("ctx").alias("ctx")), "contexts")
     ones = counts.where("ord = 1").join(small(total), "model").select(
         "model", "ord", "gram", "cnt", ((1 - reserved) * F.col("cnt") / F.col("total")).alias("p"))
-    parts, words = [ones], counts.where("ord = 1").count() if n > 1 else 0
+    parts, backoffs = [ones], None
     for m in range(2, n + 1):
-        grams = counts.where(F.col("ord") == m).withColumn("ctx", context(F.col("gram"))).withColumn("r", F.col("cnt"))
+        key = gram_key("gram")
+        grams = counts.where(F.col("ord") == m).select("model", "ord", key.alias("key"), F.substring_index(key, SEPARATOR, m - 1).alias("ctx"), "cnt")
         if contexts is not None:
-            grams = grams.join(contexts.where(F.col("ord") == m).select("model", "ctx"), ["model", "ctx"], "left_semi")
-        parts.append(
-            with_context_totals(grams, words).join(small(discounts), ["model", "ord", "r"], "left")
-            .select("model", "ord", "gram", "cnt", (F.coalesce("d", F.lit(1.0)) * F.col("cnt") / F.col("ctx_cnt")).alias("p")))
-    backoffs = None
-    for m in range(2, n + 1):
-        low = parts[m - 2].select("model", F.array_join("gram", " ").alias("low_gram"), F.col("p").alias("low_p"))
-        joined = parts[m - 1].withColumn("low_gram", F.array_join(suffix(F.col("gram")), " ")).join(low, ["model", "low_gram"], "left")
-        sums = joined.groupBy("model", context(F.col("gram")).alias("ctx")).agg(F.sum("p").alias("hi"), F.sum(F.coalesce("low_p", F.lit(0.0))).alias("lo"))
-        own = sums.select("model", F.lit(m).alias("ord"), "ctx", neglog(clamp(1 - F.col("hi")) / clamp(1 - F.col("lo"))).alias("nla"))
+            grams = grams.join(small(contexts.where(F.col("ord") == m).select("model", "ctx"), TEST_CONTEXTS), ["model", "ctx"], "left_semi")
+        cut = grams.join(sent.withColumnRenamed("r", "cnt"), ["model", "ord", "cnt"], "left").withColumn("cut", F.coalesce("d", F.lit(1.0)) * F.col("cnt"))
+        # a row a context, summed before the shuffle: a gram is joined to it, never gathered with its like
+        sums = cut.groupBy("model", "ctx").agg(F.sum("cnt").alias("ctx_cnt"), F.sum("cut").alias("hi"))
+        if contexts is not None:
+            sums = small(scratch.save(sums, f"sums{m}"), TEST_CONTEXTS)
+        whole = cut.join(sums.select("model", "ctx", "ctx_cnt"), ["model", "ctx"]).select("model", "ord", F.split("key", SEPARATOR).alias("gram"), "cnt", (F.col("cut") / F.col("ctx_cnt")).alias("p"))
+        parts.append(whole)
+        low = parts[m - 2].select("model", gram_key("gram").alias("low"), F.col("p").alias("low_p"))
+        tails = grams.select("model", "ctx", F.substring_index("key", SEPARATOR, 1 - m).alias("low")).join(low, ["model", "low"])
+        lows = tails.groupBy("model", "ctx").agg(F.sum("low_p").alias("lo"))
+        own = sums.join(lows, ["model", "ctx"], "left").select(
+            "model", F.lit(m).alias("ord"), F.split("ctx", SEPARATOR).alias("ctx"),
+            neglog(clamp(1 - F.col("hi") / F.col("ctx_cnt")) / clamp(1 - F.coalesce("lo", F.lit(0.0)))).alias("nla"))
         backoffs = own if backoffs is None else backoffs.unionByName(own)
     probs = parts[0]
     for part in parts[1:]:
@@ -324,8 +334,13 @@ def train(kind: str, seqs: DataFrame, n: int, addition: float = 5, k: int = 5, r
     if kind == "katz" and (k < 1 or not 0 < reserved < 1):
         raise ValueError("k is 1 or more, and the reserved probability is between 0 and 1")
     scratch = Scratch(seqs.sparkSession, "lm")
-    counts = scratch.save(gram_counts(seqs, n, None if kind == "katz" else [n]), "counts", "ord")
-    vocab = vocabulary(seqs, n) if n == 1 else counted_vocabulary(counts, n)
+    # an order is written from the one above it, so words are shuffled once
+    counts = gram_counts(seqs, n, None if kind == "katz" else [n], lambda level, m: scratch.save(level, f"counts{m}", compression="zstd"))
+    if n > 1 and kind == "katz":
+        ones = counts.where("ord = 1").select("model", F.col("gram")[0].alias("token"))
+        vocab = ones.unionByName(ones.where(F.col("token") == END).select("model", F.explode(F.array(*map(F.lit, [START, UNKNOWN]))).alias("token"))).distinct()
+    else:
+        vocab = vocabulary(seqs, n) if n == 1 else counted_vocabulary(counts, n)
     return LanguageModel(kind, n, counts, scratch.save(vocab, "vocabulary"), addition, k, reserved)
 
 

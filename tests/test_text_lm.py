@@ -182,3 +182,29 @@ def test_sums_of_neglogs(spark):
     assert got.keys() == want.keys() and all(got[k] == v or abs(got[k] - v) < 1e-9 for k, v in want.items())
     pair = spark.range(1).select(neglog.add(F.lit(1.0), F.lit(2.0)).alias("x"), neglog.add(neglog.inf(), neglog.inf()).alias("y")).first()
     assert abs(pair.x - want["a"]) < 1e-9 and pair.y == math.inf
+
+
+def _final(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_all_orders_are_made_from_one_shuffle_of_words(spark):
+    seqs = spark.createDataFrame([("a", "x y z x y".split()), ("a", []), ("b", ["x"])], "model string, toks array<string>").repartition(2)
+    counts = text.gram_counts(seqs, 3)
+    assert _final(counts).count("Generate explode") == 1
+    got = {(r.model, r.ord, tuple(r.gram)): r.cnt for r in counts.collect()}
+    want = {}
+    for model, toks in (("a", "x y z x y".split()), ("a", []), ("b", ["x"])):
+        p = ["<s>", "<s>", *toks, "</s>"]
+        for m in (1, 2, 3):
+            for i in range(len(p) - m + 1):
+                want[model, m, tuple(p[i : i + m])] = want.get((model, m, tuple(p[i : i + m])), 0) + 1
+    assert got == want
+
+
+def test_katz_gathers_no_context(spark):
+    """Totals of contexts are joined to their grams, so no task holds a context's grams."""
+    seqs = spark.createDataFrame([("a", [f"w{i % 7}" for i in range(j, j + 9)]) for j in range(20)], "model string, toks array<string>")
+    model = lm.train("katz", seqs, 3).katz()
+    assert "Window" not in _final(model.probs) and "Window" not in _final(model.backoffs)
