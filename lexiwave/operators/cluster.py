@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -80,11 +81,53 @@ def _stats(points: DataFrame, centre: np.ndarray, score, squares: bool = True) -
     return [sums[:, 0], sums[:, 2 : 2 + d], sums[:, 2 + d :].reshape(k, d, d) if squares else None, float(sums[:, 1].sum())]
 
 
+def _vectors(points: DataFrame) -> DataFrame:
+    """(n, x): points by the batch as bytes, which many passes hand to Python as they are."""
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                lists = batch.column(0)
+                sizes = np.unique(lists.value_lengths().to_numpy(zero_copy_only=False))
+                if len(sizes) > 1:
+                    raise ValueError("points are vectors of one length")
+                flat = lists.flatten().to_numpy(zero_copy_only=False).astype("<f8")
+                yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64()), pa.array([flat.tobytes()], pa.binary())], names=["n", "x"])
+
+    return points.select("x").mapInArrow(pack, "n long, x binary")
+
+
+def _lloyd_sums(vectors: DataFrame, centres: dict[int, np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray, float]]:
+    """(sizes, sums, squared error) of the points nearest to the centres of each run, all runs in one pass."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = {run: np.zeros((len(c), 2 + c.shape[1])) for run, c in centres.items()}
+        for batch in batches:
+            for n, held in zip(batch.column(0).to_pylist(), batch.column(1)):
+                x = np.frombuffer(held.as_buffer(), "<f8").reshape(n, -1)
+                for run, centre in centres.items():
+                    far = np.stack([((x - c) ** 2).sum(1) for c in centre], 1)
+                    near = far.argmin(1)
+                    share = np.eye(len(centre))[near]
+                    sums[run][:, 0] += share.sum(0)
+                    sums[run][0, 1] += far[np.arange(n), near].sum()
+                    sums[run][:, 2:] += share.T @ x
+        for run, v in sums.items():
+            flat = v.ravel()
+            yield pa.RecordBatch.from_arrays([pa.array([run] * len(flat), pa.int32()), pa.array(np.arange(len(flat), dtype="int32")), pa.array(flat)], names=["run", "i", "v"])
+
+    rows = vectors.mapInArrow(work, "run int, i int, v double").groupBy("run", "i").agg(F.sum("v").alias("v")).collect()  # a run's parameters
+    out = {run: np.zeros(c.shape[0] * (2 + c.shape[1])) for run, c in centres.items()}
+    for r in rows:
+        out[r.run][r.i] = r.v
+    tables = {run: v.reshape(len(centres[run]), -1) for run, v in out.items()}
+    return {run: (v[:, 0], v[:, 2:], float(v[0, 1])) for run, v in tables.items()}
+
+
 def kmeans(points: DataFrame, k: int, turns: int = 1000, attempts: int = 5, seed: int = 0, start: np.ndarray | None = None) -> Clusters:
     """The best by squared error of several runs from random distinct points, each until no centre moves by a millionth of the spread.
 
-    With ``start``, [k, d] centres, there is one run, from these. Second moments are summed once, for the best
-    run. Fewer than ``k`` distinct points are an error.
+    With ``start``, [k, d] centres, there is one run, from these. Runs take their turns side by side, a pass over
+    the points for all that still move. Second moments are summed once, for the best run. Fewer than ``k``
+    distinct points are an error.
     """
     if k < 1 or attempts < 1 or turns < 1:
         raise ValueError("clusters, attempts and turns are 1 or more")
@@ -92,8 +135,9 @@ def kmeans(points: DataFrame, k: int, turns: int = 1000, attempts: int = 5, seed
     some = np.array([r.x for r in points.select("x").distinct().orderBy(F.xxhash64("x"), "x").limit(k * attempts * 4).collect()])
     if len(some) < k:
         raise ValueError(f"{len(some)} distinct points for {k} clusters")
-    kept = points.select("x").persist()  # read by every turn; lost blocks are read again
-    rng, best = np.random.default_rng(seed), None
+    ship(points.sparkSession)
+    kept = _vectors(points).persist()  # read by every turn; lost blocks are read again
+    rng = np.random.default_rng(seed)
     least = 1e-6 * max(float(some.std()), 1e-12)
 
     def score(centre):
@@ -105,21 +149,20 @@ def kmeans(points: DataFrame, k: int, turns: int = 1000, attempts: int = 5, seed
         return of
 
     try:
-        for _ in range(attempts):
-            centre = some[rng.permutation(len(some))[:k]] if start is None else np.asarray(start, float)
-            for _ in range(turns):
-                n, first, _, sse = _stats(kept, centre, score(centre), squares=False)
+        now = {run: some[rng.permutation(len(some))[:k]] if start is None else np.asarray(start, float) for run in range(attempts)}
+        moving, errors = set(now), {}
+        for _ in range(turns):
+            for run, (n, first, sse) in _lloyd_sums(kept, {run: now[run] for run in sorted(moving)}).items():
                 new = np.where(n[:, None] > 0, first / np.maximum(n, 1)[:, None], 0.0)
-                still = np.abs(new - centre).max() <= least
-                centre = new
-                if still:
-                    break
-            if best is None or sse < best[0]:
-                best = (sse, centre)
-        sse, centre = best
-        n, first, second, sse = _stats(kept, centre, score(centre))
+                if np.abs(new - now[run]).max() <= least:
+                    moving.discard(run)
+                now[run], errors[run] = new, sse
+            if not moving:
+                break
     finally:
         kept.unpersist()
+    centre = now[min(errors, key=lambda run: (errors[run], run))]
+    n, first, second, sse = _stats(points, centre, score(centre))
     mean = first / np.maximum(n, 1)[:, None]
     cov = (second - n[:, None, None] * mean[:, :, None] * mean[:, None, :]) / np.maximum(n - 1, 1)[:, None, None] + RIDGE * np.eye(centre.shape[1])
     return Clusters(n / n.sum(), centre, cov, sse)

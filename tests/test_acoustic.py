@@ -176,3 +176,19 @@ def test_search_against_all_paths(compat):
         assert np.allclose([h.cost for h in decoder.n_best(emissions, 4)][0], expect[0])
     with pytest.raises(ValueError):
         decoder.n_best(emissions, 0)
+
+
+def test_runs_of_kmeans_share_their_passes(spark, monkeypatch):
+    rows = [(i, [float((i * 7) % 13), float((i * i) % 11)]) for i in range(60)]
+    points, passes = spark.createDataFrame(rows, "id long, x array<double>"), []
+    monkeypatch.setattr(cluster, "_lloyd_sums", lambda v, centres, run=cluster._lloyd_sums: (passes.append(sorted(centres)), run(v, centres))[1])
+    got = cluster.kmeans(points, 3, turns=4, attempts=3)
+    assert len(passes) <= 4 and passes[0] == [0, 1, 2]
+    alone = [cluster.kmeans(points, 3, turns=4, start=c) for c in _starts(points, 3, 3)]
+    assert min(a.sse for a in alone) == pytest.approx(got.sse)
+
+
+def _starts(points, k, attempts):
+    some = np.array([r.x for r in points.select("x").distinct().orderBy(F.xxhash64("x"), "x").limit(k * attempts * 4).collect()])
+    rng = np.random.default_rng(0)
+    return [some[rng.permutation(len(some))[:k]] for _ in range(attempts)]
