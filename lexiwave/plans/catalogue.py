@@ -524,9 +524,12 @@ def stream_in_parts(spark, name: str, df: DataFrame, time: str | None = None) ->
         first, last = df.agg(F.min(time), F.max(time)).first()
         share = F.unix_micros(time) - F.unix_micros(F.lit(first))
         part = F.coalesce(F.floor(TRIGGERS * share / (F.unix_micros(F.lit(last)) - F.unix_micros(F.lit(first)) + 1)), F.lit(0))
+    # parts in order of time are a file each; of the others each has as many as the table's tasks, so no task writes a part
+    files = 1 if time is not None else -(-df.rdd.getNumPartitions() // TRIGGERS)
     for i in range(TRIGGERS):
-        df.where(part == i).coalesce(1).write.parquet(f"{root}/{i}")
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/*")
+        own = df.where(part == i)
+        (own.coalesce(1) if files == 1 else own.repartition(files)).write.parquet(f"{root}/{i}")
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(f"{root}/*")
 
 
 def streamed(spark, name: str, stream: DataFrame, mode: str, keys: list[str]) -> DataFrame:
@@ -540,8 +543,11 @@ def streamed(spark, name: str, stream: DataFrame, mode: str, keys: list[str]) ->
 
 def streaming_counts(spark, sf_dir):
     stream = stream_in_parts(spark, "streaming_counts", table(spark, sf_dir, "documents").select("text"))
-    out = streamed(spark, "streaming_counts", incremental.running_counts(stream, 2), "update", ["model", "ord", "gram"])
-    return out.select("model", "ord", joined().alias("gram"), "cnt")
+    counted = lambda batch: text.gram_keys(text.sequences(batch), 2)
+    schema = counted(table(spark, sf_dir, "documents")).schema
+    sink = sinks.SummedTable(spark, Scratch(spark, "streaming_counts").root, schema, ["model", "ord", "key"], counted, compact=16)
+    sink.start(stream, "append").awaitTermination()
+    return sink.rows().select("model", "ord", F.replace("key", F.lit(text.SEPARATOR), F.lit(" ")).alias("gram"), "cnt")
 
 
 def event_stream(spark, sf_dir, name: str, condition) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -46,13 +48,18 @@ class KeyedTable:
         found = path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).globStatus(path)
         return [int(x.getPath().getParent().getName().partition("=")[2]) for x in found or []]
 
-    def _read(self, upto: int) -> DataFrame:
+    def _upto(self, upto: int) -> DataFrame:
+        """The newest whole snapshot and the batches behind it, up to one."""
         base = max((n for n in self._whole("snapshots") if n < upto), default=None)
         parts = [] if base is None else [self._folder("snapshots", base)]
         parts += [self._folder("batches", n) for n in sorted(self._whole("batches")) if n <= upto and (base is None or n > base)]
         rows = parts[0]
         for part in parts[1:]:
             rows = rows.unionByName(part)
+        return rows
+
+    def _read(self, upto: int) -> DataFrame:
+        rows = self._upto(upto)
         if not self.keys:
             return rows.drop(_NUMBER)
         rest = [c for c in rows.columns if c not in self.keys and c != _NUMBER]
@@ -61,3 +68,23 @@ class KeyedTable:
 
     def _folder(self, kind: str, number: int) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(f"{self.path}/{kind}/{_NUMBER}={number}").withColumn(_NUMBER, F.lit(number))
+
+
+class SummedTable(KeyedTable):
+    """Counts of an append stream: ``counted(batch)`` of every batch, and by key the sum over batches.
+
+    The same folders, so a batch that is sent again is counted once; a snapshot holds the sums up to its batch.
+    No state is kept between triggers, so a trigger costs what its own rows cost.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema, keys: list[str], counted: Callable[[DataFrame], DataFrame], compact: int = 16):
+        super().__init__(spark, path, schema, keys, compact)
+        self.counted = counted
+
+    def write(self, batch: DataFrame, number: int) -> None:
+        super().write(self.counted(batch), number)
+
+    def _read(self, upto: int) -> DataFrame:
+        rows = self._upto(upto)
+        rest = [c for c in rows.columns if c not in self.keys and c != _NUMBER]
+        return rows.groupBy(*self.keys).agg(*[F.sum(c).alias(c) for c in rest]).select(*self.schema.fieldNames())

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lexiwave.operators import text
 from lexiwave.streaming import incremental
-from lexiwave.streaming.sinks import KeyedTable
+from lexiwave.streaming.sinks import KeyedTable, SummedTable
 
 
 def run(query_df, name, mode):
@@ -179,3 +179,14 @@ def test_frames_close_and_late_rows_go(spark, tmp_path):
         before, closed = closed, max(closed, max(s for s, _ in p) - 60)
     assert got == {(float(b), n) for b, n in want.items() if b + 20 <= closed}
     assert (60.0, 1) in got and (-10.0, 3) in got  # the second of 61 and 62, and 4, came too late
+
+
+def test_a_summed_table_counts_a_batch_once(spark, tmp_path):
+    """A batch that is sent again takes its own place, before and behind a snapshot."""
+    counted = lambda batch: text.gram_keys(text.sequences(batch), 2)
+    parts = [spark.createDataFrame([(t,) for t in ts], "text string") for ts in (["a b", "a"], ["a b c"], ["b b", "a b"])]
+    table = SummedTable(spark, str(tmp_path / "t"), counted(parts[0]).schema, ["model", "ord", "key"], counted, compact=2)
+    for number in (0, 0, 1, 2, 2):
+        table.write(parts[number], number)
+    whole = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    assert sorted(map(tuple, table.rows().collect())) == sorted(map(tuple, counted(whole).collect()))
