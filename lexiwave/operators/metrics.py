@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,6 +27,11 @@ def edit_distance(a: list[str], b: list[str]) -> int:
     return int(row[-1])
 
 
+def error_rates(said: Iterable[str], meant: Iterable[str]) -> list[float]:
+    """The rate of every pair; the words of one pair alone are held."""
+    return [edit_distance(x.split(" "), words) / len(words) for x, words in ((x, y.split(" ")) for x, y in zip(said, meant))]
+
+
 def wer(spark, recognised: Column, reference: Column) -> Column:
     """Edit distance by number of reference words. Texts are split at single spaces, so an empty one has one
     empty word; nulls count as empty."""
@@ -35,8 +40,7 @@ def wer(spark, recognised: Column, reference: Column) -> Column:
     @F.pandas_udf(T.DoubleType())
     def rate(columns: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for said, meant in columns:
-            pairs = [(x.split(" "), y.split(" ")) for x, y in zip(said.fillna(""), meant.fillna(""))]
-            yield pd.Series([edit_distance(x, y) / len(y) for x, y in pairs], dtype="float64")
+            yield pd.Series(error_rates(said.fillna(""), meant.fillna("")), dtype="float64")
 
     return rate(recognised, reference)
 
