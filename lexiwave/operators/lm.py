@@ -93,9 +93,13 @@ def perplexity(scored: DataFrame) -> DataFrame:
 
 def score_additive(test: DataFrame, counts: DataFrame, vocab: DataFrame, n: int, extra: float) -> DataFrame:
     """``test`` with nlp under the additive model of order n."""
-    top = counts.where(F.col("ord") == n).select("model", "gram", "cnt")
+    grams = counts.where(F.col("ord") == n)
+    asked = Scratch(test.sparkSession, "asked").save(test.select("model", context(F.col("gram")).alias("ctx")).distinct(), "contexts")
+    if asked.limit(TEST_CONTEXTS + 1).count() <= TEST_CONTEXTS:  # so few that only their grams are shuffled
+        grams = grams.withColumn("ctx", context(F.col("gram"))).join(F.broadcast(asked), ["model", "ctx"], "left_semi")
+    top = grams.select("model", "gram", "cnt")
     return (
-        test.withColumn("ctx", context(F.col("gram"))).join(top, ["model", "gram"], "left").join(context_totals(counts, n), ["model", "ctx"], "left")
+        test.withColumn("ctx", context(F.col("gram"))).join(top, ["model", "gram"], "left").join(context_totals(grams, n), ["model", "ctx"], "left")
         .join(small(vocabulary_size(vocab)), "model")
         .withColumn("nlp", neglog(ratio(F.coalesce("cnt", F.lit(0)) + extra, F.coalesce("ctx_cnt", F.lit(0)) + extra * F.col("v"))))
         .drop("ctx", "cnt", "ctx_cnt", "v")

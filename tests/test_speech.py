@@ -222,3 +222,39 @@ def test_frames_of_a_file_in_ranges(spark, tmp_path):
     whole = read_wav(spark, str(tmp_path / "w")).withColumn("s", signal.pre_emphasis(F.col("samples").cast("array<double>")))
     want = {r.frame_no: r.frame for r in signal.frames(whole, "path", F.col("s"), 200, 80).collect()}
     assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in got)
+
+
+def test_error_rates_hold_one_pair_at_a_time():
+    from lexiwave.operators import metrics
+
+    class Text(str):
+        now = most = 0
+
+        def split(self, *a):
+            class Words(list):
+                def __del__(self):
+                    Text.now -= 1
+
+            Text.now += 1
+            Text.most = max(Text.most, Text.now)
+            return Words(str.split(self, *a))
+
+    texts = [Text(f"a b c{i % 3}") for i in range(50)]
+    assert metrics.error_rates(texts, texts[1:] + texts[:1]).count(1 / 3) == 50 and Text.most <= 5
+
+
+def test_rescoring_reads_hypotheses_once(spark):
+    from lexiwave.operators import decode, lm, text
+
+    calls = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            calls.add(batch.num_rows)
+            yield batch
+
+    model = lm.train("laplace", text.sequences(spark.createDataFrame([("a b a c",)], "text string")), 3)
+    rows = spark.createDataFrame([("u", 0, ["a", "b"]), ("u", 1, ["c", "c"])], "utt string, rank int, words array<string>")
+    got = decode.rescore(rows.mapInArrow(seen, rows.schema), model)
+    assert [r.best for r in got.orderBy("rank").collect()] == [True, False] and calls.value == 2
+
