@@ -129,17 +129,28 @@ class GramTrie:
         return np.array([[self.step(self.step((0, 0), a)[1], b)[0] for b in ids] for a in ids]).reshape(len(ids), len(ids))
 
 
-def scored(seqs: DataFrame, trie: GramTrie) -> DataFrame:
-    """(model, windows, nlp) of (model, toks): each sequence's words and end mark, costed where the rows lie, without a shuffle."""
+def scored(seqs: DataFrame, trie: GramTrie, remembered: int = 200_000) -> DataFrame:
+    """(model, windows, nlp) of (model, toks): each sequence's words and end mark, costed where the rows lie, without a shuffle.
+
+    Steps are remembered, up to a number of them.
+    """
     ship(seqs.sparkSession)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[tuple[State, int], tuple[float, State]] = {}
+        begin, unknown = trie.begin(), trie.word(UNKNOWN)
         for batch in batches:
             rows = []
             for model, toks in batch.itertuples(index=False):
-                now, total = trie.begin(), 0.0
+                now, total = begin, 0.0
                 for w in (*toks, END):
-                    cost, now = trie.step(now, trie.word(w))
+                    at = now, trie.ids.get(w, unknown)
+                    found = known.get(at)
+                    if found is None:
+                        if len(known) >= remembered:
+                            known.clear()
+                        found = known[at] = trie.step(*at)
+                    cost, now = found
                     total += cost
                 rows.append((model, len(toks) + 1, total))
             yield pd.DataFrame(rows, columns=["model", "windows", "nlp"])

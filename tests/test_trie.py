@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexiwave.operators import decode, hmm, lm, text
+from lexiwave.operators import decode, hmm, lm, text, trie
 from lexiwave.operators.trie import GramTrie
 
 from .test_speech import state
@@ -89,3 +89,19 @@ def test_search_with_a_trie_equals_all_paths(spark, n):
     frames = spark.createDataFrame([("u", t, v.tolist()) for t, v in enumerate(x)], "utt string, frame_no int, features array<double>")
     best = decode.recognise(frames, decode.Decoder(models, GramTrie.of(model), scale=2.0, compat=False), 1).first()
     assert tuple(best.words) == every[0][1] and np.isclose(best.cost, every[0][0])
+
+
+def test_steps_of_a_trie_are_remembered(spark):
+    """However few are kept, the costs are the same; a step that is kept is not looked up again."""
+    model = lm.train("katz", text.sequences(spark.createDataFrame([("a b a c b a",)], "text string")), 3)
+    held = trie.GramTrie.of(model)
+    calls = spark.sparkContext.accumulator(0)
+
+    class Counting(trie.GramTrie):
+        def step(self, state, word):
+            calls.add(1)
+            return trie.GramTrie.step(self, state, word)
+
+    seqs = spark.createDataFrame([("m", ["a", "b", "z"])] * 50, "model string, toks array<string>").coalesce(1)
+    got = [tuple(r) for r in trie.scored(seqs, Counting(held.words, held.levels)).collect()]
+    assert calls.value == 4 and got == [tuple(r) for r in trie.scored(seqs, held, remembered=1).collect()]
