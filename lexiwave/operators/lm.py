@@ -174,10 +174,16 @@ class Katz:
 def katz_discounts(counts: DataFrame, k: int = 5) -> DataFrame:
     """(model, ord, r, d) for orders above 1 and r up to k.
 
-    Counts of counts are written down, so grams are counted once. One that is missing is 0 up to the order's largest count and 1e-9 above it. Where the
-    formula divides by zero there is no discount.
+    Counts of counts are written down, so grams are counted once.
+    """
+    return discounts_of(Scratch(counts.sparkSession, "spectrum").save(count_of_counts(counts.where("ord > 1")), "spectrum"), k)
+
+
+def discounts_of(spectrum: DataFrame, k: int = 5) -> DataFrame:
+    """(model, ord, r, d) from (model, ord, r, n_r), of which counts up to k + 1 and the largest are used.
+
+    A count that is missing is 0 up to the order's largest and 1e-9 above it. Where the formula divides by zero there is no discount.
     """
-    spectrum = Scratch(counts.sparkSession, "spectrum").save(count_of_counts(counts.where("ord > 1")), "spectrum")
     top = spectrum.groupBy("model", "ord").agg(F.max("r").alias("top"))
     grid = top.withColumn("r", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(k + 1).cast("long"))))
     full = grid.join(spectrum, ["model", "ord", "r"], "left").withColumn(

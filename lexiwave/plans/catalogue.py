@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lexiwave.functions import neglog
 from lexiwave.functions.scratch import Scratch, small
-from lexiwave.operators import acoustic, cluster, decode, hmm, lm, metrics, segments, signal, text, trie
+from lexiwave.operators import acoustic, cluster, decode, hmm, lm, metrics, segments, signal, text, trie, triples
 from lexiwave.plans import sql
 from lexiwave.sources import arpa, corpus, wav
 from lexiwave.streaming import incremental, sinks
@@ -106,11 +106,19 @@ def katz_model(spark, sf_dir, n):
 
 
 def katz_probs(n):
-    return lambda spark, sf_dir: katz_model(spark, sf_dir, n).probs.select("model", "ord", joined().alias("gram"), "cnt", r6(F.col("nlp")).alias("nlp"))
+    def run(spark, sf_dir: str) -> DataFrame:
+        probs = triples.probs(train_seqs(spark, sf_dir)) if n == 3 else katz_model(spark, sf_dir, n).probs
+        return probs.select("model", "ord", joined().alias("gram"), "cnt", r6(F.col("nlp")).alias("nlp"))
+
+    return run
 
 
 def katz_backoffs(n):
-    return lambda spark, sf_dir: katz_model(spark, sf_dir, n).backoffs.select("model", "ord", joined("ctx").alias("ctx"), r6(F.col("nla")).alias("nla"))
+    def run(spark, sf_dir: str) -> DataFrame:
+        backoffs = triples.backoffs(train_seqs(spark, sf_dir)) if n == 3 else katz_model(spark, sf_dir, n).backoffs
+        return backoffs.select("model", "ord", joined("ctx").alias("ctx"), r6(F.col("nla")).alias("nla"))
+
+    return run
 
 
 def good_turing_fit(spark, sf_dir):
