@@ -18,7 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiwave.functions.neglog import clamp, neglog
@@ -31,10 +31,10 @@ from lexiwave.operators.text import END, START, UNKNOWN, padded
 WORDS, MODELS = 120_000, 4_000
 #: sequences that are looked up for them
 LOOKED_UP = 5_000
-#: a word with more than one of so many is dealt by the word behind it
-SHARE = 200
-#: words that a kernel takes at once, and rows that it gives
-PIECE, GIVEN = 2_000_000, 65_536
+#: a word with more than one of so many, or more than so many rows, is dealt by the word behind it
+SHARE, GROUP = 200, 3_000_000
+#: words, and rows of whole middle words, that a kernel takes at once, and rows that it gives
+PIECE, CHUNK, GIVEN = 2_000_000, 400_000, 65_536
 
 # a long holds a model's number, from 1, and three words': 0 is none, 1 one that is a string
 BITS = 17
@@ -56,12 +56,13 @@ class Book:
     @classmethod
     def of(cls, seqs: DataFrame) -> "Book":
         n = seqs.count()
-        some = seqs.sample(LOOKED_UP / n, 1) if n > LOOKED_UP else seqs
+        share = max(1.0, n / LOOKED_UP)
+        some = seqs.where(F.rand(1) < 1 / share) if share > 1 else seqs  # a filter goes before the words are cut
         words = some.select(F.explode(padded(F.col("toks"), 3)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
         found = words.orderBy(F.desc("n"), "word").limit(WORDS).toArrow()
         models = [r.model for r in some.groupBy("model").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "model").limit(MODELS).collect()]
         counts = found["n"].to_numpy()
-        return cls(found["word"].to_pylist(), models, int((counts * SHARE > counts.sum()).sum()))
+        return cls(found["word"].to_pylist(), models, int(((counts * SHARE > counts.sum()) | (counts * share > GROUP)).sum()))
 
     def table(self, spark: SparkSession) -> DataFrame:
         """One row, sent to every executor."""
@@ -120,6 +121,135 @@ def coded(book: Book) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
     return run
 
 
+@dataclass
+class Grams:
+    """Different rows of whole middle words. ``at`` is one of the rows taken; ``of`` numbers middle words in order, ``w1`` and ``w3`` the others within these rows."""
+
+    at: np.ndarray
+    of: np.ndarray
+    w1: np.ndarray
+    w3: np.ndarray
+    cnt: np.ndarray
+    goes_on: np.ndarray
+    low_cnt: np.ndarray
+    low_first: np.ndarray
+
+    def by_context(self) -> tuple[np.ndarray, np.ndarray]:
+        """The order of contexts and where each begins."""
+        order = np.lexsort((self.w1, self.of))
+        return order, _begins(self.of[order], self.w1[order])
+
+
+def _begins(*keys: np.ndarray) -> np.ndarray:
+    new = np.zeros(len(keys[0]), bool)
+    new[:1] = True
+    for key in keys:
+        new[1:] |= key[1:] != key[:-1]
+    return np.flatnonzero(new)
+
+
+def grams_of(rows: pa.Table) -> Grams:
+    g, cnt = rows["g"].to_numpy(), rows["cnt"].to_numpy()
+
+    def local(right: int, name: str) -> np.ndarray:
+        ids = pc.fill_null(rows[name].combine_chunks().dictionary_encode().indices, -1).to_numpy(False).astype(np.int64)
+        return np.where(ids < 0, (g >> right) & WORD, ids + WORD + 1)
+
+    w1, w2, w3 = local(2 * BITS, "r1"), local(BITS, "r2"), local(0, "r3")
+    middle = np.unique(local(3 * BITS, "m") * (int(w2.max()) + 1) + w2, return_inverse=True)[1]
+    size = [int(x.max()) + 1 for x in (middle, w3, w1)]
+    if size[0] * size[1] * size[2] < 1 << 63:
+        order = np.argsort((middle * size[1] + w3) * size[2] + w1)
+    else:
+        order = np.lexsort((w1, w3, middle))
+    of, w1, w3 = middle[order], w1[order], w3[order]
+    at = _begins(of, w3, w1)
+    cnt = np.add.reduceat(cnt[order], at)
+    of, w1, w3 = of[at], w1[at], w3[at]
+    low = _begins(of, w3)
+    first = np.zeros(len(at), bool)
+    first[low] = True
+    return Grams(order[at], of, w1, w3, cnt, w3 != NONE, np.repeat(np.add.reduceat(cnt, low), np.diff(low, append=len(at))), first & (w3 != NONE))
+
+
+def by_middle(work: Callable[[pa.Table, Grams], pa.Table]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A kernel that gives ``work`` the rows of whole middle words, of as many as make ``CHUNK`` rows. They come sorted by ``key``, which a word has one of."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, most = [], 0, CHUNK
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n < most:
+                continue
+            rows = pa.Table.from_batches(held)
+            keys = rows["key"].to_numpy()
+            whole = int(np.searchsorted(keys, keys[-1]))
+            if whole:
+                some = rows.slice(0, whole)
+                yield from work(some, grams_of(some)).to_batches(GIVEN)
+                held, n = rows.slice(whole).combine_chunks().to_batches(), n - whole
+            most = CHUNK if whole else 2 * n  # a key's rows are looked at again when they have doubled
+        if n:
+            rows = pa.Table.from_batches(held)
+            yield from work(rows, grams_of(rows)).to_batches(GIVEN)
+
+    return run
+
+
+def _taken(rows: pa.Table, at: np.ndarray, mask: int, *strings: str) -> dict[str, pa.Array]:
+    return {"g": rows["g"].to_numpy()[at] & mask} | {c: rows[c].combine_chunks().take(pa.array(at)) for c in strings}
+
+
+def _sums_by(of: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Sums of ``values`` by sorted numbers, a sum a value."""
+    begins = _begins(of)
+    return np.repeat(np.add.reduceat(values, begins), np.diff(begins, append=len(of)))
+
+
+TRIPLE = ROW + ", ctx_cnt long, first boolean, low_cnt long, low_ctx long"
+
+
+def with_totals(rows: pa.Table, grams: Grams) -> pa.Table:
+    """``TRIPLE``: grams with how often their context goes on, as far as these rows know. ``first`` is one of each pair of the word and the next, and has how often this pair and the word with any next are found."""
+    order, begins = grams.by_context()
+    on = np.where(grams.goes_on, grams.cnt, 0)
+    ctx = np.empty(len(on), np.int64)
+    ctx[order] = np.repeat(np.add.reduceat(on[order], begins), np.diff(begins, append=len(on)))
+    return pa.table(_taken(rows, grams.at, -1, "m", "r1", "r2", "r3") | {
+        "cnt": grams.cnt, "ctx_cnt": ctx, "first": grams.low_first,
+        "low_cnt": pa.array(grams.low_cnt, mask=~grams.low_first), "low_ctx": pa.array(_sums_by(grams.of, on), mask=~grams.low_first)})
+
+
+def context_row(k: int) -> dict[str, str]:
+    """Numbers of a context: how often it is found and goes on, its grams found 1 to k + 1 times and the counts of those found more than k times, and the same of their lower grams."""
+    return {f"n{r}": "int" for r in range(1, k + 2)} | {f"low{r}": "int" for r in range(1, k + 1)} | {"all": "long", "ctx_cnt": "long", "more": "long", "low_more": "long"}
+
+
+def contexts(k: int) -> Callable[[pa.Table, Grams], pa.Table]:
+    """(g, m, r1, r2), ``context_row``, the largest count, and how often the middle word goes on and is found, as far as these rows know."""
+
+    def work(rows: pa.Table, grams: Grams) -> pa.Table:
+        order, begins = grams.by_context()
+        on = np.where(grams.goes_on, grams.cnt, 0)
+        # rows without a word before are of no gram
+        is_gram = grams.goes_on & (grams.w1 != NONE)
+        cnt, low = np.where(is_gram, grams.cnt, 0)[order], np.where(is_gram, grams.low_cnt, 0)[order]
+
+        def sums(values: np.ndarray) -> np.ndarray:
+            return np.add.reduceat(values, begins, dtype=np.int32 if values.dtype == bool else np.int64)
+
+        first = order[begins]
+        out = _taken(rows, grams.at[first], MODEL | LEFT | MIDDLE, "m", "r1", "r2")
+        out |= {f"n{r}": sums(cnt == r) for r in range(1, k + 2)}
+        out |= {f"low{r}": sums(low == r) for r in range(1, k + 1)}
+        out |= {"all": sums(grams.cnt[order]), "ctx_cnt": sums(on[order]), "more": sums(np.where(cnt > k, cnt, 0)), "low_more": sums(np.where(low > k, low, 0))}
+        out |= {"top": np.maximum.reduceat(cnt, begins), "low_ctx": _sums_by(grams.of, on)[first], "middle": _sums_by(grams.of, grams.cnt)[first]}
+        return pa.table(out)
+
+    return work
+
+
 def _numbers(g: Column, right: int) -> Column:
     return F.shiftright(g, right).bitwiseAND(F.lit(WORD))
 
@@ -157,22 +287,16 @@ def _heavy(book: Book) -> Column:
     return _middle().between(FIRST, FIRST + book.heavy - 1)
 
 
-def triples(seqs: DataFrame, book: Book) -> DataFrame:
-    """``ROW`` and ``part``: different rows of a word and its neighbours, dealt by the word, with
-
-    low_cnt, how often the word and the next one are found, and low_ctx, how often the word has a next one, as far as this part knows.
-    """
+def triples(seqs: DataFrame, book: Book, work: Callable[[pa.Table, Grams], pa.Table], kinds: str) -> DataFrame:
+    """What ``work`` makes of words and their neighbours, dealt by the word."""
     ship(seqs.sparkSession)
     rows = seqs.where("model is not null").select("model", "toks").mapInArrow(coded(book), ROW)
-    behind = [F.when(_heavy(book), c) for c in (_right(), F.col("r3"))]
-    part = F.pmod(F.hash(_masked(MODEL, MIDDLE), F.col("m"), F.col("r2"), *behind), F.lit(1 << 16))
-    found = rows.withColumn("part", part).repartition("part").groupBy("part", "g", "m", "r1", "r2", "r3").agg(F.sum("cnt").alias("cnt"))
-    # keys are sorted by their number first
-    of = Window.partitionBy("mid", "part", "m", "r2")
-    low = Window.partitionBy("low", "part", "m", "r2", "r3")
-    with_middle = found.withColumn("mid", _masked(MODEL, MIDDLE)).withColumns({
-        "low_ctx": F.sum(F.when(_right() != NONE, F.col("cnt"))).over(of), "middle": F.sum("cnt").over(of)}).drop("mid")
-    return with_middle.withColumn("low", _masked(MODEL, MIDDLE, RIGHT)).withColumn("low_cnt", F.sum("cnt").over(low))
+    middle = [_masked(MODEL, MIDDLE), F.col("m"), F.col("r2")]
+    part = F.pmod(F.hash(*middle, *[F.when(_heavy(book), c) for c in (_right(), F.col("r3"))]), F.lit(1 << 16))
+    # one long, for rows are sorted by it without a look at them
+    key = F.when(F.col("m").isNull() & F.col("r2").isNull(), middle[0]).otherwise(F.xxhash64(*middle))
+    dealt = rows.withColumn("part", part).repartition("part").drop("part").withColumn("key", key)
+    return dealt.sortWithinPartitions("key").mapInArrow(by_middle(work), kinds)
 
 
 def _named(rows: DataFrame, table: DataFrame, **columns: Column) -> DataFrame:
@@ -191,36 +315,32 @@ def probs(seqs: DataFrame, k: int = 5, reserved: float = 0.01) -> DataFrame:
     spark = seqs.sparkSession
     scratch, book = Scratch(spark, "triples"), Book.of(seqs)
     table, heavy = book.table(spark), _heavy(book)
-    context = Window.partitionBy("own", "part", "m", "r1", "r2")
-    lead = Window.partitionBy("low", "part", "m", "r2", "r3").orderBy("g", "r1")
-    made = triples(seqs, book).withColumn("first", (F.row_number().over(lead) == 1) & (_right() != NONE)).drop("low").withColumn("own", _masked(MODEL, LEFT, MIDDLE))
-    kept = made.withColumn("ctx_cnt", F.sum(F.when(_right() != NONE, F.col("cnt"))).over(context))
-    rows = scratch.save(kept.select("g", "m", "r1", "r2", "r3", "cnt", "ctx_cnt", "first", "low_cnt", "low_ctx"), "triples", compression="zstd")
+    rows = scratch.save(triples(seqs, book, with_totals, TRIPLE), "triples", compression="zstd")
 
     own = rows.where(_gram()).select(_masked(MODEL).alias("g"), "m", F.lit(3).alias("ord"), F.col("cnt").alias("r"))
     low = rows.where("first").select(_masked(MODEL).alias("g"), "m", F.lit(2).alias("ord"), F.col("low_cnt").alias("r"))
     spectrum = own.unionByName(low).groupBy("g", "m", "ord", "r").agg(F.count("*").alias("n_r"))
     sent = small(scratch.save(lm.discounts_of(scratch.save(_named(spectrum, table, ord=F.col("ord"), r=F.col("r"), n_r=F.col("n_r")), "spectrum"), k), "discounts"))
 
-    # sums over the contexts of heavy words are of some parts each
-    grams = rows.where(_gram()).select("g", "m", "r1", "r2", "r3", "cnt", "ctx_cnt")
-    lows = rows.where("first").select("g", "m", "r2", "r3", F.col("low_cnt").alias("cnt"), F.col("low_ctx").alias("ctx_cnt"))
-    if book.heavy:
-        light, many = grams.where(~heavy), grams.where(heavy).drop("ctx_cnt").withColumn("own", _masked(MODEL, LEFT, MIDDLE))
-        totals = many.groupBy("own", "m", "r1").agg(F.sum("cnt").alias("ctx_cnt"))
-        grams = light.unionByName(_joined(many, totals, ["own", "m", "r1"]).drop("own"))
-        light, many = lows.where(~heavy), lows.where(heavy).drop("ctx_cnt").withColumn("own", _masked(MODEL, MIDDLE))
-        totals = small(many.groupBy("own", "m").agg(F.sum("cnt").alias("ctx_cnt")))
-        lows = light.unionByName(_joined(many, totals, ["own", "m"]).drop("own"))
-
-    def discounted(named: DataFrame) -> DataFrame:
+    w1, w2, w3 = _word(_left(), "r1"), _word(_middle(), "r2"), _word(_right(), "r3")
+
+    def discounted(rows: DataFrame, order: int, *words: Column) -> DataFrame:
+        named = _named(rows, table, ord=F.lit(order), gram=F.array(*words), cnt=F.col("cnt"), ctx_cnt=F.col("ctx_cnt"))
         cut = named.join(sent.withColumnRenamed("r", "cnt"), ["model", "ord", "cnt"], "left")
         return cut.select("model", "ord", "gram", "cnt", neglog(F.coalesce("d", F.lit(1.0)) * F.col("cnt") / F.col("ctx_cnt")).alias("nlp"))
 
-    w1, w2, w3 = _word(_left(), "r1"), _word(_middle(), "r2"), _word(_right(), "r3")
-    taken = {"cnt": F.col("cnt"), "ctx_cnt": F.col("ctx_cnt")}
-    three = discounted(_named(grams, table, ord=F.lit(3), gram=F.array(w1, w2, w3), **taken))
-    two = discounted(_named(lows, table, ord=F.lit(2), gram=F.array(w2, w3), **taken))
+    def of_parts(rows: DataFrame, own: Column, *on: str) -> DataFrame:
+        """Sums over the contexts of heavy words are of some parts each."""
+        many = rows.where(heavy).drop("ctx_cnt").withColumn("own", own)
+        return _joined(many, small(many.groupBy("own", *on).agg(F.sum("cnt").alias("ctx_cnt"))), ["own", *on])
+
+    grams = rows.where(_gram()).select("g", "m", "r1", "r2", "r3", "cnt", "ctx_cnt")
+    lows = rows.where("first").select("g", "m", "r2", "r3", F.col("low_cnt").alias("cnt"), F.col("low_ctx").alias("ctx_cnt"))
+    if book.heavy:
+        three = discounted(grams.where(~heavy), 3, w1, w2, w3).unionByName(discounted(of_parts(grams, _masked(MODEL, LEFT, MIDDLE), "m", "r1"), 3, w1, w2, w3))
+        two = discounted(lows.where(~heavy), 2, w2, w3).unionByName(discounted(of_parts(lows, _masked(MODEL, MIDDLE), "m"), 2, w2, w3))
+    else:
+        three, two = discounted(grams, 3, w1, w2, w3), discounted(lows, 2, w2, w3)
     one = scratch.save(_named(
         rows.select(_masked(MODEL, MIDDLE).alias("g"), "m", "r2", "cnt").groupBy("g", "m", "r2").agg(F.sum("cnt").alias("cnt")), table, word=w2, cnt=F.col("cnt")), "words")
     total = small(one.groupBy("model").agg(F.sum("cnt").alias("total")))
@@ -235,17 +355,11 @@ def backoffs(seqs: DataFrame, k: int = 5, reserved: float = 0.01) -> DataFrame:
     spark = seqs.sparkSession
     scratch, book = Scratch(spark, "triples"), Book.of(seqs)
     table, heavy = book.table(spark), _heavy(book)
-    # a context: how often it is found and goes on, how many grams are found 1, 2, .. times, and how many of their lower grams
-    cnt, low = F.when(_gram(), F.col("cnt")), F.when(_gram(), F.col("low_cnt"))
-    times = {f"n{r}": F.count(F.when(cnt == r, 1)) for r in range(1, k + 2)} | {f"low{r}": F.count(F.when(low == r, 1)) for r in range(1, k + 1)}
-    sums = times | {
-        "all": F.sum("cnt"), "ctx_cnt": F.sum(F.when(_right() != NONE, F.col("cnt"))), "more": F.sum(F.when(cnt > k, cnt)), "low_more": F.sum(F.when(low > k, low))}
-    found = triples(seqs, book).withColumn("own", _masked(MODEL, LEFT, MIDDLE))
-    by_context = found.groupBy("part", "own", "m", "r1", "r2").agg(
-        *[F.coalesce(c, F.lit(0)).alias(name) for name, c in sums.items()], F.max(cnt).alias("top"), F.max("low_ctx").alias("low_ctx"), F.max("middle").alias("middle"))
-    rows = scratch.save(by_context.drop("part").withColumnRenamed("own", "g"), "contexts", compression="zstd")
+    sums = context_row(k)
+    kinds = ", ".join(f"{c} {kind}" for c, kind in ({c: "string" for c in ("m", "r1", "r2")} | sums | {c: "long" for c in ("top", "low_ctx", "middle")}).items())
+    rows = scratch.save(triples(seqs, book, contexts(k), f"g long, {kinds}"), "contexts", compression="zstd")
     if book.heavy:
-        many = scratch.save(rows.where(heavy).groupBy("g", "m", "r1", "r2").agg(*[F.sum(c).alias(c) for c in sums], F.max("top").alias("top")), "heavy", compression="zstd")
+        many = scratch.save(rows.where(heavy).groupBy("g", "m", "r1", "r2").agg(*[F.sum(c).cast(kind).alias(c) for c, kind in sums.items()], F.max("top").alias("top")), "heavy", compression="zstd")
         many = many.withColumn("own", _masked(MODEL, MIDDLE))
         totals = small(many.groupBy("own", "m").agg(F.sum("ctx_cnt").alias("low_ctx"), F.sum("all").alias("middle")))
         rows = rows.where(~heavy).unionByName(_joined(many, totals, ["own", "m"]).select(*rows.columns))
@@ -255,7 +369,7 @@ def backoffs(seqs: DataFrame, k: int = 5, reserved: float = 0.01) -> DataFrame:
     most = of_model.agg(*[F.sum(f"n{r}").alias(f"n{r}") for r in range(1, k + 2)], F.max("top").alias("top"), F.sum("all").alias("total"))
     models = scratch.save(_named(most.withColumnRenamed("own", "g"), table, **{c: F.col(c) for c in most.columns[2:]}), "models")
     few = [F.struct(F.lit(r).cast("long").alias("r"), F.col(f"n{r}").alias("n_r")) for r in range(1, k + 2)]
-    own = models.where("top is not null").select("model", F.lit(3).alias("ord"), F.explode(F.array(*few, F.struct(F.greatest("top", F.lit(k + 2)).alias("r"), F.lit(1).cast("long").alias("n_r")))).alias("s"), "top")
+    own = models.where("top > 0").select("model", F.lit(3).alias("ord"), F.explode(F.array(*few, F.struct(F.greatest("top", F.lit(k + 2)).alias("r"), F.lit(1).cast("long").alias("n_r")))).alias("s"), "top")
     own = own.select("model", "ord", "s.r", "s.n_r", "top").where("n_r > 0 and r <= top").drop("top")
     low = pairs.select(_masked(MODEL).alias("g"), "m", F.col("all").alias("r")).groupBy("g", "m", "r").agg(F.count("*").alias("n_r"))
     low = _named(low, table, ord=F.lit(2), r=F.col("r"), n_r=F.col("n_r"))

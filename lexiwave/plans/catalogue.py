@@ -39,6 +39,11 @@ def r6(c: Column) -> Column:
     return F.when(c == float("inf"), c).otherwise(F.round(c, 6) + 0.0)
 
 
+def log6(c: Column) -> Column:
+    """``r6`` of a logarithm, which never lies half-way between two places, so it needs no decimals; infinity stays."""
+    return F.rint(c * 1e6) / 1e6 + 0.0
+
+
 def joined(gram: str = "gram") -> Column:
     return F.array_join(gram, " ")
 
@@ -108,7 +113,7 @@ def katz_model(spark, sf_dir, n):
 def katz_probs(n):
     def run(spark, sf_dir: str) -> DataFrame:
         probs = triples.probs(train_seqs(spark, sf_dir)) if n == 3 else katz_model(spark, sf_dir, n).probs
-        return probs.select("model", "ord", joined().alias("gram"), "cnt", r6(F.col("nlp")).alias("nlp"))
+        return probs.select("model", "ord", joined().alias("gram"), "cnt", log6(F.col("nlp")).alias("nlp"))
 
     return run
 
@@ -116,7 +121,7 @@ def katz_probs(n):
 def katz_backoffs(n):
     def run(spark, sf_dir: str) -> DataFrame:
         backoffs = triples.backoffs(train_seqs(spark, sf_dir)) if n == 3 else katz_model(spark, sf_dir, n).backoffs
-        return backoffs.select("model", "ord", joined("ctx").alias("ctx"), r6(F.col("nla")).alias("nla"))
+        return backoffs.select("model", "ord", joined("ctx").alias("ctx"), log6(F.col("nla")).alias("nla"))
 
     return run
 

@@ -3,6 +3,7 @@
 import math
 import random
 
+import pyarrow as pa
 import pytest
 
 from lexiwave.operators import lm, text, triples
@@ -23,7 +24,7 @@ def same(left, right):
 
 
 #: numbers for all, for some and for none; words dealt by themselves and by the next; pieces of all sizes
-LIMITS = [{}, {"WORDS": 9, "MODELS": 2, "SHARE": 30, "PIECE": 40, "GIVEN": 7}, {"WORDS": 1, "MODELS": 1, "LOOKED_UP": 20, "SHARE": 10**6}, {"WORDS": 30, "LOOKED_UP": 20, "SHARE": 10**6, "PIECE": 1}]
+LIMITS = [{}, {"WORDS": 9, "MODELS": 2, "SHARE": 30, "PIECE": 40, "CHUNK": 50, "GIVEN": 7}, {"WORDS": 1, "MODELS": 1, "LOOKED_UP": 20, "SHARE": 10**6}, {"WORDS": 30, "LOOKED_UP": 20, "GROUP": 40, "PIECE": 1, "CHUNK": 1}]
 
 
 @pytest.mark.parametrize("k,limits", [(5, LIMITS[0]), (2, LIMITS[1]), (5, LIMITS[1]), (5, LIMITS[2]), (5, LIMITS[3])])
@@ -42,6 +43,21 @@ def test_tables_equal_those_of_joins(spark, monkeypatch, k, limits):
     assert any(math.isfinite(v) and abs(v) > 1e-6 for v in got.values())
 
 
+def test_rows_of_a_middle_word_stay_together():
+    """Whatever batches they come in; words that share a key are told apart."""
+    code = lambda a, b, c: 1 << 3 * triples.BITS | a << 2 * triples.BITS | b << triples.BITS | c
+    rows = [(1, code(2, 3, 4), None), (1, code(2, 3, 4), None), (1, code(5, 3, 4), None), (7, code(2, 1, 4), "x"), (7, code(2, 1, 4), "y"), (7, code(2, 1, 4), "x"), (9, code(2, 6, 0), None)]
+    table = pa.table({"key": [r[0] for r in rows], "g": [r[1] for r in rows], **{c: pa.nulls(len(rows), pa.string()) for c in ("m", "r1", "r3")}, "r2": pa.array([r[2] for r in rows], pa.string()), "cnt": [1] * len(rows)})
+    for chunk in (1, 2, 3, 100):
+        with pytest.MonkeyPatch.context() as at:
+            at.setattr(triples, "CHUNK", chunk)
+            for size in (1, 3, 7):
+                got = [tuple(r[c] for c in ("g", "r2", "cnt", "ctx_cnt", "first", "low_cnt", "low_ctx")) for b in triples.by_middle(triples.with_totals)(iter(table.to_batches(size))) for r in b.to_pylist()]
+                firsts = [r for r in got if r[4]]
+                assert sorted((r[:4] for r in got), key=repr) == sorted([(code(2, 3, 4), None, 2, 2), (code(5, 3, 4), None, 1, 1), (code(2, 1, 4), "x", 2, 2), (code(2, 1, 4), "y", 1, 1), (code(2, 6, 0), None, 1, 0)], key=repr)
+                assert sorted(r[1:2] + r[5:] for r in firsts if r[1]) == [("x", 2, 2), ("y", 1, 1)] and [r[5:] for r in firsts if not r[1]] == [(3, 3)]
+
+
 def test_no_sequences(spark):
     none = spark.createDataFrame([], "model string, toks array<string>")
     assert triples.probs(none).count() == 0 and triples.backoffs(none).count() == 0
